@@ -58,6 +58,11 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with the value evaluated once, also inside a lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
 def amount_match(text: Column) -> Column:
     """Leftmost number with its scale word, '' when there is none."""
     return F.regexp_extract(F.lower(text), AMOUNT_PATTERN, 0)
@@ -65,23 +70,28 @@ def amount_match(text: Column) -> Column:
 
 def amount_value(match: Column) -> Column:
     """Decimal value of a string cut out by `amount_match`."""
-    number = F.regexp_extract(match, AMOUNT_PATTERN, 1)
-    scale = F.regexp_extract(match, AMOUNT_PATTERN, 2)
-    dot, comma = F.contains(number, F.lit(".")), F.contains(number, F.lit(","))
-    without_dots = F.replace(number, F.lit("."), F.lit(""))
-    plain = (
-        F.when(dot & comma, F.replace(without_dots, F.lit(","), F.lit(".")))
-        .when(comma, F.replace(number, F.lit(","), F.lit(".")))
-        .when(number.rlike(r"^[^.]*(\.[^.]{3})+$"), without_dots)
-        .otherwise(number)
-    )
-    factor = (
-        F.when(scale == "", F.lit(1))
-        .when(scale.startswith("mio") | scale.startswith("million"), F.lit(1_000_000))
-        .when(scale.startswith("mrd") | scale.startswith("milliard"), F.lit(1_000_000_000))
-        .otherwise(F.lit(1_000))
-    )
-    return F.try_multiply(plain.try_cast(T.DecimalType(28, 6)), factor.cast(T.DecimalType(10, 0))).cast(AMOUNT)
+
+    def plain(number: Column) -> Column:
+        dot, comma = F.contains(number, F.lit(".")), F.contains(number, F.lit(","))
+        without_dots = F.replace(number, F.lit("."), F.lit(""))
+        return (
+            F.when(dot & comma, F.replace(without_dots, F.lit(","), F.lit(".")))
+            .when(comma, F.replace(number, F.lit(","), F.lit(".")))
+            .when(number.rlike(r"^[^.]*(\.[^.]{3})+$"), without_dots)
+            .otherwise(number)
+        )
+
+    def factor(scale: Column) -> Column:
+        return (
+            F.when(scale == "", F.lit(1))
+            .when(scale.startswith("mio") | scale.startswith("million"), F.lit(1_000_000))
+            .when(scale.startswith("mrd") | scale.startswith("milliard"), F.lit(1_000_000_000))
+            .otherwise(F.lit(1_000))
+        )
+
+    number = let(F.regexp_extract(match, AMOUNT_PATTERN, 1), plain).try_cast(T.DecimalType(28, 6))
+    times = let(F.regexp_extract(match, AMOUNT_PATTERN, 2), factor).cast(T.DecimalType(10, 0))
+    return F.try_multiply(number, times).cast(AMOUNT)
 
 
 def parse_amount_eur(text: Column) -> Column:
@@ -89,46 +99,43 @@ def parse_amount_eur(text: Column) -> Column:
     return amount_value(amount_match(text))
 
 
-def _midnight(year: Column, month: Column, day: Column) -> Column:
-    zero = F.lit(0)
-    return F.when(
-        year >= 1, F.try_make_timestamp(year, month, day, zero, zero, zero.cast("decimal(16,6)"))
-    )
-
-
-def parse_german_date(text: Column) -> Column:
-    """First date in a phrase as midnight in the session (UTC) zone.
+def date_match(text: Column) -> Column:
+    """Leftmost numeric date, else leftmost long date, '' when there is neither.
 
     A numeric hit decides: when it is no calendar date the long form is not tried.
     """
-    clean = normalize_whitespace(text)
-    numeric = F.regexp_extract(clean, NUMERIC_DATE, 0)
-    long_form = F.regexp_extract(clean, LONG_DATE, 0)
-
-    def part(i: int) -> Column:
-        return F.regexp_extract(numeric, NUMERIC_DATE, i).try_cast("int")
-
-    iso = part(1).isNotNull()
-    from_numeric = _midnight(
-        F.when(iso, part(1)).otherwise(part(6)),
-        F.when(iso, part(2)).otherwise(part(5)),
-        F.when(iso, part(3)).otherwise(part(4)),
-    )
+
+    def find(clean: Column) -> Column:
+        numeric = F.nullif(F.regexp_extract(clean, NUMERIC_DATE, 0), F.lit(""))
+        return F.coalesce(numeric, F.regexp_extract(clean, LONG_DATE, 0))
+
+    return let(normalize_whitespace(text), find)
+
+
+def date_value(match: Column) -> Column:
+    """Midnight in the session (UTC) zone of a string cut out by `date_match`."""
     months = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
-    from_long = _midnight(
-        F.regexp_extract(long_form, LONG_DATE, 3).try_cast("int"),
-        F.try_element_at(months, F.lower(F.regexp_extract(long_form, LONG_DATE, 2))),
-        F.regexp_extract(long_form, LONG_DATE, 1).try_cast("int"),
-    )
-    return F.when(numeric != "", from_numeric).when(long_form != "", from_long)
+    zero = F.lit(0)
 
+    def build(p: Column) -> Column:
+        first, middle, last = (F.try_element_at(p, F.lit(i)) for i in (1, 2, 3))
+        iso = F.length(first) == 4
+        year = F.when(iso, first).otherwise(last).try_cast("int")
+        month = F.coalesce(middle.try_cast("int"), F.try_element_at(months, F.lower(middle)))
+        day = F.when(iso, last).otherwise(first).try_cast("int")
+        stamp = F.try_make_timestamp(year, month, day, zero, zero, zero.cast("decimal(16,6)"))
+        return F.when(year >= 1, stamp)
 
-def url_parts(url: Column) -> Column:
-    return F.split(F.regexp_replace(url, "/+$", ""), "/")
+    return F.when(match != "", let(F.split(match, r"[-./\s]+"), build))
+
+
+def parse_german_date(text: Column) -> Column:
+    """First date in a phrase, null when there is none or it is no calendar date."""
+    return date_value(date_match(text))
 
 
-def last_url_part(url: Column) -> Column:
-    return F.element_at(url_parts(url), -1)
+def url_parts(url: Column) -> Column:
+    return F.split(F.regexp_replace(url, "/+$", ""), "/")
 
 
 def content_hash(

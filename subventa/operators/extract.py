@@ -10,13 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from subventa.functions.html import page_parts
-from subventa.functions.text import (
-    last_url_part,
-    normalize_whitespace,
-    strip,
-    url_parts,
-)
-from subventa.operators.portals import NO_SUMMARY, RULES, PortalRule, by_portal, has_rule
+from subventa.functions.text import let, normalize_whitespace, url_parts
+from subventa.operators.portals import NO_SUMMARY, RULES, rule_table
 from subventa.operators.scan import first_deadline, portal_amounts
 from subventa.schema import PORTALS, SECTORS, STATUSES
 
@@ -67,70 +62,84 @@ def page_structure(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "portal", "html").mapInPandas(walk, _PARTS)
 
 
-def _heading(rule: PortalRule, tag: str, css: str | None, in_main: bool) -> Column:
-    def matches(h: Column) -> Column:
-        hit = F.lit(True) if tag == "*" else h["tag"] == tag
-        if css:
-            hit = hit & F.array_contains(h["classes"], css)
-        return hit & h["in_main"] if in_main else hit
+def _headings() -> Column:
+    """Usable heading text per selector, in priority order.
+
+    A selector looks at its first element only; when that is empty the next
+    selector is tried.
+    """
 
-    text = normalize_whitespace(F.try_element_at(F.filter(F.col("headings"), matches), F.lit(1))["text"])
-    usable = text != ""
-    if rule.skipped_heading:
-        usable = usable & (F.lower(text) != rule.skipped_heading)
-    if rule.title_prefix:
-        return F.when(usable, F.trim(F.regexp_replace(text, rule.title_prefix, "")))
-    return F.when(usable, text)
+    def first_text(s: Column) -> Column:
+        def hit(h: Column) -> Column:
+            return (
+                ((s["tag"] == "*") | (h["tag"] == s["tag"]))
+                & (s["css"].isNull() | F.array_contains(h["classes"], s["css"]))
+                & (~s["in_main"] | h["in_main"])
+            )
 
+        return normalize_whitespace(F.try_element_at(F.filter("headings", hit), F.lit(1))["text"])
 
-def _page_title(rule: PortalRule) -> Column:
-    raw = normalize_whitespace(F.col("page_title"))
-    out = F.when(F.lit(False), raw)
-    for suffix in rule.title_suffixes:
-        ends = (
-            F.endswith(F.lower(raw), F.lit(suffix.lower()))
-            if rule.suffix_ignores_case
-            else F.endswith(raw, F.lit(suffix))
-        )
-        out = out.when(ends, F.trim(F.left(raw, F.length(raw) - len(suffix))))
-    return F.when(F.coalesce(F.col("page_title"), F.lit("")) != "", out.otherwise(raw))
+    skipped = F.coalesce("skipped_heading", F.lit(""))
+    return F.filter(F.transform("selectors", first_text), lambda t: (t != "") & (F.lower(t) != skipped))
 
 
-def _title(rule: PortalRule) -> Column:
-    headings = [_heading(rule, *h) for h in rule.headings]
-    order = [_page_title(rule), *headings] if rule.title_first else [*headings, _page_title(rule)]
-    return F.coalesce(*order, F.lit(rule.placeholder))
+def _without_prefix(heading: Column) -> Column:
+    out = heading
+    for rule in RULES:
+        if rule.title_prefix:
+            cut = F.trim(F.regexp_replace(heading, rule.title_prefix, ""))
+            out = F.when(F.col("portal") == rule.portal, cut).otherwise(out)
+    return out
 
 
-def _summary(rule: PortalRule) -> Column:
-    def usable(p: Column) -> Column:
-        hit = F.length(p) >= rule.min_summary
-        for token in rule.boilerplate:
-            hit = hit & ~F.contains(F.lower(p), F.lit(token))
-        return hit
+def _page_title() -> Column:
+    def cut(raw: Column) -> Column:
+        def ends(suffix: Column) -> Column:
+            ignoring = F.endswith(F.lower(raw), F.lower(suffix))
+            return F.when(F.col("suffix_ignores_case"), ignoring).otherwise(F.endswith(raw, suffix))
+
+        suffix = F.try_element_at(F.filter("suffixes", ends), F.lit(1))
+        return F.coalesce(F.trim(F.left(raw, F.length(raw) - F.length(suffix))), raw)
+
+    return F.when(F.coalesce("page_title", F.lit("")) != "", let(normalize_whitespace(F.col("page_title")), cut))
+
+
+def _title() -> Column:
+    heading = _without_prefix(F.try_element_at(_headings(), F.lit(1)))
+    page_title = _page_title()
+    return F.when(F.col("title_first"), F.coalesce(page_title, heading, "placeholder")).otherwise(
+        F.coalesce(heading, page_title, "placeholder")
+    )
+
 
-    paragraph = F.try_element_at(
-        F.filter(F.transform("paragraphs", normalize_whitespace), usable), F.lit(1)
+def _summary() -> Column:
+    def usable(p: Column) -> Column:
+        told = F.exists("boilerplate", lambda token: F.contains(F.lower(p), token))
+        return (F.length(p) >= F.col("min_summary")) & ~told
+
+    paragraph = F.try_element_at(F.filter(F.transform("paragraphs", normalize_whitespace), usable), F.lit(1))
+    described = F.nullif(normalize_whitespace(F.col("meta_description")), F.lit(""))
+    nothing = F.lit(NO_SUMMARY)
+    return F.when(F.col("meta_first"), F.coalesce(described, paragraph, nothing)).otherwise(
+        F.coalesce(paragraph, described, nothing)
     )
-    meta = F.col("meta_description")
-    described = F.when(strip(meta) != "", normalize_whitespace(meta))
-    order = (described, paragraph) if rule.meta_first else (paragraph, described)
-    return F.coalesce(*order, F.lit(NO_SUMMARY))
 
 
-def doc_id(url: Column, rule: PortalRule) -> Column:
-    tail = last_url_part(url)
-    if rule.id_suffix:
-        pattern = rule.id_suffix.replace(".", r"\.") + "$"
-        tail = F.regexp_replace(tail, pattern, "")
-    if rule.numeric_parent_id:
-        parent = F.try_element_at(url_parts(url), F.lit(-2))
-        return F.when(parent.rlike(r"(?U)^\d+$"), parent).otherwise(tail)
-    return tail
+def doc_id(url: Column) -> Column:
+    """Last url part without the portal's suffix, or the numeric parent part."""
+
+    def pick(parts: Column) -> Column:
+        tail, suffix = F.element_at(parts, -1), F.col("id_suffix")
+        short = F.when(F.endswith(tail, suffix), F.left(tail, F.length(tail) - F.length(suffix))).otherwise(tail)
+        parent = F.try_element_at(parts, F.lit(-2))
+        return F.when(F.col("numeric_parent_id") & parent.rlike(r"(?U)^\d+$"), parent).otherwise(short)
 
+    return let(url_parts(url), pick)
 
-def portal_doc_id(url: Column, portal: Column) -> Column:
-    return by_portal(portal, lambda r: doc_id(url, r))
+
+def with_rules(pages: DataFrame) -> DataFrame:
+    """Adds the portal's rule columns; `country` is null where a portal has no rule."""
+    return pages.join(rule_table(pages.sparkSession), "portal", "left")
 
 
 def portal_status(portal: Column, deadline: Column) -> Column:
@@ -143,31 +152,28 @@ def extract_records(pages: DataFrame) -> DataFrame:
     Input: page_id, url, portal, html. Pages of a portal without a rule come
     out as errors, too.
     """
-    known = has_rule(F.col("portal"))
-    parsed = page_structure(pages)
-    portal = F.col("portal")
-    cut = parsed.select(
+    portal, scan = F.col("portal"), F.col("scan_text")
+    deadline = F.lit(None).cast("timestamp")
+    for rule in RULES:
+        if rule.deadline_cues:
+            deadline = F.when(portal == rule.portal, first_deadline(scan, rule.deadline_cues)).otherwise(deadline)
+    cut = with_rules(page_structure(pages)).select(
         "page_id",
-        portal,
+        "portal",
         F.col("url").alias("source_url"),
-        portal_doc_id(F.col("url"), portal).alias("source_doc_id"),
-        by_portal(portal, _title).alias("title"),
-        by_portal(portal, _summary).alias("summary"),
+        F.when(F.col("country").isNotNull(), doc_id(F.col("url"))).alias("source_doc_id"),
+        _title().alias("title"),
+        F.when(F.col("country").isNotNull(), _summary()).alias("summary"),
         normalize_whitespace(F.col("body_text")).alias("body"),
-        by_portal(portal, lambda r: F.lit(r.country)).alias("country"),
-        by_portal(portal, lambda r: F.lit(r.federal_state).cast("string")).alias("federal_state"),
-        by_portal(
-            portal,
-            lambda r: first_deadline(F.col("scan_text"), r.deadline_cues)
-            if r.deadline_cues
-            else F.lit(None).cast("timestamp"),
-        ).alias("deadline"),
-        portal_amounts(F.col("scan_text"), portal).alias("amounts"),
-        F.when(F.coalesce(known, F.lit(False)), F.col("parse_error"))
+        "country",
+        "federal_state",
+        deadline.alias("deadline"),
+        portal_amounts(scan, portal, F.col("floor")).alias("amounts"),
+        "keeps_min",
+        F.when(F.col("country").isNotNull(), F.col("parse_error"))
         .otherwise(F.concat(F.lit("unknown portal: "), F.coalesce(portal, F.lit("null"))))
         .alias("parse_error"),
     )
-    keeps_min = by_portal(portal, lambda r: F.lit(r.keeps_min))
     return cut.select(
         "page_id",
         "portal",
@@ -179,7 +185,7 @@ def extract_records(pages: DataFrame) -> DataFrame:
         portal_status(portal, F.col("deadline")).alias("status"),
         "country",
         "federal_state",
-        F.when(keeps_min, F.array_min("amounts")).alias("funding_min_eur"),
+        F.when(F.col("keeps_min"), F.array_min("amounts")).alias("funding_min_eur"),
         F.array_max("amounts").alias("funding_max_eur"),
         "deadline",
         "parse_error",

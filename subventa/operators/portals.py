@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from decimal import Decimal
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _BASE = ("script", "style", "nav", "footer", "header")
@@ -133,5 +134,24 @@ def by_portal(portal: Column, value) -> Column:
     return out
 
 
-def has_rule(portal: Column) -> Column:
-    return portal.isin([r.portal for r in RULES])
+_RULE_SCHEMA = (
+    "portal string, country string, federal_state string, "
+    "selectors array<struct<tag: string, css: string, in_main: boolean>>, title_first boolean, "
+    "suffixes array<string>, suffix_ignores_case boolean, placeholder string, meta_first boolean, "
+    "min_summary int, floor decimal(38,6), keeps_min boolean, id_suffix string, numeric_parent_id boolean, "
+    "skipped_heading string, boilerplate array<string>"
+)
+
+
+def rule_table(spark: SparkSession) -> DataFrame:
+    """The rules as a table of one row per portal, small by construction."""
+    rows = [
+        (
+            r.portal, r.country, r.federal_state, list(r.headings), r.title_first, list(r.title_suffixes),
+            r.suffix_ignores_case, r.placeholder, r.meta_first, r.min_summary,
+            None if r.floor is None else Decimal(r.floor), r.keeps_min, r.id_suffix, r.numeric_parent_id,
+            r.skipped_heading, list(r.boilerplate),
+        )
+        for r in RULES
+    ]
+    return F.broadcast(spark.createDataFrame(rows, _RULE_SCHEMA))

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from subventa.functions.text import AMOUNT, amount_match, amount_value, parse_german_date
+from subventa.functions.text import amount_match, amount_value, date_match, date_value
 from subventa.operators.portals import DEADLINE_WINDOW, PortalRule, by_portal
 
 
@@ -55,16 +55,16 @@ def amounts_above(amounts: Column, floor: Column) -> Column:
     return F.filter(amounts, lambda v: floor.isNull() | (v >= floor))
 
 
-def portal_amounts(text: Column, portal: Column) -> Column:
+def portal_amounts(text: Column, portal: Column, floor: Column) -> Column:
     windows = by_portal(portal, lambda r: cue_windows(text, r))
-    floor = by_portal(portal, lambda r: F.lit(r.floor).cast(AMOUNT))
     return amounts_above(window_amounts(windows), floor)
 
 
 def first_deadline(text: Column, cues: tuple[str, ...]) -> Column:
     """Date in the window at the first occurrence of the first cue that has one."""
-    dates = []
+    windows = []
     for cue in cues:
         at = F.locate(cue, text)
-        dates.append(F.when(at > 0, parse_german_date(F.substring(text, at, F.lit(DEADLINE_WINDOW)))))
-    return F.coalesce(*dates)
+        windows.append(F.when(at > 0, F.substring(text, at, F.lit(DEADLINE_WINDOW))))
+    dates = F.transform(F.array_compact(F.array(*windows)), lambda w: date_value(date_match(w)))
+    return F.try_element_at(F.filter(dates, lambda d: d.isNotNull()), F.lit(1))
