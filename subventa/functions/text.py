@@ -114,7 +114,7 @@ def date_match(text: Column) -> Column:
 
 def date_value(match: Column) -> Column:
     """Midnight in the session (UTC) zone of a string cut out by `date_match`."""
-    months = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
+    months = F.expr("map(" + ", ".join(f"'{name}', {number}" for name, number in MONTHS.items()) + ")")
     zero = F.lit(0)
 
     def build(p: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from decimal import Decimal
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,24 +135,37 @@ def by_portal(portal: Column, value) -> Column:
     return out
 
 
-_RULE_SCHEMA = (
-    "portal string, country string, federal_state string, "
-    "selectors array<struct<tag: string, css: string, in_main: boolean>>, title_first boolean, "
-    "suffixes array<string>, suffix_ignores_case boolean, placeholder string, meta_first boolean, "
-    "min_summary int, floor decimal(38,6), keeps_min boolean, id_suffix string, numeric_parent_id boolean, "
-    "skipped_heading string, boilerplate array<string>"
+_SELECTOR = pa.struct([("tag", pa.string()), ("css", pa.string()), ("in_main", pa.bool_())])
+_RULE_FIELDS = pa.schema(
+    [
+        ("portal", pa.string()),
+        ("country", pa.string()),
+        ("federal_state", pa.string()),
+        ("selectors", pa.list_(_SELECTOR)),
+        ("title_first", pa.bool_()),
+        ("suffixes", pa.list_(pa.string())),
+        ("suffix_ignores_case", pa.bool_()),
+        ("placeholder", pa.string()),
+        ("meta_first", pa.bool_()),
+        ("min_summary", pa.int32()),
+        ("floor", pa.decimal128(38, 6)),
+        ("keeps_min", pa.bool_()),
+        ("id_suffix", pa.string()),
+        ("numeric_parent_id", pa.bool_()),
+        ("skipped_heading", pa.string()),
+        ("boilerplate", pa.list_(pa.string())),
+    ]
 )
 
 
 def rule_table(spark: SparkSession) -> DataFrame:
     """The rules as a table of one row per portal, small by construction."""
-    rows = [
-        (
-            r.portal, r.country, r.federal_state, list(r.headings), r.title_first, list(r.title_suffixes),
-            r.suffix_ignores_case, r.placeholder, r.meta_first, r.min_summary,
-            None if r.floor is None else Decimal(r.floor), r.keeps_min, r.id_suffix, r.numeric_parent_id,
-            r.skipped_heading, list(r.boilerplate),
-        )
-        for r in RULES
-    ]
-    return F.broadcast(spark.createDataFrame(rows, _RULE_SCHEMA))
+    rows = []
+    for r in RULES:
+        row = {f.name: getattr(r, f.name, None) for f in _RULE_FIELDS}
+        row["selectors"] = [{"tag": tag, "css": css, "in_main": in_main} for tag, css, in_main in r.headings]
+        row["suffixes"] = list(r.title_suffixes)
+        row["boilerplate"] = list(r.boilerplate)
+        row["floor"] = None if r.floor is None else Decimal(r.floor)
+        rows.append(row)
+    return F.broadcast(spark.createDataFrame(pa.Table.from_pylist(rows, schema=_RULE_FIELDS)))

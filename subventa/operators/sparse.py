@@ -43,11 +43,14 @@ def sparse_top_k(
     ).first()
     live = corpus.filter(F.col("deleted_at").isNull()).select("grant_id", "title", "summary", *filters)
     # The corpus is hashed by id once; counting, thresholding and the per-row
-    # maximum then need no further shuffle, and only k rows per task leave.
+    # maximum then need no further shuffle, and only k rows per task leave. The
+    # grams multiply the rows many times, so the partition count is fixed here
+    # lest small inputs be merged into one task.
+    tasks = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = F.array(trigrams(F.col("title")), trigrams(F.col("summary")))
     fields = (
-        live.repartition("grant_id")
-        .select("grant_id", *filters, F.posexplode(F.array("title", "summary")).alias("field", "text"))
-        .withColumn("_g", trigrams(F.col("text")))
+        live.repartition(tasks, "grant_id")
+        .select("grant_id", *filters, F.posexplode(both).alias("field", "_g"))
         .withColumn("d_size", F.size("_g"))
         .filter(F.col("d_size").between((smallest or 1) * threshold - 1e-9, (largest or 0) / threshold + 1e-9))
     )

@@ -336,7 +336,7 @@ def query_expansion(spark, sf_dir):
     "hypothetical_parse",
     """WITH t AS (SELECT conv_id, turn, role, text FROM conversations),
     d AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN [text, role || ' ' || turn] WHEN 'system' THEN [role, text]
-      ELSE list_transform(list_filter(regexp_split_to_array(text, '[\\n\\r]'), lambda s: length(trim(s)) > 20), lambda s: trim(trim(s), '-•*')) END AS ds FROM t)
+      ELSE list_transform(list_filter(regexp_split_to_array(text, '[\\n\\r]'), lambda s: length(trim('* ' || s)) > 20), lambda s: trim(trim(s), '-•*')) END AS ds FROM t)
     SELECT conv_id, turn, unnest(range(0, len(ds))) AS pos, trim(unnest(ds)) AS description FROM d""",
 )
 def hypothetical_parse(spark, sf_dir):

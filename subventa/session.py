@@ -11,6 +11,8 @@ JOB_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Call-site capture slows down building the larger expressions.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # One Arrow batch holds page or document texts, so bound it by bytes.
     "spark.sql.execution.arrow.maxBytesPerBatch": "67108864",
 }
