@@ -32,7 +32,7 @@ def request_rates(
     one that sends most hits is spread over tasks.
     """
     span = block_seconds or max(3600, 10 * window_seconds)
-    metered = hits.filter(~F.col("path").isin(*exempt)).withColumn("_sec", F.unix_seconds("ts"))
+    metered = hits.filter(~F.col("path").isin(*exempt)).withColumn("_sec", F.unix_seconds(F.col("ts").cast("timestamp")))
     seconds = metered.groupBy("identity", "_sec").agg(F.count(F.lit(1)).alias("_n"))
     own = F.floor(F.col("_sec") / span)
     last_seen = F.floor((F.col("_sec") + window_seconds - 1) / span)

@@ -5,8 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from subventa.operators.dense import dense_top_k
 from subventa.operators.order import top_per_key
-from subventa.operators.retrieve import DENSE, HYBRID, HYBRID_RERANK, ScoreFn, expand_queries, retrieve
+from subventa.operators.retrieve import (
+    DENSE,
+    DENSE_CANDIDATES,
+    HYBRID,
+    HYBRID_RERANK,
+    SPARSE_CANDIDATES,
+    ScoreFn,
+    expand_queries,
+    retrieve,
+)
+from subventa.operators.sparse import sparse_top_k
 
 # Sweep order, results per query and report text width (fixed values).
 CONFIGS = (
@@ -96,11 +107,20 @@ def sweep(
     score_fn: ScoreFn,
     configs=CONFIGS,
 ) -> DataFrame:
-    """Hits of every query under every configuration, cache off."""
+    """Hits of every query under every configuration, cache off.
+
+    The text leg serves all configurations and the vector leg all those without
+    expansion, so each corpus pass is planned once and its shuffle reused.
+    """
+    sparse = sparse_top_k(queries, corpus, SPARSE_CANDIDATES)
+    legs: dict[bool, tuple[DataFrame, DataFrame]] = {}
     out = None
     for _, mode, use_hyde in configs:
-        asked = expand_queries(queries, hypothetical_vectors) if use_hyde else queries
-        hits = retrieve(asked, corpus, mode, FETCHED, score_fn).hits
+        if use_hyde not in legs:
+            asked = expand_queries(queries, hypothetical_vectors) if use_hyde else queries
+            legs[use_hyde] = (asked, dense_top_k(asked, corpus, DENSE_CANDIDATES))
+        asked, dense = legs[use_hyde]
+        hits = retrieve(asked, corpus, mode, FETCHED, score_fn, dense, sparse).hits
         hits = hits.select(F.lit(config_label(mode, use_hyde)).alias("config"), "qid", "grant_id", "rank")
         out = hits if out is None else out.unionByName(hits)
     return out

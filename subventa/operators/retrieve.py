@@ -133,22 +133,26 @@ def retrieve(
     mode: str = HYBRID_RERANK,
     limit: int = DEFAULT_LIMIT,
     score_fn: ScoreFn | None = None,
+    dense: DataFrame | None = None,
+    sparse: DataFrame | None = None,
 ) -> Retrieval:
     """Ranked hits for a batch of queries.
 
     `queries`: qid, query, embedding, optional portal / country filters.
     `corpus`: grant_id, title, summary, embedding, deleted_at (+ filter columns).
+    Legs that are known already may be handed in.
     """
     if mode not in (DENSE, HYBRID, HYBRID_RERANK):
         raise ValueError(f"unknown mode {mode!r}")
     if mode == HYBRID_RERANK and score_fn is None:
         raise ValueError("hybrid_rerank needs a score function")
     if mode == DENSE:
-        dense = dense_top_k(queries, corpus, limit)
-        hits = _hit_columns(dense.withColumn("dense_rank", F.col("rank")))
-        return Retrieval(hits, dense, None, None, None)
-    dense = dense_top_k(queries, corpus, DENSE_CANDIDATES)
-    sparse = sparse_top_k(queries, corpus, SPARSE_CANDIDATES)
+        found = dense_top_k(queries, corpus, limit) if dense is None else dense.filter(F.col("rank") < limit)
+        return Retrieval(_hit_columns(found.withColumn("dense_rank", F.col("rank"))), found, None, None, None)
+    if dense is None:
+        dense = dense_top_k(queries, corpus, DENSE_CANDIDATES)
+    if sparse is None:
+        sparse = sparse_top_k(queries, corpus, SPARSE_CANDIDATES)
     fused = reciprocal_rank_fusion(dense, sparse)
     if mode == HYBRID:
         hits = _hit_columns(fused.filter(F.col("fused_rank") < limit).withColumn("rank", F.col("fused_rank")))
