@@ -51,13 +51,13 @@ def page_structure(pages: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for page_id, url, portal, html in batch.itertuples(index=False):
-                row = {"page_id": page_id, "url": url, "portal": portal, "parse_error": None}
+                row = dict.fromkeys(_PARTS.fieldNames()) | {"page_id": page_id, "url": url, "portal": portal}
                 try:
                     row.update(page_parts(html, *scopes.get(portal, (frozenset(), False))))
                 except Exception as error:  # one bad page must not end the run
                     row["parse_error"] = f"{type(error).__name__}: {error}"[:200]
                 rows.append(row)
-            yield pd.DataFrame(rows, columns=_PARTS.fieldNames())
+            yield pd.DataFrame({c: pd.Series([r[c] for r in rows], dtype=object) for c in _PARTS.fieldNames()})
 
     return pages.select("page_id", "url", "portal", "html").mapInPandas(walk, _PARTS)
 

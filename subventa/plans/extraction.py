@@ -198,19 +198,19 @@ def _cue_values() -> str:
 
 
 def _cue_scan(portals: str) -> str:
-    return f"""WITH t AS ({_SCAN_SQL}),
+    return f"""WITH t AS MATERIALIZED (SELECT row_number() OVER () AS rid, * FROM ({_SCAN_SQL})),
     cues(portal, cue, width, icase, floor, around) AS (VALUES {_cue_values()}),
     src AS (SELECT t.*, cue, width, floor, around, CASE WHEN icase THEN lower(scan_text) ELSE scan_text END AS s
       FROM t JOIN cues USING (portal) WHERE portal IN ({portals})),
     pos AS (SELECT *, unnest(list_filter(range(1, length(s) + 1), lambda i: s[i:i + length(cue) - 1] = cue)) AS loc FROM src),
-    win AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, floor,
+    win AS (SELECT rid, floor,
       s[greatest(1, loc - around):CASE WHEN around > 0 THEN loc + around - 1 ELSE loc + width - 1 END] AS w FROM pos),
     amt AS (SELECT *, {amount_sql("w")} AS amount FROM win),
-    agg AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(min(amount) AS DOUBLE) AS lowest,
+    agg AS (SELECT rid, CAST(min(amount) AS DOUBLE) AS lowest,
       CAST(max(amount) AS DOUBLE) AS highest, count(*) AS n FROM amt
       WHERE amount IS NOT NULL AND (floor IS NULL OR amount >= floor) GROUP BY ALL)
     SELECT t.l_orderkey, t.l_partkey, t.l_suppkey, t.l_linenumber, t.portal, agg.lowest, agg.highest, coalesce(agg.n, 0) AS n
-    FROM t LEFT JOIN agg USING (l_orderkey, l_partkey, l_suppkey, l_linenumber) WHERE t.portal IN ({portals})"""
+    FROM t LEFT JOIN agg USING (rid) WHERE t.portal IN ({portals})"""
 
 
 def _scanned(rows):

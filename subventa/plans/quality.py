@@ -114,7 +114,7 @@ def eval_config_report(spark, sf_dir):
 @query(
     "eval_query_winners",
     f"""{_SWEEP_SQL} SELECT w.qid, CASE WHEN length(q.query) <= 60 THEN q.query ELSE q.query[:57] || '...' END AS query, w.config AS winner,
-      CAST(round(w.ndcg_10, 6) AS DOUBLE) AS ndcg_10
+      CAST(round(round(w.ndcg_10, 9), 6) AS DOUBLE) AS ndcg_10
     FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(ndcg_10, 9) DESC, ord) AS rn FROM metrics) w JOIN q ON q.qid = w.qid WHERE w.rn = 1""",
 )
 def eval_query_winners(spark, sf_dir):
