@@ -17,3 +17,19 @@ def at_most(df: DataFrame, limit: int) -> bool:
 def broadcast_within(df: DataFrame, limit: int) -> DataFrame:
     """Broadcast hint behind a row check, the frame itself beyond it."""
     return F.broadcast(df) if at_most(df, limit) else df
+
+
+# A full input split (Spark's default).
+SPLIT_BYTES = 128 * 1024 * 1024
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Spread a small input over all cores before work that is heavy per row.
+
+    A single small file is one task. Inputs of at least one full split per core
+    keep their splits and are not shuffled, so what moves here is bounded.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if size < cores * SPLIT_BYTES else df

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from subventa.operators.bounds import at_most
+from subventa.operators.bounds import at_most, spread_small
 from subventa.operators.order import top_per_key
+from subventa.operators.running_top import RunningTop
 
 # Queries that fit one broadcast block: 64 MiB at 1,024 doubles each.
 MAX_BLOCK_QUERIES = 8_192
@@ -35,63 +36,43 @@ def _unit(rows) -> np.ndarray:
         return m / norm[:, None]
 
 
+def filter_groups(queries: pd.DataFrame) -> list[tuple[dict, np.ndarray]]:
+    """Query positions per combination of filter values; null filters nothing."""
+    keys = [c for c in ("portal", "country") if c in queries]
+    if not keys:
+        return [({}, np.arange(len(queries)))]
+    groups: dict[tuple, list[int]] = {}
+    for at, values in enumerate(queries[keys].itertuples(index=False)):
+        groups.setdefault(tuple(None if pd.isna(v) else v for v in values), []).append(at)
+    return [({c: v for c, v in zip(keys, g) if v is not None}, np.array(at)) for g, at in groups.items()]
+
+
 class _Best:
-    """Running best k (similarity, id) pairs per query of one task."""
+    """Best k rows per query over the batches of one task."""
 
     def __init__(self, queries: pd.DataFrame, k: int):
-        self.k = k
-        self.groups = []
-        keys = [c for c in ("portal", "country") if c in queries]
-        parts = queries.groupby(keys, dropna=False, sort=False) if keys else [((), queries)]
-        for _, part in parts:
-            wanted = {c: part[c].iloc[0] for c in keys if part[c].iloc[0] is not None and pd.notna(part[c].iloc[0])}
-            for start in range(0, len(part), _QUERY_STRIPE):
-                stripe = part.iloc[start : start + _QUERY_STRIPE]
-                self.groups.append((stripe["qid"].to_numpy(), _unit(stripe["embedding"]), wanted))
-        self.state = [[None] * len(g[0]) for g in self.groups]
+        self.top = RunningTop(queries["qid"].to_numpy(), k)
+        self.block = _unit(queries["embedding"])
+        self.groups = filter_groups(queries)
 
     def add(self, rows: pd.DataFrame) -> None:
         if rows.empty:
             return
         ids, vectors = rows["grant_id"].to_numpy(), _unit(rows["embedding"])
-        for g, (_, block, wanted) in enumerate(self.groups):
+        for wanted, queries in self.groups:
             use = np.ones(len(ids), dtype=bool)
             for column, value in wanted.items():
                 use &= rows[column].to_numpy() == value
             if not use.any():
                 continue
-            own = ids[use]
-            sims = np.round(block @ vectors[use].T, DIGITS)
-            for i, row in enumerate(sims):
-                self._merge(g, i, own, row)
-
-    def _merge(self, g: int, i: int, ids: np.ndarray, sims: np.ndarray) -> None:
-        held = self.state[g][i]
-        keep = ~np.isnan(sims)
-        if held is not None and len(held[0]) >= self.k:
-            keep &= sims >= held[1][-1]
-        if not keep.any():
-            return
-        ids, sims = ids[keep], sims[keep]
-        if held is not None:
-            ids, sims = np.concatenate([held[0], ids]), np.concatenate([held[1], sims])
-        if len(sims) > self.k:
-            # keep every row that ties with the k-th, the sort below decides by id
-            kth = np.partition(sims, len(sims) - self.k)[len(sims) - self.k]
-            near = sims >= kth
-            ids, sims = ids[near], sims[near]
-        order = np.lexsort((ids, -sims))[: self.k]
-        self.state[g][i] = (ids[order], sims[order])
+            own, m = ids[use], vectors[use].T
+            for start in range(0, len(queries), _QUERY_STRIPE):
+                stripe = queries[start : start + _QUERY_STRIPE]
+                for q, sims in zip(stripe, np.round(self.block[stripe] @ m, DIGITS)):
+                    self.top.offer(q, own, sims)
 
     def frames(self) -> Iterator[pd.DataFrame]:
-        for (qids, _, _), held in zip(self.groups, self.state):
-            parts = [
-                pd.DataFrame({"qid": qids[i], "grant_id": h[0], "similarity": h[1]})
-                for i, h in enumerate(held)
-                if h is not None
-            ]
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
+        return self.top.frames("similarity")
 
 
 def _columns(df: DataFrame, id_col: str) -> list[str]:
@@ -134,7 +115,7 @@ def dense_top_k(
                 best.add(batch)
             yield from best.frames()
 
-        partial = rows.mapInPandas(scan, schema)
+        partial = spread_small(rows).mapInPandas(scan, schema)
     else:
         partial = _grid(q, rows, k, schema, max_block_queries, cell_rows)
     return top_per_key(partial, ["qid"], [F.desc("similarity"), F.col("grant_id")], k)

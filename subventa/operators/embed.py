@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from subventa.functions.text import embedding_key, embedding_task, embedding_text, without_task_prefix
 from subventa.functions.vectors import l2_normalise
+from subventa.operators.bounds import spread_small
 from subventa.operators.order import skew_left_join
 
 # Texts per model call (fixed value).
@@ -23,14 +24,12 @@ def hashed_trigram_embedder(dim: int = 64) -> EmbedFn:
     """Deterministic stand-in for a hosted model: hashed character trigrams."""
 
     def embed(texts: pd.Series, tasks: pd.Series) -> list:
-        import zlib
-
         out = np.zeros((len(texts), dim), dtype=np.float64)
         for row, text in enumerate(texts):
-            padded = f"  {text.lower()} "
-            for i in range(len(padded) - 2):
-                h = zlib.crc32(padded[i : i + 3].encode("utf-8"))
-                out[row, h % dim] += 1.0 if (h >> 16) & 1 else -1.0
+            points = np.frombuffer(f"  {text.lower()} ".encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+            h = (points[:-2] * 961 + points[1:-1] * 31 + points[2:]) * 2654435761 % (1 << 32)
+            signs = np.where((h >> np.uint64(16)) & np.uint64(1), 1.0, -1.0)
+            out[row] = np.bincount((h % dim).astype(np.int64), weights=signs, minlength=dim)
         return list(out)
 
     return embed
@@ -60,8 +59,7 @@ def run_model(keyed: DataFrame, embed_fn: EmbedFn, max_tasks: int | None = None)
                 yield pd.DataFrame({"key": part["key"].values, "embedding": [list(map(float, v)) for v in vectors]})
 
     rows = keyed.select("key", "task", "bare_text")
-    if max_tasks is not None:
-        rows = rows.repartition(max_tasks, "key")
+    rows = spread_small(rows) if max_tasks is None else rows.repartition(max_tasks, "key")
     raw = rows.mapInPandas(call, "key string, embedding array<double>")
     return raw.select("key", l2_normalise(F.col("embedding")).cast("array<float>").alias("embedding"))
 

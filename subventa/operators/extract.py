@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from subventa.functions.html import page_parts
 from subventa.functions.text import let, normalize_whitespace, url_parts
+from subventa.operators.bounds import spread_small
 from subventa.operators.portals import NO_SUMMARY, RULES, rule_table
 from subventa.operators.scan import first_deadline, portal_amounts
 from subventa.schema import PORTALS, SECTORS, STATUSES
@@ -59,7 +60,7 @@ def page_structure(pages: DataFrame) -> DataFrame:
                 rows.append(row)
             yield pd.DataFrame({c: pd.Series([r[c] for r in rows], dtype=object) for c in _PARTS.fieldNames()})
 
-    return pages.select("page_id", "url", "portal", "html").mapInPandas(walk, _PARTS)
+    return spread_small(pages.select("page_id", "url", "portal", "html")).mapInPandas(walk, _PARTS)
 
 
 def _headings() -> Column:

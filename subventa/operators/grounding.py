@@ -28,10 +28,10 @@ FALLBACK_CAVEAT = "Writer agent fallback: rationale was not LLM-generated."
 
 def parse_replies(replies: DataFrame, schema: T.StructType, out: str = "parsed") -> DataFrame:
     """Adds the typed record and `failed` for a reply that holds none."""
-    bare = strip_fences(F.col("reply"))
-    is_record = F.coalesce(F.schema_of_variant(F.try_parse_json(bare)).startswith("OBJECT"), F.lit(False))
-    parsed = F.when(is_record, F.from_json(bare, schema))
-    return replies.withColumn(out, parsed).withColumn("failed", ~is_record)
+    bare = replies.withColumn("_bare", strip_fences(F.col("reply")))
+    kind = F.schema_of_variant(F.try_parse_json("_bare"))
+    judged = bare.withColumn("failed", ~F.coalesce(kind.startswith("OBJECT"), F.lit(False)))
+    return judged.withColumn(out, F.when(~F.col("failed"), F.from_json("_bare", schema))).drop("_bare")
 
 
 def normalised_scores(scores: DataFrame) -> DataFrame:

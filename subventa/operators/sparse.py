@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from subventa.functions.text import let
 from subventa.functions.trigram import trigrams
+from subventa.operators.bounds import spread_small
+from subventa.operators.dense import filter_groups
 from subventa.operators.order import top_per_key
+from subventa.operators.running_top import RunningTop
 
 # Similarity a field needs (fixed value: the public trigram default).
 THRESHOLD = 0.3
 # Query grams that may be broadcast, some 40 bytes each.
 MAX_BROADCAST_GRAMS = 2_000_000
 SALTS = 32
+# Score cells one step of a scan holds, and slack for size bounds in doubles.
+_CELLS = 1_000_000
+_SLACK = 1e-9
 
 
 def query_grams(queries: DataFrame) -> DataFrame:
@@ -33,50 +48,129 @@ def sparse_top_k(
     """(qid, grant_id, score, rank): best of title and summary similarity >= threshold.
 
     Live rows only. Two sets can reach the threshold only if the smaller has
-    that share of the larger, so fields of unsuitable size leave before their
-    grams are exploded; this loses nothing.
+    that share of the larger, so fields of unsuitable size are left out early;
+    this loses nothing. A bounded batch of queries travels to the tasks as an
+    inverted gram index and the corpus is only scanned, with at most k rows per
+    query and task to shuffle. A larger batch is joined gram by gram.
     """
     grams = query_grams(queries)
     filters = [c for c in ("portal", "country") if c in grams.columns]
-    n_grams, smallest, largest = grams.agg(
-        F.count(F.lit(1)), F.min("q_size"), F.max("q_size")
-    ).first()
+    n_grams, smallest, largest = grams.agg(F.count(F.lit(1)), F.min("q_size"), F.max("q_size")).first()
+    low, high = (smallest or 1) * threshold - _SLACK, (largest or 0) / threshold + _SLACK
     live = corpus.filter(F.col("deleted_at").isNull()).select("grant_id", "title", "summary", *filters)
-    # The corpus is hashed by id once; counting, thresholding and the per-row
-    # maximum then need no further shuffle, and only k rows per task leave. The
-    # grams multiply the rows many times, so the partition count is fixed here
-    # lest small inputs be merged into one task.
-    tasks = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if n_grams <= max_broadcast_grams:
+        partial = _scan_with_index(grams, live, filters, k, threshold, low, high)
+    else:
+        partial = _join_by_gram(grams, live, filters, threshold, low, high)
+    return top_per_key(partial, ["qid"], [F.desc("score"), F.col("grant_id")], k)
+
+
+class _GramIndex:
+    """Queries' grams as a vocabulary with postings, in numpy."""
+
+    def __init__(self, rows: pd.DataFrame):
+        filters = [c for c in ("portal", "country") if c in rows]
+        queries = rows[["qid", "q_size", *filters]].drop_duplicates("qid").reset_index(drop=True)
+        self.qids, self.sizes = queries["qid"].to_numpy(), queries["q_size"].to_numpy().astype(np.int64)
+        self.groups = filter_groups(queries)
+        codes, vocabulary = pd.factorize(rows["gram"])
+        owner = pd.Index(queries["qid"]).get_indexer(rows["qid"])
+        self.vocabulary = pa.array(vocabulary, pa.string())
+        self.postings = owner[np.argsort(codes, kind="stable")]
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(vocabulary)))])
+
+    def scores(self, grams: pa.ListArray) -> np.ndarray:
+        """Similarity of every listed gram set to every query."""
+        n, q = len(grams), len(self.qids)
+        size = pc.list_value_length(grams).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        known = pc.index_in(grams.flatten(), self.vocabulary).to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(n), size)
+        hit = ~np.isnan(known) if known.dtype.kind == "f" else np.ones(len(known), dtype=bool)
+        gram, owner = known[hit].astype(np.int64), owner[hit]
+        length = self.starts[gram + 1] - self.starts[gram]
+        # positions of all postings of all grams, one run after the other
+        first = np.cumsum(length) - length
+        at = np.arange(length.sum()) - np.repeat(first - self.starts[gram], length)
+        cell = np.repeat(owner, length) * q + self.postings[at]
+        shared = np.bincount(cell, minlength=n * q).reshape(n, q)
+        return shared / (size[:, None] + self.sizes[None, :] - shared)
+
+
+def _scan_with_index(
+    grams: DataFrame, live: DataFrame, filters: list[str], k: int, threshold: float, low: float, high: float
+) -> DataFrame:
+    block = grams.sparkSession.sparkContext.broadcast(grams.toPandas())  # size checked by the caller
+
+    def sized(text: str) -> Column:
+        # a field of unsuitable size cannot qualify: no grams travel for it
+        def keep(g: Column) -> Column:
+            return F.when(F.size(g).between(low, high), g)
+
+        return let(trigrams(F.col(text)), keep).alias(text)
+
+    rows = spread_small(live).select("grant_id", *filters, sized("title"), sized("summary"))
+    schema = T.StructType(
+        [
+            T.StructField("qid", grams.schema["qid"].dataType),
+            T.StructField("grant_id", live.schema["grant_id"].dataType),
+            T.StructField("score", T.DoubleType()),
+        ]
+    )
+    arrow_schema = to_arrow_schema(schema)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if block.value.empty:
+            return
+        index = _GramIndex(block.value)
+        top = RunningTop(index.qids, k)
+        step = max(1, _CELLS // max(1, len(index.qids)))
+        for batch in batches:
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                score = np.fmax(index.scores(part.column("title")), index.scores(part.column("summary")))
+                ids = part.column("grant_id").to_numpy(zero_copy_only=False)
+                for wanted, members in index.groups:
+                    use = np.ones(len(ids), dtype=bool)
+                    for column, value in wanted.items():
+                        use &= part.column(column).to_numpy(zero_copy_only=False) == value
+                    own, hits = ids[use], score[use][:, members]
+                    good = hits >= threshold
+                    for at in np.flatnonzero(good.any(axis=0)):
+                        top.offer(members[at], own[good[:, at]], hits[good[:, at], at])
+        for frame in top.frames("score"):
+            yield pa.RecordBatch.from_pandas(frame, schema=arrow_schema, preserve_index=False)
+
+    return rows.mapInArrow(scan, schema)
+
+
+def _join_by_gram(
+    grams: DataFrame, live: DataFrame, filters: list[str], threshold: float, low: float, high: float
+) -> DataFrame:
     both = F.array(trigrams(F.col("title")), trigrams(F.col("summary")))
     fields = (
-        live.repartition(tasks, "grant_id")
-        .select("grant_id", *filters, F.posexplode(both).alias("field", "_g"))
+        live.select("grant_id", *filters, F.posexplode(both).alias("field", "_g"))
         .withColumn("d_size", F.size("_g"))
-        .filter(F.col("d_size").between((smallest or 1) * threshold - 1e-9, (largest or 0) / threshold + 1e-9))
+        .filter(F.col("d_size").between(low, high))
     )
-    exploded = fields.select("grant_id", "field", "d_size", *filters, F.explode("_g").alias("gram"))
-
-    fits = (F.col("d_size") >= F.col("q_size") * threshold - 1e-9) & (
-        F.col("q_size") >= F.col("d_size") * threshold - 1e-9
+    # A common gram occurs in most rows: split its rows over salts.
+    salted = fields.select("grant_id", "field", "d_size", *filters, F.explode("_g").alias("gram")).withColumn(
+        "_salt", F.pmod(F.xxhash64("grant_id"), F.lit(SALTS)).cast("int")
+    )
+    right = grams.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    fits = (F.col("d_size") >= F.col("q_size") * threshold - _SLACK) & (
+        F.col("q_size") >= F.col("d_size") * threshold - _SLACK
     )
-    right = grams
     for c in filters:
         right = right.withColumnRenamed(c, f"q_{c}")
         fits = fits & (F.col(f"q_{c}").isNull() | (F.col(f"q_{c}") == F.col(c)))
-    if n_grams <= max_broadcast_grams:
-        matches = exploded.join(F.broadcast(right), "gram").filter(fits)
-    else:
-        # A common gram occurs in most rows: split its rows over salts.
-        salted = exploded.withColumn("_salt", F.pmod(F.xxhash64("grant_id"), F.lit(SALTS)).cast("int"))
-        copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        matches = salted.join(copies, ["gram", "_salt"]).filter(fits)
-    overlap = F.count(F.lit(1))
-    scored = (
-        matches.groupBy("grant_id", "field", "qid", "q_size", "d_size")
-        .agg(overlap.alias("shared"))
+    return (
+        salted.join(right, ["gram", "_salt"])
+        .filter(fits)
+        .groupBy("grant_id", "field", "qid", "q_size", "d_size")
+        .agg(F.count(F.lit(1)).alias("shared"))
         .withColumn("score", F.col("shared") / (F.col("q_size") + F.col("d_size") - F.col("shared")))
         .filter(F.col("score") >= threshold)
         .groupBy("grant_id", "qid")
         .agg(F.max("score").alias("score"))
+        .select("qid", "grant_id", "score")
     )
-    return top_per_key(scored, ["qid"], [F.desc("score"), F.col("grant_id")], k)

@@ -53,7 +53,7 @@ TOTAL, PORTAL, STATUS, STATE = "total", "portal", "status", "federal_state"
 
 
 def rollup_blocks(corpus: DataFrame) -> DataFrame:
-    """All four statistics from one scan and one shuffle: (block, key, n, ...).
+    """All four statistics from one scan of the corpus: (block, key, n, ...).
 
     Grouping sets over portal, status and state replace four passes; a null
     state is excluded after the aggregation, where it is a single row.
@@ -65,13 +65,26 @@ def rollup_blocks(corpus: DataFrame) -> DataFrame:
         F.col("embedding").isNotNull().alias("embedded"),
         _ceiling().alias("funding_max_eur"),
     )
-    sets = [[], [F.col("portal")], [F.col("status")], [F.col("federal_state")]]
-    grouped = rows.groupingSets(sets, "portal", "status", "federal_state").agg(
-        F.grouping_id().alias("_gid"),
+    c, keys = F.col("funding_max_eur"), ("portal", "status", "federal_state")
+    # Summed per combination first: few rows are left to be spread over the sets.
+    fine = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("embedded")).alias("n_embedded"),
-        F.count("funding_max_eur").alias("n_with_funding_max"),
-        *_spread(),
+        F.count(c).alias("n_with_funding_max"),
+        F.min(c).alias("_min"),
+        F.max(c).alias("_max"),
+        F.sum(c).alias("_sum"),
+    )
+    counted = F.sum("n_with_funding_max")
+    sets = [[], [F.col("portal")], [F.col("status")], [F.col("federal_state")]]
+    grouped = fine.groupingSets(sets, *keys).agg(
+        F.grouping_id().alias("_gid"),
+        F.sum("n").alias("n"),
+        F.sum("n_embedded").alias("n_embedded"),
+        counted.alias("n_with_funding_max"),
+        F.min("_min").cast("double").alias("funding_min"),
+        F.max("_max").cast("double").alias("funding_max"),
+        (F.sum("_sum").cast("double") / F.nullif(counted, F.lit(0))).alias("funding_avg"),
     )
     # grouping_id has one bit per column, set where the column is aggregated away
     block = (

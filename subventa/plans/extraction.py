@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from subventa.functions import text as X
 from subventa.operators import extract as E
+from subventa.operators.bounds import spread_small
 from subventa.operators.portals import RULES
 from subventa.operators.scan import first_deadline, portal_amounts
 from subventa.plans.registry import query, table
@@ -83,7 +84,7 @@ def amount_sql(expr: str) -> str:
     FROM ({_PHRASE_SQL})""",
 )
 def euro_amounts(spark, sf_dir):
-    return _phrases(spark, sf_dir).withColumn("amount", X.parse_amount_eur(F.col("phrase")).cast("double"))
+    return spread_small(_phrases(spark, sf_dir)).withColumn("amount", X.parse_amount_eur(F.col("phrase")).cast("double"))
 
 
 # --- dates ---------------------------------------------------------------------
@@ -215,7 +216,7 @@ def _cue_scan(portals: str) -> str:
 
 def _scanned(rows):
     amounts = portal_amounts(F.col("scan_text"), F.col("portal"), F.col("floor"))
-    return E.with_rules(rows).withColumn("_a", amounts).select(
+    return E.with_rules(spread_small(rows)).withColumn("_a", amounts).select(
         "l_orderkey",
         "l_partkey",
         "l_suppkey",

@@ -9,6 +9,7 @@ from subventa.functions.text import strip_fences
 from subventa.operators import grounding as G
 from subventa.operators import prompts as P
 from subventa.operators import telemetry as T
+from subventa.operators.bounds import spread_small
 from subventa.operators.order import top_per_key
 from subventa.plans.registry import query, table
 from subventa.schema import SCORER
@@ -210,7 +211,7 @@ def reply_parse(spark, sf_dir):
         .when(p == "2-HIGH", F.concat(F.lit("```"), record, F.lit("```")))
         .otherwise(record)
     )
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", reply.alias("reply"))
+    rows = spread_small(table(spark, sf_dir, "orders")).select("o_orderkey", reply.alias("reply"))
     parsed = G.parse_replies(rows, SCORER).select(
         "o_orderkey", "failed", F.explode_outer("parsed.scores").alias("s")
     )
