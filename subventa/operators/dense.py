@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -91,6 +91,15 @@ def dense_top_k(
     scanned; beyond that both sides are cut into a grid of bounded cells.
     Either way a task hands at most k rows per query to the shuffle.
     """
+    q, rows, schema = _sides(queries, corpus)
+    if at_most(q, max_block_queries):
+        partial = _scan(q, rows, schema, max_block_queries, lambda block: _Best(block, k))
+    else:
+        partial = _grid(q, rows, k, schema, max_block_queries, cell_rows)
+    return top_per_key(partial, ["qid"], [F.desc("similarity"), F.col("grant_id")], k)
+
+
+def _sides(queries: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame, T.StructType]:
     q = queries.filter(F.col("embedding").isNotNull()).select(*_columns(queries, "qid"))
     if "country" in q.columns:
         q = q.withColumn("country", F.upper("country"))
@@ -103,22 +112,24 @@ def dense_top_k(
             T.StructField("similarity", T.DoubleType()),
         ]
     )
-    if at_most(q, max_block_queries):
-        # Bounded by the check above.
-        block = q.sparkSession.sparkContext.broadcast(q.limit(max_block_queries).toPandas())
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            if block.value.empty:
-                return
-            best = _Best(block.value, k)
-            for batch in batches:
-                best.add(batch)
-            yield from best.frames()
-
-        partial = spread_small(rows).mapInPandas(scan, schema)
-    else:
-        partial = _grid(q, rows, k, schema, max_block_queries, cell_rows)
-    return top_per_key(partial, ["qid"], [F.desc("similarity"), F.col("grant_id")], k)
+    return q, rows, schema
+
+
+def _scan(
+    q: DataFrame, rows: DataFrame, schema: T.StructType, max_block_queries: int, start: Callable[[pd.DataFrame], _Best]
+) -> DataFrame:
+    """One pass over the corpus; the caller has checked that the queries fit one block."""
+    block = q.sparkSession.sparkContext.broadcast(q.limit(max_block_queries).toPandas())
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if block.value.empty:
+            return
+        best = start(block.value)
+        for batch in batches:
+            best.add(batch)
+        yield from best.frames()
+
+    return spread_small(rows).mapInPandas(scan, schema)
 
 
 def _grid(q: DataFrame, rows: DataFrame, k: int, schema: T.StructType, block: int, cell: int) -> DataFrame:
@@ -142,6 +153,43 @@ def _grid(q: DataFrame, rows: DataFrame, k: int, schema: T.StructType, block: in
     return left.groupBy("_b", "_c").cogroup(right.groupBy("_b", "_c")).applyInPandas(cell_best, schema)
 
 
+class _Near(_Best):
+    """As _Best, but a query meets only rows that share a projection bucket with it."""
+
+    def __init__(self, queries: pd.DataFrame, k: int, bucket: float, tables: int, min_similarity: float, seed: int):
+        super().__init__(queries, k)
+        self.bucket, self.min_similarity = bucket, min_similarity
+        lines = np.random.default_rng(seed).normal(size=(self.block.shape[1], tables))
+        self.lines = lines / np.linalg.norm(lines, axis=0)
+        self.own = self._buckets(self.block)
+
+    def _buckets(self, vectors: np.ndarray) -> np.ndarray:
+        return np.floor(vectors @ self.lines / self.bucket).astype(np.int64)
+
+    def add(self, rows: pd.DataFrame) -> None:
+        if rows.empty:
+            return
+        ids, vectors = rows["grant_id"].to_numpy(), _unit(rows["embedding"])
+        buckets = self._buckets(vectors)
+        order = np.argsort(buckets, axis=0, kind="stable")
+        near = []
+        for t in range(buckets.shape[1]):
+            column = buckets[order[:, t], t]
+            near.append((np.searchsorted(column, self.own[:, t]), np.searchsorted(column, self.own[:, t], "right")))
+        for wanted, queries in self.groups:
+            use = np.ones(len(ids), dtype=bool)
+            for column, value in wanted.items():
+                use &= rows[column].to_numpy() == value
+            for q in queries:
+                hit = np.unique(np.concatenate([order[lo[q] : hi[q], t] for t, (lo, hi) in enumerate(near)]))
+                hit = hit[use[hit]]
+                if not len(hit):
+                    continue
+                sims = np.round(vectors[hit] @ self.block[q], DIGITS)
+                close = sims >= self.min_similarity
+                self.top.offer(q, ids[hit[close]], sims[close])
+
+
 def approximate_top_k(
     queries: DataFrame,
     corpus: DataFrame,
@@ -150,28 +198,20 @@ def approximate_top_k(
     tables: int = 6,
     max_distance: float = 1.6,
     seed: int = 42,
+    max_block_queries: int = MAX_BLOCK_QUERIES,
 ) -> DataFrame:
     """Approximate variant over random-projection buckets of unit vectors.
 
-    For unit vectors the squared distance is 2(1 - cosine). Recall depends on
-    bucket length and table count; dense_top_k is the exact way.
+    Rows are compared with a query only where at least one of `tables`
+    projections puts both into the same bucket, so far fewer products are
+    computed; the corpus is scanned without a shuffle whatever the bucket
+    sizes. For unit vectors the squared distance is 2(1 - cosine). Recall
+    depends on bucket length and table count; dense_top_k is the exact way and
+    takes over where the queries exceed one block.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    from subventa.functions.vectors import l2_normalise
-
-    def unit(df: DataFrame, id_col: str) -> DataFrame:
-        return df.select(id_col, array_to_vector(l2_normalise(F.col("embedding"))).alias("v"))
-
-    q = unit(queries.filter(F.col("embedding").isNotNull()), "qid")
-    c = unit(live_vectors(corpus), "grant_id")
-    model = BucketedRandomProjectionLSH(
-        inputCol="v", outputCol="h", bucketLength=bucket_length, numHashTables=tables, seed=seed
-    ).fit(c)
-    near = model.approxSimilarityJoin(q, c, max_distance, distCol="d").select(
-        F.col("datasetA.qid").alias("qid"),
-        F.col("datasetB.grant_id").alias("grant_id"),
-        F.round(1 - F.col("d") * F.col("d") / 2, DIGITS).alias("similarity"),
-    )
+    q, rows, schema = _sides(queries, corpus)
+    if not at_most(q, max_block_queries):
+        return dense_top_k(queries, corpus, k, max_block_queries)
+    floor = 1 - max_distance * max_distance / 2
+    near = _scan(q, rows, schema, max_block_queries, lambda block: _Near(block, k, bucket_length, tables, floor, seed))
     return top_per_key(near, ["qid"], [F.desc("similarity"), F.col("grant_id")], k)

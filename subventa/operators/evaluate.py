@@ -36,9 +36,17 @@ def config_label(mode: str, use_hyde: bool) -> str:
 
 def graded_gains(gold: DataFrame) -> DataFrame:
     """(qid, doc, gain): relevant 1, ideal 2, ideal wins."""
-    ideal = gold.select("qid", F.explode("ideal").alias("doc"), F.lit(2).alias("gain"))
-    relevant = gold.select("qid", F.explode("relevant").alias("doc"), F.lit(1).alias("gain"))
-    return ideal.unionByName(relevant).groupBy("qid", "doc").agg(F.max("gain").alias("gain"))
+    return gains_of(
+        gold.select("qid", F.explode("ideal").alias("doc")), gold.select("qid", F.explode("relevant").alias("doc"))
+    )
+
+
+def gains_of(ideal: DataFrame, relevant: DataFrame) -> DataFrame:
+    """The same from (qid, doc) rows, for gold sets too large for lists."""
+    graded = ideal.select("qid", "doc", F.lit(2).alias("gain")).unionByName(
+        relevant.select("qid", "doc", F.lit(1).alias("gain"))
+    )
+    return graded.groupBy("qid", "doc").agg(F.max("gain").alias("gain"))
 
 
 def _discount(rank: Column) -> Column:

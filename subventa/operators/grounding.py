@@ -8,6 +8,16 @@ from pyspark.sql import types as T
 
 from subventa.functions.labels import clamp_score, fit_label, severity
 from subventa.functions.text import strip_fences
+from subventa.schema import (
+    CRITIC,
+    FINDING_TYPES,
+    PLANNER,
+    PORTALS,
+    SCORER,
+    SECTORS,
+    STAGES,
+    WRITER,
+)
 
 # Writer runs per request at most and fallback size (fixed values).
 MAX_ATTEMPTS = 2
@@ -26,6 +36,77 @@ FALLBACK_RATIONALE = (
 FALLBACK_CAVEAT = "Writer agent fallback: rationale was not LLM-generated."
 
 
+def _over(column: Column, limit: int) -> Column:
+    return F.coalesce(F.length(column) > limit, F.lit(False))
+
+
+def _strange(column: Column, allowed: tuple[str, ...], required: bool) -> Column:
+    bad = ~column.isin(*allowed)
+    return F.coalesce(bad, F.lit(required))
+
+
+def _planner_broken(r: Column) -> Column:
+    facts = r["facts"]
+    return (
+        F.coalesce(F.length(r["rewritten_query"]) < 1, F.lit(True))
+        | _strange(facts["sector"], SECTORS, False)
+        | _strange(facts["stage"], STAGES, False)
+        | F.coalesce(F.length(facts["country"]) != 2, F.lit(False))
+        | _over(facts["federal_state"], 64)
+        | F.coalesce(facts["funding_target_eur"] < 0, F.lit(False))
+    )
+
+
+def _scorer_broken(r: Column) -> Column:
+    def bad(s: Column) -> Column:
+        long_list = F.lit(False)
+        for name in ("strengths", "concerns", "missing_info"):
+            long_list = long_list | F.coalesce(F.size(s[name]) > 5, F.lit(False))
+        return s["grant_id"].isNull() | long_list
+
+    return F.coalesce(F.exists(r["scores"], bad), F.lit(False))
+
+
+def _critic_broken(r: Column) -> Column:
+    def bad(f: Column) -> Column:
+        return _strange(f["type"], FINDING_TYPES, True) | f["message"].isNull() | _over(f["message"], 500)
+
+    return (
+        r["overall_pass"].isNull()
+        | _over(r["summary"], 400)
+        | F.coalesce(F.size(r["findings"]) > 10, F.lit(False))
+        | F.coalesce(F.exists(r["findings"], bad), F.lit(False))
+    )
+
+
+def _writer_broken(r: Column) -> Column:
+    def bad(x: Column) -> Column:
+        missing = x["grant_id"].isNull() | x["grant_title"].isNull() | x["source_url"].isNull() | x["rationale"].isNull()
+        labels = _strange(x["portal"], PORTALS, True) | _strange(x["fit"], ("high", "medium", "low"), True)
+        return missing | labels | _over(x["rationale"], 1200)
+
+    return (
+        r["summary"].isNull() | _over(r["summary"], 600) | F.coalesce(F.exists(r["recommendations"], bad), F.lit(False))
+    )
+
+
+# Record type and its limits per stage (fixed values, in the functions above).
+STAGES_OF_CHAIN = {
+    "planner": (PLANNER, _planner_broken),
+    "scorer": (SCORER, _scorer_broken),
+    "critic": (CRITIC, _critic_broken),
+    "writer": (WRITER, _writer_broken),
+}
+
+
+def parse_stage_replies(replies: DataFrame, stage: str, out: str = "parsed") -> DataFrame:
+    """Adds the stage's record and `failed` for a reply that is none or breaks a limit."""
+    schema, broken = STAGES_OF_CHAIN[stage]
+    parsed = parse_replies(replies, schema, out)
+    failed = F.col("failed") | F.coalesce(broken(F.col(out)), F.lit(True))
+    return parsed.withColumn("failed", failed).withColumn(out, F.when(~F.col("failed"), F.col(out)))
+
+
 def parse_replies(replies: DataFrame, schema: T.StructType, out: str = "parsed") -> DataFrame:
     """Adds the typed record and `failed` for a reply that holds none."""
     bare = replies.withColumn("_bare", strip_fences(F.col("reply")))

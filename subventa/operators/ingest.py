@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from subventa.functions.text import content_hash, volatile_hash
-from subventa.operators.order import blocked_lag
+from subventa.operators.order import blocked_lag, skew_left_join
 from subventa.schema import CORPUS
 
 INSERTED, UPDATED, SKIPPED, REFRESHED, FAILED = (
@@ -95,7 +95,9 @@ def upsert_snapshot(
     """
     latest = last_arrivals(arrivals)
     if embeddings is not None:
-        latest = latest.join(embeddings.select("source_hash", "embedding"), "source_hash", "left")
+        # many urls may carry the same text, hence the skew-safe join
+        vectors = embeddings.select("source_hash", "embedding").dropDuplicates(["source_hash"])
+        latest = skew_left_join(latest, vectors, "source_hash")
     else:
         latest = latest.withColumn("embedding", F.lit(None).cast("array<float>"))
     incoming = F.struct(*[F.col(c) for c in latest.columns if c != "source_url"])

@@ -64,7 +64,7 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, ran
 def skew_left_join(big: DataFrame, small: DataFrame, key: str, hot_rows: int = 1_000_000, salts: int = 64) -> DataFrame:
     """Left join on `key` where `big` may repeat a key without limit.
 
-    `small` has at most one row per key. Keys above `hot_rows` are found with a
+    `small` has few rows per key. Keys above `hot_rows` are found with a
     map-side combined count and spread over `salts` tasks. At most
     rows / hot_rows keys can be hot, which bounds what is broadcast.
     """

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from subventa.operators.retrieve import CANDIDATE_LIMIT
+
 # Candidate fields per stage, in order (fixed values).
 _COMMON = ("rank", "grant_id", "title", "portal")
 FIELDS = {
@@ -54,8 +56,9 @@ def _json_field(name: str, candidates: DataFrame) -> Column:
 def candidates_json(candidates: DataFrame, stage: str) -> DataFrame:
     """(request_id, candidates_json): candidates in rank order, 1-based ranks.
 
-    A request has at most a result page of candidates, so its list is small.
+    Prompts show the best few candidates only, which bounds the list.
     """
+    candidates = candidates.filter(F.col("rank") < CANDIDATE_LIMIT)
     fields = [f for f in FIELDS[stage] if f in candidates.columns]
     record = F.concat(F.lit("{"), F.array_join(F.array(*[_json_field(f, candidates) for f in fields]), ","), F.lit("}"))
     listed = F.sort_array(F.collect_list(F.struct(F.col("rank").alias("r"), record.alias("j"))))
@@ -77,7 +80,7 @@ def profile_block(profile: Column, fields: list[str], stage: str) -> Column:
 def retry_blocks(findings: DataFrame) -> DataFrame:
     """(request_id, retry_block): one line per finding, in `position` order.
 
-    A critic writes at most ten findings per request.
+    A valid critic record has at most ten findings (grounding.parse_stage_replies).
     """
     grant = F.when(F.coalesce("grant_id", F.lit("")) != "", F.concat(F.lit(" (grant_id="), "grant_id", F.lit(")"))).otherwise("")
     line = F.concat(F.lit("  - ["), "severity", F.lit("] "), "type", grant, F.lit(": "), "message")

@@ -90,5 +90,5 @@ def readable(headers: DataFrame, readers: DataFrame) -> DataFrame:
 
 def replay(history: DataFrame, visible: DataFrame) -> DataFrame:
     """History rows each permitted reader gets."""
-    granted = visible.filter("visible").select("session_id", "reader_id")
-    return granted.join(history, "session_id")
+    granted = visible.filter("visible").select("session_id", "reader_id", F.lit(True).alias("_granted"))
+    return skew_left_join(history, granted, "session_id").filter("_granted").drop("_granted")

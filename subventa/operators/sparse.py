@@ -25,8 +25,9 @@ THRESHOLD = 0.3
 # Query grams that may be broadcast, some 40 bytes each.
 MAX_BROADCAST_GRAMS = 2_000_000
 SALTS = 32
-# Score cells one step of a scan holds, and slack for size bounds in doubles.
-_CELLS = 1_000_000
+# Score cells and postings one step of a scan holds; slack for size bounds in doubles.
+_CELLS = 200_000
+_POSTINGS = 1_000_000
 _SLACK = 1e-9
 
 
@@ -88,11 +89,14 @@ class _GramIndex:
         hit = ~np.isnan(known) if known.dtype.kind == "f" else np.ones(len(known), dtype=bool)
         gram, owner = known[hit].astype(np.int64), owner[hit]
         length = self.starts[gram + 1] - self.starts[gram]
-        # positions of all postings of all grams, one run after the other
-        first = np.cumsum(length) - length
-        at = np.arange(length.sum()) - np.repeat(first - self.starts[gram], length)
-        cell = np.repeat(owner, length) * q + self.postings[at]
-        shared = np.bincount(cell, minlength=n * q).reshape(n, q)
+        shared = np.zeros(n * q, dtype=np.int64)
+        cuts = np.searchsorted(np.cumsum(length), np.arange(_POSTINGS, length.sum(), _POSTINGS))
+        for g, o, ln in zip(np.split(gram, cuts), np.split(owner, cuts), np.split(length, cuts)):
+            # positions of all postings of these grams, one run after the other
+            first = np.cumsum(ln) - ln
+            at = np.arange(ln.sum()) - np.repeat(first - self.starts[g], ln)
+            shared += np.bincount(np.repeat(o * q, ln) + self.postings[at], minlength=n * q)
+        shared = shared.reshape(n, q)
         return shared / (size[:, None] + self.sizes[None, :] - shared)
 
 

@@ -8,35 +8,39 @@ from subventa.operators import evaluate as V
 from subventa.operators import retrieve as R
 from subventa.plans.corpora import documents_corpus, search_queries
 from subventa.plans.registry import query, table
-from subventa.plans.search import _HYPO_SQL, HYBRID_SQL, _dense_leg, _fused_leg, _reranked_leg, hypothetical_rows
+from subventa.plans.search import (
+    _HYPO_SQL,
+    BASE_SQL,
+    HYBRID_SQL,
+    NUMBERED_SQL,
+    _dense_leg,
+    _fused_leg,
+    _reranked_leg,
+    deal_to_queries,
+    hypothetical_rows,
+)
 
-# A document is relevant to a query that shares its vector label and ideal if it
-# is labelled as good besides; ideal documents are listed as relevant, too.
+# Every document with a vector label is judged for one query of that label: it
+# is relevant, and ideal if it is labelled as good besides.
 _GAINS_SQL = """
-gains AS (SELECT q.qid, c.source_doc_id AS doc, CAST(CASE WHEN c.quality = 1 THEN 2 ELSE 1 END AS INTEGER) AS gain
-  FROM q JOIN c ON c.label = q.label)
+gains AS (SELECT qn.qid, c.source_doc_id AS doc, CAST(CASE WHEN c.quality = 1 THEN 2 ELSE 1 END AS INTEGER) AS gain
+  FROM qn JOIN c ON c.label = qn.label AND c.grant_id % qn.n = qn.i)
 """
 
 
-def _gold(spark, sf_dir):
-    """(qid, doc, ideal) pairs of the gold set."""
-    q = search_queries(spark, sf_dir).select("qid", "label")
+def gold_gains(spark, sf_dir):
+    """Gains from (qid, doc) rows; no list per query is ever built."""
     docs = documents_corpus(spark, sf_dir).filter(F.col("label").isNotNull())
-    return q.join(docs.select("label", F.col("source_doc_id").alias("doc"), "quality"), "label")
-
-
-def gold_set(spark, sf_dir):
-    pairs = _gold(spark, sf_dir)
-    good = F.when(F.col("quality") == 1, F.col("doc"))
-    return pairs.groupBy("qid").agg(F.collect_list(good).alias("ideal"), F.collect_list("doc").alias("relevant"))
+    dealt = deal_to_queries(docs, search_queries(spark, sf_dir), "grant_id").withColumn("doc", F.col("source_doc_id"))
+    return V.gains_of(dealt.filter(F.col("quality") == 1).select("qid", "doc"), dealt.select("qid", "doc"))
 
 
-@query("eval_gains", f"{HYBRID_SQL}, {_GAINS_SQL} SELECT * FROM gains")
+@query("eval_gains", f"{BASE_SQL}, {NUMBERED_SQL}, {_GAINS_SQL} SELECT * FROM gains")
 def eval_gains(spark, sf_dir):
-    return V.graded_gains(gold_set(spark, sf_dir))
+    return gold_gains(spark, sf_dir)
 
 
-_SWEEP_SQL = f"""{HYBRID_SQL}, {_GAINS_SQL}, {_HYPO_SQL}, {_dense_leg('hdense', 'hq')}, {_fused_leg('hfused', 'hdense')}, {_reranked_leg('hreranked', 'hfused')},
+_SWEEP_SQL = f"""{HYBRID_SQL}, {_HYPO_SQL}, {_GAINS_SQL}, {_dense_leg('hdense', 'hq')}, {_fused_leg('hfused', 'hdense')}, {_reranked_leg('hreranked', 'hfused')},
 hits AS (
   SELECT 'dense' AS config, qid, grant_id, rank FROM dense WHERE rank < 10
   UNION ALL SELECT 'hybrid', qid, grant_id, fused_rank FROM fused WHERE fused_rank < 10
@@ -74,7 +78,7 @@ def _requests(spark, sf_dir):
 
 def _metrics(spark, sf_dir):
     ranked = V.ranked_docs(_hits(spark, sf_dir), documents_corpus(spark, sf_dir))
-    return V.query_metrics(ranked, V.graded_gains(gold_set(spark, sf_dir)), _requests(spark, sf_dir))
+    return V.query_metrics(ranked, gold_gains(spark, sf_dir), _requests(spark, sf_dir))
 
 
 _METRICS = ("precision_5", "recall_10", "ndcg_10", "mrr_lenient", "mrr_strict")

@@ -12,7 +12,6 @@ from subventa.operators import telemetry as T
 from subventa.operators.bounds import spread_small
 from subventa.operators.order import top_per_key
 from subventa.plans.registry import query, table
-from subventa.schema import SCORER
 
 # --- labels ----------------------------------------------------------------------
 
@@ -212,7 +211,7 @@ def reply_parse(spark, sf_dir):
         .otherwise(record)
     )
     rows = spread_small(table(spark, sf_dir, "orders")).select("o_orderkey", reply.alias("reply"))
-    parsed = G.parse_replies(rows, SCORER).select(
+    parsed = G.parse_stage_replies(rows, "scorer").select(
         "o_orderkey", "failed", F.explode_outer("parsed.scores").alias("s")
     )
     flat = parsed.select("o_orderkey", "failed", "s.grant_id", "s.eligibility_score", "s.fit_label")

@@ -11,6 +11,7 @@ from subventa.operators import cache as K
 from subventa.operators import retrieve as R
 from subventa.operators.dense import approximate_top_k, dense_top_k
 from subventa.operators.fusion import reciprocal_rank_fusion
+from subventa.operators.order import blocked_rank, top_per_key
 from subventa.operators.sparse import sparse_top_k
 from subventa.plans.corpora import DOCUMENTS_SQL, QUERIES_SQL, documents_corpus, search_queries
 from subventa.plans.registry import query, table
@@ -166,12 +167,13 @@ def sparse_filtered(spark, sf_dir):
 
 # --- fusion ----------------------------------------------------------------------
 
-# Two rankings of the customers' orders: by date and by price; one list repeats ids.
+# Two rankings of the customers' orders, by date and by price, with the candidates
+# a leg hands on; one list repeats ids.
 _RANKINGS_SQL = """
-a AS (SELECT o_custkey AS qid, o_orderkey AS grant_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) - 1 AS rank
-  FROM orders WHERE o_orderstatus <> 'P'),
-b AS (SELECT o_custkey AS qid, o_orderkey AS grant_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) - 1 AS rank
-  FROM orders WHERE o_orderstatus <> 'F')
+a AS (SELECT * FROM (SELECT o_custkey AS qid, o_orderkey AS grant_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) - 1 AS rank
+  FROM orders WHERE o_orderstatus <> 'P') WHERE rank < 50),
+b AS (SELECT * FROM (SELECT o_custkey AS qid, o_orderkey AS grant_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) - 1 AS rank
+  FROM orders WHERE o_orderstatus <> 'F') WHERE rank < 50)
 """
 
 
@@ -188,10 +190,8 @@ def rank_fusion(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").withColumnsRenamed({"o_custkey": "qid", "o_orderkey": "grant_id"})
 
     def ranked(df, column):
-        from pyspark.sql import Window
-
-        w = Window.partitionBy("qid").orderBy(F.desc(column), F.col("grant_id"))
-        return df.select("qid", "grant_id", (F.row_number().over(w) - 1).alias("rank"))
+        best = top_per_key(df, ["qid"], [F.desc(column), F.col("grant_id")], R.DENSE_CANDIDATES)
+        return best.select("qid", "grant_id", "rank")
 
     by_date = ranked(orders.filter(F.col("o_orderstatus") != "P"), "o_orderdate")
     by_price = ranked(orders.filter(F.col("o_orderstatus") != "F"), "o_totalprice")
@@ -301,10 +301,13 @@ def vector_mean_pool(spark, sf_dir):
     )
 
 
-# Hypothetical vectors of a query: the other vectors of its label, in id order;
-# queries of label 0 have none and fall back to their own vector.
-_HYPO_SQL = """
-hy AS (SELECT q.qid, e.vec_id AS pos, e.embedding FROM q JOIN embeddings e ON e.label = q.label AND e.vec_id <> q.qid WHERE q.label > 0),
+# Every vector is dealt to one query of its label as a hypothetical, in id order;
+# queries of label 0 get none and fall back to their own vector.
+NUMBERED_SQL = """
+qn AS (SELECT qid, label, row_number() OVER (PARTITION BY label ORDER BY qid) - 1 AS i, count(*) OVER (PARTITION BY label) AS n FROM q)
+"""
+_HYPO_SQL = f"""{NUMBERED_SQL},
+hy AS (SELECT qn.qid, e.vec_id AS pos, e.embedding FROM qn JOIN embeddings e ON e.label = qn.label AND e.vec_id % qn.n = qn.i AND e.vec_id <> qn.qid WHERE qn.label > 0),
 hx AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY pos) AS rn FROM hy) WHERE rn <= 3),
 hm AS (SELECT qid, dim, avg(x) AS x FROM (SELECT qid, unnest(range(0, len(embedding))) AS dim, CAST(unnest(embedding) AS DOUBLE) AS x FROM hx) GROUP BY qid, dim),
 hp AS (SELECT qid, list(x ORDER BY dim) AS pooled FROM hm GROUP BY qid),
@@ -312,11 +315,18 @@ hq AS (SELECT q.qid, coalesce(hp.pooled, CAST(q.embedding AS DOUBLE[])) AS embed
 """
 
 
+def deal_to_queries(rows, queries, id_col):
+    """Each row goes to one query of its label, so the result is as long as `rows`."""
+    sizes = queries.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
+    numbered = blocked_rank(queries.select("qid", "label"), ["label"], [F.col("qid")], F.floor(F.col("qid") / 1000), "_i")
+    turn = F.pmod(F.col(id_col), F.col("_n"))
+    return rows.join(sizes, "label").withColumn("_i", turn).join(numbered, ["label", "_i"]).drop("_n", "_i")
+
+
 def hypothetical_rows(spark, sf_dir):
-    q = search_queries(spark, sf_dir).filter(F.col("label") > 0).select("qid", "label")
-    e = table(spark, sf_dir, "embeddings")
-    pairs = q.join(e, "label").filter(F.col("vec_id") != F.col("qid"))
-    return pairs.select("qid", F.col("vec_id").alias("pos"), "embedding")
+    q = search_queries(spark, sf_dir)
+    dealt = deal_to_queries(table(spark, sf_dir, "embeddings").filter(F.col("label") > 0), q, "vec_id")
+    return dealt.filter(F.col("vec_id") != F.col("qid")).select("qid", F.col("vec_id").alias("pos"), "embedding")
 
 
 @query(

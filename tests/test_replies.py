@@ -6,7 +6,7 @@ from subventa.operators import enrich as N
 from subventa.operators import grounding as G
 from subventa.operators import prompts as P
 from subventa.operators import telemetry as T
-from subventa.schema import CORPUS, CRITIC, ELIGIBILITY
+from subventa.schema import CORPUS, ELIGIBILITY
 
 
 def test_parse_and_grounding(spark):
@@ -15,7 +15,7 @@ def test_parse_and_grounding(spark):
             '{"type":"other","severity":"x","grant_id":null,"message":"general"},{"type":"other","severity":"x","grant_id":"gX","message":"invented"}]}\n```'),
         (2, "no json"),
     ]
-    parsed = G.parse_replies(spark.createDataFrame(rows, "request_id int, reply string"), CRITIC)
+    parsed = G.parse_stage_replies(spark.createDataFrame(rows, "request_id int, reply string"), "critic")
     assert {r["request_id"]: r["failed"] for r in parsed.collect()} == {1: False, 2: True}
     findings = parsed.select("request_id", F.explode("parsed.findings").alias("f")).select("request_id", "f.*")
     cands = spark.createDataFrame([(1, "g1"), (2, "gX")], "request_id int, grant_id string")
@@ -27,6 +27,20 @@ def test_parse_and_grounding(spark):
     assert [r["r"] for r in retry.select(G.should_retry(F.col("p"), F.col("n")).alias("r")).collect()] == [True, False, False, False]
 
 
+def test_stage_limits(spark):
+    def failed(stage, *records):
+        rows = [(i, json.dumps(r)) for i, r in enumerate(records)]
+        got = G.parse_stage_replies(spark.createDataFrame(rows, "i int, reply string"), stage)
+        return [r["failed"] for r in got.orderBy("i").collect()]
+
+    assert failed("planner", {"rewritten_query": "q"}, {"rewritten_query": ""}, {"rewritten_query": "q", "facts": {"sector": "x"}}, {}) == [False, True, True, True]
+    assert failed("scorer", {}, {"scores": [{"grant_id": "g", "strengths": ["a"] * 6}]}, {"scores": [{"fit_label": "high"}]}) == [False, True, True]
+    finding = {"type": "other", "severity": "?", "message": "m"}
+    assert failed("critic", {"overall_pass": True}, {"findings": []}, {"overall_pass": False, "findings": [finding] * 11}, {"overall_pass": False, "findings": [finding | {"type": "x"}]}) == [False, True, True, True]
+    rec = {"grant_id": "g", "grant_title": "t", "portal": "kfw", "source_url": "u", "fit": "high", "rationale": "r"}
+    assert failed("writer", {"summary": "s", "recommendations": [rec]}, {"summary": "s", "recommendations": [rec | {"fit": "High"}]}, {"summary": "s" * 601}) == [False, True, True]
+
+
 def test_enrichment(spark):
     good = {"sector": "deeptech", "secondary_sectors": ["hardware"], "federal_state": "Bayern", "target_groups": ["a", "b"],
             "eligibility_criteria": ["c"], "funding_phases": ["seed"], "funding_form": "stipend", "application_notes": "n"}
