@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,12 @@ def at_most(df: DataFrame, limit: int) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+def collect_within(df: DataFrame, limit: int) -> pd.DataFrame | None:
+    """The rows if there are at most `limit`, else None; never fetches more than that."""
+    rows = df.limit(limit + 1).toPandas()
+    return rows if len(rows) <= limit else None
+
+
 def broadcast_within(df: DataFrame, limit: int) -> DataFrame:
     """Broadcast hint behind a row check, the frame itself beyond it."""
     return F.broadcast(df) if at_most(df, limit) else df

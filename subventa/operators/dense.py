@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from subventa.operators.bounds import at_most, spread_small
+from subventa.operators.bounds import collect_within, spread_small
 from subventa.operators.order import top_per_key
 from subventa.operators.running_top import RunningTop
 
@@ -92,8 +92,9 @@ def dense_top_k(
     Either way a task hands at most k rows per query to the shuffle.
     """
     q, rows, schema = _sides(queries, corpus)
-    if at_most(q, max_block_queries):
-        partial = _scan(q, rows, schema, max_block_queries, lambda block: _Best(block, k))
+    block = collect_within(q, max_block_queries)
+    if block is not None:
+        partial = _scan(block, rows, schema, lambda b: _Best(b, k))
     else:
         partial = _grid(q, rows, k, schema, max_block_queries, cell_rows)
     return top_per_key(partial, ["qid"], [F.desc("similarity"), F.col("grant_id")], k)
@@ -116,10 +117,10 @@ def _sides(queries: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame,
 
 
 def _scan(
-    q: DataFrame, rows: DataFrame, schema: T.StructType, max_block_queries: int, start: Callable[[pd.DataFrame], _Best]
+    queries: pd.DataFrame, rows: DataFrame, schema: T.StructType, start: Callable[[pd.DataFrame], _Best]
 ) -> DataFrame:
-    """One pass over the corpus; the caller has checked that the queries fit one block."""
-    block = q.sparkSession.sparkContext.broadcast(q.limit(max_block_queries).toPandas())
+    """One pass over the corpus for one bounded block of queries."""
+    block = rows.sparkSession.sparkContext.broadcast(queries)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if block.value.empty:
@@ -210,8 +211,9 @@ def approximate_top_k(
     takes over where the queries exceed one block.
     """
     q, rows, schema = _sides(queries, corpus)
-    if not at_most(q, max_block_queries):
+    block = collect_within(q, max_block_queries)
+    if block is None:
         return dense_top_k(queries, corpus, k, max_block_queries)
     floor = 1 - max_distance * max_distance / 2
-    near = _scan(q, rows, schema, max_block_queries, lambda block: _Near(block, k, bucket_length, tables, floor, seed))
+    near = _scan(block, rows, schema, lambda b: _Near(b, k, bucket_length, tables, floor, seed))
     return top_per_key(near, ["qid"], [F.desc("similarity"), F.col("grant_id")], k)

@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from subventa.functions.text import let
 from subventa.functions.trigram import trigrams
-from subventa.operators.bounds import spread_small
+from subventa.operators.bounds import collect_within, spread_small
 from subventa.operators.dense import filter_groups
 from subventa.operators.order import top_per_key
 from subventa.operators.running_top import RunningTop
@@ -56,13 +56,12 @@ def sparse_top_k(
     """
     grams = query_grams(queries)
     filters = [c for c in ("portal", "country") if c in grams.columns]
-    n_grams, smallest, largest = grams.agg(F.count(F.lit(1)), F.min("q_size"), F.max("q_size")).first()
-    low, high = (smallest or 1) * threshold - _SLACK, (largest or 0) / threshold + _SLACK
     live = corpus.filter(F.col("deleted_at").isNull()).select("grant_id", "title", "summary", *filters)
-    if n_grams <= max_broadcast_grams:
-        partial = _scan_with_index(grams, live, filters, k, threshold, low, high)
+    block = collect_within(grams, max_broadcast_grams)
+    if block is not None:
+        partial = _scan_with_index(block, grams, live, filters, k, threshold)
     else:
-        partial = _join_by_gram(grams, live, filters, threshold, low, high)
+        partial = _join_by_gram(grams, live, filters, threshold)
     return top_per_key(partial, ["qid"], [F.desc("score"), F.col("grant_id")], k)
 
 
@@ -100,10 +99,16 @@ class _GramIndex:
         return shared / (size[:, None] + self.sizes[None, :] - shared)
 
 
+def _size_range(smallest: int | None, largest: int | None, threshold: float) -> tuple[float, float]:
+    return (smallest or 1) * threshold - _SLACK, (largest or 0) / threshold + _SLACK
+
+
 def _scan_with_index(
-    grams: DataFrame, live: DataFrame, filters: list[str], k: int, threshold: float, low: float, high: float
+    rows: pd.DataFrame, grams: DataFrame, live: DataFrame, filters: list[str], k: int, threshold: float
 ) -> DataFrame:
-    block = grams.sparkSession.sparkContext.broadcast(grams.toPandas())  # size checked by the caller
+    block = grams.sparkSession.sparkContext.broadcast(rows)
+    sizes = rows["q_size"]
+    low, high = _size_range(None, None, threshold) if rows.empty else _size_range(int(sizes.min()), int(sizes.max()), threshold)
 
     def sized(text: str) -> Column:
         # a field of unsuitable size cannot qualify: no grams travel for it
@@ -112,7 +117,7 @@ def _scan_with_index(
 
         return let(trigrams(F.col(text)), keep).alias(text)
 
-    rows = spread_small(live).select("grant_id", *filters, sized("title"), sized("summary"))
+    fields = spread_small(live).select("grant_id", *filters, sized("title"), sized("summary"))
     schema = T.StructType(
         [
             T.StructField("qid", grams.schema["qid"].dataType),
@@ -144,12 +149,11 @@ def _scan_with_index(
         for frame in top.frames("score"):
             yield pa.RecordBatch.from_pandas(frame, schema=arrow_schema, preserve_index=False)
 
-    return rows.mapInArrow(scan, schema)
+    return fields.mapInArrow(scan, schema)
 
 
-def _join_by_gram(
-    grams: DataFrame, live: DataFrame, filters: list[str], threshold: float, low: float, high: float
-) -> DataFrame:
+def _join_by_gram(grams: DataFrame, live: DataFrame, filters: list[str], threshold: float) -> DataFrame:
+    low, high = _size_range(*grams.agg(F.min("q_size"), F.max("q_size")).first(), threshold)
     both = F.array(trigrams(F.col("title")), trigrams(F.col("summary")))
     fields = (
         live.select("grant_id", *filters, F.posexplode(both).alias("field", "_g"))
