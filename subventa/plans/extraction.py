@@ -308,7 +308,8 @@ _RULE_SQL = "(VALUES " + ", ".join(
     for r in RULES
 ) + ") AS r(portal, country, federal_state, id_suffix, numeric_parent, min_summary, title_first, placeholder)"
 
-_ENTITIES_SQL = "replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+# HTML reads an ampersand entity without its semicolon, too.
+_ENTITIES_SQL = "regexp_replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g')"
 
 
 def _plain_sql(expr: str) -> str:
