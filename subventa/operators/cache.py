@@ -103,11 +103,11 @@ def lookup(
     return queries.filter(F.col("embedding").isNotNull()).select("qid", "embedding", *scope).mapInPandas(match, schema)
 
 
-def rehydrate(entries: DataFrame, corpus: DataFrame, columns: list[str]) -> DataFrame:
+def rehydrate(entries: DataFrame, corpus: DataFrame, columns: list[str], small: bool = False) -> DataFrame:
     """Stored hits joined to current rows; vanished rows are skipped.
 
-    `entries`: key, hits array<struct<grant_id, final_score, ...>>. There are at
-    most a cache's worth of entries, each with one result page of hits.
+    `entries`: key, hits array<struct<grant_id, final_score, ...>>. Say `small`
+    for a cache's worth of entries, each with one result page of hits.
     """
     exploded = entries.select("key", F.posexplode("hits").alias("position", "h")).select("key", "position", "h.*")
-    return fetch_live(exploded, corpus, columns, small=False)
+    return fetch_live(exploded, corpus, columns, small)

@@ -98,12 +98,15 @@ def query_metrics(
     )
 
 
-def ranked_docs(hits: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Hits renamed to document ids; live rows with one only, ranks closed up."""
+def ranked_docs(hits: DataFrame, corpus: DataFrame, small: bool = False) -> DataFrame:
+    """Hits renamed to document ids; live rows with one only, ranks closed up.
+
+    Say `small` where the query count bounds the hits to what may be broadcast.
+    """
     ids = corpus.filter(F.col("deleted_at").isNull() & F.col("source_doc_id").isNotNull()).select(
         "grant_id", F.col("source_doc_id").alias("doc")
     )
-    named = hits.join(ids, "grant_id")
+    named = ids.join(F.broadcast(hits) if small else hits, "grant_id")
     order = Window.partitionBy("config", "qid").orderBy("rank")
     return named.select("config", "qid", "doc", (F.row_number().over(order) - 1).alias("rank"))
 

@@ -32,13 +32,18 @@ ScoreFn = Callable[[pd.Series, pd.Series], pd.Series]
 
 @dataclass(frozen=True)
 class Retrieval:
-    """Ranked hits and the candidate frames they came from."""
+    """Ranked hits and the candidate frames they came from.
+
+    `small` tells that the query count bounds any per-query candidate list to
+    what may be broadcast.
+    """
 
     hits: DataFrame
     dense: DataFrame
     sparse: DataFrame | None
     fused: DataFrame | None
     reranked: DataFrame | None
+    small: bool
 
 
 def contains_scorer(queries: pd.Series, passages: pd.Series) -> pd.Series:
@@ -146,9 +151,10 @@ def retrieve(
         raise ValueError(f"unknown mode {mode!r}")
     if mode == HYBRID_RERANK and score_fn is None:
         raise ValueError("hybrid_rerank needs a score function")
+    small = at_most(queries, MAX_BROADCAST_HITS // RERANK_INPUT)
     if mode == DENSE:
         found = dense_top_k(queries, corpus, limit) if dense is None else dense.filter(F.col("rank") < limit)
-        return Retrieval(_hit_columns(found.withColumn("dense_rank", F.col("rank"))), found, None, None, None)
+        return Retrieval(_hit_columns(found.withColumn("dense_rank", F.col("rank"))), found, None, None, None, small)
     if dense is None:
         dense = dense_top_k(queries, corpus, DENSE_CANDIDATES)
     if sparse is None:
@@ -156,12 +162,10 @@ def retrieve(
     fused = reciprocal_rank_fusion(dense, sparse)
     if mode == HYBRID:
         hits = _hit_columns(fused.filter(F.col("fused_rank") < limit).withColumn("rank", F.col("fused_rank")))
-        return Retrieval(hits, dense, sparse, fused, None)
-    # a query has at most RERANK_INPUT hits here, so counting queries bounds them
-    small = at_most(queries, MAX_BROADCAST_HITS // RERANK_INPUT)
+        return Retrieval(hits, dense, sparse, fused, None, small)
     scored = rerank(fused, queries, corpus, score_fn, small)
     best = top_per_key(scored, ["qid"], [F.desc("rerank_score"), F.col("fused_rank")], limit)
-    return Retrieval(_hit_columns(best), dense, sparse, fused, scored)
+    return Retrieval(_hit_columns(best), dense, sparse, fused, scored, small)
 
 
 def stage_counts(result: Retrieval, queries: DataFrame) -> DataFrame:
@@ -189,9 +193,12 @@ def stage_counts(result: Retrieval, queries: DataFrame) -> DataFrame:
     return out
 
 
-def assemble(hits: DataFrame, corpus: DataFrame, columns: list[str], max_hits: int | None = None) -> DataFrame:
-    """Final result rows in rank order columns; rows gone since are dropped."""
-    small = max_hits is not None and max_hits <= MAX_BROADCAST_HITS
+def assemble(hits: DataFrame, corpus: DataFrame, columns: list[str], small: bool = False) -> DataFrame:
+    """Final result rows with their ranks; rows gone since are dropped.
+
+    Pass Retrieval.small so that a bounded hit list is broadcast and the corpus
+    is only scanned.
+    """
     return fetch_live(hits, corpus, columns, small)
 
 
@@ -221,7 +228,7 @@ def iso_utc(ts: Column) -> Column:
     return F.concat(base, F.when(micros == "000000", F.lit("")).otherwise(F.concat(F.lit("."), micros)), F.lit("+00:00"))
 
 
-def flatten_candidates(hits: DataFrame, corpus: DataFrame, max_hits: int | None = None) -> DataFrame:
+def flatten_candidates(hits: DataFrame, corpus: DataFrame, small: bool = False) -> DataFrame:
     """One flat row per kept hit, ready for prompts."""
     top = hits.filter(F.col("rank") < CANDIDATE_LIMIT)
     have = [
@@ -232,7 +239,7 @@ def flatten_candidates(hits: DataFrame, corpus: DataFrame, max_hits: int | None
         )
         if c in corpus.columns
     ]
-    rows = assemble(top, corpus, have, max_hits)
+    rows = assemble(top, corpus, have, small)
     changes = {}
     if "body" in have:
         changes["body_excerpt"] = body_excerpt(F.col("body"))

@@ -236,14 +236,17 @@ def _store(spark, sf_dir):
     return M.run_model(M.task_rows(known).dropDuplicates(["key"]), M.hashed_trigram_embedder())
 
 
-@query("embedding_backfill")
+@query(
+    "embedding_backfill",
+    "SELECT doc_id, 'RETRIEVAL_DOCUMENT:' || sha256(text) AS key, CAST(64 AS INTEGER) AS dims FROM documents",
+)
 def embedding_backfill(spark, sf_dir):
     """Vectors for all documents; labelled ones come from the store."""
     filled, _ = M.backfill(table(spark, sf_dir, "documents").select("doc_id", "text"), _store(spark, sf_dir), M.hashed_trigram_embedder())
     return filled.select("doc_id", "key", F.size("embedding").alias("dims"))
 
 
-@query("embedding_refresh_totals")
+@query("embedding_refresh_totals", "SELECT count(*) AS embedded, CAST(0 AS BIGINT) AS failed FROM documents JOIN labels USING (doc_id)")
 def embedding_refresh(spark, sf_dir):
     return M.embed_totals(M.re_embed(stored_corpus(spark, sf_dir), M.hashed_trigram_embedder()))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from subventa.operators import evaluate as V
 from subventa.operators import retrieve as R
+from subventa.operators.bounds import MAX_BROADCAST_HITS, at_most
 from subventa.plans.corpora import documents_corpus, search_queries
 from subventa.plans.registry import query, table
 from subventa.plans.search import (
@@ -61,6 +62,12 @@ metrics AS (SELECT asked.config, asked.ord, asked.qid, coalesce(h5 / 5, 0) AS pr
 """
 
 
+def _named(spark, sf_dir):
+    per_query = V.FETCHED * len(V.CONFIGS)
+    small = at_most(search_queries(spark, sf_dir), MAX_BROADCAST_HITS // per_query)
+    return V.ranked_docs(_hits(spark, sf_dir), documents_corpus(spark, sf_dir), small)
+
+
 def _hits(spark, sf_dir):
     return V.sweep(
         search_queries(spark, sf_dir), documents_corpus(spark, sf_dir), hypothetical_rows(spark, sf_dir), R.contains_scorer
@@ -77,8 +84,7 @@ def _requests(spark, sf_dir):
 
 
 def _metrics(spark, sf_dir):
-    ranked = V.ranked_docs(_hits(spark, sf_dir), documents_corpus(spark, sf_dir))
-    return V.query_metrics(ranked, gold_gains(spark, sf_dir), _requests(spark, sf_dir))
+    return V.query_metrics(_named(spark, sf_dir), gold_gains(spark, sf_dir), _requests(spark, sf_dir))
 
 
 _METRICS = ("precision_5", "recall_10", "ndcg_10", "mrr_lenient", "mrr_strict")
@@ -95,7 +101,7 @@ def eval_sweep(spark, sf_dir):
 
 @query("eval_ranked_docs", f"{_SWEEP_SQL} SELECT config, qid, doc, CAST(rank AS INTEGER) AS rank FROM ranked")
 def eval_ranked_docs(spark, sf_dir):
-    return V.ranked_docs(_hits(spark, sf_dir), documents_corpus(spark, sf_dir))
+    return _named(spark, sf_dir)
 
 
 @query(

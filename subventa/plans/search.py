@@ -251,8 +251,9 @@ def stage_counts(spark, sf_dir):
     FROM fused f JOIN c USING (grant_id) WHERE fused_rank < 10 AND c.deleted_at IS NULL""",
 )
 def assembled(spark, sf_dir):
-    hits = _retrieved(spark, sf_dir, R.HYBRID).hits.select("qid", "grant_id", "rank", F.round("final_score", 9).alias("final_score"))
-    rows = R.assemble(hits, documents_corpus(spark, sf_dir), ["title", "portal", "source_doc_id"])
+    found = _retrieved(spark, sf_dir, R.HYBRID)
+    hits = found.hits.select("qid", "grant_id", "rank", F.round("final_score", 9).alias("final_score"))
+    rows = R.assemble(hits, documents_corpus(spark, sf_dir), ["title", "portal", "source_doc_id"], found.small)
     return rows.select("qid", "grant_id", "rank", "final_score", "title", "portal", "source_doc_id")
 
 
@@ -264,8 +265,8 @@ def assembled(spark, sf_dir):
     FROM dense d JOIN c USING (grant_id) WHERE d.rank < 8""",
 )
 def candidates(spark, sf_dir):
-    hits = _retrieved(spark, sf_dir, R.DENSE).hits
-    flat = R.flatten_candidates(hits, documents_corpus(spark, sf_dir))
+    found = _retrieved(spark, sf_dir, R.DENSE)
+    flat = R.flatten_candidates(found.hits, documents_corpus(spark, sf_dir), found.small)
     return flat.select("qid", "grant_id", "rank", "title", "portal", "summary", "body_excerpt")
 
 
@@ -451,10 +452,11 @@ def cache_eligibility(spark, sf_dir):
 def cache_rehydrate(spark, sf_dir):
     """Hits stored per query, then joined to a corpus that has lost its long documents."""
     corpus = documents_corpus(spark, sf_dir)
-    hits = _retrieved(spark, sf_dir, R.DENSE).hits
+    found = _retrieved(spark, sf_dir, R.DENSE)
+    hits = found.hits
     page = F.sort_array(F.collect_list(F.struct("rank", "grant_id", F.round("final_score", 6).alias("final_score"))))
     entries = hits.groupBy(F.concat(F.lit("q"), F.col("qid").cast("string")).alias("key")).agg(page.alias("hits"))
-    rows = K.rehydrate(entries, corpus.filter(F.col("n_chars") < 5000), ["title"])
+    rows = K.rehydrate(entries, corpus.filter(F.col("n_chars") < 5000), ["title"], found.small)
     return rows.select("key", F.col("position").cast("int").alias("position"), "grant_id", "final_score", "title")
 
 
