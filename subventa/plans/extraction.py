@@ -12,7 +12,7 @@ from subventa.operators.portals import RULES
 from subventa.operators.scan import first_deadline, portal_amounts
 from subventa.plans.registry import query, table
 
-# White space as the reference patterns see it, for an engine with ASCII classes.
+# The same white space for an engine whose classes are ASCII.
 _WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
