@@ -1,6 +1,11 @@
 """Operators for training-data pipelines; nothing else in the library imports them."""
 
 from subventa.llm import (  # noqa: F401
+    q_chat,
+    q_embeddings,
+    q_minhash,
+    q_packing,
     q_quality,
+    q_warc,
 )
 from subventa.llm.registry import ORACLES, QUERIES  # noqa: F401
