@@ -24,7 +24,7 @@ m AS (
     (length(body) - length(regexp_replace(body, '[#*$%&|<>]+', '', 'g')))::BIGINT AS n_symbols,
     (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
     coalesce(c.n, 0)::BIGINT AS n_repeat_words,
-    length(regexp_replace(body, '\P{L}+', '', 'g')) AS letters,
+    length(regexp_replace(body, '[\p{L}\x20\x09-\x0D]+', '', 'g')) AS others,
     length(regexp_replace(body, '\P{Lu}+', '', 'g')) AS shouts,
     length(body) - length(replace(body, '!', '')) AS bangs
   FROM w LEFT JOIN c USING (doc_id)),
@@ -32,8 +32,8 @@ b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed
     OR 100 * n_symbols > 6 * word_chars
-    OR 100 * letters < 60 * word_chars
-    OR 100 * shouts > 50 * letters
+    OR 100 * others > 40 * word_chars
+    OR 100 * shouts > 50 * (word_chars - others)
     OR 100 * bangs > 25 * n_words
     OR word_chars > 20 * n_words OR word_chars < 2 * n_words
     OR 100 * n_dup_lines > 60 * len(ls)) AS kept
@@ -43,7 +43,7 @@ FROM b
 
 @query("op9_quality_rules", SQL)
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judged(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )

@@ -25,12 +25,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from subventa.llm.store import free_name
+
 SPACES = " \t\n\x0b\f\r"
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
 
 # Rows of the sample that costs and selectivities come from.
-SAMPLE_ROWS = 1024
+SAMPLE_ROWS = 256
+
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 
 @dataclass(frozen=True)
@@ -75,7 +79,7 @@ def covered(ordered: Column) -> Column:
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words."""
+    """`docs` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_lines (lines with a word)."""
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(body, "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     staged = docs.withColumns({"_body": body, "_words": words_of(body), "_lines": lines})
@@ -87,6 +91,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_symbols": (F.length("_body") - F.length(without(F.col("_body"), SYMBOLS))).cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_repeat_words": covered(F.col("_ordered")),
+            "n_lines": F.size("_lines").cast("long"),
         }
     ).drop("_body", "_words", "_lines", "_ordered")
 
@@ -95,30 +100,38 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < 50) | (100 * n_repeat_words > 50 * n_words)
 
 
-def rules(text: str = "text") -> list[Rule]:
-    """The rules beyond the base check. Each reads the text alone, so the cascade decides what is computed."""
+def rules(text: str = "text", known: dict[str, Column] | None = None) -> list[Rule]:
+    """The rules beyond the base check; measures that are `known` already are not computed again."""
+    known = known or {}
     body = F.coalesce(F.col(text), F.lit(""))
-    size = F.length(body)
-    chars = F.length(without(body, SPACES))
-    letters = F.length(F.regexp_replace(body, "\\P{L}+", ""))
-    shouts = F.length(F.regexp_replace(body, "\\P{Lu}+", ""))
-    symbols = size - F.length(without(body, SYMBOLS))
-    bangs = size - F.length(without(body, "!"))
     lines = F.filter(F.split(body, "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    words = F.size(F.split(F.btrim(body, F.lit(SPACES)), SPACE_RUN))
+    chars = known.get("word_chars", F.length(without(body, SPACES)))
+    symbols = known.get("n_symbols", F.length(body) - F.length(without(body, SYMBOLS)))
+    words = known.get("n_words", F.size(words_of(body)))
+    same = known.get("n_dup_lines", F.size(lines) - F.size(F.array_distinct(lines)))
+    n_lines = known.get("n_lines", F.size(lines))
+    others = F.regexp_count(body, F.lit("[^\\p{L}\\x20\\x09-\\x0D]"))
+    shouts = F.regexp_count(body, F.lit("\\p{Lu}"))
+    bangs = F.length(body) - F.length(without(body, "!"))
     return [
         Rule("symbols", 100 * symbols > 6 * chars),
-        Rule("few_letters", 100 * letters < 60 * chars),
-        Rule("shouting", 100 * shouts > 50 * letters),
+        Rule("few_letters", 100 * others > 40 * chars),
+        Rule("shouting", 100 * shouts > 50 * (chars - others)),
         Rule("exclamation", 100 * bangs > 25 * words),
         Rule("word_length", (chars > 20 * words) | (chars < 2 * words)),
-        Rule("same_lines", 100 * (F.size(lines) - F.size(F.array_distinct(lines))) > 60 * F.size(lines)),
+        Rule("same_lines", 100 * same > 60 * n_lines),
     ]
 
 
-def ordered_rules(docs: DataFrame, candidates: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, int, float]]:
+def base_rules(text: str = "text") -> list[Rule]:
+    """The base check as two rules of the cascade."""
+    words = words_of(F.coalesce(F.col(text), F.lit("")))
+    return [Rule("few_words", F.size(words) < 50)]
+
+
+def ordered_rules(sample: DataFrame, candidates: list[Rule]) -> list[tuple[Rule, int, float]]:
     """Rules with rejected sample rows and seconds, most rejections per second first; ties keep the given order."""
-    sample = docs.limit(sample_rows).persist()
+    sample = sample.persist()
     try:
         sample.count()
         found = []
@@ -140,8 +153,27 @@ def cascade(order: list[Rule]) -> Column:
 
 
 def judged(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """`docs` with the measures, base_failed, rejected_by and kept."""
-    order = [rule for rule, _, _ in ordered_rules(docs.select(text), rules(text), sample_rows)]
+    """`docs` with the measures, base_failed, rejected_by and kept.
+
+    All measures are wanted here, so rules read them where they can and the
+    cascade spares only what a rule computes beyond them.
+    """
+    known = {n: F.col(n) for n in MEASURES}
+    order = [rule for rule, _, _ in ordered_rules(measured(docs.select(text).limit(sample_rows), text), rules(text, known))]
     out = measured(docs, text).withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
     first = F.when(F.col("base_failed"), "base").otherwise(cascade(order))
     return out.withColumn("rejected_by", first).withColumn("kept", F.col("rejected_by").isNull())
+
+
+def passing(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of `docs` that every rule lets pass, the base check included; columns as they are.
+
+    Here a text pays for no rule behind the one that rejects it. The windows of
+    the base check come last, for texts that nothing else rejects.
+    """
+    order = ordered_rules(docs.select(text).limit(sample_rows), base_rules(text) + rules(text))
+    found, words, ordered = (free_name(docs, n) for n in ("_rule", "_words", "_ordered"))
+    body = F.coalesce(F.col(text), F.lit(""))
+    left = docs.withColumn(found, cascade([rule for rule, _, _ in order])).filter(F.col(found).isNull())
+    left = left.withColumn(words, words_of(body)).withColumn(ordered, repeated_words(F.col(words)))
+    return left.filter(~base_failed(F.size(words), covered(F.col(ordered)))).select(docs.columns)
