@@ -7,10 +7,12 @@ own, the rest (shorter than the window) is packed with others:
    window whatever the table's size. Combinations of two or three lengths that
    fill a window are enumerated.
 2. Non-negative least squares finds repeat counts of the combinations against
-   the histogram, by coordinate descent on the steepest coordinate, which keeps
+   the histogram, by coordinate descent on the steepest coordinates, which keeps
    most counts at zero. It stops when no step moves half a repeat.
 3. Counts are rounded down; what is left is packed greedily, the largest length
-   first and then the largest that fits.
+   first and then the largest that fits. Rests that would leave more than `SLACK`
+   places free are laid end to end instead and cut where a sequence is full, so
+   that only the last sequence is padded.
 
 Rows meet the plan by their rank among the rows of equal length. Ranks come from
 blocks of bounded size, so a length that many documents share is spread.
@@ -37,8 +39,10 @@ WINDOW = 1024
 END = 0
 # Rows ranked together.
 RANKED = 50_000
-# Free places a combination of two may leave.
-SLACK = 8
+# Free places a sequence of uncut rests may leave.
+SLACK = 4
+# Coordinates that may step at once; they share no length, so none disturbs another.
+TOGETHER = 512
 
 
 def combinations(counts: np.ndarray, window: int = WINDOW, slack: int = SLACK) -> np.ndarray:
@@ -62,35 +66,27 @@ def combinations(counts: np.ndarray, window: int = WINDOW, slack: int = SLACK) -
 
 def repeat_counts(combos: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """x >= 0 with small |A x - counts|, A holding how often a combination uses a length."""
-    n = len(combos)
-    x = np.zeros(n)
-    if n == 0:
-        return x
-    left = counts.astype(float).copy()
+    x = np.zeros(len(combos))
+    left = counts.astype(float)
     left[0] = 0.0
-    weight = np.zeros(n)
-    uses = []
-    for row in combos:
-        lengths, times = np.unique(row[row > 0], return_counts=True)
-        uses.append((lengths, times))
-    for j, (_, times) in enumerate(uses):
-        weight[j] = float((times**2).sum())
-    slope = left[combos].sum(axis=1)
-    # Combinations by length, to renew the slopes a step touches.
-    flat = combos.ravel()
-    order = np.argsort(flat, kind="stable")
-    begin = np.searchsorted(flat[order], np.arange(len(counts) + 1))
-    owner = order // combos.shape[1]
-    while True:
-        step = np.maximum(slope / weight, -x)
-        j = int(np.argmax(np.abs(step) * np.sqrt(weight)))
-        if abs(step[j]) < 0.5:
-            return x
-        x[j] += step[j]
-        for length, times in zip(*uses[j]):
-            moved = times * step[j]
-            left[length] -= moved
-            np.subtract.at(slope, owner[begin[length] : begin[length + 1]], moved)
+    uses = (combos[:, :, None] == combos[:, None, :]) & (combos[:, :, None] > 0)
+    weight = uses.sum(axis=(1, 2)).astype(float)  # squared column norms
+    while len(x):
+        step = np.maximum(left[combos].sum(axis=1) / weight, -x)
+        gain = step * step * weight
+        best = np.argsort(-gain, kind="stable")[:TOGETHER] if len(gain) <= TOGETHER else np.argpartition(-gain, TOGETHER)[:TOGETHER]
+        best = best[np.abs(step[best]) >= 0.5]
+        if not len(best):
+            break
+        taken = np.zeros(len(counts), bool)
+        for j in best[np.argsort(-gain[best], kind="stable")]:
+            lengths = combos[j][combos[j] > 0]
+            if taken[lengths].any():
+                continue
+            taken[lengths] = True
+            x[j] += step[j]
+            np.subtract.at(left, lengths, step[j])
+    return x
 
 
 def greedy(counts: np.ndarray, window: int) -> list[tuple[tuple[int, ...], int]]:
@@ -119,11 +115,14 @@ def greedy(counts: np.ndarray, window: int) -> list[tuple[tuple[int, ...], int]]
         out.append((tuple(pattern), repeats))
 
 
-def plan(counts: np.ndarray, window: int = WINDOW) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns with repeats that hold every rest exactly once. `counts[l]` rests have length l."""
+def plan(counts: np.ndarray, window: int = WINDOW, slack: int = SLACK) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
+    """Patterns with repeats, and the rests to lay end to end; together they hold every rest once.
+
+    `counts[l]` rests have length l.
+    """
     counts = counts.astype(np.int64).copy()
     counts[0] = 0
-    combos = combinations(counts, window)
+    combos = combinations(counts, window, slack)
     x = np.floor(repeat_counts(combos, counts) + 1e-9).astype(np.int64)
     out = []
     for j in sorted(np.flatnonzero(x), key=lambda j: (-x[j], j)):
@@ -132,25 +131,41 @@ def plan(counts: np.ndarray, window: int = WINDOW) -> list[tuple[tuple[int, ...]
         if repeats:
             counts[lengths] -= repeats * times
             out.append((tuple(int(v) for v in sorted(combos[j][combos[j] > 0], reverse=True)), repeats))
-    return out + greedy(counts, window)
-
-
-def segments(patterns: list[tuple[tuple[int, ...], int]], window: int = WINDOW) -> tuple[dict[str, np.ndarray], int]:
-    """Where the ranks of every length go, as arrays sorted by (length, first rank); and the number of sequences."""
+    stream = np.zeros(window, np.int64)
+    for lengths, repeats in greedy(counts, window):
+        if window - sum(lengths) <= slack:
+            out.append((lengths, repeats))
+        else:
+            np.add.at(stream, list(lengths), repeats)
+    return out, stream
+
+
+def segments(patterns: list[tuple[tuple[int, ...], int]], stream: np.ndarray, window: int = WINDOW) -> tuple[dict[str, np.ndarray], int]:
+    """Where the ranks of every length go, as arrays sorted by (length, first rank); and the number of sequences.
+
+    `step` is 0 for a pattern: rank r lies in sequence + r - rank at the offset.
+    In the stream it is the length: the rest begins offset + (r - rank) * step
+    places behind the start of the sequence.
+    """
     taken = np.zeros(window, np.int64)
     rows = []
     sequence = 0
     for lengths, repeats in patterns:
         offset = 0
         for length in lengths:
-            rows.append((length, taken[length], sequence, offset))
+            rows.append((length, taken[length], sequence, offset, 0))
             taken[length] += repeats
             offset += length
         sequence += repeats
+    at = 0
+    for length in range(window - 1, 0, -1):
+        if stream[length]:
+            rows.append((length, taken[length], sequence, at, length))
+            at += length * int(stream[length])
     rows.sort()
-    names = ("length", "rank", "sequence", "offset")
-    table = np.array(rows, np.int64).reshape(-1, 4)
-    return {k: table[:, i].copy() for i, k in enumerate(names)}, sequence
+    names = ("length", "rank", "sequence", "offset", "step")
+    table = np.array(rows, np.int64).reshape(-1, 5)
+    return {k: table[:, i].copy() for i, k in enumerate(names)}, sequence + -(-at // window)
 
 
 def _token_batches(ranks_path: str, json_path: str, window: int):
@@ -179,26 +194,28 @@ def _token_batches(ranks_path: str, json_path: str, window: int):
                 return np.array(slow[0].encode(text, add_special_tokens=False).ids, np.uint32)
 
         for batch in batches:
-            sizes, checks = [], []
+            sizes, checks, rests = [], [], []
             for text in batch.column(1):
                 ids = np.append(encode(text.as_py() or ""), np.uint32(END)).astype("<u4")
                 sizes.append(len(ids))
                 checks.append([zlib.crc32(ids[i : i + window].tobytes()) for i in range(0, len(ids), window)])
+                rests.append(ids[len(ids) - len(ids) % window :].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(checks, pa.list_(pa.int64()))], names=["doc_id", "doc_tokens", "checks"]
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(checks, pa.list_(pa.int64())), pa.array(rests, pa.binary())],
+                names=["doc_id", "doc_tokens", "checks", "rest_ids"],
             )
 
     return run
 
 
 def tokenized(docs: DataFrame, window: int = WINDOW, ranks: str | None = None, vocabulary: str | None = None) -> DataFrame:
-    """doc_id, doc_tokens and the CRC-32 of every piece. The rank file holds the vocabulary's merges as ranks."""
+    """doc_id, doc_tokens, the CRC-32 of every piece and the ids of the rest. The rank file holds the vocabulary's merges as ranks."""
     import public_tokenizers
 
     ranks = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
     vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        _token_batches(ranks, vocabulary, window), "doc_id long, doc_tokens long, checks array<long>"
+        _token_batches(ranks, vocabulary, window), "doc_id long, doc_tokens long, checks array<long>, rest_ids binary"
     )
 
 
@@ -211,26 +228,38 @@ def _piece_batches(places: dict[str, np.ndarray], rest_sequences: int, window: i
             col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             tokens, rank, full_before = (col[n].to_numpy(zero_copy_only=False) for n in ("doc_tokens", "rank", "full_before"))
             full, rest = tokens // window, tokens % window
-            pieces = full + (rest > 0)
-            row = np.repeat(np.arange(len(tokens)), pieces)
-            k = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            is_rest = k == full[row]
-            at = np.searchsorted(keys, rest[row] * big + rank[row], "right") - 1
-            at = np.where(is_rest, at, 0)
+            at = np.searchsorted(keys, rest * big + rank, "right") - 1
             if len(keys):
-                sequence = places["sequence"][at] + rank[row] - places["rank"][at]
-                offset = places["offset"][at]
+                sequence, step = places["sequence"][at], places["step"][at]
+                nth = rank - places["rank"][at]
+                begin = places["offset"][at] + nth * step
+                sequence = np.where(step > 0, sequence + begin // window, sequence + nth)
+                offset = np.where(step > 0, begin % window, places["offset"][at])
             else:
-                sequence = offset = np.zeros(len(row), np.int64)
+                sequence = offset = step = np.zeros(len(tokens), np.int64)
+            head = np.minimum(rest, window - offset)
+            pieces = full + (rest > 0) + (head < rest)
+            row = np.repeat(np.arange(len(tokens)), pieces)
+            k = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            part = k - full[row]  # 0 and 1: first and second piece of the rest
+            start = np.where(part == 1, full[row] * window + head[row], k * window)
+            length = np.where(part < 0, window, np.where(part == 0, head[row], rest[row] - head[row]))
+            checks = col["checks"].flatten().to_numpy()
+            listed = full + (rest > 0)
+            crc = checks[np.minimum(k, listed[row] - 1) + (np.cumsum(listed) - listed)[row]]
+            for i in np.flatnonzero(head < rest):
+                ids = col["rest_ids"][int(i)].as_py()
+                first = np.searchsorted(row, i) + full[i]
+                crc[first], crc[first + 1] = zlib.crc32(ids[: 4 * head[i]]), zlib.crc32(ids[4 * head[i] :])
             yield pa.RecordBatch.from_arrays(
                 [
                     col["doc_id"].take(pa.array(row)),
-                    pa.array(k * window),
-                    pa.array(np.where(is_rest, rest[row], window)),
-                    col["checks"].flatten(),
+                    pa.array(start),
+                    pa.array(length),
+                    pa.array(crc),
                     pa.array(tokens[row]),
-                    pa.array(np.where(is_rest, sequence, rest_sequences + full_before[row] + k)),
-                    pa.array(np.where(is_rest, offset, 0)),
+                    pa.array(np.where(part < 0, rest_sequences + full_before[row] + k, sequence[row] + part)),
+                    pa.array(np.where(part == 0, offset[row], 0)),
                 ],
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
             )
@@ -248,10 +277,13 @@ def packed(docs: DataFrame, window: int = WINDOW, ranks: str | None = None, voca
     counts, full = np.zeros(window, np.int64), np.zeros(window, np.int64)
     for r in lengths:
         counts[r["rest"]], full[r["rest"]] = r["n"], r["full"]
-    places, sequences = segments(plan(counts, window), window)
+    patterns, stream = plan(counts, window)
+    places, sequences = segments(patterns, stream, window)
     before = np.cumsum(full) - full
 
     of_length = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("rest").cast("int") + 1)
+    # Ids travel only with lengths that the stream may cut.
+    rows = rows.withColumn("rest_ids", F.when(of_length(stream) > 0, F.col("rest_ids")))
     blocked = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "doc_tokens", "checks"), of_length(counts // RANKED + 1)))
     sums = blocked.groupBy("rest", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("full").alias("f"))
     earlier = Window.partitionBy("rest").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -266,6 +298,7 @@ def packed(docs: DataFrame, window: int = WINDOW, ranks: str | None = None, voca
             "doc_id",
             "doc_tokens",
             "checks",
+            "rest_ids",
             (F.col("n0") + F.col("i") - 1).alias("rank"),
             (of_length(before) + F.col("f0") + F.col("f") - F.col("full")).alias("full_before"),
         )
