@@ -6,6 +6,7 @@ from subventa.llm import (  # noqa: F401
     q_minhash,
     q_packing,
     q_quality,
+    q_secrets,
     q_templates,
     q_warc,
 )
