@@ -9,8 +9,9 @@
    is precise where similarity is high; a pair far below the threshold goes.
 4. The rest is confirmed on full sets. Classes of confirmed pairs are joined.
 5. Classes that share a bucket but not yet a group are compared with each other
-   in blocks by their sketches, and what passes is confirmed the same way. So no
-   pair of a group is written that the group does not need.
+   in blocks by size and sketch. Rows that find a partner meet again with their
+   full sets, and links that join two groups are written. Pairs that only a test
+   sees are never rows.
 
 Chances to lose a link, at the threshold similarity: BANDS bands of ROWS values
 all differ with (1 - 0.85**6)**40 = 6e-9; the sketch limit lies six standard
@@ -40,7 +41,7 @@ from subventa.llm.store import materialise
 BANDS, ROWS = 40, 6
 SKETCH_WORDS = 16  # 64 bits each
 # Rows of one side when members of a bucket are compared with each other.
-BLOCK = 1024
+BLOCK = 512
 
 _SEED = 0x5EED5EED
 
@@ -180,34 +181,107 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
 
 
-def _block_pairs(limit: int):
-    """Sketch comparison of two blocks of a bucket; a pair is told by its first common band only."""
+def _sides(rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    return rows[rows["side"] == 0].reset_index(drop=True), rows[rows["side"] == 1].reset_index(drop=True)
+
+
+def _stacked(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(np.int64)
+
+
+class _Near:
+    """Which rows of the right block a row of the left block may be linked with, by size and sketch.
+
+    A pair belongs to its first common band only, and to the order of its ids.
+    """
+
+    def __init__(self, left: pd.DataFrame, right: pd.DataFrame, band: int, limit: int, percent: int):
+        self.band, self.limit, self.percent = band, limit, percent
+        self.ls, self.rs = _stacked(left["sketch"]).view(np.uint64), _stacked(right["sketch"]).view(np.uint64)
+        self.lb, self.rb = _stacked(left["bands"]), _stacked(right["bands"])
+        self.ln, self.rn = left["node"].to_numpy(), right["node"].to_numpy()
+        self.lz, self.rz = left["n_shingles"].to_numpy(), right["n_shingles"].to_numpy()
+
+    def of(self, i: int, right_components: np.ndarray, component: int) -> np.ndarray:
+        at = np.flatnonzero((right_components != component) & (self.rn > self.ln[i]))
+        low, high = np.minimum(self.rz[at], self.lz[i]), np.maximum(self.rz[at], self.lz[i])
+        at = at[100 * low >= self.percent * high]
+        if len(at):
+            at = at[np.bitwise_count(self.rs[at] ^ self.ls[i]).sum(axis=1) <= self.limit]
+        if len(at) and self.band:
+            at = at[~(self.rb[at, : self.band] == self.lb[i, : self.band]).any(axis=1)]
+        return at
+
+
+def _crossing(limit: int, percent: int):
+    """Rows of a bucket with a partner of another group that size and sketch let pass: rows, not pairs."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        band = int(rows["band"].iloc[0])
-        left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
-        if left.empty or right.empty:
-            return none
-        stack = lambda c: np.stack(c.to_numpy()).astype(np.int64)
-        ls, rs = stack(left["sketch"]).view(np.uint64), stack(right["sketch"]).view(np.uint64)
-        lb, rb = stack(left["bands"]), stack(right["bands"])
-        ln, rn = left["node"].to_numpy(), right["node"].to_numpy()
-        lc, rc = left["component"].to_numpy(), right["component"].to_numpy()
-        found = []
-        for i in range(len(ln)):
-            at = np.flatnonzero((rc != lc[i]) & (rn > ln[i]))
-            if not len(at):
-                continue
-            distance = np.bitwise_count(rs[at] ^ ls[i]).sum(axis=1)
-            at = at[distance <= limit]
-            at = at[~(rb[at, :band] == lb[i, :band]).any(axis=1)] if band else at
-            found.append(pd.DataFrame({"a": np.full(len(at), ln[i]), "b": rn[at]}))
-        return pd.concat(found) if found else none
+        left, right = _sides(rows)
+        hit: set[int] = set()
+        if len(left) and len(right):
+            near = _Near(left, right, int(rows["band"].iloc[0]), limit, percent)
+            components = right["component"].to_numpy()
+            for i, component in enumerate(left["component"].to_numpy()):
+                at = near.of(i, components, component)
+                if len(at):
+                    hit.add(int(near.ln[i]))
+                    hit.update(near.rn[at].tolist())
+        out = pd.DataFrame({"node": pd.Series(sorted(hit), dtype="int64")})
+        return out.assign(band=rows["band"].iloc[0], key=rows["key"].iloc[0])[["band", "key", "node"]]
 
     return run
 
 
+def _linking(limit: int, percent: int):
+    """Links between groups in a bucket, confirmed on full sets; one that joins nothing new is not written."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        left, right = _sides(rows)
+        found: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            near = _Near(left, right, int(rows["band"].iloc[0]), limit, percent)
+            lc, rc = left["component"].to_numpy().copy(), right["component"].to_numpy().copy()
+            sets = [np.asarray(v, np.int64) for v in right["members"]]
+            sizes = np.array([len(v) for v in sets])
+            owner = np.repeat(np.arange(len(sets)), sizes)
+            values = np.concatenate(sets)
+            order = np.argsort(values, kind="stable")
+            values, owner = values[order], owner[order]
+            for i in range(len(left)):
+                at = near.of(i, rc, lc[i])
+                if not len(at):
+                    continue
+                own = np.asarray(left["members"][i], np.int64)
+                lo, hi = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+                times = hi - lo
+                places = np.repeat(lo - (np.cumsum(times) - times), times) + np.arange(times.sum())
+                common = np.bincount(owner[places], minlength=len(sets))[at]
+                for j in at[100 * common >= percent * (len(own) + sizes[at] - common)]:
+                    a, b = lc[i], rc[j]
+                    if a != b:
+                        found.append((int(near.ln[i]), int(near.rn[j])))
+                        lc[lc == max(a, b)] = min(a, b)
+                        rc[rc == max(a, b)] = min(a, b)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _in_blocks(members: DataFrame, carried: list[str]) -> DataFrame:
+    """Every pair of blocks of a bucket as a group: a row stands on the left of each pair once and on the right once."""
+    sizes = members.groupBy("band", "key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed = members.join(sizes, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    spots = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda o: F.array(
+            F.struct(F.col("block").alias("i"), o.alias("j"), F.lit(0).alias("side")),
+            F.struct(o.alias("i"), F.col("block").alias("j"), F.lit(1).alias("side")),
+        ),
+    )
+    return placed.withColumn("spot", F.explode(F.flatten(spots))).select("band", "key", "spot.i", "spot.j", "spot.side", *carried).groupBy("band", "key", "i", "j")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -246,15 +320,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3, bands: i
     grouped = members.join(groups, members["node"] == groups["id"], "left").select(
         "band", "key", "node", F.coalesce("component", "node").alias("component")
     )
-    split = grouped.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi")
-    mixed = grouped.join(split.select("band", "key", "n"), ["band", "key"]).join(classes.select("node", "sketch", "bands"), "node")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    mixed = mixed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    spots = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.array(F.struct(F.col("block").alias("i"), o.alias("j"), F.lit(0).alias("side")), F.struct(o.alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"))))
-    sided = mixed.withColumn("spot", F.explode(F.flatten(spots))).select("band", "key", "spot.i", "spot.j", "spot.side", "node", "component", "sketch", "bands")
-    crossed = sided.groupBy("band", "key", "i", "j").applyInPandas(_block_pairs(limit), "a long, b long")
-    more = _confirmed(materialise(crossed.distinct(), "crossed"), sets, percent)
-    links = linked.union(materialise(more, "linked"))
+    split = grouped.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+    details = classes.select("node", "n_shingles", "sketch", "bands")
+    mixed = grouped.join(split.select("band", "key"), ["band", "key"]).join(details, "node")
+    carried = ["node", "component", "n_shingles", "sketch", "bands"]
+    crossing = materialise(
+        _in_blocks(mixed, carried).applyInPandas(_crossing(limit, percent), "band int, key long, node long").distinct(), "crossing"
+    )
+    full = crossing.join(grouped, ["band", "key", "node"]).join(details, "node").join(sets, "node")
+    more = _in_blocks(full, [*carried, "members"]).applyInPandas(_linking(limit, percent), "a long, b long")
+    links = linked.union(materialise(more.distinct(), "linked"))
     final = components(links)
 
     labelled = classes.join(final, classes["node"] == final["id"], "left").select(
