@@ -13,9 +13,9 @@
    full sets, and links that join two groups are written. Pairs that only a test
    sees are never rows.
 
-Chances to lose a link, at the threshold similarity: BANDS bands of ROWS values
-all differ with (1 - 0.85**6)**40 = 6e-9; the sketch limit lies six standard
-deviations above the samples expected to differ.
+Chances to lose a link at the threshold similarity: no band is shared with at most
+`MISS`; the sketch limit lies six standard deviations above the samples expected
+to differ.
 
 Defined cases: a text without words (null and empty ones too) has an empty set,
 no links, its own component and is kept; a text with fewer words than a shingle
@@ -36,9 +36,10 @@ from pyspark.sql import functions as F
 
 from subventa.llm import utf8
 from subventa.llm.graph import components
-from subventa.llm.store import materialise
+from subventa.llm.store import free_name, materialise
 
-BANDS, ROWS = 40, 6
+# Chance that a pair at the threshold shares no band.
+MISS = 1e-8
 SKETCH_WORDS = 16  # 64 bits each
 # Rows of one side when members of a bucket are compared with each other.
 BLOCK = 512
@@ -50,6 +51,12 @@ def _multipliers(n: int) -> np.ndarray:
     return np.random.default_rng(_SEED).integers(0, 1 << 32, n, dtype=np.uint32) | np.uint32(1)
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and values per band: a pair at the threshold shares none with a chance of at most MISS."""
+    rows = 6 if percent >= 75 else 4 if percent >= 60 else 2
+    return max(1, int(np.ceil(np.log(MISS) / np.log(1 - (percent / 100) ** rows)))) if percent < 100 else 1, rows
+
+
 def sketch_limit(samples: int, percent: int) -> int:
     """XOR bits a pair at the threshold stays below, but for six standard deviations."""
     differ = 1 - percent / 100
@@ -144,7 +151,7 @@ def _signature_batches(bands: int, rows: int, width: int):
     return run
 
 
-def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = 3) -> DataFrame:
+def signatures(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
     """Per row: doc_id, set size, 128-bit set fingerprint, band keys and odd sketch."""
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         _signature_batches(bands, rows, width),
@@ -282,11 +289,12 @@ def _in_blocks(members: DataFrame, carried: list[str]) -> DataFrame:
     return placed.withColumn("spot", F.explode(F.flatten(spots))).select("band", "key", "spot.i", "spot.j", "spot.side", *carried).groupBy("band", "key", "i", "j")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Two texts are linked when 100 * common shingles >= percent * all shingles.
     """
+    bands, rows = banding(percent)
     sig = materialise(signatures(docs, bands, rows, width), "signatures")
     limit = sketch_limit(bands * rows, percent)
 
@@ -338,3 +346,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3, bands: i
     out = sig.select("doc_id", "n_shingles", "fa", "fb").join(labelled, ["fa", "fb", "n_shingles"], "left")
     own = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
+    """`docs` with one row per near-duplicate group, that of the smallest doc_id; columns as they are.
+
+    A row without doc_id stands under a negative hash of its text. Of rows that
+    repeat both doc_id and text one stays.
+    """
+    key = free_name(docs, "_key")
+    own = F.coalesce(F.col("doc_id").cast("long"), -F.abs(F.xxhash64(F.coalesce("text", F.lit("")))))
+    keyed = docs.withColumn(key, own)
+    kept = near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), percent, width).filter("kept").select(F.col("doc_id").alias(key))
+    counted = materialise(kept.groupBy(key).agg(F.count(F.lit(1)).alias("n")), "kept")
+    left = keyed.join(counted.select(key), key, "left_semi")
+    if counted.filter("n > 1").take(1):
+        left = left.dropDuplicates([key, "text"])
+    return left.select(docs.columns)

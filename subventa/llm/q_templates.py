@@ -46,4 +46,4 @@ FROM documents LEFT JOIN c ON c.row = text
 
 @query("op1_line_dedup", SQL)
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return without_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return without_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=("n_lines", "n_dropped"))

@@ -13,13 +13,14 @@ form feed and carriage return. The rules and their order:
 The order changes the time and the name of the first rule met, never the verdict.
 
 A null text counts as an empty one; it has no words and is rejected. Repeated
-rows are judged one by one. Extra columns stay as they are; `rejected_by` and
-`kept` must not be among them.
+rows are judged one by one. Extra columns stay as they are, but `judged` replaces
+those that have the name of a measure or verdict; `passing` adds and replaces none.
 """
 
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -53,23 +54,19 @@ def without(text: Column, characters: str) -> Column:
     return F.translate(text, characters, "")
 
 
-def repeated_words(words: Column) -> Column:
-    """Words inside a 3-word window that the text holds twice or more.
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with `value` computed once even if the optimiser moves or merges projections."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    Windows are sorted with their places, so equal ones are neighbours; `words`
-    must be a stored column, not an expression.
-    """
-    n = F.size(words)
-    windows = F.slice(
-        F.transform(words, lambda w, i: F.struct(F.concat_ws(" ", w, F.get(words, i + 1), F.get(words, i + 2)).alias("t"), i.alias("i"))),
-        F.lit(1),
-        F.greatest(n - 2, F.lit(0)),
-    )
-    return F.sort_array(windows)
+
+def _windows(words: Column) -> Column:
+    """3-word windows with their places, sorted, so that equal ones are neighbours."""
+    windows = F.transform(words, lambda w, i: F.struct(F.concat_ws(" ", w, F.get(words, i + 1), F.get(words, i + 2)).alias("t"), i.alias("i")))
+    return F.sort_array(F.slice(windows, F.lit(1), F.greatest(F.size(words) - 2, F.lit(0))))
 
 
-def covered(ordered: Column) -> Column:
-    """Word places that repeated windows cover, from the sorted windows (a stored column)."""
+def _covered(ordered: Column) -> Column:
+    """Word places that repeated windows cover."""
     hits = F.filter(
         ordered,
         lambda x, j: (x["t"] == F.get(ordered, j - 1)["t"]) | (x["t"] == F.get(ordered, j + 1)["t"]),
@@ -78,22 +75,28 @@ def covered(ordered: Column) -> Column:
     return F.size(F.array_distinct(places)).cast("long")
 
 
+def repeated_words(words: Column) -> Column:
+    """Words inside a 3-word window that the text holds twice or more."""
+    return let(words, lambda w: let(_windows(w), _covered))
+
+
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_lines (lines with a word)."""
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(body, "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    staged = docs.withColumns({"_body": body, "_words": words_of(body), "_lines": lines})
-    staged = staged.withColumns({"_ordered": repeated_words(F.col("_words"))})
+    own = [free_name(docs, n) for n in ("_body", "_words", "_lines")]
+    b, w, ls = own
+    staged = docs.withColumns({b: body, w: words_of(body), ls: lines})
     return staged.withColumns(
         {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(without(F.col("_body"), SPACES)).cast("long"),
-            "n_symbols": (F.length("_body") - F.length(without(F.col("_body"), SYMBOLS))).cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": covered(F.col("_ordered")),
-            "n_lines": F.size("_lines").cast("long"),
+            "n_words": F.size(w).cast("long"),
+            "word_chars": F.length(without(F.col(b), SPACES)).cast("long"),
+            "n_symbols": (F.length(b) - F.length(without(F.col(b), SYMBOLS))).cast("long"),
+            "n_dup_lines": (F.size(ls) - F.size(F.array_distinct(ls))).cast("long"),
+            "n_repeat_words": repeated_words(F.col(w)),
+            "n_lines": F.size(ls).cast("long"),
         }
-    ).drop("_body", "_words", "_lines", "_ordered")
+    ).drop(*own)
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
@@ -172,8 +175,7 @@ def passing(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS)
     the base check come last, for texts that nothing else rejects.
     """
     order = ordered_rules(docs.select(text).limit(sample_rows), base_rules(text) + rules(text))
-    found, words, ordered = (free_name(docs, n) for n in ("_rule", "_words", "_ordered"))
     body = F.coalesce(F.col(text), F.lit(""))
-    left = docs.withColumn(found, cascade([rule for rule, _, _ in order])).filter(F.col(found).isNull())
-    left = left.withColumn(words, words_of(body)).withColumn(ordered, repeated_words(F.col(words)))
-    return left.filter(~base_failed(F.size(words), covered(F.col(ordered)))).select(docs.columns)
+    left = docs.filter(cascade([rule for rule, _, _ in order]).isNull())
+    words = words_of(body)
+    return left.filter(let(words, lambda w: ~base_failed(F.size(w), repeated_words(w))))

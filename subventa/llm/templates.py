@@ -116,18 +116,16 @@ def recurring_places(docs: DataFrame, text: str = "text", depth: int = DEPTH, mi
     return hits.union(more).groupBy("row").agg(F.collect_set("place").alias("places"))
 
 
-def without_recurring(docs: DataFrame, text: str = "text", **settings: int) -> DataFrame:
-    """`docs` with recurring lines dropped from `text`, and n_lines and n_dropped per row."""
+def without_recurring(docs: DataFrame, text: str = "text", counts: tuple[str, str] | None = None, **settings: int) -> DataFrame:
+    """`docs` with recurring lines dropped from `text`; `counts` names columns for lines and dropped lines."""
     found = materialise(recurring_places(docs, text, **settings), "places")
     row, places, lines = (free_name(docs, n) for n in ("_row", "_places", "_lines"))
     found = found.select(F.col("row").alias(row), F.col("places").alias(places))
     out = docs.withColumn(row, F.xxhash64(F.col(text))).join(_within(found, _BROADCAST_KEYS // 16), row, "left").withColumn(lines, F.split(text, "\n", -1))
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(places))
     left = F.array_join(F.transform(stay, lambda i: F.get(F.col(lines), i)), "\n")
-    return out.withColumns(
-        {
-            text: F.when(F.col(places).isNull(), F.col(text)).otherwise(left),
-            "n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"),
-            "n_dropped": F.coalesce(F.size(places), F.lit(0)).cast("long"),
-        }
-    ).drop(row, places, lines)
+    changed = {text: F.when(F.col(places).isNull(), F.col(text)).otherwise(left)}
+    if counts:
+        changed[counts[0]] = F.coalesce(F.size(lines), F.lit(0)).cast("long")
+        changed[counts[1]] = F.coalesce(F.size(places), F.lit(0)).cast("long")
+    return out.withColumns(changed).drop(row, places, lines)

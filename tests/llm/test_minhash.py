@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from subventa.llm.minhash import near_duplicates
+from subventa.llm.minhash import near_duplicates, one_of_each
 
 SF = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string"
@@ -51,7 +51,7 @@ def got(df):
 def test_documents_equal_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
-    assert got(near_duplicates(docs)) == brute(rows)
+    assert got(near_duplicates(docs, 85, 3)) == brute(rows)
 
 
 def test_chains_of_edits_equal_brute_force(spark):
@@ -66,20 +66,20 @@ def test_chains_of_edits_equal_brute_force(spark):
             rows.append((n, " ".join(words)))
             n += 1
     rng.shuffle(rows)
-    assert got(near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(5))) == brute(rows)
+    assert got(near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(5), 85, 3)) == brute(rows)
 
 
 def test_odd_rows(spark):
     long = " ".join(f"v{i}" for i in range(30000))
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, "One"), (5, "one"), (6, "one two"), (7, "ONE\x0bTWO"), (8, "Été é"), (9, "été é"),
             (10, long), (11, long + " tail"), (12, "a b c a b c a b c"), (12, "a b c a b c a b c")]
-    assert got(near_duplicates(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
+    assert got(near_duplicates(spark.createDataFrame(rows, SCHEMA), 85, 3)) == brute(rows)
 
 
 def test_null_ids_extra_columns_and_empty_table(spark):
     df = spark.createDataFrame([(None, "a b c d"), (5, "a b c d"), (None, "q r s t")], SCHEMA)
     df = df.selectExpr("*", "1 as node", "2 as Bands", "3 as component")
-    out = {(r.doc_id, r.component_id, r.kept) for r in near_duplicates(df).collect()}
+    out = {(r.doc_id, r.component_id, r.kept) for r in near_duplicates(df, 85, 3).collect()}
     assert out == {(None, 5, False), (5, 5, True), (None, None, True)}
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
@@ -94,4 +94,12 @@ def test_other_thresholds(spark, percent):
         for _ in range(rng.randrange(8)):
             words[rng.randrange(80)] = f"y{rng.randrange(10**6)}"
         rows.append((n, " ".join(words)))
-    assert got(near_duplicates(spark.createDataFrame(rows, SCHEMA), percent=percent)) == brute(rows, percent)
+    assert got(near_duplicates(spark.createDataFrame(rows, SCHEMA), percent=percent, width=3)) == brute(rows, percent)
+
+
+def test_one_of_each_keeps_columns_and_rows(spark):
+    same = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, same), (1, same + " x"), (2, "other words here at all"), (2, "other words here at all"), (None, "no id at all"), (None, same), (4, None), (5, "")]
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "7 as kept", "8 as _key")
+    out = sorted(((r.doc_id, r.text, r.kept, r["_key"]) for r in one_of_each(df).collect()), key=repr)
+    assert out == sorted([(None, same, 7, 8), (2, "other words here at all", 7, 8), (None, "no id at all", 7, 8), (4, None, 7, 8), (5, "", 7, 8)], key=repr)
