@@ -209,7 +209,7 @@ class WarcReader(DataSourceReader):
         if listed:
             return [_Split(f"{root}/{f['name']}", a, b) for f in listed for a, b in zip(f["splits"], [*f["splits"][1:], f["bytes"]])]
         if store.get_file_info(f"{root}/manifest.json").type != pafs.FileType.NotFound:
-            return []
+            return [_Split("", 0, 0)]
         found = store.get_file_info(pafs.FileSelector(root, recursive=True))
         return [_Split(f.path, 0, f.size) for f in found if f.is_file and f.path.endswith((".warc.gz", ".warc"))]
 
@@ -229,6 +229,8 @@ class WarcReader(DataSourceReader):
         return True
 
     def read(self, partition: _Split) -> Iterator[pa.RecordBatch]:
+        if partition.start == partition.end:
+            return
         store, _ = _open(self.path)
         rows: dict[str, list] = {f.name: [] for f in _ARROW}
         held = 0
