@@ -112,7 +112,8 @@ def paths(branches: DataFrame, rounds: list[DataFrame]) -> DataFrame:
     found = branches.select("tree_id", "leaf", F.col("leaf").alias("node_id"))
     for table in reversed(rounds):
         above = found.join(table, _KEY).select("tree_id", "leaf", F.col("up").alias("node_id"))
-        found = found.union(above)
+        # Written per round, or the plan would double with every round.
+        found = materialise(found.union(above), "path")
     return found
 
 
