@@ -3,6 +3,7 @@
 from subventa.llm import (  # noqa: F401
     q_chat,
     q_embeddings,
+    q_maintext,
     q_minhash,
     q_packing,
     q_quality,
