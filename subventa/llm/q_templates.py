@@ -16,14 +16,14 @@ t AS (
       '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[\x20\x09-\x0D]+') AS tokens
   FROM l),
 n AS (
-  SELECT row, place, tokens, len(tokens) AS n, array_to_string(tokens, ' ') AS template, len(tokens)::VARCHAR || ' ' || array_to_string(tokens[1:3], ' ') AS leaf,
+  SELECT row, place, tokens, len(tokens) AS n, array_to_string(tokens, ' ') AS template, len(tokens)::VARCHAR || ' ' || array_to_string(tokens[1:4], ' ') AS leaf,
     min(md5(array_to_string(tokens, ' '))) OVER (PARTITION BY row) AS kin
   FROM t WHERE len(tokens) >= 2),
 whole AS (
   SELECT template FROM n GROUP BY template
   HAVING count(DISTINCT kin) >= 3 AND 2 * count(DISTINCT kin) >= count(DISTINCT row)),
 o AS (SELECT * FROM n WHERE template NOT IN (SELECT template FROM whole)),
-big AS (SELECT leaf FROM o GROUP BY leaf HAVING count(*) >= 3),
+big AS (SELECT leaf FROM o GROUP BY leaf HAVING count(DISTINCT kin) >= 3),
 s AS (SELECT row, place, kin, leaf, n, unnest(range(n)) AS i, unnest(tokens) AS token FROM o WHERE leaf IN (SELECT leaf FROM big)),
 fixed AS (SELECT leaf, i, token FROM s GROUP BY ALL HAVING count(DISTINCT kin) >= 3),
 g AS (

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from subventa.llm.store import free_name, materialise
 
-DEPTH = 3
+DEPTH = 4
 MIN_DOCS = 3
 MIN_TOKENS = 2
 SIMILAR = 70
@@ -41,14 +41,20 @@ FIELD = "<*>"
 
 _SPACES = " \t\n\x0b\f\r"
 _SPACE_RUN = "[\\x20\\x09-\\x0D]+"
-_FIELD = "[^\\x20\\x09-\\x0D]*[0-9][^\\x20\\x09-\\x0D]*"
+_FIELD = "[^ 0-9]*+[0-9][^ ]*+"
 # Keys that a broadcast may hold (16 bytes each).
 _BROADCAST_KEYS = 1_000_000
 
 
-def tokens(line: Column) -> Column:
-    """Tokens with digits generalised; an empty line has one empty token."""
-    return F.split(F.regexp_replace(F.btrim(line, F.lit(_SPACES)), _FIELD, FIELD), _SPACE_RUN)
+def generalised(line: Column) -> Column:
+    """Tokens joined by single spaces, those with a digit as fields. Lines that need no change skip the patterns."""
+    trimmed = F.btrim(line, F.lit(_SPACES))
+    spaced = F.when(F.rlike(trimmed, F.lit("[\\x09-\\x0D]|  ")), F.regexp_replace(trimmed, _SPACE_RUN, " ")).otherwise(trimmed)
+    return F.when(F.rlike(spaced, F.lit("[0-9]")), F.regexp_replace(spaced, _FIELD, FIELD)).otherwise(spaced)
+
+
+def token_count(general: Column) -> Column:
+    return F.length(general) - F.length(F.translate(general, " ", "")) + 1
 
 
 def _within(df: DataFrame, limit: int) -> DataFrame:
@@ -59,21 +65,20 @@ def _within(df: DataFrame, limit: int) -> DataFrame:
 def _line_table(docs: DataFrame, text: str, depth: int, min_tokens: int) -> DataFrame:
     """row (hash of the text), kin, and per line: place, leaf, template. Texts are told apart by their own hash."""
     staged = docs.select(text).filter(F.col(text).isNotNull()).select(
-        F.xxhash64(text).alias("row"), F.transform(F.split(text, "\n", -1), tokens).alias("lines")
-    )
-    parsed = F.transform(
-        "lines",
-        lambda t: F.struct(
-            F.size(t).alias("n"),
-            F.xxhash64(F.size(t), F.slice(t, 1, depth)).alias("leaf"),
-            F.when((F.size(t) >= min_tokens), F.md5(F.concat_ws(" ", t).cast("binary"))).alias("name"),
-        ),
+        F.xxhash64(text).alias("row"), F.transform(F.transform(F.split(text, "\n", -1), generalised), lambda g: _parsed(g, depth, min_tokens)).alias("lines")
     )
-    staged = staged.select("row", parsed.alias("lines")).withColumn("kin", F.array_min(F.transform("lines", lambda x: x["name"])))
+    staged = staged.withColumn("kin", F.array_min(F.transform("lines", lambda x: x["name"])))
     out = staged.select("row", F.xxhash64("kin").alias("kin"), F.posexplode("lines").alias("place", "line"))
     return out.filter(F.col("line.name").isNotNull()).select("row", "kin", "place", F.col("line.leaf").alias("leaf"), F.xxhash64("line.name").alias("template"))
 
 
+def _parsed(general: Column, depth: int, min_tokens: int) -> Column:
+    return F.struct(
+        F.xxhash64(token_count(general), F.substring_index(general, " ", depth)).alias("leaf"),
+        F.when(token_count(general) >= min_tokens, F.md5(general.cast("binary"))).alias("name"),
+    )
+
+
 def _recurring(lines: DataFrame, key: str, min_docs: int) -> DataFrame:
     """Keys that enough independent documents hold."""
     often = lines.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select(key)
@@ -89,15 +94,18 @@ def recurring_places(docs: DataFrame, text: str = "text", depth: int = DEPTH, mi
     whole = materialise(_recurring(lines, "template", min_docs), "templates")
     hits = lines.join(whole, "template", "left_semi").select("row", "place")
 
-    # Leaves with other lines of enough documents, and the tokens that are fixed there.
-    open_lines = lines.join(whole, "template", "left_anti")
-    leaves = open_lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("leaf")
-    leaves = materialise(leaves, "leaves")
-    parsed = docs.select(text).filter(F.col(text).isNotNull()).select(F.xxhash64(text).alias("row"), F.posexplode(F.split(text, "\n", -1)).alias("place", "line"))
-    parsed = parsed.withColumn("tokens", tokens(F.col("line"))).withColumn("leaf", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)))
-    inside = parsed.filter(F.size("tokens") >= min_tokens).join(_within(leaves, _BROADCAST_KEYS), "leaf", "left_semi")
-    inside = inside.select("row", "place", "leaf", F.transform("tokens", lambda t: F.xxhash64(t)).alias("tokens")).distinct()
-    inside = materialise(inside.join(open_lines.select("row", "place", "kin").distinct(), ["row", "place"]), "inside")
+    # Leaves with other lines of enough kins, and the tokens that are fixed there.
+    open_lines = materialise(lines.join(whole, "template", "left_anti"), "open")
+    often = open_lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("leaf")
+    leaves = open_lines.join(often, "leaf", "left_semi").groupBy("leaf", "kin").agg(F.count(F.lit(1)).alias("n"))
+    leaves = leaves.groupBy("leaf").agg(F.count(F.lit(1)).alias("kins")).filter(F.col("kins") >= min_docs).select("leaf")
+    wanted = open_lines.join(leaves, "leaf", "left_semi").groupBy("row", "kin").agg(F.collect_set(F.struct("place", "leaf")).alias("wanted"))
+    wanted = materialise(wanted, "wanted")
+    texts = docs.select(F.xxhash64(text).alias("row"), F.col(text).alias("body")).filter("body is not null").join(_within(wanted, _BROADCAST_KEYS // 16), "row")
+    texts = texts.dropDuplicates(["row"]).withColumn("lines", F.split("body", "\n", -1))
+    inside = texts.select("row", "kin", F.explode(F.transform("wanted", lambda x: F.struct(x["place"].alias("place"), x["leaf"].alias("leaf"), F.get(F.col("lines"), x["place"]).alias("line")))).alias("x"))
+    inside = inside.select("row", "kin", "x.place", "x.leaf", F.transform(F.split(generalised(F.col("x.line")), " "), lambda t: F.xxhash64(t)).alias("tokens"))
+    inside = materialise(inside, "inside")
     spread = inside.select("row", "place", "leaf", "kin", F.size("tokens").alias("n"), F.posexplode("tokens").alias("i", "token"))
     fixed = (
         spread.groupBy("leaf", "i", "token", "kin").agg(F.count(F.lit(1)).alias("n"))
