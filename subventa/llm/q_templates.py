@@ -15,23 +15,27 @@ t AS (
     regexp_split_to_array(regexp_replace(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
       '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[\x20\x09-\x0D]+') AS tokens
   FROM l),
-n AS (
-  SELECT row, place, tokens, len(tokens) AS n, array_to_string(tokens, ' ') AS template, len(tokens)::VARCHAR || ' ' || array_to_string(tokens[1:4], ' ') AS leaf,
-    min(md5(array_to_string(tokens, ' '))) OVER (PARTITION BY row) AS kin
+h AS (
+  SELECT row, place, tokens, len(tokens) AS n, array_to_string(tokens, ' ') AS template,
+    len(tokens)::VARCHAR || ' ' || array_to_string(tokens[1:4], ' ') AS leaf, md5(array_to_string(tokens, ' ')) AS m
   FROM t WHERE len(tokens) >= 2),
+n AS (
+  SELECT row, place, tokens, n, template, leaf, min(m) OVER w AS k0, min(m[9:] || m[1:8]) OVER w AS k1,
+    min(m[17:] || m[1:16]) OVER w AS k2, min(m[25:] || m[1:24]) OVER w AS k3
+  FROM h WINDOW w AS (PARTITION BY row)),
 whole AS (
   SELECT template FROM n GROUP BY template
-  HAVING count(DISTINCT kin) >= 3 AND 2 * count(DISTINCT kin) >= count(DISTINCT row)),
+  HAVING greatest(count(DISTINCT k0), count(DISTINCT k1), count(DISTINCT k2), count(DISTINCT k3)) >= 3 AND 2 * greatest(count(DISTINCT k0), count(DISTINCT k1), count(DISTINCT k2), count(DISTINCT k3)) >= count(DISTINCT row)),
 o AS (SELECT * FROM n WHERE template NOT IN (SELECT template FROM whole)),
-big AS (SELECT leaf FROM o GROUP BY leaf HAVING count(DISTINCT kin) >= 3),
-s AS (SELECT row, place, kin, leaf, n, unnest(range(n)) AS i, unnest(tokens) AS token FROM o WHERE leaf IN (SELECT leaf FROM big)),
-fixed AS (SELECT leaf, i, token FROM s GROUP BY ALL HAVING count(DISTINCT kin) >= 3),
+big AS (SELECT leaf FROM o GROUP BY leaf HAVING greatest(count(DISTINCT k0), count(DISTINCT k1), count(DISTINCT k2), count(DISTINCT k3)) >= 3),
+s AS (SELECT row, place, k0, k1, k2, k3, leaf, n, unnest(range(n)) AS i, unnest(tokens) AS token FROM o WHERE leaf IN (SELECT leaf FROM big)),
+fixed AS (SELECT leaf, i, token FROM s GROUP BY leaf, i, token HAVING greatest(count(DISTINCT k0), count(DISTINCT k1), count(DISTINCT k2), count(DISTINCT k3)) >= 3),
 g AS (
-  SELECT row, place, kin, leaf, string_agg(i::VARCHAR || ':' || token, ' ' ORDER BY i) AS name
-  FROM s JOIN fixed USING (leaf, i, token) GROUP BY row, place, kin, leaf, n HAVING 100 * count(*) >= 70 * n),
+  SELECT row, place, k0, k1, k2, k3, leaf, string_agg(i::VARCHAR || ':' || token, ' ' ORDER BY i) AS name
+  FROM s JOIN fixed USING (leaf, i, token) GROUP BY row, place, k0, k1, k2, k3, leaf, n HAVING 100 * count(*) >= 70 * n),
 general AS (
   SELECT leaf, name FROM g GROUP BY leaf, name
-  HAVING count(DISTINCT kin) >= 3 AND 2 * count(DISTINCT kin) >= count(DISTINCT row)),
+  HAVING greatest(count(DISTINCT k0), count(DISTINCT k1), count(DISTINCT k2), count(DISTINCT k3)) >= 3 AND 2 * greatest(count(DISTINCT k0), count(DISTINCT k1), count(DISTINCT k2), count(DISTINCT k3)) >= count(DISTINCT row)),
 hit AS (
   SELECT row, place FROM n WHERE template IN (SELECT template FROM whole)
   UNION SELECT row, place FROM g JOIN general USING (leaf, name)),

@@ -11,10 +11,12 @@ A fixed-depth tree sorts lines by their number of tokens and their first
 
 A template recurs when at least `MIN_DOCS` independent documents hold it. Copies
 of a document are not independent: exact copies count as one text, and texts
-whose smallest template (by MD5) is the same count as one kin. A template shared
-by near copies alone has few kins among many texts, so kins must also be at
-least half the texts. Lines of recurring templates are dropped from every
-document, in no other way is a text changed.
+whose smallest template is the same count as one kin. A template shared by near
+copies alone has few kins among many texts, so kins must also be at least half
+the texts. The smallest template may be one that all share, so there are four
+orders (MD5 digests, rotated), and the order with the most kins counts. Lines of
+recurring templates are dropped from every document, in no other way is a text
+changed.
 
 Only hashes of lines are shuffled; leaves and templates are counted with partial
 aggregation and no leaf is collected, so a line that a third of all documents
@@ -62,14 +64,18 @@ def _within(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def _line_table(docs: DataFrame, text: str, depth: int, min_tokens: int) -> DataFrame:
-    """row (hash of the text), kin, and per line: place, leaf, template. Texts are told apart by their own hash."""
+def _line_tables(docs: DataFrame, text: str, depth: int, min_tokens: int) -> tuple[DataFrame, DataFrame]:
+    """Per line: row (hash of the text), place, leaf, template; and per text: row, kins. Copies are one row."""
     staged = docs.select(text).filter(F.col(text).isNotNull()).select(
         F.xxhash64(text).alias("row"), F.transform(F.transform(F.split(text, "\n", -1), generalised), lambda g: _parsed(g, depth, min_tokens)).alias("lines")
     )
-    staged = staged.withColumn("kin", F.array_min(F.transform("lines", lambda x: x["name"])))
-    out = staged.select("row", F.xxhash64("kin").alias("kin"), F.posexplode("lines").alias("place", "line"))
-    return out.filter(F.col("line.name").isNotNull()).select("row", "kin", "place", F.col("line.leaf").alias("leaf"), F.xxhash64("line.name").alias("template"))
+    names = F.transform(F.filter("lines", lambda x: x["name"].isNotNull()), lambda x: x["name"])
+    turned = [F.transform(names, lambda n, o=o: F.concat(F.substring(n, 1 + o, 32 - o), F.substring(n, 1, o))) for o in (8, 16, 24)]
+    kins = F.array(*[F.xxhash64(F.array_min(t)) for t in (names, *turned)])
+    small = F.transform("lines", lambda x: F.struct(x["leaf"].alias("leaf"), F.when(x["name"].isNotNull(), F.xxhash64(x["name"])).alias("template")))
+    both = materialise(staged.select("row", kins.alias("kins"), small.alias("lines")), "lines")
+    lines = both.select("row", F.posexplode("lines").alias("place", "line")).filter("line.template is not null")
+    return lines.select("row", "place", "line.leaf", "line.template"), both.select("row", "kins").distinct()
 
 
 def _parsed(general: Column, depth: int, min_tokens: int) -> Column:
@@ -79,48 +85,52 @@ def _parsed(general: Column, depth: int, min_tokens: int) -> Column:
     )
 
 
-def _recurring(lines: DataFrame, key: str, min_docs: int) -> DataFrame:
-    """Keys that enough independent documents hold."""
-    often = lines.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select(key)
-    held = lines.join(often, key, "left_semi").groupBy(key, "kin", "row").agg(F.count(F.lit(1)).alias("n"))
-    kins = held.groupBy(key, "kin").agg(F.count(F.lit(1)).alias("texts"))
-    counted = kins.groupBy(key).agg(F.count(F.lit(1)).alias("kins"), F.sum("texts").alias("texts"))
-    return counted.filter((F.col("kins") >= min_docs) & (2 * F.col("kins") >= F.col("texts"))).select(key)
+def _often(lines: DataFrame, keys: list[str], min_docs: int) -> DataFrame:
+    return lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select(*keys)
+
+
+def _independent(lines: DataFrame, kins: DataFrame, keys: list[str], min_docs: int) -> DataFrame:
+    """Keys with at least `min_docs` kins, their number and that of the texts."""
+    held = lines.join(_often(lines, keys, min_docs), keys, "left_semi").select(*keys, "row").distinct()
+    spread = held.join(kins, "row").select(*keys, F.posexplode("kins").alias("order", "kin"))
+    counted = spread.groupBy(*keys, "order", "kin").agg(F.count(F.lit(1)).alias("texts"))
+    counted = counted.groupBy(*keys, "order").agg(F.count(F.lit(1)).alias("kins"), F.sum("texts").alias("texts"))
+    return counted.groupBy(*keys).agg(F.max("kins").alias("n_kins"), F.max("texts").alias("n_texts")).filter(F.col("n_kins") >= min_docs)
+
+
+def _recurring(lines: DataFrame, kins: DataFrame, min_docs: int) -> DataFrame:
+    """Templates that enough independent documents hold."""
+    return _independent(lines, kins, ["template"], min_docs).filter("2 * n_kins >= n_texts").select("template")
 
 
 def recurring_places(docs: DataFrame, text: str = "text", depth: int = DEPTH, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, similar: int = SIMILAR) -> DataFrame:
     """(row, places): hash of a text and the places of its lines that recurring templates hold."""
-    lines = materialise(_line_table(docs, text, depth, min_tokens), "lines")
-    whole = materialise(_recurring(lines, "template", min_docs), "templates")
+    lines, kins = _line_tables(docs, text, depth, min_tokens)
+    whole = materialise(_recurring(lines, kins, min_docs), "templates")
     hits = lines.join(whole, "template", "left_semi").select("row", "place")
 
     # Leaves with other lines of enough kins, and the tokens that are fixed there.
-    open_lines = materialise(lines.join(whole, "template", "left_anti"), "open")
-    often = open_lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("leaf")
-    leaves = open_lines.join(often, "leaf", "left_semi").groupBy("leaf", "kin").agg(F.count(F.lit(1)).alias("n"))
-    leaves = leaves.groupBy("leaf").agg(F.count(F.lit(1)).alias("kins")).filter(F.col("kins") >= min_docs).select("leaf")
-    wanted = open_lines.join(leaves, "leaf", "left_semi").groupBy("row", "kin").agg(F.collect_set(F.struct("place", "leaf")).alias("wanted"))
+    open_lines = materialise(lines.join(whole, "template", "left_anti").distinct(), "open")
+    leaves = _independent(open_lines, kins, ["leaf"], min_docs).select("leaf")
+    wanted = open_lines.join(leaves, "leaf", "left_semi").groupBy("row").agg(F.collect_set(F.struct("place", "leaf")).alias("wanted"))
     wanted = materialise(wanted, "wanted")
     texts = docs.select(F.xxhash64(text).alias("row"), F.col(text).alias("body")).filter("body is not null").join(_within(wanted, _BROADCAST_KEYS // 16), "row")
     texts = texts.dropDuplicates(["row"]).withColumn("lines", F.split("body", "\n", -1))
-    inside = texts.select("row", "kin", F.explode(F.transform("wanted", lambda x: F.struct(x["place"].alias("place"), x["leaf"].alias("leaf"), F.get(F.col("lines"), x["place"]).alias("line")))).alias("x"))
-    inside = inside.select("row", "kin", "x.place", "x.leaf", F.transform(F.split(generalised(F.col("x.line")), " "), lambda t: F.xxhash64(t)).alias("tokens"))
+    inside = texts.select("row", F.explode(F.transform("wanted", lambda x: F.struct(x["place"].alias("place"), x["leaf"].alias("leaf"), F.get(F.col("lines"), x["place"]).alias("line")))).alias("x"))
+    inside = inside.select("row", "x.place", "x.leaf", F.transform(F.split(generalised(F.col("x.line")), " "), lambda t: F.xxhash64(t)).alias("tokens"))
     inside = materialise(inside, "inside")
-    spread = inside.select("row", "place", "leaf", "kin", F.size("tokens").alias("n"), F.posexplode("tokens").alias("i", "token"))
-    fixed = (
-        spread.groupBy("leaf", "i", "token", "kin").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("leaf", "i", "token").agg(F.count(F.lit(1)).alias("kins")).filter(F.col("kins") >= min_docs).drop("kins")
-    )
+    spread = inside.select("row", "place", "leaf", F.size("tokens").alias("n"), F.posexplode("tokens").alias("i", "token"))
+    fixed = _independent(spread, kins, ["leaf", "i", "token"], min_docs).select("leaf", "i", "token")
     named = F.sum(F.xxhash64("i", "token").cast("decimal(20,0)")).cast("string")
     general = (
         spread.join(fixed, ["leaf", "i", "token"])
-        .groupBy("row", "place", "kin", "leaf", "n")
+        .groupBy("row", "place", "leaf", "n")
         .agg(F.count(F.lit(1)).alias("fixed"), named.alias("name"))
         .filter(100 * F.col("fixed") >= similar * F.col("n"))
-        .select("row", "place", "kin", F.xxhash64("leaf", "name").alias("template"))
+        .select("row", "place", F.xxhash64("leaf", "name").alias("template"))
     )
     general = materialise(general, "general")
-    more = general.join(_recurring(general, "template", min_docs), "template", "left_semi").select("row", "place")
+    more = general.join(_recurring(general, kins, min_docs), "template", "left_semi").select("row", "place")
     return hits.union(more).groupBy("row").agg(F.collect_set("place").alias("places"))
 
 
