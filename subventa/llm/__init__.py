@@ -6,6 +6,7 @@ from subventa.llm import (  # noqa: F401
     q_maintext,
     q_minhash,
     q_packing,
+    q_pieces,
     q_quality,
     q_secrets,
     q_templates,
