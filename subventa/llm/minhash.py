@@ -8,7 +8,7 @@
    two sketches the XOR population count grows with the samples that differ and
    is precise where similarity is high; a pair far below the threshold goes.
 4. The rest is confirmed on full sets. Classes of confirmed pairs are joined.
-5. Classes that share a bucket but not yet a group are compared with each other
+5. Other classes that share a bucket but not yet a group are compared with each other
    in blocks by size and sketch. Rows that find a partner meet again with their
    full sets, and links that join two groups are written. Pairs that only a test
    sees are never rows.
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from subventa.llm import utf8
@@ -41,8 +41,8 @@ from subventa.llm.store import free_name, materialise
 # Chance that a pair at the threshold shares no band.
 MISS = 1e-8
 SKETCH_WORDS = 16  # 64 bits each
-# Rows of one side when members of a bucket are compared with each other.
-BLOCK = 512
+# Rows of one side when members of a bucket are compared by sketch, and bytes of their sets when by set.
+BLOCK_ROWS, BLOCK_BYTES = 4096, 16 * 1024 * 1024
 
 _SEED = 0x5EED5EED
 
@@ -275,9 +275,12 @@ def _linking(limit: int, percent: int):
     return run
 
 
-def _in_blocks(members: DataFrame, carried: list[str]) -> DataFrame:
-    """Every pair of blocks of a bucket as a group: a row stands on the left of each pair once and on the right once."""
-    sizes = members.groupBy("band", "key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+def _in_blocks(members: DataFrame, carried: list[str], weight: Column, most: int) -> DataFrame:
+    """Every pair of blocks of a bucket as a group: a row stands on the left of each pair once and on the right once.
+
+    A block weighs about `most`.
+    """
+    sizes = members.groupBy("band", "key").agg(F.ceil(F.sum(weight) / most).cast("int").alias("blocks"))
     placed = members.join(sizes, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     spots = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
@@ -324,8 +327,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     linked = materialise(_confirmed(starred, sets, percent), "linked")
     groups = components(linked)
 
-    # Classes in one bucket but in different groups.
-    grouped = members.join(groups, members["node"] == groups["id"], "left").select(
+    # Classes in one bucket but in different groups; the bucket's smallest has met all others already.
+    others = members.filter("node <> least")
+    grouped = others.join(groups, others["node"] == groups["id"], "left").select(
         "band", "key", "node", F.coalesce("component", "node").alias("component")
     )
     split = grouped.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
@@ -333,10 +337,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     mixed = grouped.join(split.select("band", "key"), ["band", "key"]).join(details, "node")
     carried = ["node", "component", "n_shingles", "sketch", "bands"]
     crossing = materialise(
-        _in_blocks(mixed, carried).applyInPandas(_crossing(limit, percent), "band int, key long, node long").distinct(), "crossing"
+        _in_blocks(mixed, carried, F.lit(1), BLOCK_ROWS).applyInPandas(_crossing(limit, percent), "band int, key long, node long").distinct(), "crossing"
     )
     full = crossing.join(grouped, ["band", "key", "node"]).join(details, "node").join(sets, "node")
-    more = _in_blocks(full, [*carried, "members"]).applyInPandas(_linking(limit, percent), "a long, b long")
+    more = _in_blocks(full, [*carried, "members"], 8 * F.col("n_shingles"), BLOCK_BYTES).applyInPandas(_linking(limit, percent), "a long, b long")
     links = linked.union(materialise(more.distinct(), "linked"))
     final = components(links)
 

@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from subventa.llm import minhash
 from subventa.llm.minhash import near_duplicates, one_of_each
 
 SF = "/root/testdata/sf0.01"
@@ -69,6 +70,20 @@ def test_chains_of_edits_equal_brute_force(spark):
     assert got(near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(5), 85, 3)) == brute(rows)
 
 
+def test_blocks_of_large_buckets(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 5)
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 3000)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for n in range(60):
+        words = list(base)
+        for _ in range(rng.choice([3, 4, 5, 6])):
+            words[rng.randrange(90)] = f"y{rng.randrange(10**6)}"
+        rows.append((n, " ".join(words)))
+    assert got(near_duplicates(spark.createDataFrame(rows, SCHEMA), 85, 3)) == brute(rows)
+
+
 def test_odd_rows(spark):
     long = " ".join(f"v{i}" for i in range(30000))
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, "One"), (5, "one"), (6, "one two"), (7, "ONE\x0bTWO"), (8, "Été é"), (9, "été é"),
