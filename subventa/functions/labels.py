@@ -32,7 +32,9 @@ def severity(raw: Column) -> Column:
 
 def clamp_score(raw: Column) -> Column:
     """Half-even round, clipped to 0..100; unreadable becomes 0."""
-    value = F.nanvl(raw.try_cast("double"), F.lit(0.0))
+    # The cast alone also takes Java's suffixes and hexadecimal floats.
+    number = raw.rlike(r"(?i)^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?\s*$") | raw.rlike(r"(?i)^\s*[+-]?(inf|infinity|nan)\s*$")
+    value = F.nanvl(F.when(number, raw.try_cast("double")), F.lit(0.0))
     clipped = F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.coalesce(value, F.lit(0.0))))
     return F.bround(clipped, 0).cast("int")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from subventa.functions.text import strip
-from subventa.operators.order import skew_left_join, top_per_key
+from subventa.operators.order import top_per_key
 
 # Window, allowance and unmetered paths (fixed values).
 WINDOW_SECONDS = 60
@@ -77,11 +77,9 @@ def saved_items(events: DataFrame, order: list[str], action: Column) -> DataFram
     removals = (
         rows.filter(F.col("_action") == "remove").groupBy("user_id", "item_id").agg(F.max("_at").alias("_removed"))
     )
-    toggles = skew_left_join(rows.filter(F.col("_action") == "toggle").drop("_action"), clears, "user_id")
+    toggles = rows.filter(F.col("_action") == "toggle").drop("_action").join(clears, "user_id", "left")
     since_clear = toggles.filter(F.col("_cleared").isNull() | (F.col("_at") > F.col("_cleared")))
     pair = F.struct("user_id", "item_id")
-    since = skew_left_join(
-        since_clear.withColumn("_pair", pair), removals.select(pair.alias("_pair"), "_removed"), "_pair"
-    ).filter(F.col("_removed").isNull() | (F.col("_at") > F.col("_removed")))
+    since = since_clear.withColumn("_pair", pair).join(removals.select(pair.alias("_pair"), "_removed"), "_pair", "left").filter(F.col("_removed").isNull() | (F.col("_at") > F.col("_removed")))
     kept = since.groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("_n"), F.max("_at").alias("_last"))
     return kept.filter(F.col("_n") % 2 == 1).select("user_id", "item_id", "_last.*")

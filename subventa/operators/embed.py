@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from subventa.functions.text import embedding_key, embedding_task, embedding_text, without_task_prefix
 from subventa.functions.vectors import l2_normalise
 from subventa.operators.bounds import spread_small
-from subventa.operators.order import skew_left_join
 
 # Texts per model call (fixed value).
 MODEL_BATCH = 32
@@ -82,7 +81,7 @@ def backfill(
     keyed = task_rows(texts, text_col)
     new = run_model(missing_embeddings(keyed, store), embed_fn, max_tasks)
     vectors = store.select("key", "embedding").unionByName(new)
-    return skew_left_join(keyed, vectors, "key"), new
+    return keyed.join(vectors, "key", "left"), new
 
 
 def re_embed(corpus: DataFrame, embed_fn: EmbedFn, limit: int | None = None, max_tasks: int | None = None) -> DataFrame:
@@ -93,7 +92,7 @@ def re_embed(corpus: DataFrame, embed_fn: EmbedFn, limit: int | None = None, max
     passage = F.concat(F.lit("passage: "), embedding_text(F.col("title"), F.col("summary"), F.col("body")))
     keyed = task_rows(live.select("grant_id", passage.alias("text")))
     vectors = run_model(keyed.dropDuplicates(["key"]), embed_fn, max_tasks)
-    return skew_left_join(keyed.select("grant_id", "key"), vectors, "key").select("grant_id", "embedding")
+    return keyed.select("grant_id", "key").join(vectors, "key", "left").select("grant_id", "embedding")
 
 
 def embed_totals(result: DataFrame) -> DataFrame:

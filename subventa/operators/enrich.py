@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from subventa.functions.text import strip_fences
+from subventa.functions.variants import no_text, no_text_list
 from subventa.schema import ELIGIBILITY, ENRICHMENT, ENRICHMENT_VERSION, FUNDING_FORMS, SECTORS
 
 ENRICHED, SKIPPED, FAILED = "enriched", "skipped", "failed"
@@ -67,6 +68,9 @@ def enrichment_reasons(e: Column, document: Column) -> Column:
             F.when(F.length(e["application_notes"]) > NOTES_CAP, F.lit("application_notes too long")),
             F.when(F.length(e["federal_state"]) > STATE_CAP, F.lit("federal_state too long")),
             *caps,
+            *[F.when(no_text_list(document, f"$.{n}"), F.lit(f"{n} is no list of texts")) for n in LIST_CAPS],
+            *[F.when(no_text(document, f"$.{n}", nullable=True), F.lit(f"{n} is no text")) for n in ("sector", "federal_state")],
+            *[F.when(no_text(document, f"$.{n}"), F.lit(f"{n} is no text")) for n in ("funding_form", "application_notes")],
         )
     )
 

@@ -56,7 +56,7 @@ def page_structure(pages: DataFrame) -> DataFrame:
                 try:
                     row.update(page_parts(html, *scopes.get(portal, (frozenset(), False))))
                 except Exception as error:  # one bad page must not end the run
-                    row["parse_error"] = f"{type(error).__name__}: {error}"[:200]
+                    row["parse_error"] = f"{type(error).__name__}: {error}"
                 rows.append(row)
             yield pd.DataFrame({c: pd.Series([r[c] for r in rows], dtype=object) for c in _PARTS.fieldNames()})
 
@@ -147,6 +147,11 @@ def portal_status(portal: Column, deadline: Column) -> Column:
     return F.when(portal != "exist", F.lit("open")).when(deadline.isNull(), "rolling").otherwise("open")
 
 
+def dispatch_error(country: Column, portal: Column) -> Column:
+    """Error of a page whose portal has no rule, else null; `country` comes from the rule table."""
+    return F.when(country.isNull(), F.concat(F.lit("unknown portal: "), F.coalesce(portal, F.lit("null"))))
+
+
 def extract_records(pages: DataFrame) -> DataFrame:
     """Typed record per page; `parse_error` is set where there is none.
 
@@ -171,9 +176,7 @@ def extract_records(pages: DataFrame) -> DataFrame:
         deadline.alias("deadline"),
         portal_amounts(scan, portal, F.col("floor")).alias("amounts"),
         "keeps_min",
-        F.when(F.col("country").isNotNull(), F.col("parse_error"))
-        .otherwise(F.concat(F.lit("unknown portal: "), F.coalesce(portal, F.lit("null"))))
-        .alias("parse_error"),
+        F.coalesce(dispatch_error(F.col("country"), portal), F.col("parse_error")).alias("parse_error"),
     )
     return cut.select(
         "page_id",

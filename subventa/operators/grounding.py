@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from subventa.functions.labels import clamp_score, fit_label, severity
 from subventa.functions.text import strip_fences
+from subventa.functions.variants import kind_of, no_record_list, no_text, no_text_list
 from subventa.schema import (
     CRITIC,
     FINDING_TYPES,
@@ -90,6 +91,48 @@ def _writer_broken(r: Column) -> Column:
     )
 
 
+def _planner_kinds(d: Column) -> Column:
+    facts = kind_of(d, "$.facts")
+    out = no_text(d, "$.rewritten_query", required=True) | no_text(d, "$.rationale") | F.coalesce(~facts.startswith("OBJECT"), F.lit(False))
+    for name in ("sector", "stage", "country", "federal_state"):
+        out = out | no_text(d, f"$.facts.{name}", nullable=True)
+    target = kind_of(d, "$.facts.funding_target_eur")
+    return out | F.coalesce(~target.rlike("^(BIGINT|VOID|DOUBLE|DECIMAL.*)$"), F.lit(False))
+
+
+def _scorer_kinds(d: Column) -> Column:
+    def bad(s: Column) -> Column:
+        lists = F.lit(False)
+        for name in ("strengths", "concerns", "missing_info"):
+            lists = lists | no_text_list(s, f"$.{name}")
+        # Both labels are normalised whatever they hold, but they must be there.
+        return no_text(s, "$.grant_id", required=True) | kind_of(s, "$.eligibility_score").isNull() | kind_of(s, "$.fit_label").isNull() | lists
+
+    return no_record_list(d, "$.scores", bad)
+
+
+def _critic_kinds(d: Column) -> Column:
+    def bad(f: Column) -> Column:
+        return (
+            no_text(f, "$.type", required=True) | kind_of(f, "$.severity").isNull() | no_text(f, "$.grant_id", nullable=True) | no_text(f, "$.message", required=True)
+        )
+
+    return no_text(d, "$.summary", required=True) | no_record_list(d, "$.findings", bad)
+
+
+def _writer_kinds(d: Column) -> Column:
+    def bad(r: Column) -> Column:
+        out = no_text_list(r, "$.caveats")
+        for name in ("grant_id", "grant_title", "portal", "source_url", "fit", "rationale"):
+            out = out | no_text(r, f"$.{name}", required=True)
+        return out
+
+    return no_text(d, "$.summary", required=True) | no_record_list(d, "$.recommendations", bad)
+
+
+# Kinds of fields per stage.
+_KINDS = {"planner": _planner_kinds, "scorer": _scorer_kinds, "critic": _critic_kinds, "writer": _writer_kinds}
+
 # Record type and its limits per stage (fixed values, in the functions above).
 STAGES_OF_CHAIN = {
     "planner": (PLANNER, _planner_broken),
@@ -100,10 +143,11 @@ STAGES_OF_CHAIN = {
 
 
 def parse_stage_replies(replies: DataFrame, stage: str, out: str = "parsed") -> DataFrame:
-    """Adds the stage's record and `failed` for a reply that is none or breaks a limit."""
+    """Adds the stage's record and `failed` for a reply that is none, lacks a field, holds one of a wrong kind or breaks a limit."""
     schema, broken = STAGES_OF_CHAIN[stage]
     parsed = parse_replies(replies, schema, out)
-    failed = F.col("failed") | F.coalesce(broken(F.col(out)), F.lit(True))
+    document = F.try_parse_json(strip_fences(F.col("reply")))
+    failed = F.col("failed") | F.coalesce(_KINDS[stage](document), F.lit(True)) | F.coalesce(broken(F.col(out)), F.lit(True))
     return parsed.withColumn("failed", failed).withColumn(out, F.when(~F.col("failed"), F.col(out)))
 
 

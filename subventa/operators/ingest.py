@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from subventa.functions.text import content_hash, volatile_hash
-from subventa.operators.order import blocked_lag, skew_left_join
+from subventa.operators.order import blocked_lag
 from subventa.schema import CORPUS
 
 INSERTED, UPDATED, SKIPPED, REFRESHED, FAILED = (
@@ -95,9 +95,9 @@ def upsert_snapshot(
     """
     latest = last_arrivals(arrivals)
     if embeddings is not None:
-        # many urls may carry the same text, hence the skew-safe join
+        # many urls may carry the same text, adaptive execution splits such a join
         vectors = embeddings.select("source_hash", "embedding").dropDuplicates(["source_hash"])
-        latest = skew_left_join(latest, vectors, "source_hash")
+        latest = latest.join(vectors, "source_hash", "left")
     else:
         latest = latest.withColumn("embedding", F.lit(None).cast("array<float>"))
     incoming = F.struct(*[F.col(c) for c in latest.columns if c != "source_url"])
@@ -183,6 +183,8 @@ def with_run_status(counters: DataFrame) -> DataFrame:
 
 
 def run_history(ledger: DataFrame, portal: str | None = None, limit: int = 50) -> DataFrame:
-    """Newest runs first, at most 500."""
+    """Newest runs first, 1 to 500 of them; another limit raises ValueError."""
+    if not 1 <= limit <= 500:
+        raise ValueError(f"limit must be 1 to 500, not {limit}")
     runs = ledger if portal is None else ledger.filter(F.col("portal") == portal)
-    return runs.orderBy(F.desc("started_at"), F.col("run_id")).limit(max(1, min(limit, 500)))
+    return runs.orderBy(F.desc("started_at"), F.col("run_id")).limit(limit)

@@ -60,19 +60,3 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, ran
         rank, (F.col("_rn") - 1).cast("int")
     ).drop("_rn")
 
-
-def skew_left_join(big: DataFrame, small: DataFrame, key: str, hot_rows: int = 1_000_000, salts: int = 64) -> DataFrame:
-    """Left join on `key` where `big` may repeat a key without limit.
-
-    `small` has few rows per key. Keys above `hot_rows` are found with a
-    map-side combined count and spread over `salts` tasks. At most
-    rows / hot_rows keys can be hot, which bounds what is broadcast.
-    """
-    hot = big.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
-    hot = F.broadcast(hot.select(key, F.lit(True).alias("_hot")))
-    rows = [F.col(c) for c in big.columns if c != key]
-    spread = F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows), F.lit(salts)).cast("int")).otherwise(F.lit(0))
-    left = big.join(hot, key, "left").withColumn("_salt", spread).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = small.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return left.join(right, [key, "_salt"], "left").drop("_salt")

@@ -67,10 +67,18 @@ def candidates_json(candidates: DataFrame, stage: str) -> DataFrame:
     )
 
 
+# Findings of a critic record at most (fixed value).
+MAX_FINDINGS = 10
+
+
 def profile_block(profile: Column, fields: list[str], stage: str) -> Column:
     """Lines for the filled profile fields, '' when none is."""
+    def filled_in(value: Column) -> Column:
+        text = value.cast("string")
+        return (text != "") & ~(F.typeof(value).startswith("array") & (text == "[]"))
+
     lines = [
-        F.when(profile[f].cast("string") != "", F.concat(F.lit(f"  - {f}: "), profile[f].cast("string"))) for f in fields
+        F.when(filled_in(profile[f]), F.concat(F.lit(f"  - {f}: "), profile[f].cast("string"))) for f in fields
     ]
     filled = F.array_compact(F.array(*lines))
     text = F.concat(F.lit(PROFILE_HEADINGS[stage] + "\n"), F.array_join(filled, "\n"), F.lit("\n\n"))
@@ -80,13 +88,16 @@ def profile_block(profile: Column, fields: list[str], stage: str) -> Column:
 def retry_blocks(findings: DataFrame) -> DataFrame:
     """(request_id, retry_block): one line per finding, in `position` order.
 
-    A valid critic record has at most ten findings (grounding.parse_stage_replies).
+    A valid critic record has at most ten findings (grounding.parse_stage_replies);
+    a request with more fails the job.
     """
     grant = F.when(F.coalesce("grant_id", F.lit("")) != "", F.concat(F.lit(" (grant_id="), "grant_id", F.lit(")"))).otherwise("")
     line = F.concat(F.lit("  - ["), "severity", F.lit("] "), "type", grant, F.lit(": "), "message")
     lines = F.sort_array(F.collect_list(F.struct("position", line.alias("line"))))
     return findings.groupBy("request_id").agg(
-        F.concat(F.lit(RETRY_HEADING + "\n"), F.array_join(lines["line"], "\n"), F.lit("\n\n")).alias("retry_block")
+        F.when(F.count(F.lit(1)) > MAX_FINDINGS, F.raise_error(F.lit(f"more than {MAX_FINDINGS} findings of one request")))
+        .otherwise(F.concat(F.lit(RETRY_HEADING + "\n"), F.array_join(lines["line"], "\n"), F.lit("\n\n")))
+        .alias("retry_block")
     )
 
 

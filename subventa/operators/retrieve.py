@@ -16,7 +16,7 @@ from subventa.operators.bounds import MAX_BROADCAST_HITS, at_most
 from subventa.operators.dense import dense_top_k
 from subventa.operators.embed import EmbedFn, run_model, task_rows
 from subventa.operators.fusion import reciprocal_rank_fusion
-from subventa.operators.order import skew_left_join, top_per_key
+from subventa.operators.order import top_per_key
 from subventa.operators.sparse import sparse_top_k
 
 DENSE, HYBRID, HYBRID_RERANK = "dense", "hybrid", "hybrid_rerank"
@@ -87,7 +87,7 @@ def hypothetical_vectors(replies: DataFrame, embed_fn: EmbedFn) -> DataFrame:
     ).select("qid", "pos", F.concat(F.lit("passage: "), F.col("d")).alias("text"))
     keyed = task_rows(texts)
     vectors = run_model(keyed.dropDuplicates(["key"]), embed_fn)
-    return skew_left_join(keyed.select("qid", "pos", "key"), vectors, "key").select("qid", "pos", "embedding")
+    return keyed.select("qid", "pos", "key").join(vectors, "key", "left").select("qid", "pos", "embedding")
 
 
 def fetch_live(hits: DataFrame, corpus: DataFrame, columns: list[str], small: bool) -> DataFrame:

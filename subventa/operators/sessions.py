@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from subventa.operators.order import blocked_rank, skew_left_join
+from subventa.operators.order import blocked_rank
 
 # Title width and owner mark of signed-out sessions (fixed values).
 TITLE_CHARS = 80
@@ -39,7 +39,7 @@ def owner_id(session_id: Column, owner: Column) -> Column:
 
 def allowed_deletes(deletes: DataFrame, owned: DataFrame) -> DataFrame:
     """Deletes of an existing session by someone who may delete it at that moment."""
-    joined = skew_left_join(deletes, owned, "session_id")
+    joined = deletes.join(owned, "session_id", "left")
     signed_out = F.col("owned_from").isNull() | (F.col("at") < F.col("owned_from"))
     return joined.filter(
         (F.col("at") >= F.col("created_at"))
@@ -55,7 +55,7 @@ def fold_sessions(turns: DataFrame, deletes: DataFrame, block: Column | None = N
     """
     owned = owners(turns)
     last_delete = allowed_deletes(deletes, owned).groupBy("session_id").agg(F.max("at").alias("deleted_at"))
-    live = skew_left_join(turns, last_delete, "session_id").filter(
+    live = turns.join(last_delete, "session_id", "left").filter(
         F.col("deleted_at").isNull() | (F.col("at") > F.col("deleted_at"))
     )
     titled = F.min(F.when(F.coalesce("query", F.lit("")) != "", F.struct("at", F.left("query", F.lit(TITLE_CHARS)).alias("t"))))
@@ -84,11 +84,11 @@ def readable(headers: DataFrame, readers: DataFrame) -> DataFrame:
     """
     anonymous = F.col("owner_user_id").startswith(ANON_PREFIX)
     may = F.col("is_active") & (anonymous | F.coalesce(F.col("owner_user_id") == F.col("reader_id"), F.lit(False)))
-    joined = skew_left_join(readers, headers.select("session_id", "owner_user_id", "is_active"), "session_id")
+    joined = readers.join(headers.select("session_id", "owner_user_id", "is_active"), "session_id", "left")
     return joined.select("session_id", "reader_id", F.coalesce(may, F.lit(False)).alias("visible"))
 
 
 def replay(history: DataFrame, visible: DataFrame) -> DataFrame:
     """History rows each permitted reader gets."""
     granted = visible.filter("visible").select("session_id", "reader_id", F.lit(True).alias("_granted"))
-    return skew_left_join(history, granted, "session_id").filter("_granted").drop("_granted")
+    return history.join(granted, "session_id").filter("_granted").drop("_granted")

@@ -10,12 +10,12 @@ from subventa.operators import sessions as S
 from subventa.plans.registry import query, table
 
 # User turns are session turns, signed in from the third turn on unless the
-# conversation is short; short answers stand for delete requests, by the owner
+# conversation is short; answers stand for delete requests, by the owner
 # where they hold a comma and by a stranger where they hold none.
 _SESSION_SQL = """
 turns AS (SELECT conv_id AS session_id, turn AS "at", CASE WHEN turn >= 2 THEN 'u' || conv_id END AS user_id, text AS query FROM conversations WHERE role <> 'assistant'),
 dels AS (SELECT conv_id AS session_id, turn AS "at", CASE WHEN contains(text, ',') THEN 'u' || conv_id ELSE 'stranger' END AS user_id FROM conversations
-  WHERE role = 'assistant' AND length(text) < 400),
+  WHERE role = 'assistant'),
 own AS (SELECT session_id, min("at") AS created_at, min("at") FILTER (user_id IS NOT NULL) AS owned_from, arg_min(user_id, "at") FILTER (user_id IS NOT NULL) AS owner
   FROM turns GROUP BY session_id),
 ok AS (SELECT d.session_id, max(d."at") AS deleted_at FROM dels d JOIN own o USING (session_id)
@@ -37,7 +37,7 @@ def _sessions(spark, sf_dir):
         F.when(F.col("turn") >= 2, key).alias("user_id"),
         F.col("text").alias("query"),
     )
-    deletes = c.filter((F.col("role") == "assistant") & (F.length("text") < 400)).select(
+    deletes = c.filter(F.col("role") == "assistant").select(
         F.col("conv_id").alias("session_id"),
         F.col("turn").alias("at"),
         F.when(F.col("text").contains(","), key).otherwise("stranger").alias("user_id"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from subventa.operators import corpus as C
@@ -237,7 +238,7 @@ def details(spark, sf_dir):
     return C.as_details(C.live(orders_corpus(spark, sf_dir)))
 
 
-# Each customer's newest orders stand for a ranked id list.
+# Each customer's orders, newest first, stand for a ranked id list.
 _HITS_SQL = """
 SELECT o_custkey AS qid, o_orderkey AS grant_id,
        CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) - 1 AS INTEGER) AS rank
@@ -246,18 +247,15 @@ FROM orders
 
 
 def _order_hits(spark, sf_dir):
-    from subventa.operators.order import top_per_key
-
-    rows = table(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("qid"), F.col("o_orderkey").alias("grant_id"), "o_orderdate"
-    )
-    return top_per_key(rows, ["qid"], [F.desc("o_orderdate"), F.col("grant_id")], 10).drop("o_orderdate")
+    rows = table(spark, sf_dir, "orders")
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), "o_orderkey"))
+    return rows.select(F.col("o_custkey").alias("qid"), F.col("o_orderkey").alias("grant_id"), (place - 1).cast("int").alias("rank"))
 
 
 @query(
     "corpus_fetch_ranked",
     f"""WITH c AS ({ORDERS_SQL}), h AS ({_HITS_SQL}) SELECT h.qid, h.grant_id, h.rank, c.title, c.portal
-    FROM h JOIN c ON c.grant_id = h.grant_id WHERE h.rank < 10 AND c.deleted_at IS NULL""",
+    FROM h JOIN c ON c.grant_id = h.grant_id WHERE c.deleted_at IS NULL""",
 )
 def fetch_ranked(spark, sf_dir):
     hits = _order_hits(spark, sf_dir)
@@ -270,7 +268,7 @@ def fetch_ranked(spark, sf_dir):
     "corpus_search_hits",
     f"""WITH c AS ({ORDERS_SQL}), h AS ({_HITS_SQL}) SELECT h.qid, h.rank, {_LIST.replace("grant_id,", "c.grant_id,", 1)},
     1.0 / (h.rank + 1) AS final_score, c.source_doc_id || ' ' || c.source_url || ' ' || c.portal || ' ' || c.title AS citation
-    FROM h JOIN c ON c.grant_id = h.grant_id WHERE h.rank < 10 AND c.deleted_at IS NULL""",
+    FROM h JOIN c ON c.grant_id = h.grant_id WHERE c.deleted_at IS NULL""",
 )
 def search_hits(spark, sf_dir):
     hits = _order_hits(spark, sf_dir).withColumn("final_score", 1.0 / (F.col("rank") + 1))

@@ -390,8 +390,9 @@ def page_constants(spark, sf_dir):
     FROM (SELECT *, {_PORTAL_SQL} AS portal FROM pages) GROUP BY portal""",
 )
 def page_dispatch(spark, sf_dir):
-    records = E.extract_records(portal_pages(spark, sf_dir))
-    return records.groupBy("portal", F.col("parse_error").alias("error")).agg(F.count(F.lit(1)).alias("n"))
+    """The rule table alone decides; no page is parsed."""
+    routed = E.with_rules(portal_pages(spark, sf_dir).select("portal"))
+    return routed.groupBy("portal", E.dispatch_error(F.col("country"), F.col("portal")).alias("error")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("page_records")

@@ -296,6 +296,20 @@ def enrichment_check(spark, sf_dir):
     return _checked(spark, sf_dir).select("grant_id", F.array_join("reasons", "; ").alias("reasons"))
 
 
+@query(
+    "enrichment_types",
+    """SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'target_groups is no list of texts' WHEN 1 THEN 'target_groups is no list of texts' WHEN 2 THEN 'sector not allowed; sector is no text'
+      WHEN 3 THEN 'application_notes is no text' WHEN 4 THEN 'funding_phases is no list of texts' ELSE '' END AS reasons FROM documents""",
+)
+def enrichment_types(spark, sf_dir):
+    """Replies whose fields hold a wrong kind of value; two of seven are right."""
+    docs = table(spark, sf_dir, "documents")
+    wrong = ['{"target_groups": "founders"}', '{"target_groups": ["SMEs", 3]}', '{"sector": 5}', '{"application_notes": null}', '{"funding_phases": null}', '{"sector": null}', '{"target_groups": []}']
+    reply = F.element_at(F.array(*[F.lit(w) for w in wrong]), (F.col("doc_id") % 7 + 1).cast("int"))
+    checked = N.parse_enrichments(docs.select(F.col("doc_id").alias("grant_id"), reply.alias("reply")))
+    return checked.select(F.col("grant_id").alias("doc_id"), F.array_join("reasons", "; ").alias("reasons"))
+
+
 @query(
     "enrichment_work_list",
     f"SELECT grant_id, funding_form IS NULL AS due FROM ({_TARGET_SQL})",

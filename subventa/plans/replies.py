@@ -185,6 +185,31 @@ def writer_empty(spark, sf_dir):
 
 # --- replies ------------------------------------------------------------------------
 
+@query(
+    "reply_types",
+    """SELECT o_orderkey, o_orderkey % 8 NOT IN (4, 5, 6) AS failed,
+      CAST(CASE o_orderkey % 8 WHEN 4 THEN 0 WHEN 5 THEN 0 WHEN 6 THEN 71 END AS INTEGER) AS score FROM orders""",
+)
+def reply_types(spark, sf_dir):
+    """Scorer replies with wrong kinds or missing fields; a score that is no decimal number counts 0."""
+    texts = [
+        '{"scores": "none"}',
+        '{"scores": [1, 2]}',
+        '{"scores": [{"grant_id": "g", "fit_label": "high"}]}',
+        '{"scores": [{"grant_id": "g", "eligibility_score": 5}]}',
+        '{"scores": [{"grant_id": "g", "eligibility_score": "12d", "fit_label": null}]}',
+        '{"scores": [{"grant_id": "g", "eligibility_score": "0x1p3", "fit_label": "high"}]}',
+        '{"scores": [{"grant_id": "g", "eligibility_score": " 70.6 ", "fit_label": "m", "strengths": ["a"]}]}',
+        '{"scores": [{"grant_id": "g", "eligibility_score": 5, "fit_label": "m", "strengths": "a"}]}',
+    ]
+    reply = F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col("o_orderkey") % 8 + 1).cast("int"))
+    parsed = G.parse_stage_replies(table(spark, sf_dir, "orders").select("o_orderkey", reply.alias("reply")), "scorer")
+    scores = parsed.select("o_orderkey", "failed", F.explode_outer("parsed.scores").alias("s"))
+    return scores.select("o_orderkey", "failed", L.clamp_score(F.col("s.eligibility_score")).alias("_raw"), "s").select(
+        "o_orderkey", "failed", F.when(F.col("s").isNotNull(), F.col("_raw")).alias("score")
+    )
+
+
 # One scorer reply per order; fenced, plain, a bare array, or cut short.
 @query(
     "reply_parse",
@@ -268,7 +293,7 @@ def prompt_context(spark, sf_dir):
 
 @query(
     "prompt_retry_block",
-    """WITH f AS (SELECT o_custkey AS request_id, o_orderkey, o_orderdate, o_orderpriority, o_orderstatus FROM orders WHERE o_totalprice > 400000)
+    """WITH f AS (SELECT o_orderkey // 8 AS request_id, o_orderkey, o_orderdate, o_orderpriority, o_orderstatus FROM orders)
     SELECT request_id, 'You are RETRYING. A previous attempt was reviewed by the Critic and' || chr(10)
       || 'the following issues were flagged. Address EACH one in your output:' || chr(10)
       || string_agg('  - [' || CASE WHEN o_orderpriority = '1-URGENT' THEN 'high' ELSE 'low' END || '] fit_alignment'
@@ -276,9 +301,10 @@ def prompt_context(spark, sf_dir):
       || chr(10) || chr(10) AS retry_block FROM f GROUP BY request_id""",
 )
 def prompt_retry_block(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").filter(F.col("o_totalprice") > 400000)
+    """Eight neighbouring orders are the findings of one request."""
+    o = table(spark, sf_dir, "orders")
     findings = o.select(
-        F.col("o_custkey").alias("request_id"),
+        F.floor(F.col("o_orderkey") / 8).alias("request_id"),
         F.col("o_orderkey").alias("position"),
         F.when(F.col("o_orderpriority") == "1-URGENT", "high").otherwise("low").alias("severity"),
         F.lit("fit_alignment").alias("type"),

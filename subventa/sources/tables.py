@@ -27,11 +27,20 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_gold_set(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines; blank lines are skipped, `relevant` and `rationale` may be missing."""
-    rows = spark.read.schema(GOLD_QUERY).json(path)
+    """JSON lines; blank lines are skipped, `relevant` and `rationale` may be missing.
+
+    A broken line, or one without another field, fails the read: a gold set that
+    loses queries would shift every mean.
+    """
+    rows = spark.read.schema(GOLD_QUERY).option("mode", "FAILFAST").json(path)
     empty = F.array().cast("array<string>")
-    return rows.filter(F.col("qid").isNotNull()).withColumns(
-        {"relevant": F.coalesce("relevant", empty), "rationale": F.coalesce("rationale", F.lit(""))}
+
+    def required(name: str):
+        return F.coalesce(F.col(name), F.raise_error(F.lit(f"gold query without {name}")).cast(GOLD_QUERY[name].dataType))
+
+    needed = [f.name for f in GOLD_QUERY.fields if f.name not in ("relevant", "rationale")]
+    return rows.withColumns(
+        {n: required(n) for n in needed} | {"relevant": F.coalesce("relevant", empty), "rationale": F.coalesce("rationale", F.lit(""))}
     )
 
 
