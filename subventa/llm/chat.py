@@ -85,18 +85,22 @@ def jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
         *_KEY, F.when(F.col("known"), F.col("parent_id")).alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total")
     )
     step = materialise(step, "jump")
-    rounds = [step.filter("up is not null").select(*_KEY, "up")]
+    state = ["tree_id", "node_id", "up", "depth", "total"]
+    active, done = step.filter("up is not null").select(state), step.filter("up is null").select(state)
+    rounds = [active.select(*_KEY, "up")]
     most = step.count()
     reach = 1
+    # Nodes that have met their root wait in `done`; only the others are joined again.
     while rounds[-1].take(1) and reach <= most:
-        above = step.select("tree_id", F.col("node_id").alias("up"), F.col("up").alias("far"), F.col("depth").alias("d"), F.col("total").alias("t"))
-        step = step.join(above, ["tree_id", "up"], "left").select(
+        above = done.union(active).select("tree_id", F.col("node_id").alias("up"), F.col("up").alias("far"), F.col("depth").alias("d"), F.col("total").alias("t"))
+        moved = active.join(above, ["tree_id", "up"], "left").select(
             *_KEY, F.col("far").alias("up"), (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("t", F.lit(0.0))).alias("total")
         )
-        step = materialise(step, "jump")
-        rounds.append(step.filter("up is not null").select(*_KEY, "up"))
+        moved = materialise(moved, "jump")
+        active, done = moved.filter("up is not null").select(state), done.union(moved.filter("up is null").select(state))
+        rounds.append(active.select(*_KEY, "up"))
         reach *= 2
-    return rounds, step.filter("up is null").select(*_KEY, "depth", "total")
+    return rounds, done.select(*_KEY, "depth", "total")
 
 
 def ranked_branches(nodes: DataFrame, summed: DataFrame) -> DataFrame:

@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from subventa.llm.store import free_name
 
@@ -520,5 +521,5 @@ def main_texts(pages: DataFrame, column: str = "html", out: str = "text", trees:
         raise ValueError("the text needs a column of its own")
     left = pages.select([F.col(c) for c in pages.columns if c.lower() != out.lower()])
     name = free_name(left, out)
-    schema = left.schema.add(name, "string")
+    schema = T.StructType([*left.schema.fields, T.StructField(name, T.StringType())])
     return left.mapInArrow(_text_batches(trees, column, name), schema)
