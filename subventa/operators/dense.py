@@ -143,77 +143,86 @@ def _grid(q: DataFrame, rows: DataFrame, k: int, schema: T.StructType, block: in
         "_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(q_parts - 1).cast("bigint")))
     )
 
+    return _cells(left, right, ["_b", "_c"], k, schema)
+
+
+def _cells(left: DataFrame, right: DataFrame, keys: list[str], k: int, schema: T.StructType) -> DataFrame:
+    """Best k rows per query in each cell; both sides of a cell are bounded by the caller."""
+
     def cell_best(part: pd.DataFrame, chunk: pd.DataFrame) -> pd.DataFrame:
         if part.empty or chunk.empty:
             return pd.DataFrame(columns=schema.fieldNames())
-        best = _Best(part, k)
+        best = _Best(part.reset_index(drop=True), k)
         best.add(chunk)
         frames = list(best.frames())
         return pd.concat(frames, ignore_index=True) if frames else pd.DataFrame(columns=schema.fieldNames())
 
-    return left.groupBy("_b", "_c").cogroup(right.groupBy("_b", "_c")).applyInPandas(cell_best, schema)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(cell_best, schema)
 
 
-class _Near(_Best):
-    """As _Best, but a query meets only rows that share a projection bucket with it."""
+# --- approximate search ---------------------------------------------------------------
 
-    def __init__(self, queries: pd.DataFrame, k: int, bucket: float, tables: int, min_similarity: float, seed: int):
-        super().__init__(queries, k)
-        self.bucket, self.min_similarity = bucket, min_similarity
-        lines = np.random.default_rng(seed).normal(size=(self.block.shape[1], tables))
-        self.lines = lines / np.linalg.norm(lines, axis=0)
-        self.own = self._buckets(self.block)
 
-    def _buckets(self, vectors: np.ndarray) -> np.ndarray:
-        return np.floor(vectors @ self.lines / self.bucket).astype(np.int64)
+def projection_lines(dims: int, lines: int, tables: int, seed: int) -> np.ndarray:
+    """(tables, dims, lines) of +1 and -1."""
+    return np.random.default_rng(seed).choice(np.array([-1.0, 1.0]), size=(tables, dims, lines))
 
-    def add(self, rows: pd.DataFrame) -> None:
-        if rows.empty:
-            return
-        ids, vectors = rows["grant_id"].to_numpy(), _unit(rows["embedding"])
-        buckets = self._buckets(vectors)
-        order = np.argsort(buckets, axis=0, kind="stable")
-        near = []
-        for t in range(buckets.shape[1]):
-            column = buckets[order[:, t], t]
-            near.append((np.searchsorted(column, self.own[:, t]), np.searchsorted(column, self.own[:, t], "right")))
-        for wanted, queries in self.groups:
-            use = np.ones(len(ids), dtype=bool)
-            for column, value in wanted.items():
-                use &= rows[column].to_numpy() == value
-            for q in queries:
-                hit = np.unique(np.concatenate([order[lo[q] : hi[q], t] for t, (lo, hi) in enumerate(near)]))
-                hit = hit[use[hit]]
-                if not len(hit):
-                    continue
-                sims = np.round(vectors[hit] @ self.block[q], DIGITS)
-                close = sims >= self.min_similarity
-                self.top.offer(q, ids[hit[close]], sims[close])
+
+def projection_keys(vectors: np.ndarray, directions: np.ndarray) -> np.ndarray:
+    """(rows, tables): the signs along each table's lines as bits, the first line lowest."""
+    bits = np.einsum("nd,tdl->ntl", vectors, directions) >= 0
+    return (bits * (1 << np.arange(directions.shape[2]))).sum(axis=2)
+
+
+def _keyed(df: DataFrame, lines: int, tables: int, masks: list[int], seed: int) -> DataFrame:
+    """`df` once per table and mask, with table `_t` and key `_k` (the row's own key with the mask's bits flipped)."""
+    schema = T.StructType([*df.schema.fields, T.StructField("_t", T.IntegerType()), T.StructField("_k", T.LongType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if batch.empty:
+                continue
+            unit = _unit(batch["embedding"])
+            own = projection_keys(unit, projection_lines(unit.shape[1], lines, tables, seed))
+            for t in range(tables):
+                for mask in masks:
+                    yield batch.assign(_t=np.int32(t), _k=(own[:, t] ^ mask).astype(np.int64))
+
+    return df.mapInPandas(run, schema)
 
 
 def approximate_top_k(
     queries: DataFrame,
     corpus: DataFrame,
     k: int = 50,
-    bucket_length: float = 1.0,
-    tables: int = 6,
-    max_distance: float = 1.6,
+    lines: int = 8,
+    tables: int = 4,
+    flips: int = 2,
     seed: int = 42,
-    max_block_queries: int = MAX_BLOCK_QUERIES,
+    cell_rows: int = CELL_ROWS,
+    cell_queries: int = MAX_BLOCK_QUERIES,
 ) -> DataFrame:
-    """Approximate variant over random-projection buckets of unit vectors.
-
-    Rows are compared with a query only where at least one of `tables`
-    projections puts both into the same bucket, so far fewer products are
-    computed; the corpus is scanned without a shuffle whatever the bucket
-    sizes. For unit vectors the squared distance is 2(1 - cosine). Recall
-    depends on bucket length and table count; dense_top_k is the exact way and
-    takes over where the queries exceed one block.
+    """As dense_top_k, but a query meets only rows near it by sign keys.
+
+    Each table gives a vector the signs along its lines as a key. A query looks
+    up its own key and those that differ in at most `flips` bits; it is compared
+    exactly with the rows it meets in any table. So it is compared with about
+    tables * (1 + lines + ...) / 2**lines of the rows at most. More lines or
+    fewer flips compare less and suit clustered vectors; the defaults suit
+    vectors with little structure. Queries and rows meet by table and key; a key
+    with many rows or queries is cut into cells of bounded size, and the way is
+    the same for any number of queries.
     """
     q, rows, schema = _sides(queries, corpus)
-    block = collect_within(q, max_block_queries)
-    if block is None:
-        return dense_top_k(queries, corpus, k, max_block_queries)
-    floor = 1 - max_distance * max_distance / 2
-    near = _scan(block, rows, schema, lambda b: _Near(b, k, bucket_length, tables, floor, seed))
-    return top_per_key(near, ["qid"], [F.desc("similarity"), F.col("grant_id")], k)
+    masks = [m for m in range(1 << lines) if m.bit_count() <= flips]
+    left, right = _keyed(q, lines, tables, masks, seed), _keyed(rows, lines, tables, [0], seed)
+    # At most tables * 2**lines keys.
+    sizes = right.groupBy("_t", "_k").agg(F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("_cs"))
+    asked = left.groupBy("_t", "_k").agg(F.ceil(F.count(F.lit(1)) / cell_queries).cast("int").alias("_bs"))
+    cuts = F.broadcast(sizes.join(asked, ["_t", "_k"]))
+    own_block, own_cell = F.pmod(F.xxhash64("qid"), F.col("_bs")).cast("int"), F.pmod(F.xxhash64("grant_id"), F.col("_cs")).cast("int")
+    left = left.join(cuts, ["_t", "_k"]).withColumns({"_b": own_block, "_c": F.explode(F.sequence(F.lit(0), F.col("_cs") - 1))}).drop("_bs", "_cs")
+    right = right.join(cuts, ["_t", "_k"]).withColumns({"_c": own_cell, "_b": F.explode(F.sequence(F.lit(0), F.col("_bs") - 1))}).drop("_bs", "_cs")
+    met = _cells(left, right, ["_t", "_k", "_b", "_c"], k, schema)
+    once = met.groupBy("qid", "grant_id").agg(F.max("similarity").alias("similarity"))
+    return top_per_key(once, ["qid"], [F.desc("similarity"), F.col("grant_id")], k)

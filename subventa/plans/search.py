@@ -9,7 +9,7 @@ from subventa.functions.trigram import similarity
 from subventa.functions.vectors import l2_normalise
 from subventa.operators import cache as K
 from subventa.operators import retrieve as R
-from subventa.operators.dense import approximate_top_k, dense_top_k
+from subventa.operators.dense import approximate_top_k, dense_top_k, projection_lines
 from subventa.operators.fusion import reciprocal_rank_fusion
 from subventa.operators.order import blocked_rank, top_per_key
 from subventa.operators.sparse import sparse_top_k
@@ -86,7 +86,21 @@ def dense_filtered(spark, sf_dir):
     return dense_top_k(asked, corpus, 10).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("dense_approximate")
+def _key_sql(table_no: int) -> str:
+    """Sign key of `embedding` along one table's lines, written out."""
+    lines = projection_lines(64, 8, 4, 42)[table_no].T
+    bits = [f"CASE WHEN {_dot_sql('embedding', '[' + ','.join(str(int(x)) for x in line) + ']')} >= 0 THEN {1 << i} ELSE 0 END" for i, line in enumerate(lines)]
+    return " + ".join(bits)
+
+
+@query(
+    "dense_approximate",
+    f"""WITH v AS (SELECT vec_id, label, embedding, {", ".join(f"{_key_sql(t)} AS k{t}" for t in range(4))} FROM embeddings),
+    m AS (SELECT q.vec_id AS qid, c.vec_id AS grant_id, {_cosine_sql("q.embedding", "c.embedding")} AS s FROM v q, v c
+      WHERE {" OR ".join(f"bit_count(xor(q.k{t}, c.k{t})) <= 2" for t in range(4))})
+    SELECT qid, grant_id, round(s, 6) AS similarity, CAST(row_number() OVER w - 1 AS INTEGER) AS rank FROM m
+    WINDOW w AS (PARTITION BY qid ORDER BY s DESC, grant_id) QUALIFY row_number() OVER w <= 10""",
+)
 def dense_approximate(spark, sf_dir):
     queries, corpus = _vectors(spark, sf_dir)
     return approximate_top_k(queries, corpus, 10).withColumn("similarity", F.round("similarity", 6))

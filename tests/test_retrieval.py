@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from subventa.operators import cache as K
 from subventa.operators import retrieve as R
-from subventa.operators.dense import approximate_top_k, dense_top_k
+from subventa.operators.dense import approximate_top_k, dense_top_k, projection_keys, projection_lines
 from subventa.operators.fusion import reciprocal_rank_fusion
 from subventa.operators.sparse import sparse_top_k
 from tests.test_functions import reference_grams
@@ -58,13 +58,39 @@ def test_dense_filters(spark):
     assert got == {1: brute(m[1], m, 5, lambda i: i % 3 == 1), 2: brute(m[2], m, 5, lambda i: i % 2 == 1)}
 
 
-def test_approximate_recall(spark):
-    m = vectors(300, 16)
+def compared_share(q, m, lines, tables, flips):
+    directions = projection_lines(m.shape[1], lines, tables, 42)
+    a, b = projection_keys(q, directions), projection_keys(m, directions)
+    differ = np.bitwise_count(a[:, None, :] ^ b[None, :, :])
+    return (differ <= flips).any(axis=2).mean()
+
+
+def recall_of(spark, q, m, **settings):
+    corpus = corpus_frame(spark, m)
+    queries = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(q)], "qid int, embedding array<double>")
+    got, want = ranked(approximate_top_k(queries, corpus, 10, **settings)), ranked(dense_top_k(queries, corpus, 10))
+    return np.mean([len(set(got.get(i, [])) & set(want[i])) / 10 for i in range(len(q))])
+
+
+def test_approximate_on_vectors_without_structure(spark):
+    m = vectors(600, 64)
+    assert compared_share(m[:60], m, 8, 4, 2) <= 0.5
+    assert recall_of(spark, m[:60], m) >= 0.75
+
+
+def test_approximate_on_clusters_compares_few(spark):
+    rng = np.random.default_rng(4)
+    m = np.repeat(vectors(60, 64, seed=9), 12, axis=0) + 0.05 * rng.normal(size=(720, 64))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    assert compared_share(m[:80], m, 10, 4, 1) <= 0.1
+    assert recall_of(spark, m[:80], m, lines=10, flips=1) >= 0.95
+
+
+def test_approximate_is_the_same_in_small_cells(spark):
+    m = vectors(200, 16)
     corpus = corpus_frame(spark, m)
-    queries = spark.createDataFrame([(i, [float(x) for x in m[i]]) for i in range(20)], "qid int, embedding array<double>")
-    got, want = ranked(approximate_top_k(queries, corpus, 10)), ranked(dense_top_k(queries, corpus, 10))
-    recall = np.mean([len(set(got[i]) & set(want[i])) / 10 for i in range(20)])
-    assert recall > 0.9
+    queries = spark.createDataFrame([(i, [float(x) for x in m[i]]) for i in range(40)], "qid int, embedding array<double>")
+    assert ranked(approximate_top_k(queries, corpus, 10)) == ranked(approximate_top_k(queries, corpus, 10, cell_rows=3, cell_queries=4))
 
 
 def test_sparse_both_routes(spark):
