@@ -29,7 +29,7 @@ whole AS (
 o AS (SELECT * FROM n WHERE template NOT IN (SELECT template FROM whole)),
 big AS (SELECT leaf FROM o GROUP BY leaf HAVING greatest(count(DISTINCT k0), count(DISTINCT k1), count(DISTINCT k2), count(DISTINCT k3)) >= 3),
 s AS (SELECT row, place, k0, k1, k2, k3, leaf, n, unnest(range(n)) AS i, unnest(tokens) AS token FROM o WHERE leaf IN (SELECT leaf FROM big)),
-fixed AS (SELECT leaf, i, token FROM s GROUP BY leaf, i, token HAVING greatest(count(DISTINCT k0), count(DISTINCT k1), count(DISTINCT k2), count(DISTINCT k3)) >= 3),
+fixed AS (SELECT leaf, i, token FROM s GROUP BY leaf, i, token HAVING count(*) >= 3),
 g AS (
   SELECT row, place, k0, k1, k2, k3, leaf, string_agg(i::VARCHAR || ':' || token, ' ' ORDER BY i) AS name
   FROM s JOIN fixed USING (leaf, i, token) GROUP BY row, place, k0, k1, k2, k3, leaf, n HAVING 100 * count(*) >= 70 * n),

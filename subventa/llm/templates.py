@@ -5,8 +5,8 @@ A fixed-depth tree sorts lines by their number of tokens and their first
 `DEPTH` tokens. Two kinds of templates come out of it:
 
 * the whole line with its fields generalised;
-* inside a leaf, the tokens that at least `MIN_DOCS` independent documents have
-  at the same place; the other places are variable. Such a template needs at
+* inside a leaf of lines of `MIN_DOCS` independent documents, the tokens that as
+  many lines have at the same place; the other places are variable. Such a template needs at
   least `SIMILAR` percent fixed tokens.
 
 A template recurs when at least `MIN_DOCS` independent documents hold it. Copies
@@ -120,7 +120,7 @@ def recurring_places(docs: DataFrame, text: str = "text", depth: int = DEPTH, mi
     inside = inside.select("row", "x.place", "x.leaf", F.transform(F.split(generalised(F.col("x.line")), " "), lambda t: F.xxhash64(t)).alias("tokens"))
     inside = materialise(inside, "inside")
     spread = inside.select("row", "place", "leaf", F.size("tokens").alias("n"), F.posexplode("tokens").alias("i", "token"))
-    fixed = _independent(spread, kins, ["leaf", "i", "token"], min_docs).select("leaf", "i", "token")
+    fixed = _often(spread, ["leaf", "i", "token"], min_docs)
     named = F.sum(F.xxhash64("i", "token").cast("decimal(20,0)")).cast("string")
     general = (
         spread.join(fixed, ["leaf", "i", "token"])
