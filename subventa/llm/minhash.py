@@ -8,7 +8,9 @@
    two sketches the XOR population count grows with the samples that differ and
    is precise where similarity is high; a pair far below the threshold goes.
 4. The rest is confirmed on full sets. Classes of confirmed pairs are joined.
-5. Other classes that share a bucket but not yet a group are compared with each other
+5. Where a bucket still holds several groups, its largest class meets the classes of
+   other groups the same way.
+6. Other classes that share a bucket but not yet a group are compared with each other
    in blocks by size and sketch. Rows that find a partner meet again with their
    full sets, and links that join two groups are written. Pairs that only a test
    sees are never rows.
@@ -225,17 +227,17 @@ def _crossing(limit: int, percent: int):
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         left, right = _sides(rows)
-        hit: set[int] = set()
+        hit: dict[int, int] = {}
         if len(left) and len(right):
             near = _Near(left, right, int(rows["band"].iloc[0]), limit, percent)
             components = right["component"].to_numpy()
             for i, component in enumerate(left["component"].to_numpy()):
                 at = near.of(i, components, component)
                 if len(at):
-                    hit.add(int(near.ln[i]))
-                    hit.update(near.rn[at].tolist())
-        out = pd.DataFrame({"node": pd.Series(sorted(hit), dtype="int64")})
-        return out.assign(band=rows["band"].iloc[0], key=rows["key"].iloc[0])[["band", "key", "node"]]
+                    hit[int(near.ln[i])] = int(component)
+                    hit.update(zip(near.rn[at].tolist(), components[at].tolist()))
+        out = pd.DataFrame({"node": pd.Series(list(hit), dtype="int64"), "component": pd.Series(list(hit.values()), dtype="int64")})
+        return out.assign(band=rows["band"].iloc[0], key=rows["key"].iloc[0])[["band", "key", "node", "component"]]
 
     return run
 
@@ -310,36 +312,49 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     buckets = keyed.groupBy("band", "key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
     members = materialise(keyed.join(buckets.select("band", "key", "least"), ["band", "key"]), "members")
 
-    sketches = classes.select("node", "sketch")
-    starred = members.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    starred = (
-        starred.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("ka")), "a")
-        .join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("kb")), "b")
-        .filter(_bit_distance("ka", "kb") <= limit)
-        .select("a", "b")
-    )
-    starred = materialise(starred, "starred")
+    def plausible(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) whose sketches are near enough."""
+        sketches = classes.select("node", "sketch")
+        return (
+            pairs.distinct()
+            .join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("ka")), "a")
+            .join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("kb")), "b")
+            .filter(_bit_distance("ka", "kb") <= limit)
+            .select("a", "b")
+        )
+
+    starred = materialise(plausible(members.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))), "starred")
 
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
     met = members.select("node").distinct()
     sets = texts.join(met, "node", "left_semi").mapInArrow(_set_batches(width), "node long, members array<long>")
     sets = materialise(sets, "sets")
     linked = materialise(_confirmed(starred, sets, percent), "linked")
-    groups = components(linked)
 
-    # Classes in one bucket but in different groups; the bucket's smallest has met all others already.
-    others = members.filter("node <> least")
-    grouped = others.join(groups, others["node"] == groups["id"], "left").select(
-        "band", "key", "node", F.coalesce("component", "node").alias("component")
-    )
-    split = grouped.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+    def in_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
+        return rows.join(groups, rows["node"] == groups["id"], "left").select("band", "key", "node", F.coalesce("component", "node").alias("component"))
+
+    def split_buckets(grouped: DataFrame) -> DataFrame:
+        ends = grouped.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.struct("node", "component")).alias("top"))
+        return ends.filter("lo < hi").select("band", "key", F.col("top.node").alias("top"), F.col("top.component").alias("top_component"))
+
+    # Classes in one bucket but in different groups; the bucket's smallest has met all others, now its largest does.
+    grouped = in_groups(members.filter("node <> least"), components(linked))
+    grouped = materialise(grouped.join(split_buckets(grouped), ["band", "key"]), "mixed")
+    second = grouped.filter("component <> top_component").select(F.col("node").alias("a"), F.col("top").alias("b"))
+    linked = materialise(linked.union(_confirmed(materialise(plausible(second), "starred"), sets, percent)), "linked")
+
+    # What is left meets in blocks.
+    grouped = in_groups(grouped.filter("node <> top").select("band", "key", "node"), components(linked))
+    mixed = materialise(grouped.join(split_buckets(grouped).select("band", "key"), ["band", "key"]), "mixed")
     details = classes.select("node", "n_shingles", "sketch", "bands")
-    mixed = grouped.join(split.select("band", "key"), ["band", "key"]).join(details, "node")
     carried = ["node", "component", "n_shingles", "sketch", "bands"]
-    crossing = materialise(
-        _in_blocks(mixed, carried, F.lit(1), BLOCK_ROWS).applyInPandas(_crossing(limit, percent), "band int, key long, node long").distinct(), "crossing"
+    crossing = _in_blocks(mixed.join(details, "node"), carried, F.lit(1), BLOCK_ROWS).applyInPandas(
+        _crossing(limit, percent), "band int, key long, node long, component long"
     )
-    full = crossing.join(grouped, ["band", "key", "node"]).join(details, "node").join(sets, "node")
+    crossing = materialise(crossing.distinct(), "crossing")
+    detailed = details.join(sets, "node").join(crossing.select("node").distinct(), "node", "left_semi")
+    full = crossing.join(detailed, "node")
     more = _in_blocks(full, [*carried, "members"], 8 * F.col("n_shingles"), BLOCK_BYTES).applyInPandas(_linking(limit, percent), "a long, b long")
     links = linked.union(materialise(more.distinct(), "linked"))
     final = components(links)
