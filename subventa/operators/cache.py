@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 
 from subventa.functions.vectors import quantised_key
 from subventa.operators.dense import DIGITS
-from subventa.operators.retrieve import HYBRID_RERANK, fetch_live
+from subventa.operators.retrieve import DEFAULT_LIMIT, HYBRID_RERANK, ScoreFn, fetch_live, retrieve, stage_counts
 
 # Match threshold, entries kept and their life time (fixed values).
 MIN_SIMILARITY = 0.95
@@ -111,3 +112,50 @@ def rehydrate(entries: DataFrame, corpus: DataFrame, columns: list[str], small:
     """
     exploded = entries.select("key", F.posexplode("hits").alias("position", "h")).select("key", "position", "h.*")
     return fetch_live(exploded, corpus, columns, small)
+
+
+_RANKS = ("dense_rank", "sparse_rank", "rrf_score", "rerank_score")
+
+
+@dataclass(frozen=True)
+class CachedRetrieval:
+    """`hits` of all queries with cache_hit and cached_for_query, `counts` per query, and the next cache table."""
+
+    hits: DataFrame
+    counts: DataFrame
+    cache: DataFrame
+
+
+def retrieve_cached(
+    queries: DataFrame, corpus: DataFrame, cache: DataFrame, now: Column, score_fn: ScoreFn, limit: int = DEFAULT_LIMIT
+) -> CachedRetrieval:
+    """Reranked hits for a batch: stored results where an entry matches, retrieval for the misses alone.
+
+    `cache`: key, query, embedding, cached_at, hits, dense_count ... rerank_count,
+    and those of SCOPE that `queries` has. Grants gone since are skipped from a
+    stored result. What was retrieved becomes an entry of the next cache.
+    """
+    scope = [c for c in SCOPE if c in queries.columns and c in cache.columns]
+    names = ["dense_count", "sparse_count", "fused_count", "rerank_count"]
+    found = lookup(queries, cache, now).join(queries.select("qid", *scope), "qid")
+    held = newest_entries(cache, now).select("key", *scope, "hits", *names)
+    same = F.col("f.key") == F.col("c.key")
+    for c in scope:
+        same = same & F.col(f"f.{c}").eqNullSafe(F.col(f"c.{c}"))
+    # At most MAX_ENTRIES entries of one result page each.
+    served = found.alias("f").join(F.broadcast(held.alias("c")), same).select("f.qid", "f.cached_for_query", "c.hits", *[f"c.{n}" for n in names])
+    stored = served.select("qid", "cached_for_query", F.explode("hits").alias("h")).select("qid", "cached_for_query", "h.*")
+    stored = fetch_live(stored, corpus, [], small=False).withColumn("cache_hit", F.lit(True))
+
+    misses = queries.join(found.select("qid"), "qid", "left_anti")
+    result = retrieve(misses, corpus, HYBRID_RERANK, limit, score_fn)
+    fresh = result.hits.withColumns({"cache_hit": F.lit(False), "cached_for_query": F.lit(None).cast("string")})
+    counted = stage_counts(result, misses)
+
+    page = result.hits.groupBy("qid").agg(
+        F.sort_array(F.collect_list(F.struct("rank", "grant_id", "final_score", *_RANKS))).alias("hits")
+    )
+    entries = misses.select("qid", "query", "embedding", *scope).join(page, "qid").join(counted, "qid").drop("qid").withColumn("cached_at", now)
+    columns = ["qid", "grant_id", "rank", "final_score", *_RANKS, "cache_hit", "cached_for_query"]
+    counts = counted.select("qid", *names).unionByName(served.select("qid", *names))
+    return CachedRetrieval(fresh.select(columns).unionByName(stored.select(columns)), counts, store(cache, entries, now))

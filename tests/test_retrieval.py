@@ -178,3 +178,35 @@ def test_cache(spark):
         "qid int, embedding array<double>, portal string",
     )
     assert [(r["qid"], r["cached_for_query"]) for r in K.lookup(ask, kept, now).collect()] == [(1, "q4")]
+
+
+def test_cached_retrieval_fetches_misses_alone(spark):
+    from subventa.operators.retrieve import contains_scorer, retrieve
+
+    m = vectors(40, 16, seed=3)
+    corpus = corpus_frame(spark, m)
+    schema = "qid int, query string, embedding array<double>, portal string"
+    ask = spark.createDataFrame([(i, f"title {i} grant", [float(x) for x in m[i]], "p1" if i == 2 else None) for i in range(4)], schema)
+    now = F.lit("2026-01-02 00:00:00").cast("timestamp")
+    hit = "array<struct<rank int, grant_id bigint, final_score double, dense_rank int, sparse_rank int, rrf_score double, rerank_score double>>"
+    counts = ", ".join(f"{n} bigint" for n in ("dense_count", "sparse_count", "fused_count", "rerank_count"))
+    empty = spark.createDataFrame([], f"key string, query string, embedding array<double>, portal string, cached_at timestamp, hits {hit}, {counts}")
+    rows = lambda df: sorted((r.qid, r["rank"], r.grant_id, r.final_score) for r in df.collect())
+
+    plain = retrieve(ask, corpus, score_fn=contains_scorer)
+    first = K.retrieve_cached(ask.filter("qid < 3"), corpus, empty, now, contains_scorer)
+    assert rows(first.hits) == rows(plain.hits.filter("qid < 3")) and not first.hits.filter("cache_hit").count()
+    cache = spark.createDataFrame(first.cache.collect(), first.cache.schema)
+    assert cache.count() == 3
+
+    # Another corpus shows what is retrieved again: only query 3 is; stored grants that are gone are skipped.
+    gone = corpus.filter("grant_id not in (0, 5)")
+    second = K.retrieve_cached(ask, gone, cache, now, contains_scorer)
+    by_hit = {(r.qid, r.cache_hit) for r in second.hits.select("qid", "cache_hit").distinct().collect()}
+    assert by_hit == {(0, True), (1, True), (2, True), (3, False)}
+    assert rows(second.hits.filter("qid < 3")) == [x for x in rows(first.hits) if x[2] not in (0, 5)]
+    assert rows(second.hits.filter("qid = 3")) == rows(retrieve(ask, gone, score_fn=contains_scorer).hits.filter("qid = 3"))
+    assert sorted(map(tuple, second.counts.filter("qid < 3").collect())) == sorted(map(tuple, first.counts.collect()))
+    # The portal is part of an entry's identity.
+    other = ask.filter("qid = 2").withColumn("portal", F.lit("p2"))
+    assert not K.retrieve_cached(other, corpus, cache, now, contains_scorer).hits.filter("cache_hit").count()
