@@ -45,17 +45,36 @@ def task_rows(texts: DataFrame, text_col: str = "text") -> DataFrame:
 def run_model(keyed: DataFrame, embed_fn: EmbedFn, max_tasks: int | None = None) -> DataFrame:
     """(key, task, bare_text) to (key, embedding), 32 texts per call.
 
-    `max_tasks` bounds how many calls run at once against a shared model.
+    `max_tasks` bounds how many calls run at once against a shared model. A call
+    that fails is repeated text by text; a text that fails alone gets a null
+    embedding, which counts as failed and stays missing in the store.
     """
 
+    def vectors_of(texts: pd.Series, tasks: pd.Series) -> list:
+        vectors = embed_fn(texts, tasks)
+        if len(vectors) != len(texts):
+            raise RuntimeError(f"model returned {len(vectors)} vectors for {len(texts)} texts")
+        return [list(map(float, v)) for v in vectors]
+
+    def one_by_one(texts: pd.Series, tasks: pd.Series) -> list:
+        out = []
+        for i in range(len(texts)):
+            try:
+                out += vectors_of(texts.iloc[i : i + 1].reset_index(drop=True), tasks.iloc[i : i + 1].reset_index(drop=True))
+            except Exception:  # counted by embed_totals
+                out.append(None)
+        return out
+
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for start in range(0, len(batch), MODEL_BATCH):
                 part = batch.iloc[start : start + MODEL_BATCH]
-                vectors = embed_fn(part["bare_text"].reset_index(drop=True), part["task"].reset_index(drop=True))
-                if len(vectors) != len(part):
-                    raise RuntimeError(f"model returned {len(vectors)} vectors for {len(part)} texts")
-                yield pd.DataFrame({"key": part["key"].values, "embedding": [list(map(float, v)) for v in vectors]})
+                texts, tasks = part["bare_text"].reset_index(drop=True), part["task"].reset_index(drop=True)
+                try:
+                    vectors = vectors_of(texts, tasks)
+                except Exception:
+                    vectors = one_by_one(texts, tasks)
+                yield pd.DataFrame({"key": part["key"].values, "embedding": vectors})
 
     rows = keyed.select("key", "task", "bare_text")
     rows = spread_small(rows) if max_tasks is None else rows.repartition(max_tasks, "key")
@@ -81,7 +100,7 @@ def backfill(
     keyed = task_rows(texts, text_col)
     new = run_model(missing_embeddings(keyed, store), embed_fn, max_tasks)
     vectors = store.select("key", "embedding").unionByName(new)
-    return keyed.join(vectors, "key", "left"), new
+    return keyed.join(vectors, "key", "left"), new.filter(F.col("embedding").isNotNull())
 
 
 def re_embed(corpus: DataFrame, embed_fn: EmbedFn, limit: int | None = None, max_tasks: int | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ after a failure writes the same version again.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,24 +44,45 @@ def refresh(
     def batch(pages: DataFrame, batch_id: int) -> None:
         session = pages.sparkSession
         version = batch_id + 1
-        started = F.current_timestamp()
-        tagged = pages.withColumn("portal", portal(F.col("url")))
-        # Parsed once and stored: the ledger and the snapshot both read it.
-        records = f"{root}/records/batch={batch_id}"
-        with_rejections(extract_records(tagged)).write.mode("overwrite").parquet(records)
-        checked = session.read.parquet(records)
-        target = read_snapshot(session, f"{root}/corpus", below=version)
-        run = ingest_pages(tagged, target, F.lit(f"batch-{batch_id}"), started, checked)
-        run.rejects.write.mode("overwrite").parquet(f"{root}/rejects/batch={batch_id}")
-        ledger = run.ledger.withColumns(
-            {"trigger": F.lit("scheduled"), "started_at": started, "finished_at": started, "embedded": F.lit(False)}
-        )
-        columns = [
-            F.col(f.name).cast(f.dataType) if f.name in ledger.columns else F.lit(None).cast(f.dataType).alias(f.name)
-            for f in RUN_LEDGER.fields
-        ]
-        ledger.select(*columns).write.mode("overwrite").parquet(f"{root}/ledger/batch={batch_id}")
-        write_snapshot(run.snapshot, f"{root}/corpus", version)
+        # The driver's clock: an expression would be evaluated anew by every action.
+        began = datetime.now(timezone.utc)
+        started = F.lit(began)
+
+        def close(ledger: DataFrame) -> None:
+            ended = datetime.now(timezone.utc)
+            filled = ledger.withColumns(
+                {
+                    "trigger": F.lit("scheduled"),
+                    "started_at": started,
+                    "finished_at": F.lit(ended),
+                    "duration_ms": F.lit(int((ended - began).total_seconds() * 1000)),
+                    "embedded": F.lit(False),
+                }
+            )
+            columns = [
+                F.col(f.name).cast(f.dataType) if f.name in filled.columns else F.lit(None).cast(f.dataType).alias(f.name)
+                for f in RUN_LEDGER.fields
+            ]
+            filled.select(*columns).write.mode("overwrite").parquet(f"{root}/ledger/batch={batch_id}")
+
+        try:
+            tagged = pages.withColumn("portal", portal(F.col("url")))
+            # Parsed once and stored: the ledger and the snapshot both read it.
+            records = f"{root}/records/batch={batch_id}"
+            with_rejections(extract_records(tagged)).write.mode("overwrite").parquet(records)
+            checked = session.read.parquet(records)
+            target = read_snapshot(session, f"{root}/corpus", below=version)
+            run = ingest_pages(tagged, target, F.lit(f"batch-{batch_id}"), started, checked)
+            run.rejects.write.mode("overwrite").parquet(f"{root}/rejects/batch={batch_id}")
+            write_snapshot(run.snapshot, f"{root}/corpus", version)
+            close(run.ledger)
+        except Exception as error:
+            failed = session.createDataFrame(
+                [(f"batch-{batch_id}", "failed", 0, 0, 0, 0, str(error), type(error).__name__)],
+                "run_id string, status string, inserted long, updated long, skipped_unchanged long, failed long, error string, error_type string",
+            )
+            close(failed)
+            raise
 
     return (
         page_stream(spark, pages_path, max_files)

@@ -114,3 +114,18 @@ def test_backfill_calls_the_model_once_per_text(spark):
     assert vectors[2] == vectors[3] and vectors[4] == vectors[5] and None not in vectors.values()
     totals = M.embed_totals(filled).first()
     assert (totals["embedded"], totals["failed"]) == (5, 0)
+
+
+def test_failing_texts_are_counted_one_by_one(spark):
+    plain = M.hashed_trigram_embedder()
+
+    def picky(texts, tasks):
+        if texts.str.contains("bad").any():
+            raise ValueError("model refuses")
+        return plain(texts, tasks)
+
+    texts = spark.createDataFrame([(i, "bad text" if i % 7 == 0 else f"text {i}") for i in range(50)], "doc_id int, text string").coalesce(1)
+    store = spark.createDataFrame([], "key string, embedding array<float>")
+    filled, new = M.backfill(texts, store, picky)
+    assert {r.doc_id for r in filled.filter("embedding is null").collect()} == set(range(0, 50, 7))
+    assert new.count() == 42 and M.embed_totals(filled).first()["failed"] == 8

@@ -35,6 +35,20 @@ def test_drained_stream_equals_one_batch(spark, tmp_path):
     assert whole.snapshot.select(*columns).exceptAll(stored).count() == 0
     ledger = spark.read.parquet(f"{root}/ledger").agg(F.sum("inserted"), F.sum("failed")).first()
     assert ledger[0] == stored.count() and ledger[0] + ledger[1] == pages.count()
+    closed = spark.read.parquet(f"{root}/ledger").filter("finished_at > started_at and duration_ms >= 0 and error is null")
+    assert closed.count() == spark.read.parquet(f"{root}/ledger").count()
     # the same pages as a new batch change nothing
     again = ingest_pages(tagged, read_snapshot(spark, f"{root}/corpus"), F.lit("r"), F.current_timestamp())
     assert {r["action"] for r in again.outcomes.select("action").distinct().collect()} <= {"skipped_unchanged", "failed"}
+
+
+def test_failed_run_leaves_a_ledger_row(spark, tmp_path):
+    inbox, root = str(tmp_path / "inbox"), str(tmp_path / "store")
+    spark.read.parquet(PAGES).limit(3).write.parquet(inbox)
+    query = refresh(spark, inbox, root, lambda url: F.raise_error(F.lit("portal map is down")).cast("string"))
+    try:
+        query.awaitTermination()
+    except Exception as error:
+        assert "portal map is down" in str(error)
+    row = spark.read.parquet(f"{root}/ledger").first()
+    assert row.status == "failed" and "portal map is down" in row.error and row.error_type and row.finished_at > row.started_at
