@@ -117,7 +117,7 @@ def _critic_kinds(d: Column) -> Column:
             no_text(f, "$.type", required=True) | kind_of(f, "$.severity").isNull() | no_text(f, "$.grant_id", nullable=True) | no_text(f, "$.message", required=True)
         )
 
-    return no_text(d, "$.summary", required=True) | no_record_list(d, "$.findings", bad)
+    return no_text(d, "$.summary") | no_record_list(d, "$.findings", bad)
 
 
 def _writer_kinds(d: Column) -> Column:
@@ -127,7 +127,7 @@ def _writer_kinds(d: Column) -> Column:
             out = out | no_text(r, f"$.{name}", required=True)
         return out
 
-    return no_text(d, "$.summary", required=True) | no_record_list(d, "$.recommendations", bad)
+    return no_text(d, "$.summary", required=True) | no_text_list(d, "$.questions_for_user") | no_record_list(d, "$.recommendations", bad)
 
 
 # Kinds of fields per stage.
