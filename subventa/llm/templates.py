@@ -139,7 +139,8 @@ def without_recurring(docs: DataFrame, text: str = "text", counts: tuple[str, st
     found = materialise(recurring_places(docs, text, **settings), "places")
     row, places, lines = (free_name(docs, n) for n in ("_row", "_places", "_lines"))
     found = found.select(F.col("row").alias(row), F.col("places").alias(places))
-    out = docs.withColumn(row, F.xxhash64(F.col(text))).join(found, row, "left").withColumn(lines, F.split(text, "\n", -1))
+    # One join strategy at every size; adaptive execution may still split a text that many rows share.
+    out = docs.withColumn(row, F.xxhash64(F.col(text))).join(found.hint("merge"), row, "left").withColumn(lines, F.split(text, "\n", -1))
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(places))
     left = F.array_join(F.transform(stay, lambda i: F.get(F.col(lines), i)), "\n")
     changed = {text: F.when(F.col(places).isNull(), F.col(text)).otherwise(left)}
