@@ -70,7 +70,11 @@ def _line_tables(docs: DataFrame, text: str, depth: int, min_tokens: int) -> tup
         F.xxhash64(text).alias("row"), F.transform(F.transform(F.split(text, "\n", -1), generalised), lambda g: _parsed(g, depth, min_tokens)).alias("lines")
     )
     names = F.transform(F.filter("lines", lambda x: x["name"].isNotNull()), lambda x: x["name"])
-    turned = [F.transform(names, lambda n, o=o: F.concat(F.substring(n, 1 + o, 32 - o), F.substring(n, 1, o))) for o in (8, 16, 24)]
+
+    def rotated(by: int) -> Column:
+        return F.transform(names, lambda n: F.concat(F.substring(n, 1 + by, 32 - by), F.substring(n, 1, by)))
+
+    turned = [rotated(by) for by in (8, 16, 24)]
     kins = F.array(*[F.xxhash64(F.array_min(t)) for t in (names, *turned)])
     small = F.transform("lines", lambda x: F.struct(x["leaf"].alias("leaf"), F.when(x["name"].isNotNull(), F.xxhash64(x["name"])).alias("template")))
     both = materialise(staged.select("row", kins.alias("kins"), small.alias("lines")), "lines")
