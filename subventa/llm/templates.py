@@ -11,11 +11,12 @@ A fixed-depth tree sorts lines by their number of tokens and their first
 
 A template recurs when at least `MIN_DOCS` independent documents hold it. Copies
 of a document are not independent: exact copies count as one text, and texts
-whose smallest template is the same count as one kin. A template shared by near
-copies alone has few kins among many texts, so kins must also be at least half
-the texts. The smallest template may be one that all share, so there are four
-orders (MD5 digests, rotated), and the order with the most kins counts. Lines of
-recurring templates are dropped from every document, in no other way is a text
+whose smallest line is the same count as one kin. Lines are taken as they stand
+here, so texts made of the same templates with other field values are no copies.
+A template shared by near copies alone has few kins among many texts, so kins
+must also be at least half the texts. The smallest line may be one that all
+share, so there are four orders (MD5 digests, rotated), and the order with the
+most kins counts. Lines of recurring templates are dropped from every document, in no other way is a text
 changed.
 
 Only hashes of lines are shuffled; leaves and templates are counted with partial
@@ -67,7 +68,7 @@ def _within(df: DataFrame, limit: int) -> DataFrame:
 def _line_tables(docs: DataFrame, text: str, depth: int, min_tokens: int) -> tuple[DataFrame, DataFrame]:
     """Per line: row (hash of the text), place, leaf, template; and per text: row, kins. Copies are one row."""
     staged = docs.select(text).filter(F.col(text).isNotNull()).select(
-        F.xxhash64(text).alias("row"), F.transform(F.transform(F.split(text, "\n", -1), generalised), lambda g: _parsed(g, depth, min_tokens)).alias("lines")
+        F.xxhash64(text).alias("row"), F.transform(F.split(text, "\n", -1), lambda line: _parsed(line, generalised(line), depth, min_tokens)).alias("lines")
     )
     names = F.transform(F.filter("lines", lambda x: x["name"].isNotNull()), lambda x: x["name"])
 
@@ -76,16 +77,18 @@ def _line_tables(docs: DataFrame, text: str, depth: int, min_tokens: int) -> tup
 
     turned = [rotated(by) for by in (8, 16, 24)]
     kins = F.array(*[F.xxhash64(F.array_min(t)) for t in (names, *turned)])
-    small = F.transform("lines", lambda x: F.struct(x["leaf"].alias("leaf"), F.when(x["name"].isNotNull(), F.xxhash64(x["name"])).alias("template")))
+    small = F.transform("lines", lambda x: F.struct(x["leaf"].alias("leaf"), x["template"].alias("template")))
     both = materialise(staged.select("row", kins.alias("kins"), small.alias("lines")), "lines")
     lines = both.select("row", F.posexplode("lines").alias("place", "line")).filter("line.template is not null")
     return lines.select("row", "place", "line.leaf", "line.template"), both.select("row", "kins").distinct()
 
 
-def _parsed(general: Column, depth: int, min_tokens: int) -> Column:
+def _parsed(line: Column, general: Column, depth: int, min_tokens: int) -> Column:
+    long = token_count(general) >= min_tokens
     return F.struct(
         F.xxhash64(token_count(general), F.substring_index(general, " ", depth)).alias("leaf"),
-        F.when(token_count(general) >= min_tokens, F.md5(general.cast("binary"))).alias("name"),
+        F.when(long, F.xxhash64(F.md5(general.cast("binary")))).alias("template"),
+        F.when(long, F.md5(line.cast("binary"))).alias("name"),
     )
 
 

@@ -46,3 +46,8 @@ def test_odd_rows(spark):
     got = left(spark, rows)
     assert got == {(1, None, 0, 0), (2, "", 1, 0), (3, "\n\n", 3, 0), (4, long, 5000, 0), (5, f"{own(1)}\n", 3, 1), (6, own(2), 2, 1), (None, own(3), 2, 1)}
     assert left(spark, []) == set()
+
+
+def test_texts_made_of_shared_templates_only(spark):
+    rows = [(i, f"connection {i} closed by peer\npage {i * 7} was not found here") for i in range(40)]
+    assert left(spark, rows) == {(i, "", 2, 2) for i in range(40)}
