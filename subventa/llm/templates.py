@@ -5,9 +5,12 @@ A fixed-depth tree sorts lines by their number of tokens and their first
 `DEPTH` tokens. Two kinds of templates come out of it:
 
 * the whole line with its fields generalised;
-* inside a leaf of lines of `MIN_DOCS` independent documents, the tokens that as
-  many lines have at the same place; the other places are variable. Such a template needs at
-  least `SIMILAR` percent fixed tokens.
+* inside a leaf of lines of `MIN_DOCS` independent documents, the fixed tokens;
+  the other places are variable. A token is fixed where it has more than `SHARE`
+  percent of the leaf's lines that have the same token before it, and of those
+  that have the same token behind it, and `MIN_DOCS` lines hold it there. Shares
+  do not depend on the size of the leaf, and neighbours tell apart templates that
+  meet in one leaf. Such a template needs at least `SIMILAR` percent fixed tokens.
 
 A template recurs when at least `MIN_DOCS` independent documents hold it. Copies
 of a document are not independent: exact copies count as one text, and texts
@@ -40,6 +43,7 @@ DEPTH = 4
 MIN_DOCS = 3
 MIN_TOKENS = 2
 SIMILAR = 70
+SHARE = 50
 FIELD = "<*>"
 
 _SPACES = " \t\n\x0b\f\r"
@@ -110,6 +114,25 @@ def _recurring(lines: DataFrame, kins: DataFrame, min_docs: int) -> DataFrame:
     return _independent(lines, kins, ["template"], min_docs).filter("2 * n_kins >= n_texts").select("template")
 
 
+def _fixed(spread: DataFrame, min_docs: int, share: int = SHARE) -> DataFrame:
+    """(leaf, i, before, token, behind) of fixed tokens."""
+    place = ["leaf", "i"]
+    seen = materialise(spread.groupBy(*place, "before", "token", "behind").agg(F.count(F.lit(1)).alias("n")), "tokens")
+
+    def of(*keys: str) -> DataFrame:
+        return seen.groupBy(*place, *keys).agg(F.sum("n").alias("n"))
+
+    def led(side: str) -> DataFrame:
+        whole = of(side).withColumnRenamed("n", "whole")
+        return of(side, "token").join(whole, [*place, side]).filter(100 * F.col("n") > share * F.col("whole")).select(*place, side, "token")
+
+    often = of("token").filter(F.col("n") >= min_docs)
+    out = seen.select(*place, "before", "token", "behind")
+    for keys, kept in ((["token"], often), (["before", "token"], led("before")), (["token", "behind"], led("behind"))):
+        out = out.join(kept, [*place, *keys], "left_semi")
+    return out
+
+
 def recurring_places(docs: DataFrame, text: str = "text", depth: int = DEPTH, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, similar: int = SIMILAR) -> DataFrame:
     """(row, places): hash of a text and the places of its lines that recurring templates hold."""
     lines, kins = _line_tables(docs, text, depth, min_tokens)
@@ -126,11 +149,12 @@ def recurring_places(docs: DataFrame, text: str = "text", depth: int = DEPTH, mi
     inside = texts.select("row", F.explode(F.transform("wanted", lambda x: F.struct(x["place"].alias("place"), x["leaf"].alias("leaf"), F.get(F.col("lines"), x["place"]).alias("line")))).alias("x"))
     inside = inside.select("row", "x.place", "x.leaf", F.transform(F.split(generalised(F.col("x.line")), " "), lambda t: F.xxhash64(t)).alias("tokens"))
     inside = materialise(inside, "inside")
-    spread = inside.select("row", "place", "leaf", F.size("tokens").alias("n"), F.posexplode("tokens").alias("i", "token"))
-    fixed = _often(spread, ["leaf", "i", "token"], min_docs)
+    beside = F.transform("tokens", lambda t, i: F.struct(t.alias("token"), *(F.coalesce(F.get("tokens", i + by), F.lit(0)).alias(n) for n, by in (("before", -1), ("behind", 1)))))
+    spread = inside.select("row", "place", "leaf", F.size("tokens").alias("n"), F.posexplode(beside).alias("i", "x")).select("row", "place", "leaf", "n", "i", "x.*")
+    fixed = _fixed(spread, min_docs)
     named = F.sum(F.xxhash64("i", "token").cast("decimal(20,0)")).cast("string")
     general = (
-        spread.join(fixed, ["leaf", "i", "token"])
+        spread.join(fixed, ["leaf", "i", "before", "token", "behind"])
         .groupBy("row", "place", "leaf", "n")
         .agg(F.count(F.lit(1)).alias("fixed"), named.alias("name"))
         .filter(100 * F.col("fixed") >= similar * F.col("n"))

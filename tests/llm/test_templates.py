@@ -51,3 +51,17 @@ def test_odd_rows(spark):
 def test_texts_made_of_shared_templates_only(spark):
     rows = [(i, f"connection {i} closed by peer\npage {i * 7} was not found here") for i in range(40)]
     assert left(spark, rows) == {(i, "", 2, 2) for i in range(40)}
+
+
+def spoken(i):
+    return "".join(chr(97 + int(d)) for d in f"{i:03d}")
+
+
+def field_rows(size):
+    return [(i, f"{spoken(i)} opening of its own\nThe user account named {spoken(i // size)}x has opened a file called {spoken(i % size)}y on this host today") for i in range(size * size)]
+
+
+def test_a_leaf_has_one_verdict_at_every_size(spark):
+    for size in (2, 4, 12):
+        rows = field_rows(size)
+        assert left(spark, rows) == {(i, t.split("\n")[0], 2, 1) for i, t in rows}
