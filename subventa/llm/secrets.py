@@ -2,7 +2,7 @@
 
 Patterns find the base spans. The field tags every token (run of characters
 other than ASCII white space) as begin, inside or outside of a secret and adds
-spans where the patterns found none; base spans always stay.
+what the patterns did not cover; base spans always stay as they are.
 
 * Features of a token: its shape (length, shares of digits, capitals and marks,
   changes between letter and digit, signs it holds), key words it is or starts
@@ -275,7 +275,19 @@ def may_hold_base(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-_EDGE = b"\"'`,.;:()[]{}<>"
+_EDGE = b"\"'`,.;:()[]{}<> \t\n\r\x0b\x0c"
+
+
+def _uncovered(a: int, b: int, covers: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of (a, b) outside of `covers`, which are sorted by start."""
+    out = []
+    for s, e in covers:
+        if s >= b:
+            break
+        if a < s:
+            out.append((a, s))
+        a = max(a, e)
+    return [*out, (a, b)] if a < b else out
 
 
 def spans_of(data: np.ndarray, offsets: np.ndarray, field: Field) -> list[list[tuple[int, int, int]]]:
@@ -295,10 +307,11 @@ def spans_of(data: np.ndarray, offsets: np.ndarray, field: Field) -> list[list[t
     for g in groups:
         i = int(row[g[0]])
         a, b = int(starts[at[g[0]]] - offsets[i]), int(ends[at[g[-1]]] - offsets[i])
-        raw = data[offsets[i] + a : offsets[i] + b].tobytes()
-        a, b = a + len(raw) - len(raw.lstrip(_EDGE)), b - (len(raw) - len(raw.rstrip(_EDGE)))
-        if a < b and not any(s < b and a < e for s, e, k in found[i] if k < 3):
-            found[i].append((a, b, 3))
+        for a, b in _uncovered(a, b, [(s, e) for s, e, k in found[i] if k < 3]):
+            raw = data[offsets[i] + a : offsets[i] + b].tobytes()
+            a, b = a + len(raw) - len(raw.lstrip(_EDGE)), b - (len(raw) - len(raw.rstrip(_EDGE)))
+            if a < b:
+                found[i].append((a, b, 3))
     return [sorted(x, key=lambda s: (s[0], s[2])) for x in found]
 
 

@@ -86,3 +86,14 @@ def test_field_adds_spans_patterns_miss(field):
 def test_masked_replaces_spans_only(spark, field):
     df = spark.createDataFrame([(1, "é a password=abc12345 b"), (2, None), (3, "clean words only")], SCHEMA).selectExpr("*", "4 as n")
     assert {(r.doc_id, r.text, r.n) for r in S.masked(df, field=field).collect()} == {(1, "é a [SECRET] b", 4), (2, None, 4), (3, "clean words only", 4)}
+
+
+def test_field_adds_what_base_spans_leave(field, monkeypatch):
+    # Every token is one secret, so that only the cut by base spans shows.
+    monkeypatch.setattr(S, "decode", lambda scores, moves, first: np.where(np.isin(np.arange(len(scores)), first), 1, 2).astype(np.int8))
+    run = "0123456789abcdef01234567"
+    for text, rest in [("password=hunter22!rest-of-it", ["!rest-of-it"]), (f"Zk9Q{run}Xy7Z", ["Zk9Q", "Xy7Z"]), ("token: Bearer eyJabc.def", ["eyJabc.def"]), ("password=hunter22", [])]:
+        data = np.frombuffer(text.encode(), np.uint8)
+        spans = S.spans_of(data, np.array([0, len(data)]), field)[0]
+        assert [text[a:b] for a, b, k in spans if k == 3] == rest
+        assert [s for s in spans if s[2] < 3] == S.base_spans(text.encode())
