@@ -1,7 +1,9 @@
 """Main text of web pages: boosted trees over DOM nodes, decoded along the tree.
 
 1. A tolerant tag scan builds the element tree of a page (implied end tags, raw
-   text elements, void elements).
+   text elements, void elements). A text run right under body or html is an
+   element of its own, of the kind of a paragraph. A head ends where something
+   begins that may not stand in it.
 2. Every element gets features: kind of tag, depth, place among its siblings and
    how many are alike, size and density of its subtree (text, link text, tags,
    paragraphs, sentence marks), tokens of class, id and role, and what its
@@ -39,6 +41,8 @@ from pyspark.sql import types as T
 from subventa.llm.store import free_name
 
 MADE_PAGES = 500
+# Further made pages whose article stands right in the body.
+MADE_BARE = 120
 SAMPLE_PAGES = 60
 TREES, DEPTH, BINS = 40, 4, 32
 
@@ -79,6 +83,10 @@ _KINDS = {
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[0-9]+")
 _STOPS = re.compile(r"[.!?,;]")
 N_FEATURES = 24
+# A text run under body or html, with the inline elements that follow in it.
+RUN = "#run"
+_KINDS[RUN] = _KINDS["p"]
+_IN_HEAD = set("head base basefont bgsound link meta title style script noscript noframes template".split())
 
 
 @dataclass
@@ -103,13 +111,25 @@ def parse(source: str) -> Page:
             if tags[gone] in _BLOCK:
                 events.append((gone, None))
 
+    def text_at(t: str) -> None:
+        if t.strip():
+            if tags[stack[-1]] == "head":
+                close_to(len(stack) - 1)
+            if tags[stack[-1]] in ("html", "body"):
+                tags.append(RUN)
+                parents.append(stack[-1])
+                depths.append(depths[stack[-1]] + 1)
+                attrs.append("")
+                stack.append(len(tags) - 1)
+        events.append((stack[-1], t))
+
     while at < n:
         m = _TAG.search(source, at)
         if m is None:
-            events.append((stack[-1], source[at:]))
+            text_at(source[at:])
             break
         if m.start() > at:
-            events.append((stack[-1], source[at : m.start()]))
+            text_at(source[at : m.start()])
         at = m.end()
         name = m[2] or m[5]
         if name is None:
@@ -143,7 +163,7 @@ def parse(source: str) -> Page:
                 if tags[stack[k]] in stop:
                     break
                 close_to(k)
-        if name == "body" and tags[stack[-1]] == "head":
+        if tags[stack[-1]] == "head" and name not in _IN_HEAD or tags[stack[-1]] == RUN and name in _BLOCK:
             close_to(len(stack) - 1)
         if name == "br":
             events.append((stack[-1], " "))
@@ -187,7 +207,7 @@ def features(page: Page) -> np.ndarray:
         if tag == "a":
             link[i] = own[i]
             links[i] = 1
-        if tag == "p":
+        if tag in ("p", RUN):
             paragraphs[i] = 1
         if tag in ("input", "button", "select", "textarea", "label"):
             forms[i] = 1
@@ -372,8 +392,8 @@ def _truth(page: Page) -> np.ndarray:
     return y
 
 
-def made_page(rng: random.Random, words: list[str]) -> str:
-    """A page of a random layout; data-k marks the article, data-x what does not belong to it."""
+def made_page(rng: random.Random, words: list[str], bare_body: bool = False) -> str:
+    """A page of a random layout; data-k marks the article, data-x what does not belong to it. `bare_body` leaves out the element around the article."""
     w = lambda a, b: " ".join(rng.choice(words) for _ in range(rng.randint(a, b)))
     sentence = lambda: (lambda s: s[:1].upper() + s[1:] + rng.choice([".", ".", "!", "?", ","]))(w(4, 16))
     prose = lambda a, b: " ".join(sentence() for _ in range(rng.randint(a, b)))
@@ -449,6 +469,11 @@ def made_page(rng: random.Random, words: list[str]) -> str:
     before = [f() for f in (notice, header, menu, form, advert) if rng.random() < 0.45]
     after = [f() for f in (comments, sidebar, form, share, advert, notice, footer) if rng.random() < 0.35]
     rng.shuffle(before)
+    if bare_body:
+        body = "".join(inside)
+        if rng.random() < 0.7:
+            body = re.sub(r"</?p>", rng.choice(["<br>", "<br><br>", " "]), body)
+        return f"<html><body data-k>{''.join(before) if rng.random() < 0.5 else ''}{body}{''.join(after) if rng.random() < 0.5 else ''}</body></html>"
     return f"<!DOCTYPE html><html><head><title>{w(1, 5)}</title><style>p{{}}</style></head><body>{''.join(before)}{body}{''.join(after)}</body></html>"
 
 
@@ -472,6 +497,8 @@ def fitted(sources: list[str]) -> Trees:
     words += ["the", "of", "and", "to", "in"] * 20
     xs, ys, ws = [], [], []
     pages = [parse(made_page(rng, words)) for _ in range(MADE_PAGES)]
+    own = random.Random(12)
+    pages += [parse(made_page(own, words, bare_body=True)) for _ in range(MADE_BARE)]
     labelled = [(p, _truth(p)) for p in pages] + [(p, y) for p in map(parse, sources) if (y := _sampled_truth(p)) is not None]
     for page, y in labelled:
         use = np.array([t not in _SILENT and t not in ("html", "body") for t in page.tags])

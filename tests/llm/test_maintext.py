@@ -72,3 +72,12 @@ def test_odd_pages(spark, trees):
     assert {(1, 0), (2, 0), (6, 499999), (6, 4)} <= texts
     assert M.main_texts(df.limit(0), trees=trees).count() == 0
     assert isinstance(M.fitted([]), M.Trees)
+
+
+@pytest.mark.parametrize("opening", ["", "<body>", "<head><title>T</title>", "<html><head><title>T</title></head>", "<!DOCTYPE html><html><head><meta charset=x><body>"])
+def test_articles_right_in_the_body(trees, opening):
+    lines = ["The fox ran over the hill, and the bird sat in an oak.", "No one saw the quiet pond, but the reed knew it well.", "At last the sand was warm again, said the old tree."]
+    assert M.extracted(opening + "<br>".join(lines), trees) == " ".join(lines)
+    assert M.extracted(opening + "".join(f"<p>{x}" for x in lines), trees) == "\n".join(lines)
+    assert M.extracted(f"{opening}{lines[0]} <b>{lines[1]}</b> {lines[2]}", trees) == " ".join(lines)
+    assert M.extracted(f"{opening}{lines[0]}<p>{lines[1]}</p>{lines[2]}", trees) == "\n".join(lines)
