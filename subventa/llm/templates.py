@@ -49,8 +49,6 @@ FIELD = "<*>"
 _SPACES = " \t\n\x0b\f\r"
 _SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 _FIELD = "[^ 0-9]*+[0-9][^ ]*+"
-# Keys that a broadcast may hold (16 bytes each).
-_BROADCAST_KEYS = 1_000_000
 
 
 def generalised(line: Column) -> Column:
@@ -64,11 +62,6 @@ def token_count(general: Column) -> Column:
     return F.length(general) - F.length(F.translate(general, " ", "")) + 1
 
 
-def _within(df: DataFrame, limit: int) -> DataFrame:
-    """Broadcast hint behind a count, the frame itself beyond the limit."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def _line_tables(docs: DataFrame, text: str, depth: int, min_tokens: int) -> tuple[DataFrame, DataFrame]:
     """Per line: row (hash of the text), place, leaf, template; and per text: row, kins. Copies are one row."""
     staged = docs.select(text).filter(F.col(text).isNotNull()).select(
@@ -144,7 +137,7 @@ def recurring_places(docs: DataFrame, text: str = "text", depth: int = DEPTH, mi
     leaves = _independent(open_lines, kins, ["leaf"], min_docs).select("leaf")
     wanted = open_lines.join(leaves, "leaf", "left_semi").groupBy("row").agg(F.collect_set(F.struct("place", "leaf")).alias("wanted"))
     wanted = materialise(wanted, "wanted")
-    texts = docs.select(F.xxhash64(text).alias("row"), F.col(text).alias("body")).filter("body is not null").join(_within(wanted, _BROADCAST_KEYS // 16), "row")
+    texts = docs.select(F.xxhash64(text).alias("row"), F.col(text).alias("body")).filter("body is not null").join(wanted.hint("merge"), "row")
     texts = texts.dropDuplicates(["row"]).withColumn("lines", F.split("body", "\n", -1))
     inside = texts.select("row", F.explode(F.transform("wanted", lambda x: F.struct(x["place"].alias("place"), x["leaf"].alias("leaf"), F.get(F.col("lines"), x["place"]).alias("line")))).alias("x"))
     inside = inside.select("row", "x.place", "x.leaf", F.transform(F.split(generalised(F.col("x.line")), " "), lambda t: F.xxhash64(t)).alias("tokens"))
