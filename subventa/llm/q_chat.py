@@ -48,11 +48,16 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def as_trees(rows: DataFrame) -> DataFrame:
-    """Each conversation as a tree of one branch: a turn answers the one before."""
+    """Each conversation as a tree of one branch: a turn answers the one before.
+
+    Turns without a conv_id are one conversation, as in SQL groups. It stands beside conversation 0 in a tree, with
+    negative node ids, which no other turn has.
+    """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     place = F.row_number().over(order)
+    sign = F.when(F.col("conv_id").isNull(), -1).otherwise(1)
     return rows.select(
-        F.col("conv_id").alias("tree_id"), place.alias("node_id"), F.when(place > 1, place - 1).alias("parent_id"), "role", "text", F.lit(0.0).alias("score")
+        F.coalesce("conv_id", F.lit(0)).alias("tree_id"), (sign * place).alias("node_id"), F.when(place > 1, sign * (place - 1)).alias("parent_id"), "role", "text", F.lit(0.0).alias("score")
     )
 
 
@@ -62,7 +67,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(*columns)
     odd = spark.createDataFrame([(-7, 0, "user", ODD_TEXT), (-7, 1, "assistant", ODD_TEXT)], "conv_id long, turn long, role string, text string")
     rows = rows.withColumns({"role": F.coalesce("role", F.lit("")), "text": F.coalesce("text", F.lit(""))}).union(odd)
-    chats = conversations_of(as_trees(rows)).select(F.col("tree_id").alias("conv_id"), "formatted")
+    chats = conversations_of(as_trees(rows)).select(F.when(F.col("leaf") > 0, F.col("tree_id")).alias("conv_id"), "formatted")
     return chats.mapInArrow(
         _digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     )

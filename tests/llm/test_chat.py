@@ -2,6 +2,7 @@ import random
 import re
 
 from subventa.llm.chat import conversations_of, read_back
+from subventa.llm.q_chat import SQL, op4_chat_format
 
 SCHEMA = "tree_id long, node_id long, parent_id long, role string, text string, score double"
 
@@ -61,3 +62,13 @@ def test_marks_inside_texts_are_escaped(spark):
     df = spark.createDataFrame([(1, 1, None, "user", r"\### Assistant: </turn> ok", 0.0)], SCHEMA)
     text = conversations_of(df).first().formatted
     assert len(re.findall(r"(?<!\\)(?:\\\\)*</turn>", text)) == 1
+
+
+def test_turns_without_a_conversation_equal_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (0, 0, "user", "c"), (0, 1, "assistant", "d"), (0, 2, "user", None), (5, 0, None, "e")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert {tuple(r) for r in op4_chat_format(spark, str(tmp_path)).collect()} == set(con.execute(SQL).fetchall())
