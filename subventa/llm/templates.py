@@ -34,6 +34,8 @@ but not the text are treated by their own lines. Extra columns stay.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,11 +53,18 @@ _SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 _FIELD = "[^ 0-9]*+[0-9][^ ]*+"
 
 
-def generalised(line: Column) -> Column:
-    """Tokens joined by single spaces, those with a digit as fields. Lines that need no change skip the patterns."""
-    trimmed = F.btrim(line, F.lit(_SPACES))
-    spaced = F.when(F.rlike(trimmed, F.lit("[\\x09-\\x0D]|  ")), F.regexp_replace(trimmed, _SPACE_RUN, " ")).otherwise(trimmed)
-    return F.when(F.rlike(spaced, F.lit("[0-9]")), F.regexp_replace(spaced, _FIELD, FIELD)).otherwise(spaced)
+def generalised(lines: Column) -> Column:
+    """Of every line its tokens joined by single spaces, those with a digit as fields, beside the line itself.
+
+    Lambdas share no common parts, so each step is bound in an array of its own. Lines that need no change skip the patterns.
+    """
+
+    def step(array: Column, then: Callable[[Column], Column]) -> Column:
+        return F.transform(array, lambda x: F.struct(x["line"].alias("line"), then(x["general"]).alias("general")))
+
+    trimmed = F.transform(lines, lambda line: F.struct(line.alias("line"), F.btrim(line, F.lit(_SPACES)).alias("general")))
+    spaced = step(trimmed, lambda t: F.when(F.rlike(t, F.lit("[\\x09-\\x0D]|  ")), F.regexp_replace(t, _SPACE_RUN, " ")).otherwise(t))
+    return step(spaced, lambda t: F.when(F.rlike(t, F.lit("[0-9]")), F.regexp_replace(t, _FIELD, FIELD)).otherwise(t))
 
 
 def token_count(general: Column) -> Column:
@@ -64,8 +73,10 @@ def token_count(general: Column) -> Column:
 
 def _line_tables(docs: DataFrame, text: str, depth: int, min_tokens: int) -> tuple[DataFrame, DataFrame]:
     """Per line: row (hash of the text), place, leaf, template; and per text: row, kins. Copies are one row."""
+    general = generalised(F.split(text, "\n", -1))
+    sized = F.transform(general, lambda x: F.struct(x["line"].alias("line"), x["general"].alias("general"), token_count(x["general"]).alias("n")))
     staged = docs.select(text).filter(F.col(text).isNotNull()).select(
-        F.xxhash64(text).alias("row"), F.transform(F.split(text, "\n", -1), lambda line: _parsed(line, generalised(line), depth, min_tokens)).alias("lines")
+        F.xxhash64(text).alias("row"), F.transform(sized, lambda x: _parsed(x["line"], x["general"], x["n"], depth, min_tokens)).alias("lines")
     )
     names = F.transform(F.filter("lines", lambda x: x["name"].isNotNull()), lambda x: x["name"])
 
@@ -80,10 +91,10 @@ def _line_tables(docs: DataFrame, text: str, depth: int, min_tokens: int) -> tup
     return lines.select("row", "place", "line.leaf", "line.template"), both.select("row", "kins").distinct()
 
 
-def _parsed(line: Column, general: Column, depth: int, min_tokens: int) -> Column:
-    long = token_count(general) >= min_tokens
+def _parsed(line: Column, general: Column, n: Column, depth: int, min_tokens: int) -> Column:
+    long = n >= min_tokens
     return F.struct(
-        F.xxhash64(token_count(general), F.substring_index(general, " ", depth)).alias("leaf"),
+        F.xxhash64(n, F.substring_index(general, " ", depth)).alias("leaf"),
         F.when(long, F.xxhash64(F.md5(general.cast("binary")))).alias("template"),
         F.when(long, F.md5(line.cast("binary"))).alias("name"),
     )
@@ -140,7 +151,7 @@ def recurring_places(docs: DataFrame, text: str = "text", depth: int = DEPTH, mi
     texts = docs.select(F.xxhash64(text).alias("row"), F.col(text).alias("body")).filter("body is not null").join(wanted.hint("merge"), "row")
     texts = texts.dropDuplicates(["row"]).withColumn("lines", F.split("body", "\n", -1))
     inside = texts.select("row", F.explode(F.transform("wanted", lambda x: F.struct(x["place"].alias("place"), x["leaf"].alias("leaf"), F.get(F.col("lines"), x["place"]).alias("line")))).alias("x"))
-    inside = inside.select("row", "x.place", "x.leaf", F.transform(F.split(generalised(F.col("x.line")), " "), lambda t: F.xxhash64(t)).alias("tokens"))
+    inside = inside.select("row", "x.place", "x.leaf", F.transform(F.split(generalised(F.array("x.line"))[0]["general"], " "), lambda t: F.xxhash64(t)).alias("tokens"))
     inside = materialise(inside, "inside")
     beside = F.transform("tokens", lambda t, i: F.struct(t.alias("token"), *(F.coalesce(F.get("tokens", i + by), F.lit(0)).alias(n) for n, by in (("before", -1), ("behind", 1)))))
     spread = inside.select("row", "place", "leaf", F.size("tokens").alias("n"), F.posexplode(beside).alias("i", "x")).select("row", "place", "leaf", "n", "i", "x.*")
