@@ -17,7 +17,9 @@ own, the rest (shorter than the window) is packed with others:
 Rows meet the plan by their rank among the rows of equal length. Ranks come from
 blocks of bounded size, so a length that many documents share is spread.
 
-Defined cases: a null text is an empty one, its only token is the end mark.
+Defined cases: a null text is an empty one, its only token is the end mark. Special
+strings of the vocabulary inside a text are their one id, as the library has it by default.
+Whole texts are tokenised, however long.
 Repeated rows are packed one by one, a null doc_id is carried along, extra
 columns are not. An empty table gives no pieces. Plans depend on the rows alone,
 so a task that runs again makes the same pieces.
@@ -171,18 +173,21 @@ def segments(patterns: list[tuple[tuple[int, ...], int]], stream: np.ndarray, wi
 def _token_batches(ranks_path: str, json_path: str, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import base64
+        import json
 
         import tiktoken
         from public_tokenizers import PATTERN
 
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with open(json_path, encoding="utf-8") as lines:
+            marks = {t["content"]: t["id"] for t in json.load(lines)["added_tokens"]}
+        fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=marks)
         slow = []
 
         def encode(text: str) -> np.ndarray:
             try:
-                return fast.encode_to_numpy(text, disallowed_special=())
+                return fast.encode_to_numpy(text, allowed_special="all", disallowed_special=())
             except BaseException as error:  # the pattern engine gives up on extreme texts
                 if isinstance(error, (KeyboardInterrupt, SystemExit, MemoryError)):
                     raise
@@ -190,7 +195,6 @@ def _token_batches(ranks_path: str, json_path: str, window: int):
                     from tokenizers import Tokenizer
 
                     slow.append(Tokenizer.from_file(json_path))
-                    slow[0].encode_special_tokens = True
                 return np.array(slow[0].encode(text, add_special_tokens=False).ids, np.uint32)
 
         for batch in batches:

@@ -11,10 +11,15 @@ FOLDER = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; a fresh one only where none is set."""
+    """The folder all executors share, as the session names it.
+
+    Where none is set, a session that runs in one process takes a fresh temporary folder, and one on a cluster a
+    folder of the warehouse, which its executors share.
+    """
     folder = spark.conf.get(FOLDER, None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="subventa-")
+        local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+        folder = tempfile.mkdtemp(prefix="subventa-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_between"
         spark.conf.set(FOLDER, folder)
     return folder.rstrip("/")
 

@@ -14,7 +14,6 @@ SCHEMA = "doc_id long, text string"
 
 def check(df, rows, window=1024, padding=None):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     ids = {}
     for doc, text in rows:
         ids.setdefault(doc, []).append(tok.encode(text or "", add_special_tokens=False).ids + [0])
@@ -53,7 +52,7 @@ def test_documents_cut_into_full_sequences(spark):
 
 
 def test_odd_rows(spark):
-    rows = [(1, None), (2, ""), (3, "x" * 50000), (4, " " * 20000), (5, "<|endoftext|> a"), (6, "same"), (6, "same"), (None, "a b"), (7, "é\U0001f600\n\t ")]
+    rows = [(1, None), (2, ""), (3, "x" * 50000), (4, " " * 20000), (5, "<|endoftext|> a"), (8, "a <|endoftext|><|endoftext|>\n\n<|endoftext|> <|endoftext"), (6, "same"), (6, "same"), (None, "a b"), (7, "é\U0001f600\n\t ")]
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as rest", "2 as Checks", "3 as length")
     check(packed(df), rows)
     assert packed(spark.createDataFrame([], SCHEMA)).count() == 0
