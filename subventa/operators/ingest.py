@@ -53,13 +53,14 @@ def classify_arrivals(arrivals: DataFrame, target: DataFrame, arrivals_per_block
 
 
 def last_arrivals(arrivals: DataFrame) -> DataFrame:
-    """Final content per url; max_by combines map-side, so repeats never pile up."""
-    rest = [c for c in arrivals.columns if c not in ("source_url", "arrival")]
-    return (
-        arrivals.groupBy("source_url")
-        .agg(F.max_by(F.struct(*rest), F.col("arrival")).alias("_r"))
-        .select("source_url", "_r.*")
-    )
+    """Final content per url.
+
+    The winning arrival is found on the narrow columns, which combine map-side; only winners are joined with their
+    bodies. Of rows that share url and arrival, one of those with the largest hash stays.
+    """
+    won = arrivals.groupBy("source_url").agg(F.max(F.struct("arrival", "source_hash")).alias("_w")).select("source_url", "_w.*")
+    bodies = arrivals.join(won, ["source_url", "arrival", "source_hash"], "left_semi")
+    return bodies.dropDuplicates(["source_url"]).drop("arrival")
 
 
 def _volatile(prefix: str = "") -> Column:
@@ -78,21 +79,10 @@ def _has_eligibility(e: Column) -> Column:
     return F.coalesce(e.isNotNull() & (filled | e["enrichment_version"].isNotNull()), F.lit(False))
 
 
-def upsert_snapshot(
-    target: DataFrame,
-    arrivals: DataFrame,
-    now: Column,
-    embeddings: DataFrame | None = None,
-    refresh_volatile: bool = False,
+def _upserted(
+    target: DataFrame, arrivals: DataFrame, now: Column, embeddings: DataFrame | None, refresh_volatile: bool, changes_only: bool
 ) -> DataFrame:
-    """Next snapshot: every target row, changed where the hash changed, plus new urls.
-
-    `embeddings` (source_hash, embedding) supplies vectors for changed text;
-    without one the vector is null until the backfill. Ids, created_at and
-    deleted_at stay; enriched sector, state, eligibility and metadata survive empty
-    incoming values. With `refresh_volatile`, a change of status, deadline or
-    amounts alone updates those columns and keeps the vector.
-    """
+    """The target's rows after the batch and the new ones, or of both those alone that the batch writes."""
     latest = last_arrivals(arrivals)
     if embeddings is not None:
         # many urls may carry the same text, adaptive execution splits such a join
@@ -105,7 +95,7 @@ def upsert_snapshot(
 
     # Left join and anti join instead of one full outer join: a small batch is
     # broadcast and the corpus is then not shuffled at all.
-    joined = target.join(batch, "source_url", "left")
+    joined = target.join(batch, "source_url", "inner" if changes_only else "left")
     changed = F.coalesce(
         F.col("n").isNotNull() & ~F.col("n.source_hash").eqNullSafe(F.col("source_hash")), F.lit(False)
     )
@@ -135,7 +125,7 @@ def upsert_snapshot(
                 new = F.when(F.size(F.coalesce(new, F.create_map().cast("map<string,string>"))) > 0, new).otherwise(old)
             when = changed | moved if f.name in volatile else changed
             merged.append(F.when(when, new).otherwise(old).alias(f.name))
-    known = joined.select(*merged)
+    known = (joined.filter(changed | moved) if changes_only else joined).select(*merged)
 
     fresh = latest.join(target.select("source_url"), "source_url", "left_anti")
     added = []
@@ -157,6 +147,38 @@ def upsert_snapshot(
     return known.unionByName(fresh.select(*added))
 
 
+def upsert_snapshot(
+    target: DataFrame,
+    arrivals: DataFrame,
+    now: Column,
+    embeddings: DataFrame | None = None,
+    refresh_volatile: bool = False,
+) -> DataFrame:
+    """Next snapshot: every target row, changed where the hash changed, plus new urls.
+
+    `embeddings` (source_hash, embedding) supplies vectors for changed text;
+    without one the vector is null until the backfill. Ids, created_at and
+    deleted_at stay; enriched sector, state, eligibility and metadata survive empty
+    incoming values. With `refresh_volatile`, a change of status, deadline or
+    amounts alone updates those columns and keeps the vector.
+    """
+    return _upserted(target, arrivals, now, embeddings, refresh_volatile, changes_only=False)
+
+
+def upsert_changes(
+    target: DataFrame,
+    arrivals: DataFrame,
+    now: Column,
+    embeddings: DataFrame | None = None,
+    refresh_volatile: bool = False,
+) -> DataFrame:
+    """The rows of `upsert_snapshot` that differ from the target or are new: what a batch has to write.
+
+    `target` may be cut to the rows of the arrivals' urls.
+    """
+    return _upserted(target, arrivals, now, embeddings, refresh_volatile, changes_only=True)
+
+
 def run_counters(outcomes: DataFrame) -> DataFrame:
     """Counts of `action` per (run_id, portal)."""
 

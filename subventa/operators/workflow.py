@@ -12,6 +12,7 @@ from subventa.operators.ingest import (
     FAILED,
     classify_arrivals,
     run_counters,
+    upsert_changes,
     upsert_snapshot,
     with_hash,
     with_run_status,
@@ -24,6 +25,7 @@ class IngestRun:
     rejects: DataFrame
     ledger: DataFrame
     snapshot: DataFrame
+    changes: DataFrame
 
 
 def arrivals_of(records: DataFrame) -> DataFrame:
@@ -41,6 +43,8 @@ def ingest_pages(pages: DataFrame, target: DataFrame, run_id: Column, now: Colum
 
     Pages that cannot be read or validated count as failed. Pass `checked`
     (with_rejections over extract_records, stored) to extract the pages once.
+    `changes` are the rows to append to a delta table; for them, a target of
+    the touched urls alone is enough.
     """
     if checked is None:
         checked = with_rejections(extract_records(pages))
@@ -51,4 +55,4 @@ def ingest_pages(pages: DataFrame, target: DataFrame, run_id: Column, now: Colum
         rejects.select("portal", "source_url", F.col("page_id").alias("arrival"), F.lit(FAILED).alias("action"))
     )
     ledger = with_run_status(run_counters(outcomes.withColumn("run_id", run_id)))
-    return IngestRun(outcomes, rejects, ledger, upsert_snapshot(target, arrivals, now))
+    return IngestRun(outcomes, rejects, ledger, upsert_snapshot(target, arrivals, now), upsert_changes(target, arrivals, now))

@@ -13,6 +13,8 @@ from subventa.operators.workflow import arrivals_of, ingest_pages
 from subventa.plans.extraction import HASH_SQL, RECORDS_SQL, portal_pages, records
 from subventa.plans.registry import query, table
 from subventa.schema import CORPUS, ELIGIBILITY
+from subventa.sources.shared import shared_path
+from subventa.sources.snapshots import corpus_table
 
 _T0 = "2024-01-01 00:00:00"
 _NOW = "2024-06-01 00:00:00"
@@ -64,7 +66,8 @@ def stored_corpus(spark, sf_dir):
     )
     return rows.select(
         *[
-            F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name)
+            # An amount beyond the column's range cannot be stored.
+            F.col(f.name).try_cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name)
             for f in CORPUS.fields
         ]
     )
@@ -142,6 +145,28 @@ def ingest_preserved(spark, sf_dir):
     )
 
 
+@query(
+    "ingest_changes",
+    f"""{_NEXT_SQL} SELECT nxt.source_url, nxt.source_hash, CASE WHEN tgt.source_url IS NULL THEN 'inserted' ELSE 'updated' END AS action
+    FROM nxt LEFT JOIN tgt USING (source_url) WHERE tgt.source_hash IS DISTINCT FROM nxt.source_hash""",
+)
+def ingest_changes(spark, sf_dir):
+    """The rows a batch writes."""
+    rows = I.upsert_changes(stored_corpus(spark, sf_dir), arrivals(spark, sf_dir), F.lit(_NOW).cast("timestamp"))
+    action = F.when(F.col("created_at") == F.col("updated_at"), I.INSERTED).otherwise(I.UPDATED)
+    return rows.select("source_url", "source_hash", action.alias("action"))
+
+
+@query("ingest_store", f"{_NEXT_SQL} SELECT grant_id, source_url, title, body, source_hash, created_at, updated_at FROM nxt")
+def ingest_store(spark, sf_dir):
+    """The next snapshot as a table of versions gives it: a base, a delta of the changed rows, merged while read."""
+    store = corpus_table(spark, shared_path(spark, "corpus"))
+    store.replace(stored_corpus(spark, sf_dir), 1)
+    batch = arrivals(spark, sf_dir)
+    store.append(I.upsert_changes(store.lookup(batch), batch, F.lit(_NOW).cast("timestamp")), 2)
+    return store.read().select("grant_id", "source_url", "title", "body", "source_hash", "created_at", "updated_at")
+
+
 @query("ingest_idempotent", f"{_NEXT_SQL} SELECT count(*) AS rows, 0 AS changed FROM nxt")
 def ingest_idempotent(spark, sf_dir):
     """A second run of the same final content skips every url."""

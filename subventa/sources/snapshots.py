@@ -1,46 +1,27 @@
-"""Versioned corpus snapshots: a new directory per version, never overwritten in place.
-
-A version counts once its write has committed (_SUCCESS), so a reader never
-sees a half-written one and a failed batch is simply written again.
-"""
+"""The corpus as a table of versions: a base, and the rows each batch changed."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from subventa.schema import CORPUS
-from subventa.sources.tables import read_corpus
-
-_PREFIX = "version="
+from subventa.sources.deltas import DeltaTable
 
 
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    found = []
-    for status in fs.listStatus(path):
-        name = status.getPath().getName()
-        done = jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if name.startswith(_PREFIX) and fs.exists(done):
-            found.append(int(name[len(_PREFIX) :]))
-    return sorted(found)
+def corpus_table(spark: SparkSession, root: str, buckets: int = 64) -> DeltaTable:
+    return DeltaTable(spark, root, CORPUS, "source_url", buckets)
 
 
 def latest_version(spark: SparkSession, root: str, below: int | None = None) -> int | None:
-    done = [v for v in _versions(spark, root) if below is None or v < below]
-    return done[-1] if done else None
+    return corpus_table(spark, root).latest(below)
 
 
 def read_snapshot(spark: SparkSession, root: str, below: int | None = None) -> DataFrame:
     """Newest committed version, or an empty corpus."""
-    version = latest_version(spark, root, below)
-    if version is None:
-        return spark.createDataFrame([], CORPUS)
-    return read_corpus(spark, f"{root}/{_PREFIX}{version}")
+    table = corpus_table(spark, root)
+    return table.read() if below is None else table.read_below(below)
 
 
 def write_snapshot(corpus: DataFrame, root: str, version: int) -> None:
-    corpus.write.mode("overwrite").parquet(f"{root}/{_PREFIX}{version}")
+    """A whole corpus as a version of its own; batches append their changes instead."""
+    corpus_table(corpus.sparkSession, root).replace(corpus, version)

@@ -1,9 +1,11 @@
 """Incremental ingest over arriving page files.
 
 One query drains what has arrived and stops (availableNow), so runs never
-overlap and missed runs coalesce. Every micro-batch writes the snapshot version
-named by its batch id from the version before it; a batch that is replayed
-after a failure writes the same version again.
+overlap and missed runs coalesce. Every micro-batch appends the rows it changes
+as the version named by its batch id, on top of the version before it; a batch
+that is replayed after a failure writes the same version again. Of the stored
+corpus it reads the buckets of the arriving urls. After `MAX_DELTAS` appends the
+deltas are compacted into a new base.
 """
 
 from __future__ import annotations
@@ -18,9 +20,12 @@ from pyspark.sql.streaming import StreamingQuery
 from subventa.operators.extract import extract_records, with_rejections
 from subventa.operators.workflow import ingest_pages
 from subventa.schema import PAGE
-from subventa.sources.snapshots import read_snapshot, write_snapshot
+from subventa.sources.snapshots import corpus_table
 from subventa.sources.tables import RUN_LEDGER
 
+# Deltas a reader has to merge at most.
+MAX_DELTAS = 16
+
 
 def page_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(PAGE)
@@ -35,10 +40,11 @@ def refresh(
     root: str,
     portal: Callable[[Column], Column],
     max_files: int | None = None,
+    max_deltas: int = MAX_DELTAS,
 ) -> StreamingQuery:
     """Start one draining run; `portal` maps a page url to its portal.
 
-    Below `root`: corpus/version=N, ledger/batch=N, records/batch=N, rejects/batch=N, checkpoint.
+    Below `root`: corpus (a delta table), ledger/batch=N, records/batch=N, rejects/batch=N, checkpoint.
     """
 
     def batch(pages: DataFrame, batch_id: int) -> None:
@@ -71,11 +77,14 @@ def refresh(
             records = f"{root}/records/batch={batch_id}"
             with_rejections(extract_records(tagged)).write.mode("overwrite").parquet(records)
             checked = session.read.parquet(records)
-            target = read_snapshot(session, f"{root}/corpus", below=version)
+            corpus = corpus_table(session, f"{root}/corpus")
+            target = corpus.lookup(checked.filter("source_url is not null"), below=version)
             run = ingest_pages(tagged, target, F.lit(f"batch-{batch_id}"), started, checked)
             run.rejects.write.mode("overwrite").parquet(f"{root}/rejects/batch={batch_id}")
-            write_snapshot(run.snapshot, f"{root}/corpus", version)
+            written = corpus.append(run.changes, version)
             close(run.ledger)
+            if len(written.deltas) > max_deltas:
+                corpus.compact()
         except Exception as error:
             failed = session.createDataFrame(
                 [(f"batch-{batch_id}", "failed", 0, 0, 0, 0, str(error), type(error).__name__)],
