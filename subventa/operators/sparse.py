@@ -1,4 +1,4 @@
-"""Batch trigram search as an inverted-gram join."""
+"""Batch trigram search: a scan with the queries' grams, or a join by set similarity."""
 
 from __future__ import annotations
 
@@ -19,12 +19,12 @@ from subventa.operators.bounds import collect_within, spread_small
 from subventa.operators.dense import filter_groups
 from subventa.operators.order import top_per_key
 from subventa.operators.running_top import RunningTop
+from subventa.operators.similarity_join import similarity_join
 
 # Similarity a field needs (fixed value: the public trigram default).
 THRESHOLD = 0.3
 # Query grams that may be broadcast, some 40 bytes each.
 MAX_BROADCAST_GRAMS = 2_000_000
-SALTS = 32
 # Score cells and postings one step of a scan holds; slack for size bounds in doubles.
 _CELLS = 200_000
 _POSTINGS = 1_000_000
@@ -52,7 +52,8 @@ def sparse_top_k(
     that share of the larger, so fields of unsuitable size are left out early;
     this loses nothing. A bounded batch of queries travels to the tasks as an
     inverted gram index and the corpus is only scanned, with at most k rows per
-    query and task to shuffle. A larger batch is joined gram by gram.
+    query and task to shuffle. A larger batch is joined by its sets' rarest grams
+    (`operators/similarity_join.py`).
     """
     grams = query_grams(queries)
     filters = [c for c in ("portal", "country") if c in grams.columns]
@@ -61,7 +62,7 @@ def sparse_top_k(
     if block is not None:
         partial = _scan_with_index(block, grams, live, filters, k, threshold)
     else:
-        partial = _join_by_gram(grams, live, filters, threshold)
+        partial = _join_by_sets(queries, live, filters, threshold)
     return top_per_key(partial, ["qid"], [F.desc("score"), F.col("grant_id")], k)
 
 
@@ -152,33 +153,15 @@ def _scan_with_index(
     return fields.mapInArrow(scan, schema)
 
 
-def _join_by_gram(grams: DataFrame, live: DataFrame, filters: list[str], threshold: float) -> DataFrame:
-    low, high = _size_range(*grams.agg(F.min("q_size"), F.max("q_size")).first(), threshold)
-    both = F.array(trigrams(F.col("title")), trigrams(F.col("summary")))
-    fields = (
-        live.select("grant_id", *filters, F.posexplode(both).alias("field", "_g"))
-        .withColumn("d_size", F.size("_g"))
-        .filter(F.col("d_size").between(low, high))
-    )
-    # A common gram occurs in most rows: split its rows over salts.
-    salted = fields.select("grant_id", "field", "d_size", *filters, F.explode("_g").alias("gram")).withColumn(
-        "_salt", F.pmod(F.xxhash64("grant_id"), F.lit(SALTS)).cast("int")
-    )
-    right = grams.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    fits = (F.col("d_size") >= F.col("q_size") * threshold - _SLACK) & (
-        F.col("q_size") >= F.col("d_size") * threshold - _SLACK
-    )
+def _join_by_sets(queries: DataFrame, live: DataFrame, filters: list[str], threshold: float) -> DataFrame:
+    """Any number of queries: pairs whose rarest grams meet, compared on whole sets."""
+    left = queries.select(F.col("qid").alias("l_id"), *[F.col(c).alias(f"l_{c}") for c in filters], trigrams(F.col("query")).alias("grams"))
+    allowed = None
     for c in filters:
-        right = right.withColumnRenamed(c, f"q_{c}")
-        fits = fits & (F.col(f"q_{c}").isNull() | (F.col(f"q_{c}") == F.col(c)))
-    return (
-        salted.join(right, ["gram", "_salt"])
-        .filter(fits)
-        .groupBy("grant_id", "field", "qid", "q_size", "d_size")
-        .agg(F.count(F.lit(1)).alias("shared"))
-        .withColumn("score", F.col("shared") / (F.col("q_size") + F.col("d_size") - F.col("shared")))
-        .filter(F.col("score") >= threshold)
-        .groupBy("grant_id", "qid")
-        .agg(F.max("score").alias("score"))
-        .select("qid", "grant_id", "score")
-    )
+        wanted = F.upper("l_country") if c == "country" else F.col(f"l_{c}")
+        fits = wanted.isNull() | (wanted == F.col(f"r_{c}"))
+        allowed = fits if allowed is None else allowed & fits
+    both = F.array(trigrams(F.col("title")), trigrams(F.col("summary")))
+    right = live.select(F.col("grant_id").alias("r_id"), *[F.col(c).alias(f"r_{c}") for c in filters], F.posexplode(both).alias("r_id_field", "grams"))
+    pairs = similarity_join(left, right, threshold, allowed)
+    return pairs.groupBy(F.col("l_id").alias("qid"), F.col("r_id").alias("grant_id")).agg(F.max("score").alias("score"))

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from subventa.functions.text import hypothetical_descriptions
-from subventa.functions.trigram import similarity
+from subventa.functions.trigram import similarity, trigrams
 from subventa.functions.vectors import l2_normalise
 from subventa.operators import cache as K
 from subventa.operators import retrieve as R
 from subventa.operators.dense import approximate_top_k, dense_top_k, projection_lines
 from subventa.operators.fusion import reciprocal_rank_fusion
 from subventa.operators.order import blocked_rank, top_per_key
+from subventa.operators.similarity_join import similarity_join
 from subventa.operators.sparse import sparse_top_k
 from subventa.plans.corpora import DOCUMENTS_SQL, QUERIES_SQL, documents_corpus, search_queries
 from subventa.plans.registry import query, table
@@ -179,6 +180,30 @@ def sparse_filtered(spark, sf_dir):
     return sparse_top_k(asked, documents_corpus(spark, sf_dir)).withColumn("score", F.round("score", 9))
 
 
+@query("sparse_join_top_k", f"{BASE_SQL} SELECT qid, grant_id, round(score, 9) AS score, CAST(rank AS INTEGER) AS rank FROM sparse WHERE rank < 50")
+def sparse_by_join(spark, sf_dir):
+    """The way of batches of any size."""
+    hits = sparse_top_k(search_queries(spark, sf_dir), documents_corpus(spark, sf_dir), max_broadcast_grams=0)
+    return hits.withColumn("score", F.round("score", 9))
+
+
+@query(
+    "similar_titles",
+    f"""WITH t AS (SELECT min(grant_id) AS id, title FROM ({DOCUMENTS_SQL}) GROUP BY title),
+    s AS (SELECT id, {grams_sql("title")} AS g FROM t), g AS MATERIALIZED (SELECT id, len(g) AS size, unnest(g) AS gram FROM s),
+    o AS (SELECT a.id, b.id AS like_id, a.size + b.size AS sizes, count(*) AS shared FROM g a JOIN g b USING (gram) WHERE a.id < b.id GROUP BY ALL)
+    SELECT id, like_id, round(shared / (sizes - shared), 9) AS score FROM o WHERE shared / (sizes - shared) >= 0.5""",
+)
+def similar_titles(spark, sf_dir):
+    """Different titles of similar wording, each by the smallest id that has it."""
+    titles = documents_corpus(spark, sf_dir).groupBy("title").agg(F.min("grant_id").alias("id"))
+    sets = titles.select("id", trigrams(F.col("title")).alias("grams"))
+    right = sets.select(F.col("id").alias("r_id"), F.col("id").alias("r_other"), "grams")
+    left = sets.select(F.col("id").alias("l_id"), F.col("id").alias("l_other"), "grams")
+    pairs = similarity_join(left, right, 0.5, F.col("l_other") < F.col("r_other"))
+    return pairs.select(F.col("l_id").alias("id"), F.col("r_id").alias("like_id"), F.round("score", 9).alias("score"))
+
+
 # --- fusion ----------------------------------------------------------------------
 
 # Two rankings of the customers' orders, by date and by price, with the candidates
