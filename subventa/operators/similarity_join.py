@@ -44,14 +44,29 @@ def _bucket(codes: np.ndarray) -> np.ndarray:
     return (codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
+def coded(sets: DataFrame) -> DataFrame:
+    """`sets` with the grams as numbers, which are compared and moved at less cost than texts."""
+    schema = T.StructType([T.StructField("grams", T.ArrayType(T.LongType())) if f.name == "grams" else f for f in sets.schema.fields])
+    arrow = to_arrow_schema(schema)
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("grams")
+            column = batch.column(at)
+            size = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+            codes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(_codes(column.flatten())))
+            yield pa.RecordBatch.from_arrays([codes if i == at else c for i, c in enumerate(batch.columns)], schema=arrow)
+
+    return sets.mapInArrow(code, schema)
+
+
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Codes of all grams, and how many each row has."""
-    size = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    return _codes(column.flatten()), size
+    return column.flatten().to_numpy(), pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def gram_counts(sets: DataFrame, grams: str = "grams") -> np.ndarray:
-    """Rows per bucket of grams; at most 2**BUCKET_BITS rows reach the driver."""
+def gram_counts(sets: DataFrame) -> np.ndarray:
+    """Coded rows per bucket of grams; at most 2**BUCKET_BITS rows reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(1 << BUCKET_BITS, np.int64)
@@ -61,7 +76,7 @@ def gram_counts(sets: DataFrame, grams: str = "grams") -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(n[hit])], names=["bucket", "n"])
 
     out = np.zeros(1 << BUCKET_BITS, np.int64)
-    for r in sets.select(grams).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for r in sets.select("grams").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         out[r["bucket"]] = r["n"]
     return out
 
@@ -104,8 +119,8 @@ def _prefixes(sets: DataFrame, counts: np.ndarray, cuts: np.ndarray, others: np.
 def candidates(left: DataFrame, right: DataFrame, threshold: float, allowed: Column | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Distinct pairs (the ids of both sides) that share a prefix gram within the bounds.
 
-    `left` has columns named l_*, `right` r_*, and both `grams`, distinct grams of three characters. `allowed` is a
-    further condition on the columns that are no ids: ids are l_id and all columns of the right that begin with r_id.
+    `left` has columns named l_*, `right` r_*, and both `grams`, coded. Ids are l_id and all columns of the right that
+    begin with r_id; `allowed` is a further condition on the other columns.
     """
     counts = gram_counts(right)
     asked = gram_counts(left)
@@ -127,13 +142,13 @@ def candidates(left: DataFrame, right: DataFrame, threshold: float, allowed: Col
 def similarity_join(left: DataFrame, right: DataFrame, threshold: float, allowed: Column | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
     """l_id, the r_id* columns and score of all pairs whose sets have at least the similarity `threshold` (above 0).
 
-    As `candidates`; ids are unique on each side. An empty or null set is similar to none. Both sides are stored once,
+    As `candidates`, but `grams` are distinct texts of three characters; ids are unique on each side. An empty or null set is similar to none. Both sides are stored once,
     as the counts, the prefixes and the comparison read them.
     """
     if not 0 < threshold <= 1:
         raise ValueError("a similarity join needs a threshold above 0 and up to 1")
     spark = left.sparkSession
-    left, right = stored(left, shared_path(spark, "sets-l")), stored(right, shared_path(spark, "sets-r"))
+    left, right = stored(coded(left), shared_path(spark, "sets-l")), stored(coded(right), shared_path(spark, "sets-r"))
     ids = [c for c in right.columns if c.startswith("r_id")]
     pairs = candidates(left, right, threshold, allowed, cell_rows)
     sets = pairs.join(left.select("l_id", F.col("grams").alias("l_grams")), "l_id").join(right.select(*ids, F.col("grams").alias("r_grams")), ids)

@@ -192,7 +192,7 @@ def sparse_by_join(spark, sf_dir):
     f"""WITH t AS (SELECT min(grant_id) AS id, title FROM ({DOCUMENTS_SQL}) GROUP BY title),
     s AS (SELECT id, {grams_sql("title")} AS g FROM t), g AS MATERIALIZED (SELECT id, len(g) AS size, unnest(g) AS gram FROM s),
     o AS (SELECT a.id, b.id AS like_id, a.size + b.size AS sizes, count(*) AS shared FROM g a JOIN g b USING (gram) WHERE a.id < b.id GROUP BY ALL)
-    SELECT id, like_id, round(shared / (sizes - shared), 9) AS score FROM o WHERE shared / (sizes - shared) >= 0.5""",
+    SELECT id, like_id, round(shared / (sizes - shared), 9) AS score FROM o WHERE shared / (sizes - shared) >= 0.8""",
 )
 def similar_titles(spark, sf_dir):
     """Different titles of similar wording, each by the smallest id that has it."""
@@ -200,7 +200,7 @@ def similar_titles(spark, sf_dir):
     sets = titles.select("id", trigrams(F.col("title")).alias("grams"))
     right = sets.select(F.col("id").alias("r_id"), F.col("id").alias("r_other"), "grams")
     left = sets.select(F.col("id").alias("l_id"), F.col("id").alias("l_other"), "grams")
-    pairs = similarity_join(left, right, 0.5, F.col("l_other") < F.col("r_other"))
+    pairs = similarity_join(left, right, 0.8, F.col("l_other") < F.col("r_other"))
     return pairs.select(F.col("l_id").alias("id"), F.col("r_id").alias("like_id"), F.round("score", 9).alias("score"))
 
 

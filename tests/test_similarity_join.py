@@ -52,12 +52,13 @@ def test_pairs_without_a_shared_prefix_gram_never_meet(spark):
     left = [f"common words here {w * 6}" for w in ("qa", "wb", "ec", "rd", "tf")]
     right = [f"common words here {w * 6}" for w in ("ug", "ih", "oj", "pk", "al", "qa")]
     a, b = sides(spark, left, right)
-    met = {(r.l_id, r.r_id) for r in J.candidates(a, b, 0.8).collect()}
+    met = {(r.l_id, r.r_id) for r in J.candidates(J.coded(a), J.coded(b), 0.8).collect()}
     assert met == {(0, 5)} == set(brute(left, right, 0.8))
 
 
 def test_rare_grams_are_not_copied(spark):
     a, b = sides(spark, texts(500, 5), texts(40, 6))
+    a, b = J.coded(a), J.coded(b)
     counts, asked = J.gram_counts(b), J.gram_counts(a)
     one = np.ones_like(counts)
     rows = J._prefixes(b, counts + asked, one, one, 0.3, "r_cell", "l_cell")
