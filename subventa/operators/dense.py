@@ -12,10 +12,9 @@ from pyspark.sql import types as T
 
 from subventa.operators.bounds import collect_within, spread_small
 from subventa.operators.order import top_per_key
+from subventa.operators.query_block import MAX_BLOCK_QUERIES, QueryBlock
 from subventa.operators.running_top import RunningTop
 
-# Queries that fit one broadcast block: 64 MiB at 1,024 doubles each.
-MAX_BLOCK_QUERIES = 8_192
 # Corpus rows one grid cell holds beyond that.
 CELL_ROWS = 100_000
 # Similarities are compared at this precision so that ranks do not depend on
@@ -81,7 +80,7 @@ def _columns(df: DataFrame, id_col: str) -> list[str]:
 
 def dense_top_k(
     queries: DataFrame, corpus: DataFrame, k: int = 50, max_block_queries: int = MAX_BLOCK_QUERIES,
-    cell_rows: int = CELL_ROWS,
+    cell_rows: int = CELL_ROWS, block: QueryBlock | None = None,
 ) -> DataFrame:
     """(qid, grant_id, similarity, rank) of the k most similar rows per query.
 
@@ -89,12 +88,13 @@ def dense_top_k(
     no filter (country is compared upper-case). Exact. Up to
     `max_block_queries` queries travel to the tasks and the corpus is only
     scanned; beyond that both sides are cut into a grid of bounded cells.
-    Either way a task hands at most k rows per query to the shuffle.
+    Either way a task hands at most k rows per query to the shuffle. `block`
+    has the queries where they are held already.
     """
     q, rows, schema = _sides(queries, corpus)
-    block = collect_within(q, max_block_queries)
-    if block is not None:
-        partial = _scan(block, rows, schema, lambda b: _Best(b, k))
+    near = block.vectors() if block is not None else collect_within(q, max_block_queries)
+    if near is not None:
+        partial = _scan(near, rows, schema, lambda b: _Best(b, k))
     else:
         partial = _grid(q, rows, k, schema, max_block_queries, cell_rows)
     return top_per_key(partial, ["qid"], [F.desc("similarity"), F.col("grant_id")], k)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from subventa.operators.dense import dense_top_k
 from subventa.operators.order import top_per_key
+from subventa.operators.query_block import QueryBlock, held
 from subventa.operators.retrieve import (
     DENSE,
     DENSE_CANDIDATES,
@@ -117,21 +118,29 @@ def sweep(
     hypothetical_vectors: DataFrame,
     score_fn: ScoreFn,
     configs=CONFIGS,
+    block: QueryBlock | None = None,
 ) -> DataFrame:
     """Hits of every query under every configuration, cache off.
 
-    The text leg serves all configurations and the vector leg all those without
+    The queries are fetched once, and once more with their expansions. The text
+    leg serves all configurations and the vector leg all those without
     expansion, so each corpus pass is planned once and its shuffle reused.
     """
-    sparse = sparse_top_k(queries, corpus, SPARSE_CANDIDATES)
-    legs: dict[bool, tuple[DataFrame, DataFrame]] = {}
+    block = block or held(queries)
+    queries = queries if block is None else block.frame
+    sparse = sparse_top_k(queries, corpus, SPARSE_CANDIDATES, block=block)
+    legs: dict[bool, tuple[DataFrame, DataFrame, QueryBlock | None]] = {}
     out = None
     for _, mode, use_hyde in configs:
         if use_hyde not in legs:
-            asked = expand_queries(queries, hypothetical_vectors) if use_hyde else queries
-            legs[use_hyde] = (asked, dense_top_k(asked, corpus, DENSE_CANDIDATES))
-        asked, dense = legs[use_hyde]
-        hits = retrieve(asked, corpus, mode, FETCHED, score_fn, dense, sparse).hits
+            asked, own = queries, block
+            if use_hyde:
+                asked = expand_queries(queries, hypothetical_vectors)
+                own = None if block is None else held(asked)
+                asked = asked if own is None else own.frame
+            legs[use_hyde] = (asked, dense_top_k(asked, corpus, DENSE_CANDIDATES, block=own), own)
+        asked, dense, own = legs[use_hyde]
+        hits = retrieve(asked, corpus, mode, FETCHED, score_fn, dense, sparse, own).hits
         hits = hits.select(F.lit(config_label(mode, use_hyde)).alias("config"), "qid", "grant_id", "rank")
         out = hits if out is None else out.unionByName(hits)
     return out

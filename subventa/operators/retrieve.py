@@ -12,11 +12,12 @@ from pyspark.sql import types as T
 
 from subventa.functions.text import hypothetical_descriptions
 from subventa.functions.vectors import l2_normalise
-from subventa.operators.bounds import MAX_BROADCAST_HITS, at_most
+from subventa.operators.bounds import MAX_BROADCAST_HITS
 from subventa.operators.dense import dense_top_k
 from subventa.operators.embed import EmbedFn, run_model, task_rows
 from subventa.operators.fusion import reciprocal_rank_fusion
 from subventa.operators.order import top_per_key
+from subventa.operators.query_block import MAX_BLOCK_QUERIES, QueryBlock, held
 from subventa.operators.sparse import sparse_top_k
 
 DENSE, HYBRID, HYBRID_RERANK = "dense", "hybrid", "hybrid_rerank"
@@ -140,25 +141,31 @@ def retrieve(
     score_fn: ScoreFn | None = None,
     dense: DataFrame | None = None,
     sparse: DataFrame | None = None,
+    block: QueryBlock | None = None,
 ) -> Retrieval:
     """Ranked hits for a batch of queries.
 
     `queries`: qid, query, embedding, optional portal / country filters.
     `corpus`: grant_id, title, summary, embedding, deleted_at (+ filter columns).
-    Legs that are known already may be handed in.
+    Legs that are known already may be handed in, and `block` where it holds
+    the queries; a batch that fits one is fetched once for all legs.
     """
     if mode not in (DENSE, HYBRID, HYBRID_RERANK):
         raise ValueError(f"unknown mode {mode!r}")
     if mode == HYBRID_RERANK and score_fn is None:
         raise ValueError("hybrid_rerank needs a score function")
-    small = at_most(queries, MAX_BROADCAST_HITS // RERANK_INPUT)
+    if block is None:
+        block = held(queries, min(MAX_BLOCK_QUERIES, MAX_BROADCAST_HITS // RERANK_INPUT))
+    small = block is not None and len(block) * RERANK_INPUT <= MAX_BROADCAST_HITS
+    if block is not None:
+        queries = block.frame
     if mode == DENSE:
-        found = dense_top_k(queries, corpus, limit) if dense is None else dense.filter(F.col("rank") < limit)
+        found = dense_top_k(queries, corpus, limit, block=block) if dense is None else dense.filter(F.col("rank") < limit)
         return Retrieval(_hit_columns(found.withColumn("dense_rank", F.col("rank"))), found, None, None, None, small)
     if dense is None:
-        dense = dense_top_k(queries, corpus, DENSE_CANDIDATES)
+        dense = dense_top_k(queries, corpus, DENSE_CANDIDATES, block=block)
     if sparse is None:
-        sparse = sparse_top_k(queries, corpus, SPARSE_CANDIDATES)
+        sparse = sparse_top_k(queries, corpus, SPARSE_CANDIDATES, block=block)
     fused = reciprocal_rank_fusion(dense, sparse)
     if mode == HYBRID:
         hits = _hit_columns(fused.filter(F.col("fused_rank") < limit).withColumn("rank", F.col("fused_rank")))

@@ -18,6 +18,7 @@ from subventa.functions.trigram import trigrams
 from subventa.operators.bounds import collect_within, spread_small
 from subventa.operators.dense import filter_groups
 from subventa.operators.order import top_per_key
+from subventa.operators.query_block import QueryBlock
 from subventa.operators.running_top import RunningTop
 from subventa.operators.similarity_join import similarity_join
 
@@ -45,6 +46,7 @@ def sparse_top_k(
     k: int = 50,
     threshold: float = THRESHOLD,
     max_broadcast_grams: int = MAX_BROADCAST_GRAMS,
+    block: QueryBlock | None = None,
 ) -> DataFrame:
     """(qid, grant_id, score, rank): best of title and summary similarity >= threshold.
 
@@ -53,14 +55,14 @@ def sparse_top_k(
     this loses nothing. A bounded batch of queries travels to the tasks as an
     inverted gram index and the corpus is only scanned, with at most k rows per
     query and task to shuffle. A larger batch is joined by its sets' rarest grams
-    (`operators/similarity_join.py`).
+    (`operators/similarity_join.py`). `block` has the queries where they are held already.
     """
     grams = query_grams(queries)
     filters = [c for c in ("portal", "country") if c in grams.columns]
     live = corpus.filter(F.col("deleted_at").isNull()).select("grant_id", "title", "summary", *filters)
-    block = collect_within(grams, max_broadcast_grams)
-    if block is not None:
-        partial = _scan_with_index(block, grams, live, filters, k, threshold)
+    index = block.grams() if block is not None else collect_within(grams, max_broadcast_grams)
+    if index is not None and len(index) <= max_broadcast_grams:
+        partial = _scan_with_index(index, grams, live, filters, k, threshold)
     else:
         partial = _join_by_sets(queries, live, filters, threshold)
     return top_per_key(partial, ["qid"], [F.desc("score"), F.col("grant_id")], k)

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from subventa.operators import evaluate as V
 from subventa.operators import retrieve as R
-from subventa.operators.bounds import MAX_BROADCAST_HITS, at_most
+from subventa.operators.bounds import MAX_BROADCAST_HITS
+from subventa.operators.query_block import held
 from subventa.plans.corpora import documents_corpus, search_queries
 from subventa.plans.registry import query, table
 from subventa.plans.search import (
@@ -63,15 +64,14 @@ metrics AS (SELECT asked.config, asked.ord, asked.qid, coalesce(h5 / 5, 0) AS pr
 
 
 def _named(spark, sf_dir):
-    per_query = V.FETCHED * len(V.CONFIGS)
-    small = at_most(search_queries(spark, sf_dir), MAX_BROADCAST_HITS // per_query)
-    return V.ranked_docs(_hits(spark, sf_dir), documents_corpus(spark, sf_dir), small)
+    block = held(search_queries(spark, sf_dir))
+    small = block is not None and len(block) * V.FETCHED * len(V.CONFIGS) <= MAX_BROADCAST_HITS
+    return V.ranked_docs(_hits(spark, sf_dir, block), documents_corpus(spark, sf_dir), small)
 
 
-def _hits(spark, sf_dir):
-    return V.sweep(
-        search_queries(spark, sf_dir), documents_corpus(spark, sf_dir), hypothetical_rows(spark, sf_dir), R.contains_scorer
-    )
+def _hits(spark, sf_dir, block=None):
+    queries = search_queries(spark, sf_dir) if block is None else block.frame
+    return V.sweep(queries, documents_corpus(spark, sf_dir), hypothetical_rows(spark, sf_dir, queries), R.contains_scorer, block=block)
 
 
 def _requests(spark, sf_dir):

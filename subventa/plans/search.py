@@ -363,8 +363,8 @@ def deal_to_queries(rows, queries, id_col):
     return rows.join(sizes, "label").withColumn("_i", turn).join(numbered, ["label", "_i"]).drop("_n", "_i")
 
 
-def hypothetical_rows(spark, sf_dir):
-    q = search_queries(spark, sf_dir)
+def hypothetical_rows(spark, sf_dir, q=None):
+    q = search_queries(spark, sf_dir) if q is None else q
     dealt = deal_to_queries(table(spark, sf_dir, "embeddings").filter(F.col("label") > 0), q, "vec_id")
     return dealt.filter(F.col("vec_id") != F.col("qid")).select("qid", F.col("vec_id").alias("pos"), "embedding")
 
