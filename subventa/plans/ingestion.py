@@ -271,6 +271,55 @@ def embedding_backfill(spark, sf_dir):
     return filled.select("doc_id", "key", F.size("embedding").alias("dims"))
 
 
+# The stand-in model in SQL: hashed trigrams of code points with a sign, summed per dimension and normalised.
+_MODEL_SQL = """
+WITH u AS (SELECT doc_id, list_concat([32, 32], list_transform(string_split(lower(text), ''), lambda c: unicode(c)), [32]) AS u FROM documents),
+h AS (SELECT doc_id, unnest(list_transform(range(1, len(u) - 1), lambda i: (u[i]::BIGINT * 961 + u[i + 1] * 31 + u[i + 2]) * 2654435761 % 4294967296)) AS h FROM u),
+s AS (SELECT doc_id, h % 64 AS dim, sum(CASE WHEN h // 65536 % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS x FROM h GROUP BY ALL),
+n AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM s GROUP BY doc_id)
+"""
+
+
+def _filled_store(spark, sf_dir):
+    """A store that held the labelled documents before all were asked for."""
+    store = M.vector_store(spark, shared_path(spark, "vectors"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    known = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    return docs, store, M.embed_into(known, store, M.hashed_trigram_embedder()), M.embed_into(docs, store, M.hashed_trigram_embedder())
+
+
+@query(
+    "embedding_store",
+    f"{_MODEL_SQL} SELECT doc_id, dim::INTEGER AS dim, round(CAST(CAST(x / CASE WHEN norm = 0 THEN 1 ELSE norm END AS FLOAT) AS DOUBLE), 6) AS x FROM s JOIN n USING (doc_id) WHERE x <> 0",
+)
+def embedding_store(spark, sf_dir):
+    """Vectors of all documents, read back from the store."""
+    docs, store, _, _ = _filled_store(spark, sf_dir)
+    vectors = M.with_vectors(docs, store).select("doc_id", F.posexplode("embedding").alias("dim", "x")).filter("x <> 0")
+    return vectors.select("doc_id", "dim", F.round(F.col("x").cast("double"), 6).alias("x"))
+
+
+@query(
+    "embedding_store_calls",
+    """WITH k AS (SELECT count(DISTINCT text) AS n FROM documents JOIN labels USING (doc_id)), a AS (SELECT count(DISTINCT text) AS n FROM documents)
+    SELECT 1 AS run, k.n AS asked FROM k UNION ALL SELECT 2, a.n - k.n FROM a, k""",
+)
+def embedding_store_calls(spark, sf_dir):
+    """Texts the model was asked for: the second run leaves out what the first one stored."""
+    _, _, first, second = _filled_store(spark, sf_dir)
+    return spark.createDataFrame([(1, first.asked), (2, second.asked)], "run int, asked long")
+
+
+@query("embedding_corpus_backfill", f"SELECT grant_id, has_vector AS had_vector, TRUE AS has_vector FROM ({_TARGET_SQL})")
+def embedding_corpus_backfill(spark, sf_dir):
+    """Stored documents before and after vectors are written back into the corpus."""
+    corpus = corpus_table(spark, shared_path(spark, "corpus"))
+    corpus.replace(stored_corpus(spark, sf_dir), 1)
+    M.backfill_corpus(corpus, M.vector_store(spark, shared_path(spark, "vectors")), M.hashed_trigram_embedder())
+    before, after = (corpus.read(v).select("grant_id", F.col("embedding").isNotNull().alias(n)) for v, n in ((1, "had_vector"), (2, "has_vector")))
+    return before.join(after, "grant_id")
+
+
 @query("embedding_refresh_totals", "SELECT count(*) AS embedded, CAST(0 AS BIGINT) AS failed FROM documents JOIN labels USING (doc_id)")
 def embedding_refresh(spark, sf_dir):
     return M.embed_totals(M.re_embed(stored_corpus(spark, sf_dir), M.hashed_trigram_embedder()))
