@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,8 +15,9 @@ from subventa.operators.bounds import collect_within, spread_small
 from subventa.operators.order import top_per_key
 from subventa.operators.query_block import MAX_BLOCK_QUERIES, QueryBlock
 from subventa.operators.running_top import RunningTop
+from subventa.sources.shared import shared_path, stored
 
-# Corpus rows one grid cell holds beyond that.
+# Corpus rows compared at once, and those of one cell of the approximate search.
 CELL_ROWS = 100_000
 # Similarities are compared at this precision so that ranks do not depend on
 # the summation order of a block product.
@@ -49,12 +51,17 @@ def filter_groups(queries: pd.DataFrame) -> list[tuple[dict, np.ndarray]]:
 class _Best:
     """Best k rows per query over the batches of one task."""
 
-    def __init__(self, queries: pd.DataFrame, k: int):
+    def __init__(self, queries: pd.DataFrame, k: int, rows: int = CELL_ROWS):
+        self.rows = rows
         self.top = RunningTop(queries["qid"].to_numpy(), k)
         self.block = _unit(queries["embedding"])
         self.groups = filter_groups(queries)
 
     def add(self, rows: pd.DataFrame) -> None:
+        if len(rows) > self.rows:
+            for start in range(0, len(rows), self.rows):
+                self.add(rows.iloc[start : start + self.rows])
+            return
         if rows.empty:
             return
         ids, vectors = rows["grant_id"].to_numpy(), _unit(rows["embedding"])
@@ -87,19 +94,43 @@ def dense_top_k(
     `queries`: qid, embedding and optionally portal / country, where null means
     no filter (country is compared upper-case). Exact. Up to
     `max_block_queries` queries travel to the tasks and the corpus is only
-    scanned; beyond that both sides are cut into a grid of bounded cells.
-    Either way a task hands at most k rows per query to the shuffle. `block`
-    has the queries where they are held already.
+    scanned. More queries are written in blocks of about that many, and a job
+    per block scans the corpus and writes the block's best rows; these jobs run
+    here. Either way no corpus row is shuffled, but for inputs below one full
+    split per core, and a task hands at most k rows per query on. `cell_rows`
+    bounds the rows compared at once. `block` has the queries where they are
+    held already.
     """
     q, rows, schema = _sides(queries, corpus)
     near = block.vectors() if block is not None else collect_within(q, max_block_queries)
     if near is not None:
-        partial = _scan(near, rows, schema, lambda b: _Best(b, k))
-    else:
-        partial = _grid(q, rows, k, schema, max_block_queries, cell_rows)
+        return _merged(_scan(near, rows, schema, lambda b: _Best(b, k, cell_rows))[0], k)
+    return _by_blocks(q, max_block_queries, lambda b: _scan(b, rows, schema, lambda own: _Best(own, k, cell_rows)), k)
+
+
+def _merged(partial: DataFrame, k: int) -> DataFrame:
     return top_per_key(partial, ["qid"], [F.desc("similarity"), F.col("grant_id")], k)
 
 
+def _by_blocks(q: DataFrame, size: int, scan: Callable[[pd.DataFrame], tuple[DataFrame, Broadcast]], k: int) -> DataFrame:
+    """Best rows of any number of queries: blocks of about `size` of them are written, then searched one by one.
+
+    One block at a time is on the driver and the executors. A query's rows come from one job, so blocks need no merge.
+    """
+    spark = q.sparkSession
+    blocks = max(1, -(-q.count() // size))
+    dealt = stored(q.withColumn("_block", F.pmod(F.xxhash64("qid"), F.lit(blocks))).repartition("_block"), shared_path(spark, "queries"))
+    out = shared_path(spark, "tops")
+    schema = None
+    for i in range(blocks):
+        found, sent = scan(dealt.filter(F.col("_block") == i).drop("_block").toPandas())
+        top = _merged(found, k)
+        top.write.mode("overwrite").parquet(f"{out}/block={i}")
+        sent.destroy()
+        schema = top.schema
+    return spark.read.schema(schema).parquet(*[f"{out}/block={i}" for i in range(blocks)])
+
+
 def _sides(queries: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame, T.StructType]:
     q = queries.filter(F.col("embedding").isNotNull()).select(*_columns(queries, "qid"))
     if "country" in q.columns:
@@ -118,8 +149,8 @@ def _sides(queries: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame,
 
 def _scan(
     queries: pd.DataFrame, rows: DataFrame, schema: T.StructType, start: Callable[[pd.DataFrame], _Best]
-) -> DataFrame:
-    """One pass over the corpus for one bounded block of queries."""
+) -> tuple[DataFrame, Broadcast]:
+    """One pass over the corpus for one bounded block of queries, and the block as it was sent."""
     block = rows.sparkSession.sparkContext.broadcast(queries)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -130,20 +161,7 @@ def _scan(
             best.add(batch)
         yield from best.frames()
 
-    return spread_small(rows).mapInPandas(scan, schema)
-
-
-def _grid(q: DataFrame, rows: DataFrame, k: int, schema: T.StructType, block: int, cell: int) -> DataFrame:
-    q_parts = max(1, -(-q.count() // block))
-    c_parts = max(1, -(-rows.count() // cell))
-    left = q.withColumn("_b", F.pmod(F.xxhash64("qid"), F.lit(q_parts))).withColumn(
-        "_c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(c_parts - 1).cast("bigint")))
-    )
-    right = rows.withColumn("_c", F.pmod(F.xxhash64("grant_id"), F.lit(c_parts))).withColumn(
-        "_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(q_parts - 1).cast("bigint")))
-    )
-
-    return _cells(left, right, ["_b", "_c"], k, schema)
+    return spread_small(rows).mapInPandas(scan, schema), block
 
 
 def _cells(left: DataFrame, right: DataFrame, keys: list[str], k: int, schema: T.StructType) -> DataFrame:

@@ -14,8 +14,10 @@ from subventa.operators.fusion import reciprocal_rank_fusion
 from subventa.operators.order import blocked_rank, top_per_key
 from subventa.operators.similarity_join import similarity_join
 from subventa.operators.sparse import sparse_top_k
+from subventa.operators.vector_index import build_index, index_top_k
 from subventa.plans.corpora import DOCUMENTS_SQL, QUERIES_SQL, documents_corpus, search_queries
 from subventa.plans.registry import query, table
+from subventa.sources.shared import shared_path
 
 # --- vectors -------------------------------------------------------------------
 
@@ -107,6 +109,21 @@ def dense_approximate(spark, sf_dir):
     return approximate_top_k(queries, corpus, 10).withColumn("similarity", F.round("similarity", 6))
 
 
+@query(
+    "dense_index_top_k",
+    f"""WITH c AS ({_VECTOR_CORPUS_SQL}), s AS (SELECT q.vec_id AS qid, c.grant_id, {_cosine_sql("q.embedding", "c.embedding")} AS similarity
+      FROM embeddings q CROSS JOIN c WHERE q.vec_id % 100 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, grant_id) - 1 AS rank FROM s)
+    SELECT qid, grant_id, round(similarity, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM r WHERE rank < 10""",
+)
+def dense_index(spark, sf_dir):
+    """Exact search in stored lists: the angle bound tells which lists a query need not read."""
+    queries, corpus = _vectors(spark, sf_dir)
+    index = build_index(corpus, shared_path(spark, "index"), lists=32)
+    hits = index_top_k(queries.filter("qid % 100 = 0"), index, 10, probes=4, exact=True)
+    return hits.withColumn("similarity", F.round("similarity", 6))
+
+
 # --- trigrams ------------------------------------------------------------------
 
 
