@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from subventa.operators import corpus as C
 from subventa.operators.ingest import run_history
+from subventa.operators.pages import write_pages
 from subventa.operators.retrieve import fetch_live
 from subventa.plans.registry import query, table
+from subventa.sources.shared import shared_path
 
 # --- lineitem as a large corpus for statistics ------------------------------
 
@@ -208,6 +210,18 @@ _page("corpus_page_deadline", "deadline", "deadline ASC NULLS LAST")
 _page("corpus_page_funding", "funding_max", "funding_max_eur DESC NULLS LAST")
 
 
+@query(
+    "corpus_page_deep",
+    f"""WITH c AS ({ORDERS_SQL}) SELECT {_LIST} FROM c WHERE deleted_at IS NULL
+    ORDER BY funding_max_eur DESC NULLS LAST, grant_id LIMIT 200 OFFSET (SELECT count(*) * 7 // 10 FROM c WHERE deleted_at IS NULL)""",
+)
+def page_deep(spark, sf_dir):
+    """A page behind seven tenths of the corpus, from the range that holds it."""
+    rows = C.live(orders_corpus(spark, sf_dir)).select(*C.LIST_COLUMNS)
+    pages = write_pages(rows, shared_path(spark, "pages"), "funding_max", range_rows=2_000)
+    return C.as_list_items(pages.page(200, pages.total * 7 // 10))
+
+
 @query(
     "corpus_page_meta",
     f"""WITH c AS ({ORDERS_SQL}) SELECT count(*) AS total, 50 AS "limit", 100 AS "offset",
