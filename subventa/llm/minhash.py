@@ -9,7 +9,7 @@
    is precise where similarity is high; a pair far below the threshold goes.
 4. The rest is confirmed on full sets. Classes of confirmed pairs are joined.
 5. Where a bucket still holds several groups, its largest class meets the classes of
-   other groups the same way.
+   other groups the same way, `STARS` times, each time without the one before.
 6. Other classes that share a bucket but not yet a group are compared with each other
    in blocks by size and sketch. Rows that find a partner meet again with their
    full sets, and links that join two groups are written. Pairs that only a test
@@ -46,6 +46,9 @@ SKETCH_WORDS = 16  # 64 bits each
 # Rows of one side when members of a bucket are compared by sketch, and bytes of their sets when by set.
 BLOCK_ROWS, BLOCK_BYTES = 4096, 16 * 1024 * 1024
 
+# Rounds in which the largest class of a bucket meets the others.
+STARS = 2
+
 _SEED = 0x5EED5EED
 
 
@@ -338,18 +341,24 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
         ends = grouped.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.struct("node", "component")).alias("top"))
         return ends.filter("lo < hi").select("band", "key", F.col("top.node").alias("top"), F.col("top.component").alias("top_component"))
 
-    # Classes in one bucket but in different groups; the bucket's smallest has met all others, now its largest does.
-    grouped = in_groups(members.filter("node <> least"), components(linked))
-    grouped = materialise(grouped.join(split_buckets(grouped), ["band", "key"]), "mixed")
-    second = grouped.filter("component <> top_component").select(F.col("node").alias("a"), F.col("top").alias("b"))
-    linked = materialise(linked.union(_confirmed(materialise(plausible(second), "starred"), sets, percent)), "linked")
-
-    # What is left meets in blocks.
-    grouped = in_groups(grouped.filter("node <> top").select("band", "key", "node"), components(linked))
-    mixed = materialise(grouped.join(split_buckets(grouped).select("band", "key"), ["band", "key"]), "mixed")
+    # Classes in one bucket but in different groups. The bucket's smallest has met all others; now the largest does, and
+    # then the largest of those that are left.
+    grouped = members.filter("node <> least").select("band", "key", "node")
+    for _ in range(STARS):
+        grouped = in_groups(grouped, components(linked))
+        grouped = materialise(grouped.join(split_buckets(grouped), ["band", "key"]), "mixed")
+        pairs = grouped.filter("component <> top_component").select(F.col("node").alias("a"), F.col("top").alias("b"))
+        linked = materialise(linked.union(_confirmed(materialise(plausible(pairs), "starred"), sets, percent)), "linked")
+        grouped = grouped.filter("node <> top").select("band", "key", "node")
+
+    # What is left meets in blocks. A class has at most one bucket a band, so it meets its details once.
+    grouped = in_groups(grouped, components(linked))
+    mixed = grouped.join(split_buckets(grouped).select("band", "key"), ["band", "key"])
+    held = mixed.groupBy("node", "component").agg(F.collect_list(F.struct("band", "key")).alias("buckets"))
     details = classes.select("node", "n_shingles", "sketch", "bands")
+    mixed = materialise(held.join(details, "node").withColumn("bucket", F.explode("buckets")).select("bucket.*", *details.columns, "component"), "mixed")
     carried = ["node", "component", "n_shingles", "sketch", "bands"]
-    crossing = _in_blocks(mixed.join(details, "node"), carried, F.lit(1), BLOCK_ROWS).applyInPandas(
+    crossing = _in_blocks(mixed, carried, F.lit(1), BLOCK_ROWS).applyInPandas(
         _crossing(limit, percent), "band int, key long, node long, component long"
     )
     crossing = materialise(crossing.distinct(), "crossing")
