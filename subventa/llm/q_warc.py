@@ -25,12 +25,9 @@ FROM f
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_archive(planned(table(spark, sf_dir, "pages")), path)
-    back = read_archive(spark, path)
-    stored = F.col("record_type") == "response"
-    return back.select(
-        "page_id",
-        F.when(stored, F.octet_length("payload")).otherwise(F.col("payload_bytes")).cast("long").alias("payload_bytes"),
-        F.when(stored, F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"),
-        "record_type",
-        "refers_to",
-    )
+    # Revisits have no payload of their own: their headers are enough.
+    responses = read_archive(spark, path).filter("record_type = 'response'")
+    revisits = read_archive(spark, path, payload=False).filter("record_type = 'revisit'")
+    return responses.select(
+        "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", "refers_to"
+    ).union(revisits.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))

@@ -262,20 +262,97 @@ class WarcReader(DataSourceReader):
             yield pa.RecordBatch.from_pydict(rows, schema=_ARROW)
 
 
+class _Unzipped:
+    """The plain bytes of a range, whether its file is zipped (in any number of members) or not."""
+
+    def __init__(self, src, at: int, end: int, zipped: bool):
+        self.src, self.at, self.end = src, at, end
+        self.inflate = zlib.decompressobj(31) if zipped else None
+        self.pending = b""
+
+    def more(self, n: int) -> bytes:
+        """Up to about n bytes more; nothing at the end of the range."""
+        while True:
+            if not self.pending and self.at < self.end:
+                self.src.seek(self.at)
+                self.pending = self.src.read(min(max(65536, n if self.inflate is None else 0), self.end - self.at))
+                self.at += len(self.pending)
+            if not self.pending:
+                if self.inflate is not None and not self.inflate.eof and self.at > 0 and self.started:
+                    raise ValueError("archive ends inside a record")
+                return b""
+            if self.inflate is None:
+                out, self.pending = self.pending, b""
+                return out
+            if self.inflate.eof:
+                self.inflate = zlib.decompressobj(31)
+            self.started = True
+            out = self.inflate.decompress(self.pending, n)
+            self.pending = self.inflate.unused_data if self.inflate.eof else self.inflate.unconsumed_tail
+            if self.inflate.eof:
+                self.started = False
+            if out:
+                return out
+
+    started = False
+
+
+def _streamed(src, start: int, end: int, zipped: bool):
+    """Records one after the other, wherever the members of the file begin."""
+    plain, held = _Unzipped(src, start, end, zipped), bytearray()
+
+    def fill(n: int) -> bool:
+        data = plain.more(n)
+        held.extend(data)
+        return bool(data)
+
+    while True:
+        while not held.strip(b"\r\n"):
+            held.clear()
+            if not fill(4096):
+                return
+        del held[: len(held) - len(held.lstrip(b"\r\n"))]
+        searched = 0
+        while (cut := held.find(b"\r\n\r\n", searched)) < 0:
+            searched = max(0, len(held) - 3)
+            if not fill(4096):
+                raise ValueError("record without an end of its headers")
+        head = headers(bytes(held[:cut]))
+        begin, length = cut + 4, int(head.get("content-length", 0))
+
+        def block(begin=begin, length=length) -> bytes:
+            while len(held) < begin + length:
+                if not fill(max(65536, begin + length - len(held))):
+                    raise ValueError("record shorter than its content length")
+            return bytes(held[begin : begin + length])
+
+        yield head, block
+        left = begin + length
+        while left > len(held):
+            left -= len(held)
+            held.clear()
+            if not fill(1 << 20):
+                raise ValueError("record shorter than its content length")
+        del held[:left]
+
+
 def records(src, start: int, end: int):
-    """(headers, function that inflates the rest and returns the block) of each record in the byte range."""
+    """(headers, function that reads the rest and returns the block) of each record in the byte range.
+
+    Members that name their size, as those written here, hold one record and are stepped over unread. From the first
+    other member on, and in a file that is not zipped, all bytes are read, as a member may hold any number of records.
+    """
     at = start
     while at < end:
         src.seek(at)
-        first = src.read(min(16384, end - at) if end - at > 24 else end - at)
-        if first[:4] == b"\x1f\x8b\x08\x04" and first[12:14] == _EXTRA:
-            size = struct.unpack("<I", first[16:20])[0]
-        else:
-            size = None
+        first = src.read(min(16384, end - at))
+        if first[:4] != b"\x1f\x8b\x08\x04" or first[12:14] != _EXTRA:
+            yield from _streamed(src, at, end, zipped=first[:2] == b"\x1f\x8b")
+            return
+        size = struct.unpack("<I", first[16:20])[0]
         inflate = zlib.decompressobj(31)
         plain = inflate.decompress(first, 4096)
-        taken = len(first)
-        state = {"plain": plain, "taken": taken}
+        state = {"plain": plain, "taken": len(first)}
 
         def more(n: int, state=state, inflate=inflate, at=at) -> bool:
             """Inflate up to n more bytes; False at the member's end."""
@@ -305,10 +382,6 @@ def records(src, start: int, end: int):
             return state["plain"][cut + 4 : cut + 4 + length]
 
         yield head, block
-        if size is None:
-            while more(1 << 20):
-                state["plain"] = b""
-            size = state["taken"] - len(inflate.unused_data)
         at += size
 
 

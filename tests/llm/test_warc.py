@@ -65,3 +65,36 @@ def test_foreign_archive_without_lengths(spark, tmp_path):
     got = read_archive(spark, str(tmp_path)).orderBy("page_id")
     assert [(r.page_id, bytes(r.payload)) for r in got.collect()] == [(i, b"abc") for i in range(5)]
     assert read_archive(spark, str(tmp_path)).filter(F.col("page_id") == 3).count() == 1
+
+
+@pytest.mark.parametrize("sizes", [[7], [1, 2, 4], [3, 3, 1]])
+def test_members_with_several_records_and_plain_files_lose_nothing(spark, tmp_path, sizes):
+    import gzip
+
+    from subventa.llm.warc import record
+
+    bodies = [b"", b"x", b"WARC/1.1\r\n\r\n", b"\r\n" * 50, b"y" * 300_000, bytes(range(256)) * 300, b"end"]
+    raw = [record("response", i, f"u{i}", None, "d", len(b), b) for i, b in enumerate(bodies)]
+    members, at = [], 0
+    for n in sizes:
+        members.append(gzip.compress(b"".join(raw[at : at + n])))
+        at += n
+    (tmp_path / "z").mkdir(), (tmp_path / "p").mkdir()
+    (tmp_path / "z" / "x.warc.gz").write_bytes(b"".join(members))
+    (tmp_path / "p" / "x.warc").write_bytes(b"".join(raw))
+    for folder in ("z", "p"):
+        rows = read_archive(spark, str(tmp_path / folder)).collect()
+        assert sorted((r.page_id, bytes(r.payload)) for r in rows) == list(enumerate(bodies))
+        heads = read_archive(spark, str(tmp_path / folder), payload=False).filter("page_id >= 3")
+        assert sorted(r.page_id for r in heads.collect()) == [3, 4, 5, 6]
+
+
+def test_a_cut_archive_is_an_error(spark, tmp_path):
+    import gzip
+
+    from subventa.llm.warc import record
+
+    whole = gzip.compress(record("response", 1, "u", None, "d", 3, bytes(range(256)) * 999))
+    (tmp_path / "x.warc.gz").write_bytes(whole[: len(whole) // 2])
+    with pytest.raises(Exception, match="archive ends inside a record|shorter than its content length"):
+        read_archive(spark, str(tmp_path)).collect()
