@@ -19,6 +19,7 @@ from subventa.operators.fusion import reciprocal_rank_fusion
 from subventa.operators.order import top_per_key
 from subventa.operators.query_block import MAX_BLOCK_QUERIES, QueryBlock, held
 from subventa.operators.sparse import sparse_top_k
+from subventa.sources.deltas import DeltaTable
 
 DENSE, HYBRID, HYBRID_RERANK = "dense", "hybrid", "hybrid_rerank"
 # Candidates per leg and into the reranker (fixed values).
@@ -97,6 +98,12 @@ def fetch_live(hits: DataFrame, corpus: DataFrame, columns: list[str], small: bo
     return rows.join(F.broadcast(hits) if small else hits, "grant_id")
 
 
+def fetch_stored(hits: DataFrame, store: DeltaTable, columns: list[str]) -> DataFrame:
+    """As fetch_live, from a corpus table keyed by grant_id: only the buckets of the hits are read."""
+    rows = store.lookup(hits).filter(F.col("deleted_at").isNull()).select("grant_id", *columns)
+    return rows.join(hits, "grant_id")
+
+
 def rerank(fused: DataFrame, queries: DataFrame, corpus: DataFrame, score_fn: ScoreFn, small: bool) -> DataFrame:
     """Adds rerank_score to the best fused hits, scored over title and summary."""
     top = fused.filter(F.col("fused_rank") < RERANK_INPUT)

@@ -1,4 +1,4 @@
 """Registered queries over the given tables."""
 
-from subventa.plans import activity, corpora, extraction, ingestion, quality, replies, search, statistics  # noqa: F401
+from subventa.plans import activity, corpora, extraction, ingestion, quality, replies, search, standing, statistics  # noqa: F401
 from subventa.plans.registry import ORACLES, QUERIES  # noqa: F401
