@@ -17,7 +17,7 @@ t AS (
   FROM l),
 h AS (
   SELECT row, place, tokens, len(tokens) AS n, array_to_string(tokens, ' ') AS template,
-    len(tokens)::VARCHAR || ' ' || array_to_string(tokens[1:4], ' ') AS leaf, md5(array_to_string(tokens, ' ')) AS m
+    len(tokens)::VARCHAR || ' ' || array_to_string(tokens[1:4], ' ') AS leaf, md5(line) AS m
   FROM t WHERE len(tokens) >= 2),
 n AS (
   SELECT row, place, tokens, n, template, leaf, min(m) OVER w AS k0, min(m[9:] || m[1:8]) OVER w AS k1,
@@ -28,11 +28,20 @@ whole AS (
   HAVING greatest(count(DISTINCT k0), count(DISTINCT k1), count(DISTINCT k2), count(DISTINCT k3)) >= 3 AND 2 * greatest(count(DISTINCT k0), count(DISTINCT k1), count(DISTINCT k2), count(DISTINCT k3)) >= count(DISTINCT row)),
 o AS (SELECT * FROM n WHERE template NOT IN (SELECT template FROM whole)),
 big AS (SELECT leaf FROM o GROUP BY leaf HAVING greatest(count(DISTINCT k0), count(DISTINCT k1), count(DISTINCT k2), count(DISTINCT k3)) >= 3),
-s AS (SELECT row, place, k0, k1, k2, k3, leaf, n, unnest(range(n)) AS i, unnest(tokens) AS token FROM o WHERE leaf IN (SELECT leaf FROM big)),
-fixed AS (SELECT leaf, i, token FROM s GROUP BY leaf, i, token HAVING count(*) >= 3),
+s AS (
+  SELECT row, place, k0, k1, k2, k3, leaf, n, unnest(list_transform(range(1, n + 1), lambda i: {'i': i, 'token': tokens[i],
+    'before': CASE WHEN i > 1 THEN tokens[i - 1] ELSE '' END, 'behind': CASE WHEN i < n THEN tokens[i + 1] ELSE '' END}), recursive := true)
+  FROM o WHERE leaf IN (SELECT leaf FROM big)),
+seen AS (SELECT leaf, i, before, token, behind, count(*) AS times FROM s GROUP BY ALL),
+shares AS (
+  SELECT leaf, i, before, token, behind, sum(times) OVER (PARTITION BY leaf, i, token) AS often,
+    sum(times) OVER (PARTITION BY leaf, i, before, token) AS led, sum(times) OVER (PARTITION BY leaf, i, before) AS led_all,
+    sum(times) OVER (PARTITION BY leaf, i, token, behind) AS followed, sum(times) OVER (PARTITION BY leaf, i, behind) AS followed_all
+  FROM seen),
+fixed AS (SELECT leaf, i, before, token, behind FROM shares WHERE often >= 3 AND 100 * led > 50 * led_all AND 100 * followed > 50 * followed_all),
 g AS (
   SELECT row, place, k0, k1, k2, k3, leaf, string_agg(i::VARCHAR || ':' || token, ' ' ORDER BY i) AS name
-  FROM s JOIN fixed USING (leaf, i, token) GROUP BY row, place, k0, k1, k2, k3, leaf, n HAVING 100 * count(*) >= 70 * n),
+  FROM s JOIN fixed USING (leaf, i, before, token, behind) GROUP BY row, place, k0, k1, k2, k3, leaf, n HAVING 100 * count(*) >= 70 * n),
 general AS (
   SELECT leaf, name FROM g GROUP BY leaf, name
   HAVING greatest(count(DISTINCT k0), count(DISTINCT k1), count(DISTINCT k2), count(DISTINCT k3)) >= 3 AND 2 * greatest(count(DISTINCT k0), count(DISTINCT k1), count(DISTINCT k2), count(DISTINCT k3)) >= count(DISTINCT row)),

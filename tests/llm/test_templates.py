@@ -65,3 +65,24 @@ def test_a_leaf_has_one_verdict_at_every_size(spark):
     for size in (2, 4, 12):
         rows = field_rows(size)
         assert left(spark, rows) == {(i, t.split("\n")[0], 2, 1) for i, t in rows}
+
+
+def by_sql(rows):
+    import duckdb
+    import pandas as pd
+
+    from subventa.llm.q_templates import SQL
+
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"])  # noqa: F841  (the SQL reads it)
+    con = duckdb.connect()
+    con.register("documents", documents)
+    return {(d, t, n, k) for d, t, n, k in con.execute(f"SELECT doc_id, text, n_lines, n_dropped FROM ({SQL})").fetchall()}
+
+
+def test_the_sql_states_the_same_rules(spark):
+    named = [(i, f"{own(i)}\nThis page was written by {n} for the daily paper of town") for i, n in enumerate("anna bert carl dora".split())]
+    logs = [(i, f"connection {i} closed by peer\npage {i * 7} was not found here") for i in range(40)]
+    body = "\n".join(own(i) + " body" for i in range(9))
+    copies = [(i, body) for i in range(20)] + [(100 + i, body + f"\nedit {own(i)}") for i in range(8)]
+    for rows in (field_rows(2), field_rows(4), field_rows(8), named, logs, copies):
+        assert left(spark, rows) == by_sql(rows)
