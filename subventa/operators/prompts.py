@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from subventa.functions.text import strip
+from subventa.operators.order import top_per_key
 from subventa.operators.retrieve import CANDIDATE_LIMIT
 
 # Candidate fields per stage, in order (fixed values).
@@ -67,8 +69,9 @@ def candidates_json(candidates: DataFrame, stage: str) -> DataFrame:
     )
 
 
-# Findings of a critic record at most (fixed value).
+# Findings of a critic record at most, and characters of a body in an enrichment prompt (fixed values).
 MAX_FINDINGS = 10
+EXCERPT_CHARS = 3500
 
 
 def profile_block(profile: Column, fields: list[str], stage: str) -> Column:
@@ -88,19 +91,30 @@ def profile_block(profile: Column, fields: list[str], stage: str) -> Column:
 def retry_blocks(findings: DataFrame) -> DataFrame:
     """(request_id, retry_block): one line per finding, in `position` order.
 
-    A valid critic record has at most ten findings (grounding.parse_stage_replies);
-    a request with more fails the job.
+    A critic record has at most ten findings, others are refused when they are parsed (grounding.parse_stage_replies).
+    Of longer lists from elsewhere the first ten are shown, so one request neither ends the job nor fills a task.
     """
     grant = F.when(F.coalesce("grant_id", F.lit("")) != "", F.concat(F.lit(" (grant_id="), "grant_id", F.lit(")"))).otherwise("")
     line = F.concat(F.lit("  - ["), "severity", F.lit("] "), "type", grant, F.lit(": "), "message")
-    lines = F.sort_array(F.collect_list(F.struct("position", line.alias("line"))))
-    return findings.groupBy("request_id").agg(
-        F.when(F.count(F.lit(1)) > MAX_FINDINGS, F.raise_error(F.lit(f"more than {MAX_FINDINGS} findings of one request")))
-        .otherwise(F.concat(F.lit(RETRY_HEADING + "\n"), F.array_join(lines["line"], "\n"), F.lit("\n\n")))
-        .alias("retry_block")
+    shown = top_per_key(findings, ["request_id"], [F.col("position")], MAX_FINDINGS, rank="_nth")
+    lines = F.sort_array(F.collect_list(F.struct("_nth", line.alias("line"))))
+    return shown.groupBy("request_id").agg(
+        F.concat(F.lit(RETRY_HEADING + "\n"), F.array_join(lines["line"], "\n"), F.lit("\n\n")).alias("retry_block")
     )
 
 
+def enrichment_prompts(grants: DataFrame, template: str) -> DataFrame:
+    """(grant_id, prompt) for rows with title, summary and body; the body is stripped and cut to `EXCERPT_CHARS`."""
+    body = F.left(strip(F.coalesce("body", F.lit(""))), F.lit(EXCERPT_CHARS))
+    variables = {
+        "title": F.col("title"),
+        "summary": F.coalesce("summary", F.lit("")),
+        "body_excerpt": body,
+        "excerpt_chars": F.lit(EXCERPT_CHARS),
+    }
+    return grants.select("grant_id", render(F.lit(template), variables).alias("prompt"))
+
+
 def render(template: Column, variables: dict[str, Column]) -> Column:
     """Replace each {{name}}; values are inserted in the given order."""
     out = template

@@ -314,6 +314,84 @@ def prompt_retry_block(spark, sf_dir):
     return P.retry_blocks(findings)
 
 
+_NAMED = """'{"rank":' || (rank + 1) || ',"grant_id":"' || grant_id || '","title":"' || title || '","portal":"' || portal || '"'"""
+_PLACED = """',"country":' || CASE WHEN grant_id % 2 = 0 THEN '"DE"' ELSE 'null' END"""
+_SECTOR = """CASE WHEN grant_id % 3 = 0 THEN ',"sector":"health"' ELSE '' END || '}'"""
+
+
+def _shown(spark, sf_dir):
+    """The best eight orders of a customer as candidates, some without a country or a sector."""
+    shown = candidates(spark, sf_dir, 8)
+    number = F.col("grant_id")
+    return shown.withColumns(
+        {
+            "country": F.when(number % 2 == 0, "DE"),
+            "sector": F.when(number % 3 == 0, "health"),
+            "source_url": F.concat(F.lit("https://example.org/"), number.cast("string")),
+            "grant_id": number.cast("string"),
+        }
+    )
+
+
+def _asked(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("request_id"), F.col("c_name").alias("query"))
+
+
+@query(
+    "prompt_planner",
+    """SELECT c_custkey AS request_id, CASE WHEN c_acctbal > 0 OR c_custkey % 2 = 0 THEN 'Known startup profile (trust these unless the question contradicts them):' || chr(10)
+      || concat_ws(chr(10), CASE WHEN c_acctbal > 0 THEN '  - segment: ' || c_mktsegment END, CASE WHEN c_custkey % 2 = 0 THEN '  - nation: ' || c_nationkey END) || chr(10) || chr(10)
+      ELSE '' END || 'Question: ' || c_name AS prompt FROM customer""",
+)
+def prompt_planner(spark, sf_dir):
+    """Questions with what is known of the startup; a block without a filled field is left out."""
+    profile = F.struct(F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).alias("segment"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_nationkey")).alias("nation"))
+    requests = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("request_id"), F.col("c_name").alias("query"), profile.alias("profile"))
+    return P.prompt_context(requests, requests.limit(0), "planner", "{{profile_block}}Question: {{query}}", ["segment", "nation"])
+
+
+@query(
+    "prompt_scorer",
+    f"""WITH {_CANDIDATES_SQL}, cj AS (SELECT request_id, '[' || string_agg({_NAMED} || {_PLACED} || {_SECTOR}, ',' ORDER BY rank) || ']' AS j FROM cand WHERE rank < 8 GROUP BY request_id)
+    SELECT c_custkey AS request_id, c_name || ' ' || coalesce(j, '[]') AS prompt FROM customer LEFT JOIN cj ON cj.request_id = c_custkey""",
+)
+def prompt_scorer(spark, sf_dir):
+    return P.prompt_context(_asked(spark, sf_dir), _shown(spark, sf_dir), "scorer", "{{query}} {{candidates_json}}")
+
+
+@query(
+    "prompt_writer",
+    f"""WITH {_CANDIDATES_SQL}, cj AS (SELECT request_id, '[' || string_agg({_NAMED} || ',"source_url":"https://example.org/' || grant_id || '"' || {_PLACED} || {_SECTOR}, ',' ORDER BY rank) || ']' AS j
+      FROM cand WHERE rank < 8 GROUP BY request_id),
+    f AS (SELECT o_custkey AS request_id, o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth FROM orders),
+    rb AS (SELECT request_id, 'You are RETRYING. A previous attempt was reviewed by the Critic and' || chr(10)
+      || 'the following issues were flagged. Address EACH one in your output:' || chr(10)
+      || string_agg('  - [low] other (grant_id=' || o_orderkey || '): ' || o_orderpriority, chr(10) ORDER BY nth) || chr(10) || chr(10) AS block FROM f WHERE nth <= 10 GROUP BY request_id)
+    SELECT c_custkey AS request_id, coalesce(block, '') || c_name || ' ' || coalesce(j, '[]') AS prompt FROM customer LEFT JOIN cj ON cj.request_id = c_custkey LEFT JOIN rb ON rb.request_id = c_custkey""",
+)
+def prompt_writer(spark, sf_dir):
+    """A second attempt: all orders of a customer are findings, of which ten are shown."""
+    findings = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("request_id"), F.col("o_orderkey").alias("position"), F.lit("low").alias("severity"), F.lit("other").alias("type"),
+        F.col("o_orderkey").cast("string").alias("grant_id"), F.col("o_orderpriority").alias("message"),
+    )
+    return P.prompt_context(_asked(spark, sf_dir), _shown(spark, sf_dir), "writer", "{{retry_block}}{{query}} {{candidates_json}}", findings=findings)
+
+
+@query(
+    "prompt_enrichment",
+    r"""WITH t AS (SELECT doc_id, text, regexp_replace(text, '^\s+|\s+$', '', 'g') AS body FROM documents)
+    SELECT doc_id AS grant_id, 'Document ' || doc_id || ' | ' || CASE WHEN doc_id % 3 > 0 THEN left(text, 40) ELSE '' END || ' | ' || left(body, 3500) || ' (3500)' AS prompt FROM t""",
+)
+def prompt_enrichment(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    grants = docs.select(
+        F.col("doc_id").alias("grant_id"), F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"),
+        F.when(F.col("doc_id") % 3 > 0, F.left("text", F.lit(40))).alias("summary"), F.concat(F.lit(" \n"), "text", F.lit("\t ")).alias("body"),
+    )
+    return P.enrichment_prompts(grants, "{{title}} | {{summary}} | {{body_excerpt}} ({{excerpt_chars}})")
+
+
 # --- costs and traces ---------------------------------------------------------------------
 
 
