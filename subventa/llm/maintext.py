@@ -18,10 +18,17 @@
    references are decoded, white space becomes one space, blocks join with a line
    feed.
 
-Scripts, styles, templates and the like hold no text and have no odds.
+Scripts, styles, templates, form controls and what stands in for media that a
+browser shows (iframe, audio, video, canvas) hold no text and have no odds; the
+text of math, svg and object is text.
 
 Defined cases: a null html is an empty page with empty text; a page without kept
-text gives an empty text. Repeated rows are read one by one; extra columns stay.
+text gives an empty text; an empty table gives an empty one. Repeated rows are
+read one by one; extra columns stay, but for one named like the output. The scan
+takes time in proportion to the page whatever it holds: open elements are found
+by their names, and after `OPEN_QUOTES` tags with a quote that never ends quotes
+no longer hide a ">". The sample follows the hashes of `key`, so it does not
+depend on how the table lies in files; rows without a key are not sampled.
 """
 
 from __future__ import annotations
@@ -29,7 +36,7 @@ from __future__ import annotations
 import html
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,26 +45,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from subventa.llm.store import free_name
+from subventa.llm.store import free_name, sample_by_hash
 
 MADE_PAGES = 500
 # Further made pages whose article stands right in the body.
 MADE_BARE = 120
 SAMPLE_PAGES = 60
 TREES, DEPTH, BINS = 40, 4, 32
+# Tags with an endless quote after which quotes are signs like others.
+OPEN_QUOTES = 16
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S
 )
-_ATTR = re.compile(r"([^\s=\"'<>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_TAG_UNQUOTED = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>()()()", re.S)
+_ATTR = re.compile(r"(?<![^\s=\"'<>/])([^\s=\"'<>/]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))")
+_LONG_NUMBER = re.compile(r"&#([0-9]{8,})")
 _RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "xmp")}
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup "
-    "hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption legend option select".split()
+    "hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption legend option select xmp".split()
 )
-_SILENT = set("script style noscript template title head iframe textarea xmp svg math object canvas audio video select option datalist button input".split())
+_SILENT = set("script style noscript template title head iframe textarea canvas audio video select option datalist button input".split())
 _ENDS_P = _BLOCK - {"html", "body", "option", "select", "caption", "legend", "td", "th", "tr", "tbody", "thead", "tfoot"}
+# End tags of these names reach no further than the innermost of those.
+_INLINE_ENDS = {"p", "b", "i", "a", "span", "em", "strong", "li"}
+_BARRIERS = ("article", "main", "table", "td", "th")
 # Start tag -> open elements it ends, and where the search stops.
 _ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
@@ -76,7 +90,7 @@ _KINDS = {
     k: i
     for i, names in enumerate(
         ("", "html body", "article main", "section", "div span", "p", "h1", "h2 h3 h4 h5 h6", "ul ol dl menu", "li dt dd", "a", "nav", "header", "footer", "aside",
-         "form fieldset label legend input button", "table tbody thead tr td th", "blockquote pre code figure figcaption", "b i em strong u small sub sup mark")
+         "form fieldset label legend input button", "table tbody thead tr td th", "blockquote pre xmp code figure figcaption", "b i em strong u small sub sup mark math svg object")
     )
     for k in names.split()
 }
@@ -104,13 +118,28 @@ def parse(source: str) -> Page:
     stack = [0]
     at, n = 0, len(source)
     tags, parents, depths, attrs, events = page.tags, page.parents, page.depths, page.attrs, page.events
+    # Places in the stack: of the open elements of each name, and of the open block elements.
+    opened: dict[str, list[int]] = {}
+    blocks: list[int] = []
+
+    def push(own: int) -> None:
+        opened.setdefault(tags[own], []).append(len(stack))
+        if tags[own] in _BLOCK:
+            blocks.append(len(stack))
+        stack.append(own)
 
     def close_to(k: int) -> None:
         while len(stack) > k:
             gone = stack.pop()
+            opened[tags[gone]].pop()
             if tags[gone] in _BLOCK:
+                blocks.pop()
                 events.append((gone, None))
 
+    def innermost(names: Iterable[str]) -> int:
+        """Place in the stack of the innermost open element of these names, 0 if there is none."""
+        return max((opened[x][-1] for x in names if opened.get(x)), default=0)
+
     def text_at(t: str) -> None:
         if t.strip():
             if tags[stack[-1]] == "head":
@@ -120,48 +149,44 @@ def parse(source: str) -> Page:
                 parents.append(stack[-1])
                 depths.append(depths[stack[-1]] + 1)
                 attrs.append("")
-                stack.append(len(tags) - 1)
+                push(len(tags) - 1)
         events.append((stack[-1], t))
 
+    # Behind the last ">" there is no tag, only a comment that is left open.
+    last = source.rfind(">") + 1
+    pattern, open_quotes = _TAG, 0
     while at < n:
-        m = _TAG.search(source, at)
+        m = pattern.search(source, at, last) if at < last else None
         if m is None:
-            text_at(source[at:])
+            comment = source.find("<!--", at)
+            if comment != at:
+                text_at(source[at : comment if comment >= 0 else n])
             break
         if m.start() > at:
             text_at(source[at : m.start()])
         at = m.end()
         name = m[2] or m[5]
         if name is None:
+            if m[0].startswith("<!--") and (len(m[0]) < 7 or not m[0].endswith("-->")):
+                break
             continue
+        if m[5]:
+            open_quotes += 1
+            if open_quotes >= OPEN_QUOTES:
+                pattern = _TAG_UNQUOTED
         name = name.lower()
         if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1):
-                if tags[stack[k]] == name:
-                    close_to(k)
-                    break
-                if tags[stack[k]] in ("article", "main", "table", "td", "th") and name in ("p", "b", "i", "a", "span", "em", "strong", "li"):
-                    break
+            k = innermost((name,))
+            if k and not (name in _INLINE_ENDS and innermost(_BARRIERS) > k):
+                close_to(k)
             continue
         if name == "html":
             continue
-        if name in _ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if tags[stack[k]] == "p":
-                    close_to(k)
-                    break
-                if tags[stack[k]] in _BLOCK:
-                    break
+        if name in _ENDS_P and blocks and tags[stack[blocks[-1]]] == "p":
+            close_to(blocks[-1])
         if name in _ENDS:
             ended, stop = _ENDS[name]
-            while True:
-                for k in range(len(stack) - 1, 0, -1):
-                    if tags[stack[k]] in ended or tags[stack[k]] in stop:
-                        break
-                else:
-                    break
-                if tags[stack[k]] in stop:
-                    break
+            while (k := innermost(ended)) > innermost(stop):
                 close_to(k)
         if tags[stack[-1]] == "head" and name not in _IN_HEAD or tags[stack[-1]] == RUN and name in _BLOCK:
             close_to(len(stack) - 1)
@@ -177,11 +202,14 @@ def parse(source: str) -> Page:
         if name in _VOID:
             continue
         if name in _RAW:
-            end = _RAW[name].search(source, at)
+            end = _RAW[name].search(source, at, last)
+            if name == "xmp":
+                events.append((own, source[at : end.start() if end else n].replace("&", "&amp;")))
+                events.append((own, None))
             at = end.end() if end else n
             continue
         if not attrs[own].endswith("/") or name not in ("svg", "math", "path"):
-            stack.append(own)
+            push(own)
     close_to(1)
     return page
 
@@ -362,6 +390,13 @@ def chosen(page: Page, odds: np.ndarray) -> list[bool]:
     return keep
 
 
+def _decoded(block: str) -> str:
+    """`block` without character references; numbers beyond any code point are U+FFFD, however long."""
+    if "&" not in block:
+        return block
+    return html.unescape(_LONG_NUMBER.sub(lambda m: "&#" + (m[1].lstrip("0") or "0")[:8], block))
+
+
 def text_of(page: Page, keep: list[bool]) -> str:
     blocks, held = [], []
     for i, t in page.events:
@@ -373,7 +408,7 @@ def text_of(page: Page, keep: list[bool]) -> str:
             held.append(t)
     if held:
         blocks.append("".join(held))
-    cleaned = (" ".join((html.unescape(b) if "&" in b else b).split()) for b in blocks)
+    cleaned = (" ".join(_decoded(b).split()) for b in blocks)
     return "\n".join(b for b in cleaned if b)
 
 
@@ -537,13 +572,14 @@ def _text_batches(trees: Trees, column: str, out: str):
     return run
 
 
-def trained(pages: DataFrame, column: str = "html") -> Trees:
-    return fitted([r[0] or "" for r in pages.select(column).limit(SAMPLE_PAGES).collect()])
+def trained(pages: DataFrame, column: str = "html", key: str | None = None) -> Trees:
+    """Trees for `pages`; the sample goes by the hashes of `key`, or of the pages themselves."""
+    return fitted([r[0] or "" for r in sample_by_hash(pages, column, SAMPLE_PAGES, key)])
 
 
-def main_texts(pages: DataFrame, column: str = "html", out: str = "text", trees: Trees | None = None) -> DataFrame:
+def main_texts(pages: DataFrame, column: str = "html", out: str = "text", trees: Trees | None = None, key: str | None = None) -> DataFrame:
     """`pages` with the main text of each in column `out`, which replaces one of that name."""
-    trees = trees or trained(pages, column)
+    trees = trees or trained(pages, column, key)
     if out == column:
         raise ValueError("the text needs a column of its own")
     left = pages.select([F.col(c) for c in pages.columns if c.lower() != out.lower()])

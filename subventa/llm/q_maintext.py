@@ -11,5 +11,5 @@ from subventa.llm.registry import query, table
 
 @query("op7_html_extract")
 def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = main_texts(table(spark, sf_dir, "pages"))
+    texts = main_texts(table(spark, sf_dir, "pages"), key="page_id")
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

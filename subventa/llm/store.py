@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 FOLDER = "spark.checkpoint.dir"
 
@@ -42,3 +43,18 @@ def free_name(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def sample_by_hash(df: DataFrame, column: str, rows: int, key: str | None = None) -> list[Row]:
+    """At most `rows` values of `column`, the same ones however `df` lies in files.
+
+    Taken in the order of the hashes of `key`, so that only keys are read to choose them; without a key, of the
+    values themselves. Rows whose key is null are left out.
+    """
+    if key is None:
+        return df.select(column).orderBy(F.xxhash64(column), column).limit(rows).collect()
+    order = [F.xxhash64(key), F.col(key)]
+    keys = [r[0] for r in df.select(key).filter(F.col(key).isNotNull()).orderBy(*order).limit(rows).collect()]
+    if not keys:
+        return []
+    return df.filter(F.col(key).isin(keys)).select(column, key).orderBy(*order, column).limit(rows).select(column).collect()

@@ -1,10 +1,12 @@
 import html
 import random
 import re
+import time
 
 import pytest
 
 from subventa.llm import maintext as M
+from subventa.llm.store import sample_by_hash
 
 SF = "/root/testdata/sf0.01"
 
@@ -81,3 +83,62 @@ def test_articles_right_in_the_body(trees, opening):
     assert M.extracted(opening + "".join(f"<p>{x}" for x in lines), trees) == "\n".join(lines)
     assert M.extracted(f"{opening}{lines[0]} <b>{lines[1]}</b> {lines[2]}", trees) == " ".join(lines)
     assert M.extracted(f"{opening}{lines[0]}<p>{lines[1]}</p>{lines[2]}", trees) == "\n".join(lines)
+
+
+def test_choice_is_the_best_closure():
+    """Against every set of elements that holds no element without its parent."""
+    rng = random.Random(8)
+    for _ in range(60):
+        n = rng.randint(2, 9)
+        tags = ["html"] + [rng.choice(["div", "p", "span", "script"]) for _ in range(n - 1)]
+        parents = [-1] + [rng.randrange(i) for i in range(1, n)]
+        events = [(i, "x" * rng.randint(0, 30)) for i in range(n)]
+        page = M.Page(tags, parents, [0] * n, [""] * n, events)
+        odds = [rng.uniform(-2, 2) for _ in range(n)]
+        worth = [0.0 if i == 0 else odds[i] * (1 + len(events[i][1])) ** 0.5 for i in range(n)]
+        best = 0.0
+        for chosen in range(1 << (n - 1)):
+            own = [True] + [bool(chosen >> (i - 1) & 1) for i in range(1, n)]
+            if all(own[parents[i]] and tags[i] != "script" for i in range(1, n) if own[i]):
+                best = max(best, sum(w for w, k in zip(worth, own) if k))
+        keep = M.chosen(page, odds)
+        assert all(keep[parents[i]] and tags[i] != "script" for i in range(1, n) if keep[i])
+        assert sum(w for w, k in zip(worth, keep) if k) == pytest.approx(best)
+
+
+def test_formulas_and_stand_ins_are_text(trees):
+    source = "<article><p>The value of <math><mi>x</mi><mo>=</mo><mn>2</mn></math> is known to all of the people here.</p><object data=x><p>What stands in for the film, in words.</p></object><xmp>a &amp; <b>raw</b></xmp><p>Another line of words, told again.</p></article>"
+    assert M.extracted(source, trees) == "The value of x=2 is known to all of the people here.\nWhat stands in for the film, in words.\na &amp; <b>raw</b>\nAnother line of words, told again."
+
+
+HOSTILE = {
+    "name without end": "<p " + "a" * 1_000_000 + ">x",
+    "stray ends": "<div>" * 30_000 + "</b>" * 30_000,
+    "ends behind a barrier": "<b><table>" + "<div>" * 30_000 + "</b>" * 30_000,
+    "rules in open tags": "<b>" * 30_000 + "<hr>" * 30_000,
+    "tags without end": "x>" + "<!" * 300_000 + "<a" * 300_000,
+    "endless quotes": '<a ">"' * 50_000,
+    "ends of scripts": "<script></script>" + "<script></script " * 30_000,
+    "comments": "<p>x</p><!--" * 50_000,
+    "long number": "<p>&#" + "1" * 300_000 + ";</p>",
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_pages_take_linear_time(trees, name):
+    start = time.perf_counter()
+    M.extracted(HOSTILE[name], trees)
+    assert time.perf_counter() - start < 5
+
+
+def test_references_beyond_any_code_point(trees):
+    zeros = "0" * 6000
+    assert M._decoded(f"&#{'9' * 6000};&#{zeros}65;&#x{zeros}42;&amp;") == "�AB&"
+
+
+def test_model_does_not_depend_on_files(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    drawn = [[r[0] for r in sample_by_hash(pages.repartition(n), "html", 20, key)] for n in (1, 13) for key in ("page_id",)]
+    whole = [[r[0] for r in sample_by_hash(pages.repartition(n), "html", 20)] for n in (1, 13)]
+    assert drawn[0] == drawn[1] and whole[0] == whole[1] and len(drawn[0]) == len(whole[0]) == 20
+    assert sample_by_hash(pages.selectExpr("cast(null as long) page_id", "html"), "html", 20, "page_id") == []
