@@ -16,15 +16,20 @@ what the patterns did not cover; base spans always stay as they are.
 * Decoding is exact. A token whose best gain over "outside" cannot make up for
   any transition is outside on every best path; Viterbi runs over what is left.
 
-Defined cases: a null text is an empty one and has no spans. Repeated rows are
-scanned one by one, a null doc_id is carried along, extra columns stay in
-`masked` and are not carried by `scanned`. Offsets count code points.
+Defined cases: a null or empty text has no spans, an empty table gives an empty
+one. Repeated rows are scanned one by one, a null doc_id is carried along, extra
+columns stay in `masked` and are not carried by `scanned`. Offsets count code
+points. A text of any length is one sequence; its cost grows with its length and
+spans alone. The sample follows the hashes of doc_id where there is one, so it
+does not depend on how the table lies in files; rows without an id are not
+sampled.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from subventa.llm import utf8
+from subventa.llm.store import sample_by_hash
 
 # The base patterns, on UTF-8 bytes; they hold ASCII only.
 ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I)
@@ -278,15 +284,28 @@ def may_hold_base(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 _EDGE = b"\"'`,.;:()[]{}<> \t\n\r\x0b\x0c"
 
 
-def _uncovered(a: int, b: int, covers: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The parts of (a, b) outside of `covers`, which are sorted by start."""
+def _merged(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that `spans`, sorted by start, cover."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b, _ in spans:
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def _uncovered(a: int, b: int, starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
+    """The parts of (a, b) outside of the stretches, found from the first that ends behind a."""
     out = []
-    for s, e in covers:
-        if s >= b:
-            break
-        if a < s:
-            out.append((a, s))
-        a = max(a, e)
+    k = bisect_right(ends, a)
+    while k < len(starts) and starts[k] < b:
+        if a < starts[k]:
+            out.append((a, starts[k]))
+        a = ends[k]
+        k += 1
     return [*out, (a, b)] if a < b else out
 
 
@@ -303,11 +322,13 @@ def spans_of(data: np.ndarray, offsets: np.ndarray, field: Field) -> list[list[t
         return found
     row = np.searchsorted(first, at, "right") - 1
     fresh = np.concatenate(([True], (np.diff(at) > 1) | (np.diff(row) > 0))) | (tags[at] == 1)
-    groups = np.split(np.arange(len(at)), np.flatnonzero(fresh)[1:])
-    for g in groups:
-        i = int(row[g[0]])
-        a, b = int(starts[at[g[0]]] - offsets[i]), int(ends[at[g[-1]]] - offsets[i])
-        for a, b in _uncovered(a, b, [(s, e) for s, e, k in found[i] if k < 3]):
+    heads = np.flatnonzero(fresh)
+    tails = np.append(heads[1:], len(at)) - 1
+    covered: dict[int, tuple[list[int], list[int]]] = {}
+    for i, a, b in zip(row[heads].tolist(), starts[at[heads]].tolist(), ends[at[tails]].tolist()):
+        if i not in covered:
+            covered[i] = _merged(found[i])
+        for a, b in _uncovered(a - int(offsets[i]), b - int(offsets[i]), *covered[i]):
             raw = data[offsets[i] + a : offsets[i] + b].tobytes()
             a, b = a + len(raw) - len(raw.lstrip(_EDGE)), b - (len(raw) - len(raw.rstrip(_EDGE)))
             if a < b:
@@ -396,8 +417,8 @@ def _tagged(data: np.ndarray, offsets: np.ndarray, spans: list[list[tuple[int, i
 def trained(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> Field:
     """Field for the lines of `docs`."""
     lines = made_lines()
-    for r in docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).limit(sample_rows).collect():
-        for line in r["t"].split("\n"):
+    for r in sample_by_hash(docs, text, sample_rows, "doc_id" if "doc_id" in docs.columns else None):
+        for line in (r[0] or "").split("\n"):
             raw = line.encode()
             merged: list[tuple[int, int]] = []
             for a, b, _ in base_spans(raw):
@@ -413,9 +434,10 @@ def trained(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS)
     return train(tables, tags)
 
 
-def _points(data: np.ndarray, start: int) -> int:
-    """Code points in the first `start` bytes."""
-    return int(np.count_nonzero((data[:start] & 0xC0) != 0x80))
+def _points(data: np.ndarray, at: list[int]) -> list[int]:
+    """Code points before each place, a byte offset."""
+    begins = np.flatnonzero((data & 0xC0) != 0x80)
+    return np.searchsorted(begins, at).tolist()
 
 
 def _scan_batches(field: Field):
@@ -424,8 +446,12 @@ def _scan_batches(field: Field):
             for part, data, offsets in utf8.slices(batch, "text"):
                 lists = []
                 for i, spans in enumerate(spans_of(data, offsets, field)):
+                    if not spans:
+                        lists.append([])
+                        continue
                     own = data[offsets[i] : offsets[i + 1]]
-                    lists.append([{"kind": KINDS[k], "begin": _points(own, a), "end": _points(own, b)} for a, b, k in spans])
+                    begins, ends = _points(own, [a for a, _, _ in spans]), _points(own, [b for _, b, _ in spans])
+                    lists.append([{"kind": KINDS[k], "begin": a, "end": b} for a, b, (_, _, k) in zip(begins, ends, spans)])
                 kind = pa.list_(pa.struct([("kind", pa.string()), ("begin", pa.int64()), ("end", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lists, kind)], names=["doc_id", "found"])
 

@@ -97,3 +97,33 @@ def test_field_adds_what_base_spans_leave(field, monkeypatch):
         spans = S.spans_of(data, np.array([0, len(data)]), field)[0]
         assert [text[a:b] for a, b, k in spans if k == 3] == rest
         assert [s for s in spans if s[2] < 3] == S.base_spans(text.encode())
+
+
+def test_many_spans_in_one_text(field):
+    """Spans as plain patterns find them, in time that grows with the text."""
+    import time
+
+    text = "é password=abcd1234!Zx9q " * 20_000
+    start = time.perf_counter()
+    data = np.frombuffer(text.encode(), np.uint8)
+    spans = S.spans_of(data, np.array([0, len(data)]), field)[0]
+    begins = S._points(data, [a for a, _, _ in spans])
+    assert time.perf_counter() - start < 5
+    assert [b for b, (_, _, k) in zip(begins, spans) if k < 3] == [a for _, a, _ in base(text)]
+
+
+def test_uncovered_parts():
+    rng = random.Random(4)
+    for _ in range(300):
+        spans = sorted((a, a + rng.randint(1, 8), 0) for a in (rng.randrange(40) for _ in range(rng.randint(0, 6))))
+        a = rng.randrange(45)
+        b = a + rng.randint(1, 30)
+        got = S._uncovered(a, b, *S._merged(spans))
+        free = [x for x in range(a, b) if not any(s <= x < e for s, e, _ in spans)]
+        assert [x for s, e in got for x in range(s, e)] == free and all(s < e for s, e in got)
+
+
+def test_field_does_not_depend_on_files(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    one, many = S.trained(docs.repartition(1)), S.trained(docs.repartition(11))
+    assert all(np.array_equal(np.asarray(a), np.asarray(b)) for a, b in zip(vars(one).values(), vars(many).values()))
