@@ -45,6 +45,8 @@ RANKED = 50_000
 SLACK = 4
 # Coordinates that may step at once; they share no length, so none disturbs another.
 TOGETHER = 512
+# The descent ends when no repeat count is off by more than one in this many rests (and by half a repeat at least).
+PRECISION = 200_000
 
 
 def combinations(counts: np.ndarray, window: int = WINDOW, slack: int = SLACK) -> np.ndarray:
@@ -67,7 +69,12 @@ def combinations(counts: np.ndarray, window: int = WINDOW, slack: int = SLACK) -
 
 
 def repeat_counts(combos: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """x >= 0 with small |A x - counts|, A holding how often a combination uses a length."""
+    """x >= 0 with small |A x - counts|, A holding how often a combination uses a length.
+
+    Every coordinate is within max(0.5, rests / PRECISION) of its best value given the others, so the number of
+    steps does not grow with the counts; what that leaves is packed greedily.
+    """
+    off = max(0.5, float(counts[1:].sum()) / PRECISION)
     x = np.zeros(len(combos))
     left = counts.astype(float)
     left[0] = 0.0
@@ -77,7 +84,7 @@ def repeat_counts(combos: np.ndarray, counts: np.ndarray) -> np.ndarray:
         step = np.maximum(left[combos].sum(axis=1) / weight, -x)
         gain = step * step * weight
         best = np.argsort(-gain, kind="stable")[:TOGETHER] if len(gain) <= TOGETHER else np.argpartition(-gain, TOGETHER)[:TOGETHER]
-        best = best[np.abs(step[best]) >= 0.5]
+        best = best[np.abs(step[best]) >= off]
         if not len(best):
             break
         taken = np.zeros(len(counts), bool)

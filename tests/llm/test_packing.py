@@ -1,3 +1,4 @@
+import time
 import zlib
 from collections import defaultdict
 
@@ -6,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from subventa.llm.packing import plan, packed
+from subventa.llm.packing import combinations, packed, plan, repeat_counts
 
 SF = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string"
@@ -72,3 +73,37 @@ def test_plans_hold_every_rest_once(n, top, seed):
         assert 1020 <= sum(lengths) <= 1024
         np.add.at(used, list(lengths), repeats)
     assert (used == counts).all()
+
+
+def test_repeat_counts_against_every_support():
+    """Least squares over every set of combinations, the best one that is not negative."""
+    rng = np.random.default_rng(7)
+    for _ in range(15):
+        counts = np.zeros(13, np.int64)
+        counts[rng.choice(np.arange(1, 13), 6, replace=False)] = rng.integers(5, 400, 6)
+        combos = combinations(counts, window=12, slack=1)[:9]
+        table = np.array([[(c == k).sum() for c in combos] for k in range(1, 13)], float).reshape(12, len(combos))
+        want = counts[1:].astype(float)
+        best = float((want**2).sum())
+        for chosen in range(1, 1 << len(combos)):
+            part = table[:, [j for j in range(len(combos)) if chosen >> j & 1]]
+            x = np.linalg.lstsq(part, want, rcond=None)[0]
+            if (x >= -1e-9).all():
+                best = min(best, float(((part @ x - want) ** 2).sum()))
+        got = repeat_counts(combos, counts)
+        assert (got >= 0).all()
+        # Each coordinate stops within half a repeat of its best value.
+        assert ((table @ got - want) ** 2).sum() <= best + 0.25 * (table.sum(axis=0) ** 2).sum() + 0.02 * (want**2).sum()
+
+
+@pytest.mark.parametrize("top", [1_000, 2_000_000])
+def test_plan_time_does_not_grow_with_the_counts(top):
+    counts = np.random.default_rng(3).integers(0, top, 1024)
+    counts[0] = 0
+    start = time.perf_counter()
+    patterns, stream = plan(counts)
+    assert time.perf_counter() - start < 8
+    used = stream.copy()
+    for lengths, repeats in patterns:
+        np.add.at(used, list(lengths), repeats)
+    assert (used == counts).all() and stream.sum() <= 0.06 * counts.sum()
