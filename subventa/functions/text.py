@@ -35,6 +35,7 @@ AMOUNT_PATTERN = (
     r"(?U)([\d.,]+)" + SPACE + r"*(million(?:en)?|mio\.?|mrd\.?|milliard(?:en)?|thousand|tsd\.?|k\b)?"
 )
 
+# Numeric and long dates (fixed values).
 NUMERIC_DATE = r"(?U)(\d{4})-(\d{1,2})-(\d{1,2})|(\d{1,2})[./](\d{1,2})[./](\d{4})"
 LONG_DATE = r"(?U)(\d{1,2})\.?\s+([A-Za-zäöüÄÖÜ]+)\s+(\d{4})"
 
@@ -63,13 +64,27 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+# Between the two parts of a matched amount; no part can hold it.
+_PART = "\x01"
+_AMOUNT_ALONE = r"(?s)\A.*?" + AMOUNT_PATTERN + r".*\z"
+
+
 def amount_match(text: Column) -> Column:
-    """Leftmost number with its scale word, '' when there is none."""
-    return F.regexp_extract(F.lower(text), AMOUNT_PATTERN, 0)
+    """Leftmost number and its scale word as one string for `amount_value`, '' when there is none.
+
+    One pass of the pattern gives both parts; texts without a sign of a number are not passed at all.
+    """
+
+    def parts(lowered: Column) -> Column:
+        return F.when(lowered.rlike(r"(?U)[\d.,]"), F.regexp_replace(lowered, _AMOUNT_ALONE, f"$1{_PART}$2")).otherwise(
+            F.when(lowered.isNotNull(), "")
+        )
+
+    return let(F.lower(text), parts)
 
 
 def amount_value(match: Column) -> Column:
-    """Decimal value of a string cut out by `amount_match`."""
+    """Decimal value of what `amount_match` found."""
 
     def plain(number: Column) -> Column:
         dot, comma = F.contains(number, F.lit(".")), F.contains(number, F.lit(","))
@@ -89,9 +104,12 @@ def amount_value(match: Column) -> Column:
             .otherwise(F.lit(1_000))
         )
 
-    number = let(F.regexp_extract(match, AMOUNT_PATTERN, 1), plain).try_cast(T.DecimalType(28, 6))
-    times = let(F.regexp_extract(match, AMOUNT_PATTERN, 2), factor).cast(T.DecimalType(10, 0))
-    return F.try_multiply(number, times).cast(AMOUNT)
+    def value(found: Column) -> Column:
+        number = let(F.split_part(found, F.lit(_PART), F.lit(1)), plain).try_cast(T.DecimalType(28, 6))
+        times = let(F.split_part(found, F.lit(_PART), F.lit(2)), factor).cast(T.DecimalType(10, 0))
+        return F.try_multiply(number, times).cast(AMOUNT)
+
+    return let(match, value)
 
 
 def parse_amount_eur(text: Column) -> Column:

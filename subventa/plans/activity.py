@@ -8,6 +8,8 @@ from subventa.functions.labels import days_left, deadline_bucket
 from subventa.operators import activity as A
 from subventa.operators import sessions as S
 from subventa.plans.registry import query, table
+from subventa.sources.shared import shared_path
+from subventa.streaming.folds import RATES, request_rate_stream, with_state_store
 
 # User turns are session turns, signed in from the third turn on unless the
 # conversation is short; answers stand for delete requests, by the owner
@@ -117,6 +119,32 @@ def request_rates_minute(spark, sf_dir):
     return A.request_rates(hits, ["ts", "event_id"]).select("event_id", "in_window", "limited")
 
 
+@query(
+    "request_rates_stream",
+    """WITH h AS (SELECT event_type AS identity, CAST(floor(epoch(ts)) AS BIGINT) AS sec, ts FROM events WHERE event_type <> 'view'),
+    s AS (SELECT identity, sec, count(*) AS hits FROM h GROUP BY identity, sec),
+    w AS (SELECT *, sum(hits) OVER (PARTITION BY identity ORDER BY sec RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) AS in_window FROM s)
+    SELECT identity, sec, hits, CAST(in_window AS BIGINT) AS in_window, CAST(least(hits, greatest(0, in_window - 3)) AS BIGINT) AS limited FROM w
+    WHERE (sec + 1) * 1000 <= (SELECT epoch_ms(max(ts)) FROM h) - 10000""",
+)
+def request_rates_stream(spark, sf_dir):
+    """The events as a stream, drained once: seconds that the watermark has passed, windows of an hour and 3 hits."""
+    # As a pattern, since a stream takes a table of one file under no other name.
+    given = f"{sf_dir}/events.parque[t]"
+    events = with_state_store(spark).readStream.schema(table(spark, sf_dir, "events").schema).parquet(given)
+    hits = events.select(
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.col("event_type").alias("identity"),
+        F.when(F.col("event_type") == "view", "/health").otherwise("/grants").alias("path"),
+    )
+    out = shared_path(spark, "rates")
+    rates = request_rate_stream(hits, delay="10 seconds", window_seconds=3600, limit=3)
+    run = rates.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    stored = spark.read.schema(RATES).parquet(out)
+    return stored.select("identity", F.unix_seconds("second").alias("sec"), "hits", "in_window", "limited")
+
+
 @query(
     "recent_searches",
     """WITH s AS (SELECT user_id, ts, event_id, trim(CASE WHEN event_type = 'click' THEN upper(event_type) || '  ' WHEN event_type = 'error' THEN '  ' ELSE ' ' || event_type END
