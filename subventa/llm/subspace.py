@@ -20,7 +20,8 @@ and one link to the smallest vector it reaches inside the group.
 
 Defined cases: a row links with nothing if its label, vec_id or vector is null or
 the vector is empty, zero or has null or non-finite components; vectors of
-different lengths never link. Repeated rows are vectors of their own (each is a
+different lengths never link. Components of any finite size count, the smallest
+doubles as well. An empty table gives an empty one. Repeated rows are vectors of their own (each is a
 link of the other). Rows that share a vec_id but not the vector are one node in
 the components. Extra columns are not carried.
 """
@@ -59,6 +60,14 @@ def blocks(dims: int) -> list[slice]:
     return [slice(a, min(a + BLOCK_DIMS, dims)) for a in range(0, dims, BLOCK_DIMS)]
 
 
+def levelled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector times a power of two that brings its largest component near 1.
+
+    No component is rounded, and squares of very small or large ones neither vanish nor overflow.
+    """
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, initial=0))[1][:, None])
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt(np.einsum("ij,ij->i", vectors, vectors))[:, None]
 
@@ -80,6 +89,7 @@ def _cell_batches(cosine: float, with_vectors: bool):
                 at = np.flatnonzero(lengths == dims)
                 rows = batch.take(pa.array(at))
                 vectors = rows.column(rows.schema.get_field_index("embedding")).flatten().to_numpy().reshape(-1, dims).astype(np.float64)
+                vectors = levelled(vectors)
                 if dims not in turn:
                     turn[dims] = rotation(int(dims))
                 turned = unit(vectors) @ turn[dims]
@@ -136,7 +146,7 @@ def _compare(cosine: float):
         dims, block = table.column("dims")[0].as_py(), table.column("block")[0].as_py()
         side = table.column("side").to_numpy()
         node, weight = table.column("node").to_numpy(), table.column("weight").to_numpy()
-        plain = table.column("embedding").combine_chunks().flatten().to_numpy().reshape(-1, dims).astype(np.float64)
+        plain = levelled(table.column("embedding").combine_chunks().flatten().to_numpy().reshape(-1, dims).astype(np.float64))
         turned = unit(plain) @ rotation(dims)
         norm = np.sqrt(np.einsum("ij,ij->i", plain, plain))
         parts, budget = blocks(dims), budgets(dims, cosine)

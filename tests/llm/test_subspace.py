@@ -63,3 +63,13 @@ def test_odd_rows(spark):
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as node", "2 as weight", "3 as cell")
     assert got(df) == brute(rows)
     assert near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_very_small_and_large_components(spark):
+    """The size of a vector does not matter: links are those of the same vectors near size 1."""
+    rows = clusters(6, 12, 8, 0.12)
+    sizes = [1.0, 2.0**-560, 2.0**-900, 2.0**600, 2.0**1000]
+    scaled = [(i, [x * sizes[i % 5] for x in e], label) for i, e, label in rows]
+    assert got(spark.createDataFrame(scaled, SCHEMA)) == brute(rows)
+    one = [(1, [5e-324, 0.0], "a"), (2, [1e308, 0.0], "a"), (3, [1e308, 1e308], "a")]
+    assert got(spark.createDataFrame(one, SCHEMA)) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
