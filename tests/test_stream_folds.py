@@ -11,15 +11,14 @@ HIT = "identity string, ts timestamp, path string, hit_id long"
 EVENT = "session_id string, at timestamp, is_delete boolean, user_id string, query string"
 
 
-def drained(spark, tmp_path, schema, batches, transform, name):
+def drained(spark, tmp_path, schema, batches, transform):
     """What the stream gives for these batches, each a micro-batch, with a restart in the middle."""
     spark = with_state_store(spark)
     inbox, out, checkpoint = (str(tmp_path / x) for x in ("inbox", "out", "checkpoint"))
     half = (len(batches) + 1) // 2
     for part in (batches[:half], batches[half:]):
         for rows in part:
-            df = rows if not isinstance(rows, list) else spark.createDataFrame(rows, schema)
-            df.coalesce(1).write.mode("append").parquet(inbox)
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(inbox)
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(inbox)
         query = (
             transform(stream).writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -44,7 +43,7 @@ def test_rates_equal_the_batch_operator(spark, tmp_path, order):
     if order == "shuffled":  # out of order within the delay
         rows.sort(key=lambda r: (r[1] + timedelta(seconds=rng.uniform(0, 8))))
     batches = [rows[i : i + 400] for i in range(0, len(rows), 400)] + [[("end", start + timedelta(hours=1), "/x", -1)]]
-    got = drained(spark, tmp_path, HIT, batches, lambda s: request_rate_stream(s, limit=30), "rates")
+    got = drained(spark, tmp_path, HIT, batches, lambda s: request_rate_stream(s, limit=30))
     per_hit = request_rates(spark.createDataFrame(rows, HIT).fillna("-", ["identity"]), ["ts", "hit_id"], limit=30)
     want = per_hit.groupBy("identity", F.date_trunc("second", "ts").alias("second")).agg(
         F.count(F.lit(1)).alias("hits"), F.max("in_window").alias("in_window"), F.sum(F.col("limited").cast("long")).alias("limited")
@@ -69,7 +68,7 @@ def test_sessions_equal_the_batch_fold(spark, tmp_path):
     rows.sort(key=lambda r: r[1] + timedelta(seconds=rng.uniform(0, 8)))
     batches = [rows[i : i + 200] for i in range(0, len(rows), 200)] + [[("end", start + timedelta(hours=1), False, None, None)]]
     batches += [[(None, start + timedelta(hours=2), False, None, None), ("end", None, True, None, None), ("end", start + timedelta(hours=3), True, None, None)]]
-    got = drained(spark, tmp_path, EVENT, batches, session_stream, "sessions")
+    got = drained(spark, tmp_path, EVENT, batches, session_stream)
     newest = got.groupBy("session_id").agg(F.max_by(F.struct("owner_user_id", "title", "is_active", "turns"), "as_of").alias("h")).select("session_id", "h.*")
     events = spark.createDataFrame(rows, EVENT)
     want = fold_sessions(events.filter("not is_delete"), events.filter("is_delete")).headers
