@@ -7,8 +7,10 @@ are left are compared on whole sets. Nothing is lost: the first gram two similar
 always passes these bounds.
 
 The order comes from counts of grams in a fixed number of buckets, which is all the driver
-holds. A gram that many rows share is cut into cells by the same counts, a rare one is not,
-so its rows are neither copied nor compared with anything but the rows that share it.
+holds. A gram that few pairs share meets in a join. One that many share is left out of it: sets
+with such a gram in their prefix meet in cells of bounded weight by size, where a bound on the
+sizes and a parity sketch come before the whole sets and only similar pairs are handed on. So
+neither pairs that fail nor prefixes of common grams are written anywhere.
 """
 
 from __future__ import annotations
@@ -26,8 +28,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from subventa.sources.shared import shared_path, stored
 
 BUCKET_BITS = 16
-# Rows of one side that meet in a cell.
+# Pairs of rows that a gram may bring together in the join; with more, its sets meet in cells.
 CELL_ROWS = 20_000
+# Grams one side of a cell holds, per pair above.
+_GRAMS_PER_ROW = 200
+# Least ratio of sizes between two classes, and from which threshold a sketch tells sets apart.
+_CLASS_RATIO = 1.25
+_SKETCH_FROM = 0.5
+_SKETCH_WORDS = 64
 _SLACK = 1e-9
 
 
@@ -81,8 +89,18 @@ def gram_counts(sets: DataFrame) -> np.ndarray:
     return out
 
 
+def _ordered(codes: np.ndarray, size: np.ndarray, counts: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
+    """Row, gram, bucket and place of all grams in prefixes, set by set and the rarest first."""
+    row = np.repeat(np.arange(len(size)), size)
+    bucket = _bucket(codes)
+    order = np.lexsort((codes, counts[bucket], row))
+    pos = np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)
+    use = pos < (size - np.ceil(threshold * size - _SLACK).astype(np.int64) + 1)[row]
+    return row[use], codes[order][use], bucket[order][use], pos[use]
+
+
 def _prefixes(sets: DataFrame, counts: np.ndarray, cuts: np.ndarray, others: np.ndarray, threshold: float, own: str, other: str) -> DataFrame:
-    """The sets' columns but the grams, once per gram of the prefix and cell of the other side.
+    """The sets' columns but the grams, once per gram of the prefix and cell of the other side; a gram without cells is left out.
 
     Adds gram, size, pos (place in the order), `own` (the row's cell) and `other` (the cells it visits).
     """
@@ -96,13 +114,7 @@ def _prefixes(sets: DataFrame, counts: np.ndarray, cuts: np.ndarray, others: np.
         for batch in batches:
             at = batch.schema.get_field_index("grams")
             codes, size = _flat(batch.column(at))
-            row = np.repeat(np.arange(len(size)), size)
-            bucket = _bucket(codes)
-            order = np.lexsort((codes, counts[bucket], row))
-            codes, bucket = codes[order], bucket[order]
-            pos = np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)
-            use = pos < (size - np.ceil(threshold * size - _SLACK).astype(np.int64) + 1)[row]
-            codes, bucket, pos, row = codes[use], bucket[use], pos[use], row[use]
+            row, codes, bucket, pos = _ordered(codes, size, counts, threshold)
             visits = others[bucket]
             again = np.repeat(np.arange(len(row)), visits)
             visit = np.arange(len(again)) - np.repeat(np.cumsum(visits) - visits, visits)
@@ -116,18 +128,17 @@ def _prefixes(sets: DataFrame, counts: np.ndarray, cuts: np.ndarray, others: np.
     return sets.mapInArrow(cut, schema)
 
 
-def candidates(left: DataFrame, right: DataFrame, threshold: float, allowed: Column | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Distinct pairs (the ids of both sides) that share a prefix gram within the bounds.
+def _meeting(counts: np.ndarray, asked: np.ndarray, cell_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per bucket of grams whether its rows meet in the join, and whether they are too many for it."""
+    pairs = counts.astype(np.float64) * asked
+    return (pairs > 0) & (pairs <= cell_rows), pairs > cell_rows
 
-    `left` has columns named l_*, `right` r_*, and both `grams`, coded. Ids are l_id and all columns of the right that
-    begin with r_id; `allowed` is a further condition on the other columns.
-    """
-    counts = gram_counts(right)
-    asked = gram_counts(left)
-    r_cells, l_cells = (np.maximum(1, -(-n // cell_rows)) for n in (counts, asked))
-    order = counts + asked
-    a = _prefixes(left, order, l_cells, r_cells, threshold, "l_cell", "r_cell").withColumnsRenamed({"size": "l_size", "pos": "l_pos"})
-    b = _prefixes(right, order, r_cells, l_cells, threshold, "r_cell", "l_cell").withColumnsRenamed({"size": "r_size", "pos": "r_pos"})
+
+def _met(left: DataFrame, right: DataFrame, counts: np.ndarray, asked: np.ndarray, threshold: float, allowed: Column | None, cell_rows: int) -> DataFrame:
+    cells = _meeting(counts, asked, cell_rows)[0].astype(np.int64)
+    one, order = np.ones_like(counts), counts + asked
+    a = _prefixes(left, order, one, cells, threshold, "l_cell", "r_cell").withColumnsRenamed({"size": "l_size", "pos": "l_pos"})
+    b = _prefixes(right, order, one, cells, threshold, "r_cell", "l_cell").withColumnsRenamed({"size": "r_size", "pos": "r_pos"})
     t = F.lit(threshold)
     l_size, r_size = F.col("l_size"), F.col("r_size")
     fits = (l_size >= t * r_size - _SLACK) & (r_size >= t * l_size - _SLACK)
@@ -136,22 +147,190 @@ def candidates(left: DataFrame, right: DataFrame, threshold: float, allowed: Col
     met = a.join(b, ["gram", "l_cell", "r_cell"]).filter(fits)
     if allowed is not None:
         met = met.filter(allowed)
+    return met
+
+
+def candidates(left: DataFrame, right: DataFrame, threshold: float, allowed: Column | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Distinct pairs (the ids of both sides) that share a prefix gram within the bounds, one that at most `cell_rows` pairs have.
+
+    `left` has columns named l_*, `right` r_*, and both `grams`, coded. Ids are l_id and all columns of the right that
+    begin with r_id; `allowed` is a further condition on the other columns.
+    """
+    met = _met(left, right, gram_counts(right), gram_counts(left), threshold, allowed, cell_rows)
     return met.select("l_id", *[c for c in right.columns if c.startswith("r_id")]).distinct()
 
 
+def _class_of(size: np.ndarray, ratio: float) -> np.ndarray:
+    """Class of sizes from 1 on; it does not fall as they grow."""
+    return np.floor(np.log(np.maximum(size, 1)) / np.log(ratio)).astype(np.int32)
+
+
+def _marked(sets: DataFrame, side: str, order: np.ndarray, hot: np.ndarray, threshold: float) -> DataFrame:
+    """Adds whether a set has a gram for the cells in its prefix, its size class and those it can be similar to."""
+    names = [f"{side}_{n}" for n in ("hot", "class", "first", "last")]
+    schema = T.StructType([*sets.schema.fields, T.StructField(names[0], T.BooleanType()), *(T.StructField(n, T.IntegerType()) for n in names[1:])])
+    arrow = to_arrow_schema(schema)
+    ratio = max(1 / threshold, _CLASS_RATIO)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, size = _flat(batch.column(batch.schema.get_field_index("grams")))
+            row, _, bucket, _ = _ordered(codes, size, order, threshold)
+            flag = np.zeros(len(size), bool)
+            flag[row[hot[bucket]]] = True
+            ends = np.ceil(threshold * size - _SLACK), np.floor(size / threshold + _SLACK)
+            classes = [pa.array(_class_of(n, ratio)) for n in (size, *ends)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flag), *classes], schema=arrow)
+
+    return sets.mapInArrow(mark, schema)
+
+
+def _sketches(ids: np.ndarray, size: np.ndarray, words: int) -> np.ndarray:
+    """Per set the parity of its grams in each of 64 * words places; two sets differ in at least as many grams as places."""
+    row = np.repeat(np.arange(len(size)), size)
+    place = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(64 * words)
+    bits = np.empty((len(size), words), np.uint64)
+    ends = np.concatenate([[0], np.cumsum(size)])
+    step = max(1, (1 << 21) // (64 * words))
+    for start in range(0, len(size), step):
+        n = min(step, len(size) - start)
+        own = slice(ends[start], ends[start + n])
+        odd = np.bincount((row[own] - start) * 64 * words + place[own].astype(np.int64), minlength=n * 64 * words) & 1
+        bits[start : start + n] = np.packbits(odd.astype(np.uint8).reshape(n, words, 64), axis=2).reshape(n, words, 8).view(np.uint64)[:, :, 0]
+    return bits
+
+
+def _similar(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each left set (grams and sizes, all distinct in a set) the right ones that reach the threshold, and their similarity."""
+    (l_codes, l_size), (r_codes, r_size) = left, right
+    grams, at = np.unique(np.concatenate([l_codes, r_codes]), return_inverse=True)
+    l_ids, r_ids = at[: len(l_codes)].astype(np.int32), at[len(l_codes) :].astype(np.int32)
+    del at
+    order = np.argsort(r_size, kind="stable")
+    sizes, r_begin = r_size[order], (np.cumsum(r_size) - r_size)[order]
+    low = np.searchsorted(sizes, np.ceil(threshold * l_size - _SLACK), "left")
+    high = np.searchsorted(sizes, np.floor(l_size / threshold + _SLACK), "right")
+    sketched = threshold >= _SKETCH_FROM
+    if sketched:
+        words = min(_SKETCH_WORDS, max(2, -(-int(max(l_size.max(), r_size.max())) // 64)))
+        l_sketch, r_sketch = _sketches(l_ids, l_size, words), np.ascontiguousarray(_sketches(r_ids, r_size, words)[order].T)
+        most = (1 - threshold) / (1 + threshold)
+    own, l_begin = np.zeros(len(grams), bool), np.cumsum(l_size) - l_size
+    for i, n in enumerate(l_size):
+        near = np.arange(low[i], high[i])
+        if sketched and len(near):
+            limit = most * (n + sizes[low[i] : high[i]]) + _SLACK
+            apart = np.zeros(len(near), np.int64)
+            for word in range(words):
+                column = r_sketch[word, low[i] : high[i]] if len(near) == high[i] - low[i] else r_sketch[word, near]
+                apart += np.bitwise_count(column ^ l_sketch[i, word])
+                if word % 2 or word == words - 1:
+                    keep = apart <= limit
+                    if not keep.all():
+                        near, apart, limit = near[keep], apart[keep], limit[keep]
+                    if not len(near):
+                        break
+        if not len(near):
+            continue
+        mine = l_ids[l_begin[i] : l_begin[i] + n]
+        own[mine] = True
+        for start in range(0, len(near), 4096):
+            some = near[start : start + 4096]
+            length = sizes[some]
+            first = np.cumsum(length) - length
+            flat = np.arange(length.sum()) + np.repeat(r_begin[some] - first, length)
+            shared = np.add.reduceat(own[r_ids[flat]], first, dtype=np.int64)
+            score = shared / (n + length - shared)
+            good = score >= threshold
+            if good.any():
+                yield i, order[some[good]], score[good]
+        own[mine] = False
+
+
+def _by_cells(left: DataFrame, right: DataFrame, threshold: float, cell_rows: int) -> DataFrame:
+    """All columns but the grams, and score, of the similar pairs of marked sets that have grams for the cells."""
+    spark = left.sparkSession
+    ids = [c for c in right.columns if c.startswith("r_id")]
+    weight = _GRAMS_PER_ROW * cell_rows
+    # A row a class: fewer than a hundred.
+    lefts = left.withColumn("cell_class", F.explode(F.sequence("l_first", "l_last"))).filter("l_hot")
+    rights = right.withColumn("cell_class", F.col("r_class")).filter("r_hot")
+    sums = [
+        {r["cell_class"]: max(1, -(-r["n"] // weight)) for r in side.groupBy("cell_class").agg(F.sum(F.size("grams")).alias("n")).collect()}
+        for side in (lefts, rights)
+    ]
+    cuts = [(c, sums[0][c], sums[1][c]) for c in sums[0] if c in sums[1]]
+    small = F.broadcast(spark.createDataFrame(cuts, "cell_class int, l_cells int, r_cells int"))
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    keys = ["cell_class", "l_cell", "r_cell"]
+    tasks = max(1, min(sum(a * b for _, a, b in cuts), 8 * spark.sparkContext.defaultParallelism))
+    l_kept = [c for c in left.columns if c not in ("grams", "l_hot", "l_class", "l_first", "l_last")]
+    r_kept = [c for c in right.columns if c not in ("grams", "r_hot", "r_class", "r_first", "r_last")]
+    l_own, r_own = F.pmod(F.xxhash64("l_id"), "l_cells").cast("int"), F.pmod(F.xxhash64(*ids), "r_cells").cast("int")
+    lefts = lefts.join(small, "cell_class").withColumn("l_cell", l_own).withColumn("r_cell", every("r_cells")).select(*keys, *l_kept, "grams")
+    rights = rights.join(small, "cell_class").withColumn("r_cell", r_own).withColumn("l_cell", every("l_cells")).select(*keys, *r_kept, "grams")
+    schema = T.StructType([*(left.schema[c] for c in l_kept), *(right.schema[c] for c in r_kept), T.StructField("score", T.DoubleType())])
+    arrow = to_arrow_schema(schema)
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        l_at, r_at, scores = [], [], []
+        if a.num_rows and b.num_rows:
+            flat = [_flat(t.column("grams").combine_chunks()) for t in (a, b)]
+            for i, hits, score in _similar(*flat, threshold):
+                l_at.append(np.full(len(hits), i))
+                r_at.append(hits)
+                scores.append(score)
+        if not scores:
+            return arrow.empty_table()
+        x, y = a.select(l_kept).take(pa.array(np.concatenate(l_at))), b.select(r_kept).take(pa.array(np.concatenate(r_at)))
+        return pa.Table.from_arrays([*x.columns, *y.columns, pa.array(np.concatenate(scores))], names=arrow.names).cast(arrow)
+
+    met = lefts.repartition(tasks, *keys).groupBy(*keys).cogroup(rights.repartition(tasks, *keys).groupBy(*keys))
+    return met.applyInArrow(compare, schema)
+
+
 def similarity_join(left: DataFrame, right: DataFrame, threshold: float, allowed: Column | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
     """l_id, the r_id* columns and score of all pairs whose sets have at least the similarity `threshold` (above 0).
 
-    As `candidates`, but `grams` are distinct texts of three characters; ids are unique on each side. An empty or null set is similar to none. Both sides are stored once,
-    as the counts, the prefixes and the comparison read them.
+    As `candidates`, but `grams` are distinct texts of three characters; ids are unique on each side, rows without one are
+    left out. An empty or null set is similar to none. Sets of sizes that no set of the other side allows are left out first.
+    Both sides are stored, as the counts, the prefixes and the comparison read them. Of two sets that both have grams for the
+    cells the cells decide, of others the join.
     """
     if not 0 < threshold <= 1:
         raise ValueError("a similarity join needs a threshold above 0 and up to 1")
     spark = left.sparkSession
-    left, right = stored(coded(left), shared_path(spark, "sets-l")), stored(coded(right), shared_path(spark, "sets-r"))
     ids = [c for c in right.columns if c.startswith("r_id")]
-    pairs = candidates(left, right, threshold, allowed, cell_rows)
-    sets = pairs.join(left.select("l_id", F.col("grams").alias("l_grams")), "l_id").join(right.select(*ids, F.col("grams").alias("r_grams")), ids)
+
+    def kept(sets: DataFrame, keys: list[str], low: float, high: float) -> DataFrame:
+        named = sets.filter(F.size("grams").between(low, high))
+        for c in keys:
+            named = named.filter(F.col(c).isNotNull())
+        return named
+
+    left = stored(coded(kept(left, ["l_id"], 1, float("inf"))), shared_path(spark, "sets-l"))
+    ends = left.agg(F.min(F.size("grams")).alias("low"), F.max(F.size("grams")).alias("high")).head()
+    low, high = ((ends["low"] or 1) * threshold - _SLACK, (ends["high"] or 0) / threshold + _SLACK)
+    right = stored(coded(kept(right, ids, low, high)), shared_path(spark, "sets-r"))
+    counts, asked = gram_counts(right), gram_counts(left)
+    hot = _meeting(counts, asked, cell_rows)[1]
+    if hot.any():
+        left = stored(_marked(left, "l", counts + asked, hot, threshold), shared_path(spark, "marked-l"))
+        right = stored(_marked(right, "r", counts + asked, hot, threshold), shared_path(spark, "marked-r"))
+    else:
+        left, right = left.withColumn("l_hot", F.lit(False)), right.withColumn("r_hot", F.lit(False))
+    cold = ~(F.col("l_hot") & F.col("r_hot"))
+    pairs = _met(left, right, counts, asked, threshold, cold if allowed is None else cold & allowed, cell_rows).select("l_id", *ids).distinct()
+    sets = pairs.join(left.select("l_id", "l_hot", F.col("grams").alias("l_grams")), "l_id").join(
+        right.select(*ids, "r_hot", F.col("grams").alias("r_grams")), ids
+    ).filter(cold)
     shared = F.size(F.array_intersect("l_grams", "r_grams"))
     scored = sets.select("l_id", *ids, (shared / (F.size("l_grams") + F.size("r_grams") - shared)).alias("score"))
-    return scored.filter(F.col("score") >= threshold)
+    scored = scored.filter(F.col("score") >= threshold)
+    if not hot.any():
+        return scored
+    close = _by_cells(left, right, threshold, cell_rows)
+    return scored.unionByName((close if allowed is None else close.filter(allowed)).select("l_id", *ids, "score"))

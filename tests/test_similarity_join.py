@@ -83,3 +83,14 @@ def test_search_by_join_keeps_filters(spark):
     queries = spark.createDataFrame(asked, "qid long, query string, portal string, country string")
     scan = sparse_top_k(queries, corpus, 5).collect()
     assert scan and sorted(scan) == sorted(sparse_top_k(queries, corpus, 5, max_broadcast_grams=0).collect())
+
+
+def test_common_grams_bring_no_pairs_into_the_join(spark):
+    """Sets that share grams with many others meet in cells: none of their pairs is handed on but similar ones."""
+    rng = np.random.default_rng(9)
+    many = [" ".join(rng.choice(WORDS, 6)) + f" {i % 40}" for i in range(300)]
+    a, b = sides(spark, many, many)
+    assert J.candidates(J.coded(a), J.coded(b), 0.6, cell_rows=20).count() <= 20 * len(set().union(*map(reference_grams, many)))
+    for threshold in (0.3, 0.7):
+        got = {(r.l_id, r.r_id): r.score for r in J.similarity_join(a, b, threshold, cell_rows=20).collect()}
+        assert got == pytest.approx(brute(many, many, threshold))
