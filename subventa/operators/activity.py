@@ -37,13 +37,16 @@ def request_rates(
     own = F.floor(F.col("_sec") / span)
     last_seen = F.floor((F.col("_sec") + window_seconds - 1) / span)
     spread = seconds.withColumn("_own", own).withColumn("_block", F.explode(F.sequence(own, last_seen)))
-    before = (
-        Window.partitionBy("identity", "_block").orderBy("_sec").rangeBetween(-(window_seconds - 1), -1)
-    )
+    # Hits come in with their second and go out once the window has passed. So one running sum gives
+    # the hits before a second; a sliding frame would add its rows up again for every second.
+    comes = F.struct(F.col("_sec").alias("at"), F.lit(1).alias("kind"), F.col("_n").alias("change"))
+    goes = F.struct((F.col("_sec") + window_seconds).alias("at"), F.lit(0).alias("kind"), (-F.col("_n")).alias("change"))
+    steps = spread.select("identity", "_block", "_own", F.explode(F.array(comes, goes)).alias("_s"))
+    before = Window.partitionBy("identity", "_block").orderBy("_s.at", "_s.kind").rowsBetween(Window.unboundedPreceding, -1)
     earlier = (
-        spread.withColumn("_earlier", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .filter(F.col("_block") == F.col("_own"))
-        .select("identity", "_sec", "_earlier")
+        steps.withColumn("_earlier", F.coalesce(F.sum("_s.change").over(before), F.lit(0)))
+        .filter((F.col("_s.kind") == 1) & (F.col("_block") == F.col("_own")))
+        .select("identity", F.col("_s.at").alias("_sec"), "_earlier")
     )
     peers = Window.partitionBy("identity", "_sec").orderBy(*order)
     count = F.col("_earlier") + F.row_number().over(peers)

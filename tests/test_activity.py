@@ -71,3 +71,11 @@ def test_statistics_of_an_empty_corpus(spark):
     assert doc["by_portal"] == [] and doc["by_status"] == [] and doc["by_federal_state"] == []
     assert stats.embedded_share(stats.totals(empty)).first()["embedded_pct"] == 0
     assert stats.statistics_json(empty).first()["totals"].startswith('{"total_grants":0,"embedded_grants":0,"funding_global_min":null')
+
+
+def test_rates_add_no_second_up_twice(spark):
+    """A busy identity, a hit each second: the plan has a running sum and no frame that slides over a range."""
+    hits = spark.range(4000).select("id", F.lit("a").alias("identity"), F.timestamp_seconds(F.col("id")).alias("ts"), F.lit("/x").alias("path"))
+    rated = A.request_rates(hits, ["ts", "id"], window_seconds=1000, block_seconds=1500)
+    assert "RangeFrame" not in rated._jdf.queryExecution().toString()
+    assert all(r["in_window"] == min(r["id"] + 1, 1000) for r in rated.collect())
