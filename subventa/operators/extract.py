@@ -16,6 +16,9 @@ from subventa.operators.portals import NO_SUMMARY, RULES, rule_table
 from subventa.operators.scan import first_deadline, portal_amounts
 from subventa.schema import PORTALS, SECTORS, STATUSES
 
+# Pages, and characters of them, whose parts are handed on at once.
+WALK_ROWS, WALK_CHARS = 512, 1_000_000
+
 _PARTS = T.StructType(
     [
         T.StructField("page_id", T.LongType()),
@@ -45,12 +48,18 @@ _PARTS = T.StructType(
 
 
 def page_structure(pages: DataFrame) -> DataFrame:
-    """Tag walk over (page_id, url, portal, html); a bad page becomes an error row."""
+    """Tag walk over (page_id, url, portal, html); a bad page becomes an error row.
+
+    The parts of some pages at a time are held as Python objects, whatever a batch holds.
+    """
     scopes = {r.portal: (frozenset(r.blocked), r.article_scope) for r in RULES}
 
+    def frame(rows: list[dict]) -> pd.DataFrame:
+        return pd.DataFrame({c: pd.Series([r[c] for r in rows], dtype=object) for c in _PARTS.fieldNames()})
+
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
+            rows, chars = [], 0
             for page_id, url, portal, html in batch.itertuples(index=False):
                 row = dict.fromkeys(_PARTS.fieldNames()) | {"page_id": page_id, "url": url, "portal": portal}
                 try:
@@ -58,7 +67,11 @@ def page_structure(pages: DataFrame) -> DataFrame:
                 except Exception as error:  # one bad page must not end the run
                     row["parse_error"] = f"{type(error).__name__}: {error}"
                 rows.append(row)
-            yield pd.DataFrame({c: pd.Series([r[c] for r in rows], dtype=object) for c in _PARTS.fieldNames()})
+                chars += len(html or "")
+                if chars >= WALK_CHARS or len(rows) >= WALK_ROWS:
+                    yield frame(rows)
+                    rows, chars = [], 0
+            yield frame(rows)
 
     return spread_small(pages.select("page_id", "url", "portal", "html")).mapInPandas(walk, _PARTS)
 

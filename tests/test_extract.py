@@ -96,3 +96,19 @@ def test_split_valid(spark):
     reasons = {r["id"]: r["reasons"] for r in bad.collect()}
     assert reasons[4] == ["portal not allowed", "country not two letters"]
     assert set(reasons) == {2, 3, 4, 5}
+
+
+def test_parts_of_few_pages_are_held_at_once(spark, monkeypatch):
+    """A batch of many pages goes on in pieces, with a row for every page, empty and broken ones included."""
+    frame = E.pd.DataFrame
+    rows = [(i, f"https://www.kfw.de/{i}", "kfw", None if i % 50 == 7 else KFW) for i in range(1300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, portal string, html string")
+    walk = {}
+    monkeypatch.setattr(type(pages), "mapInPandas", lambda self, run, schema: walk.setdefault("run", run) and self)
+    E.page_structure(pages)
+    batch = frame(rows, columns=["page_id", "url", "portal", "html"])
+    out = list(walk["run"](iter([batch, batch.iloc[:0]])))
+    sizes = [len(p) for p in out]
+    assert max(sizes) <= E.WALK_ROWS and sum(sizes) == 1300
+    assert [i for p in out for i in p["page_id"]] == list(range(1300))
+    assert sum(p["parse_error"].notna().sum() for p in out) == 26
