@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,8 @@ from subventa.operators.sessions import ANON_PREFIX, TITLE_CHARS
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+# Rows of a frame handed back.
+_OUT_ROWS = 100_000
 RATES = "identity string, second timestamp, hits long, in_window long, limited long"
 HEADERS = "session_id string, as_of timestamp, owner_user_id string, title string, is_active boolean, turns long"
 
@@ -54,21 +57,27 @@ class _Window(StatefulProcessor):
         self.seconds = handle.getMapState("seconds", "second long", "hits long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        fresh = pd.concat(list(rows)).groupby("sec", as_index=False)["hits"].sum().sort_values("sec")
+        fresh = pd.concat([part[["sec", "hits"]] for part in rows]).groupby("sec")["hits"].sum().sort_index()
         kept = {k[0]: v[0] for k, v in self.seconds.iterator()} if self.seconds.exists() else {}
-        out = []
-        for sec, hits in zip(fresh["sec"].tolist(), fresh["hits"].tolist()):
-            for old in [s for s in kept if s <= sec - self.window_seconds]:
-                del kept[old]
-            total = sum(kept.values()) + hits
-            kept[sec] = hits
-            out.append((key[0], pd.Timestamp(sec, unit="s", tz="UTC"), hits, total, min(hits, max(0, total - self.limit))))
+        known = pd.concat([pd.Series(kept, dtype="int64"), fresh]).groupby(level=0).last().sort_index()
+        secs, hits = known.index.to_numpy(dtype="int64"), known.to_numpy(dtype="int64")
+        # Sums over the windows from one running sum, whatever the number of seconds in a window.
+        upto = np.concatenate([[0], np.cumsum(hits)])
+        total = upto[1:] - upto[np.searchsorted(secs, secs - self.window_seconds, "right")]
+        own = np.isin(secs, fresh.index.to_numpy(dtype="int64"))
+        last = int(secs[own][-1])
         self.seconds.clear()
-        for sec, hits in kept.items():
-            self.seconds.updateValue((sec,), (hits,))
+        held = secs > last - self.window_seconds
+        for sec, n in zip(secs[held].tolist(), hits[held].tolist()):
+            self.seconds.updateValue((sec,), (n,))
         # Once the window has passed, an idle identity needs no state.
-        self.handle.registerTimer((max(kept) + self.window_seconds) * 1000)
-        yield pd.DataFrame(out, columns=["identity", "second", "hits", "in_window", "limited"])
+        self.handle.registerTimer((int(secs[-1]) + self.window_seconds) * 1000)
+        secs, hits, total = secs[own], hits[own], total[own]
+        limited = np.minimum(hits, np.maximum(0, total - self.limit))
+        for start in range(0, len(secs), _OUT_ROWS):
+            cut = slice(start, start + _OUT_ROWS)
+            second = pd.to_datetime(secs[cut], unit="s", utc=True)
+            yield pd.DataFrame({"identity": pd.Series([key[0]] * len(second), dtype=object), "second": second, "hits": hits[cut], "in_window": total[cut], "limited": limited[cut]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = expiredTimerInfo.getExpiryTimeInMs() // 1000

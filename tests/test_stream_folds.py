@@ -1,10 +1,14 @@
 import random
+import time
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from subventa.operators.activity import request_rates
 from subventa.operators.sessions import fold_sessions
+from subventa.streaming import folds
 from subventa.streaming.folds import request_rate_stream, session_stream, with_state_store
 
 HIT = "identity string, ts timestamp, path string, hit_id long"
@@ -75,3 +79,48 @@ def test_sessions_equal_the_batch_fold(spark, tmp_path):
     newest = newest.filter("session_id <> 'end'").select(want.columns)
     assert want.count() == 9 and want.filter("owner_user_id not like 'anon-%'").count() > 3
     assert newest.exceptAll(want).count() == 0 and want.exceptAll(newest).count() == 0
+
+class _Handle:
+    """A state store in memory, which counts how often a window's seconds are read."""
+
+    def __init__(self):
+        self.held, self.timers = {}, []
+
+    def getMapState(self, *_):
+        return self
+
+    def exists(self):
+        return bool(self.held)
+
+    def iterator(self):
+        return iter(list(self.held.items()))
+
+    def clear(self):
+        self.held = {}
+
+    def updateValue(self, key, value):
+        self.held[key] = value
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def test_a_busy_identity_takes_time_by_its_seconds_alone():
+    """300,000 seconds with hits in windows of an hour, in two batches: a pass over the window for each would take minutes."""
+    fold, handle = folds._Window(3600, 5000), _Handle()
+    fold.init(handle)
+    seconds = np.arange(300_000)
+    begun = time.perf_counter()
+    out = []
+    for part in np.array_split(seconds, 2):
+        shuffled = np.random.default_rng(1).permutation(part)
+        out += fold.handleInputRows(("a",), iter([pd.DataFrame({"sec": shuffled, "hits": shuffled % 4})]), None)
+    assert time.perf_counter() - begun < 10
+    got = pd.concat(out, ignore_index=True)
+    hits = seconds % 4
+    upto = np.concatenate([np.zeros(3600, int), np.cumsum(hits)])
+    total = np.cumsum(hits) - upto[: len(hits)]
+    assert (got["hits"] == hits).all() and (got["in_window"] == total).all()
+    assert (got["limited"] == np.minimum(hits, np.maximum(0, total - 5000))).all()
+    assert (got["second"] == pd.to_datetime(seconds, unit="s", utc=True)).all()
+    assert sorted(k for (k,) in handle.held) == list(range(300_000 - 3600, 300_000)) and handle.timers[-1] == (299_999 + 3600) * 1000
