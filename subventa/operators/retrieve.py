@@ -20,6 +20,7 @@ from subventa.operators.order import top_per_key
 from subventa.operators.query_block import MAX_BLOCK_QUERIES, QueryBlock, held
 from subventa.operators.sparse import sparse_top_k
 from subventa.sources.deltas import DeltaTable
+from subventa.sources.shared import shared_path, stored
 
 DENSE, HYBRID, HYBRID_RERANK = "dense", "hybrid", "hybrid_rerank"
 # Candidates per leg and into the reranker (fixed values).
@@ -183,7 +184,15 @@ def retrieve(
 
 
 def stage_counts(result: Retrieval, queries: DataFrame) -> DataFrame:
-    """Candidates per stage and query, zero where a stage had none."""
+    """Candidates per stage and query, zero where a stage had none.
+
+    The legs are written once, at most their candidates per query, as three of the counts read them: each would run the
+    search again.
+    """
+    spark = queries.sparkSession
+    dense = stored(result.dense, shared_path(spark, "dense"))
+    sparse = None if result.sparse is None else stored(result.sparse, shared_path(spark, "sparse"))
+    fused = None if result.fused is None else stored(reciprocal_rank_fusion(dense, sparse), shared_path(spark, "fused"))
 
     def counted(df: DataFrame | None, name: str) -> DataFrame | None:
         if df is None:
@@ -192,11 +201,11 @@ def stage_counts(result: Retrieval, queries: DataFrame) -> DataFrame:
 
     out = queries.select("qid")
     stages = {
-        "dense_count": counted(result.dense, "dense_count"),
-        "sparse_count": counted(result.sparse, "sparse_count"),
-        "fused_count": counted(result.fused, "fused_count"),
+        "dense_count": counted(dense, "dense_count"),
+        "sparse_count": counted(sparse, "sparse_count"),
+        "fused_count": counted(fused, "fused_count"),
         "rerank_count": counted(
-            None if result.reranked is None else result.fused.filter(F.col("fused_rank") < RERANK_INPUT), "rerank_count"
+            None if result.reranked is None else fused.filter(F.col("fused_rank") < RERANK_INPUT), "rerank_count"
         ),
     }
     for name, stage in stages.items():

@@ -152,6 +152,18 @@ def test_modes(spark):
         R.retrieve(queries, corpus, R.HYBRID_RERANK)
 
 
+def test_stage_counts_search_once(spark):
+    """The counts read the written legs: no search is left in their plan."""
+    m = vectors(40)
+    corpus = corpus_frame(spark, m)
+    queries = spark.createDataFrame([(1, "Title 7 grant", [float(x) for x in m[7]])], "qid int, query string, embedding array<double>")
+    for mode, stages in ((R.HYBRID_RERANK, 4), (R.HYBRID, 3), (R.DENSE, 1)):
+        counts = R.stage_counts(R.retrieve(queries, corpus, mode, 5, R.contains_scorer), queries)
+        plan = counts._jdf.queryExecution().toString()
+        assert "MapInPandas" not in plan and "MapInArrow" not in plan
+        assert sum(v > 0 for n, v in counts.first().asDict().items() if n != "qid") == stages
+
+
 def test_expansion(spark):
     queries = spark.createDataFrame([(1, "q", [1.0, 0.0]), (2, "q", [1.0, 0.0])], "qid int, query string, embedding array<double>")
     hypo = spark.createDataFrame(
