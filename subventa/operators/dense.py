@@ -6,10 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from subventa.operators.bounds import collect_within, spread_small
 from subventa.operators.order import top_per_key
@@ -23,6 +25,10 @@ CELL_ROWS = 100_000
 # the summation order of a block product.
 DIGITS = 9
 _QUERY_STRIPE = 256
+# Rows of a cell that are compared at once, and those looked at first.
+_TILE, _FIRST_TILE = 4_096, 1_024
+# From this share of pairs that meet on, a cell compares whole blocks.
+_WHOLE_SHARE = 0.25
 
 
 def live_vectors(corpus: DataFrame) -> DataFrame:
@@ -164,20 +170,6 @@ def _scan(
     return spread_small(rows).mapInPandas(scan, schema), block
 
 
-def _cells(left: DataFrame, right: DataFrame, keys: list[str], k: int, schema: T.StructType) -> DataFrame:
-    """Best k rows per query in each cell; both sides of a cell are bounded by the caller."""
-
-    def cell_best(part: pd.DataFrame, chunk: pd.DataFrame) -> pd.DataFrame:
-        if part.empty or chunk.empty:
-            return pd.DataFrame(columns=schema.fieldNames())
-        best = _Best(part.reset_index(drop=True), k)
-        best.add(chunk)
-        frames = list(best.frames())
-        return pd.concat(frames, ignore_index=True) if frames else pd.DataFrame(columns=schema.fieldNames())
-
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(cell_best, schema)
-
-
 # --- approximate search ---------------------------------------------------------------
 
 
@@ -192,23 +184,134 @@ def projection_keys(vectors: np.ndarray, directions: np.ndarray) -> np.ndarray:
     return (bits * (1 << np.arange(directions.shape[2]))).sum(axis=2)
 
 
-def _keyed(df: DataFrame, lines: int, tables: int, masks: list[int], seed: int) -> DataFrame:
-    """`df` once per table and mask, with table `_t` and key `_k` (the row's own key with the mask's bits flipped)."""
-    schema = T.StructType([*df.schema.fields, T.StructField("_t", T.IntegerType()), T.StructField("_k", T.LongType())])
+def _keyed(df: DataFrame, lines: int, tables: int, seed: int) -> DataFrame:
+    """`df` with its key in every table, `_k`."""
+    schema = T.StructType([*df.schema.fields, T.StructField("_k", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if batch.empty:
                 continue
             unit = _unit(batch["embedding"])
-            own = projection_keys(unit, projection_lines(unit.shape[1], lines, tables, seed))
-            for t in range(tables):
-                for mask in masks:
-                    yield batch.assign(_t=np.int32(t), _k=(own[:, t] ^ mask).astype(np.int64))
+            keys = projection_keys(unit, projection_lines(unit.shape[1], lines, tables, seed))
+            yield batch.assign(_k=list(keys.astype(np.int64)))
 
     return df.mapInPandas(run, schema)
 
 
+def _rows_of(column: pa.ChunkedArray) -> np.ndarray:
+    """The lists of a column as rows of a matrix."""
+    parts = [np.asarray(c.flatten().to_numpy(zero_copy_only=False)) for c in column.chunks]
+    return np.concatenate(parts).reshape(len(column), -1)
+
+
+def _places(flags: np.ndarray) -> np.ndarray:
+    """Flat places of the few flags that are set; eight are looked at at once."""
+    flat = flags.ravel()
+    words = flat[: len(flat) // 8 * 8].view(np.uint64)
+    near = (np.flatnonzero(words)[:, None] * 8 + np.arange(8)).ravel()
+    return np.concatenate([near[flat[near]], np.flatnonzero(flat[len(words) * 8 :]) + len(words) * 8])
+
+
+class _Cell:
+    """Best k rows, ids counted once, of the queries of one cell among those of its rows they meet by sign keys."""
+
+    def __init__(self, queries: pa.Table, rows: pa.Table, k: int, lines: int, flips: int):
+        self.k, self.flips, self.keys = k, flips, 1 << lines
+        self.asked, self.rows = _unit(_rows_of(queries["embedding"])), _unit(_rows_of(rows["embedding"]))
+        self.near_asked, self.near_rows = self.asked.astype(np.float32), self.rows.astype(np.float32)
+        # What a product of unit vectors may be off by in single precision, at most.
+        self.slack = (self.asked.shape[1] + 8) * 2.0**-22
+        small = np.min_scalar_type(self.keys - 1)
+        self.asked_keys, self.row_keys = _rows_of(queries["_k"]).astype(small), _rows_of(rows["_k"]).astype(small)
+        self.codes, names = pd.factorize(rows["grant_id"].to_pandas(), sort=True)
+        self.lone = np.zeros(len(self.codes), bool)
+        self.lone[np.unique(self.codes, return_index=True)[1]] = True
+        self.repeats = not self.lone.all()
+        self.sims = np.full((len(self.asked), k), -np.inf)
+        self.held = np.zeros((len(self.asked), k), np.int64)
+
+    def compare(self, queries: np.ndarray, rows: np.ndarray) -> None:
+        """Whole blocks where most pairs meet (keys are looked at for pairs that come near the best), by keys elsewhere."""
+        queries = queries[np.isfinite(self.asked[queries]).all(axis=1)]
+        rows = rows[np.isfinite(self.rows[rows]).all(axis=1)]
+        if not len(queries) or not len(rows):
+            return
+        tables = range(self.row_keys.shape[1])
+        near = np.bitwise_count(np.arange(self.keys)[:, None] ^ np.arange(self.keys)) <= self.flips
+        asked, held = ([np.bincount(own[at, t], minlength=self.keys) for t in tables] for own, at in ((self.asked_keys, queries), (self.row_keys, rows)))
+        pairs = sum(a @ near.astype(np.float64) @ b for a, b in zip(asked, held))
+        if pairs > _WHOLE_SHARE * len(queries) * len(rows):
+            self._offer(queries, rows, False)
+            return
+        self.repeats = True  # a pair may meet in several tables
+        for t in tables:
+            by_key = rows[np.argsort(self.row_keys[rows, t], kind="stable")]
+            own_keys = self.row_keys[by_key, t]
+            for key in np.flatnonzero(asked[t]):
+                met = by_key[near[key][own_keys]]
+                if len(met):
+                    self._offer(queries[self.asked_keys[queries, t] == key], met, True)
+
+    def _meet(self, queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Whether the keys are near in some table; the places of queries and rows broadcast."""
+        met = False
+        for t in range(self.row_keys.shape[1]):
+            met = met | (np.bitwise_count(self.asked_keys[queries, t] ^ self.row_keys[rows, t]) <= self.flips)
+        return met
+
+    def _offer(self, queries: np.ndarray, rows: np.ndarray, sure: bool) -> None:
+        """All pairs in single precision; exact similarities for those that may be among the best."""
+        # The first tile is short: where no k rows are held yet, it is looked at pair by pair.
+        cuts = [0, *range(min(_FIRST_TILE, len(rows)), len(rows), _TILE), len(rows)]
+        for begin, end in zip(cuts, cuts[1:]):
+            tile = rows[begin:end]
+            m = self.near_rows[tile].T
+            for start in range(0, len(queries), _QUERY_STRIPE):
+                stripe = queries[start : start + _QUERY_STRIPE]
+                sims = self.near_asked[stripe] @ m
+                floor = self.sims[stripe, -1].copy()
+                fresh = np.flatnonzero(floor == -np.inf)
+                if len(fresh) and len(tile) >= self.k:
+                    use = self.lone[tile] if sure else self._meet(stripe[fresh, None], tile[None, :]) & self.lone[tile]
+                    own = np.where(use, sims[fresh], -np.inf)
+                    floor[fresh] = np.partition(own, len(tile) - self.k, axis=1)[:, len(tile) - self.k] - self.slack
+                floor = (floor - self.slack).astype(np.float32)
+                hits = _places(sims >= floor[:, None])
+                q, r = stripe[hits // len(tile)], tile[hits % len(tile)]
+                if not sure:
+                    met = self._meet(q, r)
+                    q, r = q[met], r[met]
+                if len(q):
+                    self._hold(q, r)
+
+    def _hold(self, queries: np.ndarray, rows: np.ndarray) -> None:
+        # Some thousands of pairs at a time: both vectors of a pair are fetched.
+        exact = [np.einsum("ij,ij->i", self.asked[queries[i : i + _TILE]], self.rows[rows[i : i + _TILE]]) for i in range(0, len(rows), _TILE)]
+        own, at = np.unique(queries, return_inverse=True)
+        q = np.concatenate([np.repeat(np.arange(len(own)), self.k), at])
+        s = np.concatenate([self.sims[own].ravel(), np.round(np.concatenate(exact), DIGITS)])
+        r = np.concatenate([self.held[own].ravel(), rows])
+        q, s, r = (x[s > -np.inf] for x in (q, s, r))
+        if self.repeats:
+            order = np.lexsort((-s, self.codes[r], q))
+            q, s, r = q[order], s[order], r[order]
+            c = self.codes[r]
+            once = np.append(True, (q[1:] != q[:-1]) | (c[1:] != c[:-1]))
+            q, s, r = q[once], s[once], r[once]
+        order = np.lexsort((self.codes[r], -s, q))
+        q, s, r = q[order], s[order], r[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        best = place < self.k
+        self.sims[own] = -np.inf
+        self.sims[own[q[best]], place[best]], self.held[own[q[best]], place[best]] = s[best], r[best]
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of query and row, and similarity, of what is held."""
+        q, at = np.nonzero(self.sims > -np.inf)
+        return q, self.held[q, at], self.sims[q, at]
+
+
 def approximate_top_k(
     queries: DataFrame,
     corpus: DataFrame,
@@ -223,24 +326,45 @@ def approximate_top_k(
     """As dense_top_k, but a query meets only rows near it by sign keys.
 
     Each table gives a vector the signs along its lines as a key. A query looks
-    up its own key and those that differ in at most `flips` bits; it is compared
-    exactly with the rows it meets in any table. So it is compared with about
+    up its own key and those that differ in at most `flips` bits; it is ranked
+    exactly among the rows it meets in any table. So these are about
     tables * (1 + lines + ...) / 2**lines of the rows at most. More lines or
     fewer flips compare less and suit clustered vectors; the defaults suit
-    vectors with little structure. Queries and rows meet by table and key; a key
-    with many rows or queries is cut into cells of bounded size, and the way is
-    the same for any number of queries.
+    vectors with little structure. Queries and rows are cut into blocks of
+    bounded size by their ids; a cell is a block of either, so a query hands on
+    k rows per block of rows, whatever the number of keys.
     """
     q, rows, schema = _sides(queries, corpus)
-    masks = [m for m in range(1 << lines) if m.bit_count() <= flips]
-    left, right = _keyed(q, lines, tables, masks, seed), _keyed(rows, lines, tables, [0], seed)
-    # At most tables * 2**lines keys.
-    sizes = right.groupBy("_t", "_k").agg(F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("_cs"))
-    asked = left.groupBy("_t", "_k").agg(F.ceil(F.count(F.lit(1)) / cell_queries).cast("int").alias("_bs"))
-    cuts = F.broadcast(sizes.join(asked, ["_t", "_k"]))
-    own_block, own_cell = F.pmod(F.xxhash64("qid"), F.col("_bs")).cast("int"), F.pmod(F.xxhash64("grant_id"), F.col("_cs")).cast("int")
-    left = left.join(cuts, ["_t", "_k"]).withColumns({"_b": own_block, "_c": F.explode(F.sequence(F.lit(0), F.col("_cs") - 1))}).drop("_bs", "_cs")
-    right = right.join(cuts, ["_t", "_k"]).withColumns({"_c": own_cell, "_b": F.explode(F.sequence(F.lit(0), F.col("_bs") - 1))}).drop("_bs", "_cs")
-    met = _cells(left, right, ["_t", "_k", "_b", "_c"], k, schema)
+    left, right = _keyed(spread_small(q), lines, tables, seed), _keyed(spread_small(rows), lines, tables, seed)
+
+    def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
+        return df.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / size)).cast("int").alias(name))
+
+    cuts = F.broadcast(blocks(q, cell_queries, "_bs").crossJoin(blocks(rows, cell_rows, "_cs")))
+
+    def block_of(column: str, count: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.col(count)).cast("int")
+
+    def every(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    left = left.crossJoin(cuts).withColumns({"_b": block_of("qid", "_bs"), "_c": every("_cs")}).drop("_bs", "_cs")
+    right = right.crossJoin(cuts).withColumns({"_c": block_of("grant_id", "_cs"), "_b": every("_bs")}).drop("_bs", "_cs")
+    arrow = to_arrow_schema(schema)
+
+    def cell_best(own: pa.Table, chunk: pa.Table) -> pa.Table:
+        if not own.num_rows or not chunk.num_rows:
+            return arrow.empty_table()
+        cell = _Cell(own, chunk, k, lines, flips)
+        filters = own.select([c for c in ("portal", "country") if c in own.column_names]).to_pandas()
+        for wanted, asked in filter_groups(filters) if len(filters.columns) else [({}, np.arange(own.num_rows))]:
+            use = np.ones(chunk.num_rows, dtype=bool)
+            for column, value in wanted.items():
+                use &= chunk[column].to_pandas().to_numpy() == value
+            cell.compare(asked, np.flatnonzero(use))
+        at, row, sims = cell.found()
+        return pa.table([own["qid"].take(at), chunk["grant_id"].take(row), sims], schema=arrow)
+
+    met = left.groupBy("_b", "_c").cogroup(right.groupBy("_b", "_c")).applyInArrow(cell_best, schema)
     once = met.groupBy("qid", "grant_id").agg(F.max("similarity").alias("similarity"))
     return top_per_key(once, ["qid"], [F.desc("similarity"), F.col("grant_id")], k)

@@ -93,6 +93,48 @@ def test_approximate_is_the_same_in_small_cells(spark):
     assert ranked(approximate_top_k(queries, corpus, 10)) == ranked(approximate_top_k(queries, corpus, 10, cell_rows=3, cell_queries=4))
 
 
+@pytest.mark.parametrize("lines, flips", [(8, 2), (8, 0)])
+def test_approximate_equals_brute_force_over_met_rows(spark, lines, flips):
+    """Whole blocks and by keys; a row whose id comes again takes one place, a zero vector none, filters hold."""
+    m = np.repeat(vectors(300, 16), 2, axis=0)
+    m[7] = 0
+    ids = [i // 2 if i % 6 < 2 else i + 1000 for i in range(600)]
+    rows = [(ids[i], [float(x) for x in v], f"p{i % 3}", None) for i, v in enumerate(m)]
+    corpus = spark.createDataFrame(rows, "grant_id long, embedding array<double>, portal string, deleted_at timestamp")
+    asked = [(i, [float(x) for x in m[i]], "p1" if i % 4 else None) for i in range(0, 240, 2)]
+    queries = spark.createDataFrame(asked, "qid int, embedding array<double>, portal string")
+    keys = projection_keys(m, projection_lines(16, lines, 4, 42))
+    want = {}
+    for q, _, portal in asked:
+        near = (np.bitwise_count(keys ^ keys[q]) <= flips).any(axis=1) & m.any(axis=1)
+        sims = {}
+        for i in np.flatnonzero(near):
+            if portal in (None, f"p{i % 3}"):
+                sims[ids[i]] = max(sims.get(ids[i], -2), round(float(m[i] @ m[q]), 9))
+        if sims:
+            want[q] = sorted(sims, key=lambda i: (-sims[i], i))[:3]
+    assert ranked(approximate_top_k(queries, corpus, 3, lines=lines, flips=flips)) == want
+    assert ranked(approximate_top_k(queries, corpus, 3, lines=lines, flips=flips, cell_rows=50, cell_queries=20)) == want
+
+
+def test_approximate_hands_on_k_rows_per_block(spark, monkeypatch):
+    """Not k rows for each of the keys a query looks up."""
+    from subventa.operators import dense
+
+    handed = []
+    final = dense.top_per_key
+
+    def counted(df, *args):
+        handed.append(df.selectExpr("count(*)").first()[0])
+        return final(df, *args)
+
+    monkeypatch.setattr(dense, "top_per_key", counted)
+    m = vectors(200, 16)
+    queries = spark.createDataFrame([(i, [float(x) for x in m[i]]) for i in range(40)], "qid int, embedding array<double>")
+    approximate_top_k(queries, corpus_frame(spark, m), 10).count()
+    assert handed == [400]
+
+
 def test_sparse_both_routes(spark):
     docs = [
         (1, "Gründerstipendium für Hochschulen", "Das Stipendium hilft Gründern."),
