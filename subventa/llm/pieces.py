@@ -75,6 +75,9 @@ class Model:
                     raise ValueError("a piece crosses into a space mark; chunks would not be independent")
         self.longest = max(map(len, self.pieces))
         self.unknown = min(s for _, s in self.pieces.values()) - UNKNOWN
+        # Score and ids of every piece, and () for what only begins one.
+        self.prefixes: dict[str, tuple] = {p[:i]: () for p in self.pieces for i in range(1, len(p))}
+        self.prefixes |= {p: (score, (i,)) for p, (i, score) in self.pieces.items()}
         names = list(self.pieces)
         self.ids = np.array([self.pieces[p][0] for p in names] + [-1])
         self.scores = np.array([self.pieces[p][1] for p in names] + [-np.inf])
@@ -108,25 +111,25 @@ class Model:
             k[wrong] = np.where(self.hashes[other] == h[wrong], other, len(self.ids) - 1)
         return k
 
-    def edges(self, chunk: str, end: int) -> list[tuple[int, float, tuple[int, ...]]]:
-        """(start, score, ids) of the edges that end at `end`."""
-        out = []
-        for start in range(max(0, end - self.longest), end):
-            found = self.pieces.get(chunk[start:end])
-            if found:
-                out.append((start, found[1], (found[0],)))
-        if chunk[end - 1] not in self.pieces:
-            out.append((end - 1, self.unknown, tuple(self.byte_ids[b] for b in chunk[end - 1].encode())))
-        return out
-
     def best_paths(self, chunk: str, n: int) -> list[tuple[float, list[int]]]:
         """The n best (score, ids) of a chunk: forward Viterbi, then A* backward."""
-        size = len(chunk)
+        size, known = len(chunk), self.prefixes
         forward = [0.0] + [-np.inf] * size
-        ending = [[] for _ in range(size + 1)]
-        for end in range(1, size + 1):
-            ending[end] = self.edges(chunk, end)
-            forward[end] = max(forward[s] + w for s, w, _ in ending[end])
+        ending = [[] for _ in range(size + 1)]  # (start, score, ids) of the edges that end at a place
+        for start in range(size):
+            so_far = forward[start]
+            for end in range(start + 1, size + 1):
+                found = known.get(chunk[start:end])
+                if found is None:
+                    break
+                if found:
+                    score, ids = found
+                    ending[end].append((start, score, ids))
+                    if so_far + score > forward[end]:
+                        forward[end] = so_far + score
+            if chunk[start] not in self.pieces:
+                ending[start + 1].append((start, self.unknown, tuple(self.byte_ids[b] for b in chunk[start].encode())))
+                forward[start + 1] = max(forward[start + 1], so_far + self.unknown)
         heap = [(-forward[size], 0, size, 0.0, None)]
         count, out = 1, []
         while heap and len(out) < n:

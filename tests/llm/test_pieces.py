@@ -59,6 +59,21 @@ def test_long_chunk_equals_one_by_one(model):
     assert np.isclose(best, sum(c[0][0] for c in chunks)) and ids.tolist() == chunks[0][0][1] + chunks[1][0][1]
 
 
+def test_paths_look_up_no_further_than_a_piece_begins(model):
+    class Counted(dict):
+        looked = 0
+
+        def get(self, *args):
+            Counted.looked += 1
+            return super().get(*args)
+
+    own = Model.__new__(Model)
+    own.__dict__ |= model.__dict__ | {k: Counted(v) for k, v in model.__dict__.items() if isinstance(v, dict)}
+    chunk = MARK + "xq" * 100
+    assert own.best_paths(chunk, 4) == model.best_paths(chunk, 4)
+    assert 0 < Counted.looked <= 4 * len(chunk)
+
+
 def test_documents_round_trip_and_order(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = segmentations(docs, 4)
