@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,9 +33,20 @@ MONTHS = {
 }
 
 # Amount number and scale words (fixed values).
-AMOUNT_PATTERN = (
-    r"(?U)([\d.,]+)" + SPACE + r"*(million(?:en)?|mio\.?|mrd\.?|milliard(?:en)?|thousand|tsd\.?|k\b)?"
-)
+AMOUNT_NUMBER = r"[\d.,]+"
+AMOUNT_SCALE = r"million(?:en)?|mio\.?|mrd\.?|milliard(?:en)?|thousand|tsd\.?|k\b"
+
+
+def either_case(pattern: str) -> str:
+    """The pattern for texts not lower-cased yet: each letter as the class of all that lower() turns into it.
+
+    No ignore-case flag: it would fold dotless i and long s, too, which lower() leaves alone. The Kelvin sign
+    becomes k; a dotted capital I becomes two characters, so no i.
+    """
+    return re.sub(r"(?<!\\)[a-z]", lambda m: f"[{m[0]}{m[0].upper()}{chr(0x212A) if m[0] == 'k' else ''}]", pattern)
+
+
+AMOUNT_PATTERN = f"(?U){AMOUNT_NUMBER}{SPACE}*(?:{either_case(AMOUNT_SCALE)})?"
 
 # Numeric and long dates (fixed values).
 NUMERIC_DATE = r"(?U)(\d{4})-(\d{1,2})-(\d{1,2})|(\d{1,2})[./](\d{1,2})[./](\d{4})"
@@ -66,11 +79,11 @@ def let(value: Column, body) -> Column:
 
 def amount_match(text: Column) -> Column:
     """Leftmost number with its scale word, '' when there is none."""
-    return F.regexp_extract(F.lower(text), AMOUNT_PATTERN, 0)
+    return F.lower(F.regexp_extract(text, AMOUNT_PATTERN, 0))
 
 
 def amount_value(match: Column) -> Column:
-    """Decimal value of a string cut out by `amount_match`."""
+    """Decimal value of a string cut out by `amount_match`. Reads `match` several times."""
 
     def plain(number: Column) -> Column:
         dot, comma = F.contains(number, F.lit(".")), F.contains(number, F.lit(","))
@@ -78,26 +91,36 @@ def amount_value(match: Column) -> Column:
         return (
             F.when(dot & comma, F.replace(without_dots, F.lit(","), F.lit(".")))
             .when(comma, F.replace(number, F.lit(","), F.lit(".")))
-            .when(number.rlike(r"^[^.]*(\.[^.]{3})+$"), without_dots)
+            .when(dot & number.rlike(r"^[^.]*(\.[^.]{3})+$"), without_dots)
             .otherwise(number)
         )
 
-    def factor(scale: Column) -> Column:
-        return (
-            F.when(scale == "", F.lit(1))
-            .when(scale.startswith("mio") | scale.startswith("million"), F.lit(1_000_000))
-            .when(scale.startswith("mrd") | scale.startswith("milliard"), F.lit(1_000_000_000))
-            .otherwise(F.lit(1_000))
-        )
+    def readable(number: Column) -> Column:
+        # A cast that fails costs many times this check.
+        return F.when(number.rlike(r"^(?:[^.]+\.?[^.]*|\.[^.]+)$"), number)
 
-    number = let(F.regexp_extract(match, AMOUNT_PATTERN, 1), plain).try_cast(T.DecimalType(28, 6))
-    times = let(F.regexp_extract(match, AMOUNT_PATTERN, 2), factor).cast(T.DecimalType(10, 0))
-    return F.try_multiply(number, times).cast(AMOUNT)
+    def has(*words: str) -> Column:
+        found = F.contains(match, F.lit(words[0]))
+        for word in words[1:]:
+            found = found | F.contains(match, F.lit(word))
+        return found
+
+    def times(n: int) -> Column:
+        return F.lit(n).cast(T.DecimalType(10, 0))
+
+    factor = (
+        F.when(has("mio", "million"), times(1_000_000))
+        .when(has("mrd", "milliard"), times(1_000_000_000))
+        .when(has("k", "tsd", "thousand"), times(1_000))
+        .otherwise(times(1))
+    )
+    number = let(let(F.regexp_extract(match, rf"(?U)\A{AMOUNT_NUMBER}", 0), plain), readable)
+    return F.try_multiply(number.try_cast(T.DecimalType(28, 6)), factor).cast(AMOUNT)
 
 
 def parse_amount_eur(text: Column) -> Column:
     """First euro amount in a German or English phrase, null when unreadable."""
-    return amount_value(amount_match(text))
+    return let(amount_match(text), amount_value)
 
 
 def date_match(text: Column) -> Column:

@@ -15,7 +15,9 @@ def windows_after(text: Column, cues: tuple[str, ...], width: int, ignore_case:
     """Every `width`-character window that starts at an occurrence of a cue."""
     source = F.lower(text) if ignore_case else text
     starts = "|".join(re.escape(c) if not c.isalpha() else c for c in cues)
-    return F.regexp_extract_all(source, F.lit(rf"(?s)(?=(?:{starts}))(?=(.{{1,{width}}}))"), F.lit(1))
+    # Most places are passed over by their character alone.
+    first = "".join(re.escape(c) for c in sorted({c[0] for c in cues}))
+    return F.regexp_extract_all(source, F.lit(rf"(?s)(?=[{first}])(?=(?:{starts}))(?=(.{{1,{width}}}))"), F.lit(1))
 
 
 def windows_around(text: Column, cue: str, reach: int) -> Column:

@@ -182,9 +182,11 @@ def _scan_rows(spark, sf_dir):
         F.lit(" 900k; Höchstbetrag "), price_whole.cast("string"), F.lit(" EUR. Beteiligung von "), whole,
         F.lit(",25 Mrd. Euro bis zu bis zu "), n.cast("string"), F.lit(" Tsd. €"),
     )
-    return table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", portal.alias("portal"), text.alias("scan_text")
-    )
+    keys = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    parts = ("l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus")
+    # The texts are made after the spreading, they are several times as long as what they are made of.
+    rows = spread_small(table(spark, sf_dir, "lineitem").select(*keys, *parts))
+    return rows.select(*keys, portal.alias("portal"), text.alias("scan_text"))
 
 
 def _cue_values() -> str:
@@ -216,7 +218,7 @@ def _cue_scan(portals: str) -> str:
 
 def _scanned(rows):
     amounts = portal_amounts(F.col("scan_text"), F.col("portal"), F.col("floor"))
-    return E.with_rules(spread_small(rows)).withColumn("_a", amounts).select(
+    return E.with_rules(rows).withColumn("_a", amounts).select(
         "l_orderkey",
         "l_partkey",
         "l_suppkey",

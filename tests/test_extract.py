@@ -66,6 +66,22 @@ def test_windows_match_a_scan_by_position(spark):
     assert list(got) == want
 
 
+def test_scan_texts_are_made_after_the_spreading(spark, tmp_path):
+    from subventa.plans import QUERIES
+
+    rows = [(i, 10, 20, n, 5.0, 1234.5, "R", "F") for i in (1, 1, 2) for n in range(1, 8)]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double"
+    spark.createDataFrame(rows, f"{names}, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    for name, portals in (("scan_cue_amounts", 6), ("scan_currency_amounts", 1)):
+        df = QUERIES[name](spark, str(tmp_path))
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Repartition") == 1 and "format_number" not in plan[plan.index("Repartition") :]
+        assert df.count() == 3 * portals
+    got = {r["portal"]: (r["lowest"], r["highest"], r["n"]) for r in QUERIES["scan_cue_amounts"](spark, str(tmp_path)).collect()}
+    # a number with two dots and a dot at its end is unreadable; 1,234 reads as 1.234
+    assert got["eic"] == (900000.0, 5000000.0, 2) and got["bayern"] == (5250000000.0, 5250000000.0, 1)
+
+
 def test_deadline_takes_first_cue_with_a_date(spark):
     cues = ("Stichtag", "Antragsfrist", "Deadline")
     texts = [

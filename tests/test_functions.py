@@ -46,6 +46,22 @@ def test_amounts(spark):
     assert got == [None if v is None else Decimal(v) for _, v in AMOUNTS]
 
 
+# Each form as lower() leaves it decides: the Kelvin sign is a k, dotless i and long s are no ASCII letters.
+CASED_AMOUNTS = [
+    ("1 MIO. EUR", "1000000"), ("1 MıO", "1"), ("1 MİO", "1"), ("2 MILLIARDEN", "2000000000"), ("2 MiLLioN", "2000000"),
+    ("3 TSD.", "3000"), ("3 tſd", "3"), ("4K", "4000"), ("4\u212a EUR", "4000"), ("4kg", "4"), ("4 kÉ", "4"), ("4 K\u00a0EUR", "4000"),
+    ("5\u00a0\u2003Mrd", "5000000000"), ("\u0663 THOUSAND", "3000"), ("\U0001d7d1 Mio", None),
+    (".5", "0.5"), ("5.", "5"), (".", None), ("a, 7", None), ("1.2.3", None), ("..5", None), ("1.234.567 k", "1234567000"), ("5 x mio", "5"),
+]
+
+
+def test_amounts_in_either_case(spark):
+    got = apply(spark, [a for a, _ in CASED_AMOUNTS], "string", X.parse_amount_eur)
+    assert got == [None if v is None else Decimal(v) for _, v in CASED_AMOUNTS]
+    matches = apply(spark, ["bis 4 MIO. Euro", "4\u212a", "nichts", None], "string", X.amount_match)
+    assert matches == ["4 mio.", "4k", "", None]
+
+
 DATES = [
     ("15. März 2026", (2026, 3, 15)),
     ("1 Mai 2025", (2025, 5, 1)),
