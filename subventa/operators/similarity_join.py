@@ -8,9 +8,11 @@ always passes these bounds.
 
 The order comes from counts of grams in a fixed number of buckets, which is all the driver
 holds. A gram that few pairs share meets in a join. One that many share is left out of it: sets
-with such a gram in their prefix meet in cells of bounded weight by size, where a bound on the
-sizes and a parity sketch come before the whole sets and only similar pairs are handed on. So
-neither pairs that fail nor prefixes of common grams are written anywhere.
+with such a gram in their prefix are packed into blocks of like size and bounded weight, which
+are written once. Tasks read two blocks of fitting sizes from there, so no copy of a set is
+written however many blocks it meets; parity sketches come before the whole sets, and only
+similar pairs are handed on. So neither pairs that fail nor prefixes of common grams are
+written anywhere, and what is written grows with the sets and the pairs found.
 """
 
 from __future__ import annotations
@@ -28,14 +30,21 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from subventa.sources.shared import shared_path, stored
 
 BUCKET_BITS = 16
-# Pairs of rows that a gram may bring together in the join; with more, its sets meet in cells.
+# Pairs of rows that a gram may bring together in the join; with more, its sets meet in blocks.
 CELL_ROWS = 20_000
-# Grams one side of a cell holds, per pair above.
+# Grams a block holds, per pair above; with few sets it holds less, down to this part, so that all cores have some.
 _GRAMS_PER_ROW = 200
-# Least ratio of sizes between two classes, and from which threshold a sketch tells sets apart.
-_CLASS_RATIO = 1.25
+_LEAST_PART = 64
+# Ratio of sizes between two classes, and from which threshold a sketch tells sets apart.
+_CLASS_RATIO = 1.02
 _SKETCH_FROM = 0.5
+# Places a folded sketch has for each gram in which similar sets may differ, its words at most, and those of a whole sketch for one of it.
+_PLACES = 2.75
 _SKETCH_WORDS = 64
+_FOLDS = 4
+# Grams looked up at once, and pairs handed on in one batch.
+_LOOKED_UP = 1 << 20
+_PAIRS = 100_000
 _SLACK = 1e-9
 
 
@@ -160,17 +169,16 @@ def candidates(left: DataFrame, right: DataFrame, threshold: float, allowed: Col
     return met.select("l_id", *[c for c in right.columns if c.startswith("r_id")]).distinct()
 
 
-def _class_of(size: np.ndarray, ratio: float) -> np.ndarray:
+def _class_of(size: np.ndarray) -> np.ndarray:
     """Class of sizes from 1 on; it does not fall as they grow."""
-    return np.floor(np.log(np.maximum(size, 1)) / np.log(ratio)).astype(np.int32)
+    return np.floor(np.log(np.maximum(size, 1)) / np.log(_CLASS_RATIO)).astype(np.int32)
 
 
 def _marked(sets: DataFrame, side: str, order: np.ndarray, hot: np.ndarray, threshold: float) -> DataFrame:
-    """Adds whether a set has a gram for the cells in its prefix, its size class and those it can be similar to."""
-    names = [f"{side}_{n}" for n in ("hot", "class", "first", "last")]
-    schema = T.StructType([*sets.schema.fields, T.StructField(names[0], T.BooleanType()), *(T.StructField(n, T.IntegerType()) for n in names[1:])])
+    """Adds whether a set has a gram for the blocks in its prefix, and its size class."""
+    added = [T.StructField(f"{side}_hot", T.BooleanType()), T.StructField(f"{side}_class", T.IntegerType())]
+    schema = T.StructType([*sets.schema.fields, *added])
     arrow = to_arrow_schema(schema)
-    ratio = max(1 / threshold, _CLASS_RATIO)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,17 +186,23 @@ def _marked(sets: DataFrame, side: str, order: np.ndarray, hot: np.ndarray, thre
             row, _, bucket, _ = _ordered(codes, size, order, threshold)
             flag = np.zeros(len(size), bool)
             flag[row[hot[bucket]]] = True
-            ends = np.ceil(threshold * size - _SLACK), np.floor(size / threshold + _SLACK)
-            classes = [pa.array(_class_of(n, ratio)) for n in (size, *ends)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flag), *classes], schema=arrow)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flag), pa.array(_class_of(size))], schema=arrow)
 
     return sets.mapInArrow(mark, schema)
 
 
-def _sketches(ids: np.ndarray, size: np.ndarray, words: int) -> np.ndarray:
+def _words(size: int, threshold: float) -> int:
+    """Words of the folded sketch of sets of up to this size, a power of two."""
+    least = _PLACES * 2 * size * (1 - threshold) / (1 + threshold) / 64
+    return min(_SKETCH_WORDS, max(2, 1 << max(0, int(np.ceil(least)) - 1).bit_length()))
+
+
+def _sketches(codes: np.ndarray, size: np.ndarray, words: int) -> np.ndarray:
     """Per set the parity of its grams in each of 64 * words places; two sets differ in at least as many grams as places."""
     row = np.repeat(np.arange(len(size)), size)
-    place = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(64 * words)
+    mixed = codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    # Twice, so that the first character, which stands in the highest bits, decides, too.
+    place = ((mixed ^ mixed >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(33)) % np.uint64(64 * words)
     bits = np.empty((len(size), words), np.uint64)
     ends = np.concatenate([[0], np.cumsum(size)])
     step = max(1, (1 << 21) // (64 * words))
@@ -200,110 +214,215 @@ def _sketches(ids: np.ndarray, size: np.ndarray, words: int) -> np.ndarray:
     return bits
 
 
-def _similar(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each left set (grams and sizes, all distinct in a set) the right ones that reach the threshold, and their similarity."""
-    (l_codes, l_size), (r_codes, r_size) = left, right
-    grams, at = np.unique(np.concatenate([l_codes, r_codes]), return_inverse=True)
-    l_ids, r_ids = at[: len(l_codes)].astype(np.int32), at[len(l_codes) :].astype(np.int32)
-    del at
-    order = np.argsort(r_size, kind="stable")
-    sizes, r_begin = r_size[order], (np.cumsum(r_size) - r_size)[order]
-    low = np.searchsorted(sizes, np.ceil(threshold * l_size - _SLACK), "left")
-    high = np.searchsorted(sizes, np.floor(l_size / threshold + _SLACK), "right")
+def _folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches of fewer words, a power of two: places that are equal modulo 64 * words become one."""
+    return np.bitwise_xor.reduce(sketches.reshape(len(sketches), -1, words), axis=1)
+
+
+def _packed(sets: DataFrame, side: str, ids: list[str], kept: list[str], weight: int, threshold: float) -> DataFrame:
+    """Blocks of sets of like size, a row each, of about `weight` grams.
+
+    A row has the sets' other columns, their sizes (which ascend), the distinct grams, the grams as places among these, and sketches.
+    """
+    spark = sets.sparkSession
+    # A row a class: some hundreds.
+    found = sets.groupBy(f"{side}_class").agg(F.sum(F.size("grams")).alias("n")).orderBy(f"{side}_class").collect()
+    total = sum(r["n"] for r in found)
+    weight = max(1, weight // _LEAST_PART, min(weight, total // (2 * spark.sparkContext.defaultParallelism)))
+    cuts, block, held = [], 0, 0
+    for r in found:
+        parts = max(1, round(r["n"] / weight))
+        if held and held + r["n"] > weight:
+            block, held = block + 1, 0
+        cuts.append((r[f"{side}_class"], block, parts))
+        block, held = (block + parts, 0) if parts > 1 else (block, held + r["n"])
+    small = F.broadcast(spark.createDataFrame(cuts, f"{side}_class int, first int, parts int"))
+    own = (F.col("first") + F.pmod(F.xxhash64(*ids), "parts")).cast("int")
+    dealt = sets.join(small, f"{side}_class").select(own.alias("block"), F.struct(*kept).alias("row"), "grams")
+    schema = T.StructType(
+        [
+            *(T.StructField(n, T.IntegerType()) for n in ("block", "low", "high")),
+            T.StructField("rows", T.ArrayType(dealt.schema["row"].dataType)),
+            *(T.StructField(n, T.BinaryType()) for n in ("sizes", "codes", "grams", "sketches")),
+        ]
+    )
+    arrow = to_arrow_schema(schema)
+
+    def pack(table: pa.Table) -> pa.Table:
+        size = pc.list_value_length(table.column("grams")).to_numpy().astype(np.int64)
+        table, size = table.take(pa.array(np.argsort(size, kind="stable"))), np.sort(size)
+        codes = table.column("grams").combine_chunks().flatten().to_numpy()
+        sketches = _sketches(codes, size, _FOLDS * _words(int(size[-1]), threshold)) if threshold >= _SKETCH_FROM else np.empty(0, np.uint64)
+        known, at = np.unique(codes, return_inverse=True)
+        rows = table.column("row").combine_chunks()
+        values = [
+            table.column("block")[0].as_py(), int(size[0]), int(size[-1]), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows),
+            *(x.tobytes() for x in (size.astype(np.int32), known, at.astype(np.uint16 if len(known) <= 1 << 16 else np.uint32), sketches)),
+        ]
+        columns = [v if isinstance(v, pa.Array) else pa.array([v], f.type) for v, f in zip(values, arrow)]
+        return pa.Table.from_arrays(columns, names=arrow.names).cast(arrow)
+
+    blocks = dealt.repartition(max(1, block + 1), "block").groupBy("block").applyInArrow(pack, schema)
+    return stored(blocks, shared_path(spark, f"blocks-{side}"))
+
+
+class _Block:
+    """Sets of a block, read without a copy; `size` ascends."""
+
+    def __init__(self, batch: pa.RecordBatch, at: int, side: str):
+        def numbers(name: str, kind: type) -> np.ndarray:
+            return np.frombuffer(batch.column(f"{side}_{name}")[at].as_buffer(), kind)
+
+        self.rows = batch.column(f"{side}_rows")[at].values
+        self.number = batch.column(f"{side}_block")[at].as_py()
+        self.size, self.codes = numbers("sizes", np.int32).astype(np.int64), numbers("codes", np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        count = int(self.size.sum())
+        wide = len(batch.column(f"{side}_grams")[at].as_buffer()) > 2 * count
+        self.grams = numbers("grams", np.uint32 if wide else np.uint16)
+        self.sketches = numbers("sketches", np.uint64).reshape(len(self.size), -1)
+
+
+def _near(left: _Block, right: _Block, threshold: float, once: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """For each left set the right ones that may reach the threshold by size and sketch; with `once`, only those behind it."""
+    most = (1 - threshold) / (1 + threshold)
     sketched = threshold >= _SKETCH_FROM
     if sketched:
-        words = min(_SKETCH_WORDS, max(2, -(-int(max(l_size.max(), r_size.max())) // 64)))
-        l_sketch, r_sketch = _sketches(l_ids, l_size, words), np.ascontiguousarray(_sketches(r_ids, r_size, words)[order].T)
-        most = (1 - threshold) / (1 + threshold)
-    own, l_begin = np.zeros(len(grams), bool), np.cumsum(l_size) - l_size
-    for i, n in enumerate(l_size):
-        near = np.arange(low[i], high[i])
-        if sketched and len(near):
-            limit = most * (n + sizes[low[i] : high[i]]) + _SLACK
-            apart = np.zeros(len(near), np.int64)
-            for word in range(words):
-                column = r_sketch[word, low[i] : high[i]] if len(near) == high[i] - low[i] else r_sketch[word, near]
-                apart += np.bitwise_count(column ^ l_sketch[i, word])
-                if word % 2 or word == words - 1:
-                    keep = apart <= limit
-                    if not keep.all():
-                        near, apart, limit = near[keep], apart[keep], limit[keep]
-                    if not len(near):
-                        break
-        if not len(near):
+        words = min(left.sketches.shape[1], right.sketches.shape[1])
+        whole = [_folded(s.sketches, words) for s in (left, right)]
+        first = [_folded(s, words // _FOLDS) for s in whole]
+        columns = np.ascontiguousarray(first[1].T)
+        other, some = np.empty(len(right.size), np.uint64), np.empty(len(right.size), np.uint8)
+        # Eight bits may run over with more than four words, which would only keep more.
+        apart = np.empty(len(right.size), np.uint8 if len(columns) <= 4 else np.uint16)
+        close = np.zeros(-(-len(right.size) // 8) * 8, bool)
+    sizes, starts = np.unique(left.size, return_index=True)
+    for n, start, end in zip(sizes, starts, [*starts[1:], len(left.size)]):
+        low = int(np.searchsorted(right.size, np.ceil(threshold * n - _SLACK), "left"))
+        high = int(np.searchsorted(right.size, np.floor(n / threshold + _SLACK), "right"))
+        if low >= high:
             continue
-        mine = l_ids[l_begin[i] : l_begin[i] + n]
+        if sketched:
+            limit = np.floor(most * (n + right.size[low:high]) + _SLACK)
+            coarse = np.minimum(limit, np.iinfo(apart.dtype).max).astype(apart.dtype)
+        for i in range(start, end):
+            begin = max(low, i + 1) if once else low
+            if begin >= high:
+                break
+            if not sketched:
+                yield i, np.arange(begin, high)
+                continue
+            x, c, d = other[: high - begin], some[: high - begin], apart[: high - begin]
+            for word, column in enumerate(columns):
+                np.bitwise_xor(column[begin:high], first[0][i, word], out=x)
+                if word:
+                    np.add(d, np.bitwise_count(x, out=c), out=d)
+                else:
+                    np.bitwise_count(x, out=d)
+            np.less_equal(d, coarse[begin - low :], out=close[: high - begin])
+            close[high - begin : -(-(high - begin) // 8) * 8] = False
+            eights = np.flatnonzero(close[: -(-(high - begin) // 8) * 8].view(np.uint64))
+            if len(eights):
+                near = (eights[:, None] * 8 + np.arange(8)).ravel()
+                near = near[close[near]] + begin
+                differ = np.bitwise_count(whole[1][near] ^ whole[0][i]).sum(axis=1, dtype=np.int64)
+                near = near[differ <= limit[near - low]]
+                if len(near):
+                    yield i, near
+
+
+def _similar(left: _Block, right: _Block, threshold: float, once: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For left sets the right ones that reach the threshold, and their similarity, on whole sets."""
+    at = np.searchsorted(left.codes, right.codes)
+    at[at == len(left.codes)] = 0
+    same = np.where(left.codes[at] == right.codes, at, len(left.codes)).astype(np.int32)
+    r_grams = None
+    own = np.zeros(len(left.codes) + 1, bool)
+    for i, near in _near(left, right, threshold, once):
+        if r_grams is None:
+            r_grams = same[right.grams]
+        n = left.size[i]
+        mine = left.grams[left.begin[i] : left.begin[i] + n]
         own[mine] = True
-        for start in range(0, len(near), 4096):
-            some = near[start : start + 4096]
-            length = sizes[some]
+        step = max(1, _LOOKED_UP // int(right.size[near[-1]]))
+        for start in range(0, len(near), step):
+            some = near[start : start + step]
+            length = right.size[some]
             first = np.cumsum(length) - length
-            flat = np.arange(length.sum()) + np.repeat(r_begin[some] - first, length)
-            shared = np.add.reduceat(own[r_ids[flat]], first, dtype=np.int64)
+            flat = np.arange(length.sum()) + np.repeat(right.begin[some] - first, length)
+            shared = np.add.reduceat(own[r_grams[flat]], first, dtype=np.int64)
             score = shared / (n + length - shared)
             good = score >= threshold
             if good.any():
-                yield i, order[some[good]], score[good]
+                yield i, some[good], score[good]
         own[mine] = False
 
 
-def _by_cells(left: DataFrame, right: DataFrame, threshold: float, cell_rows: int) -> DataFrame:
-    """All columns but the grams, and score, of the similar pairs of marked sets that have grams for the cells."""
-    spark = left.sparkSession
-    ids = [c for c in right.columns if c.startswith("r_id")]
-    weight = _GRAMS_PER_ROW * cell_rows
-    # A row a class: fewer than a hundred.
-    lefts = left.withColumn("cell_class", F.explode(F.sequence("l_first", "l_last"))).filter("l_hot")
-    rights = right.withColumn("cell_class", F.col("r_class")).filter("r_hot")
-    sums = [
-        {r["cell_class"]: max(1, -(-r["n"] // weight)) for r in side.groupBy("cell_class").agg(F.sum(F.size("grams")).alias("n")).collect()}
-        for side in (lefts, rights)
-    ]
-    cuts = [(c, sums[0][c], sums[1][c]) for c in sums[0] if c in sums[1]]
-    small = F.broadcast(spark.createDataFrame(cuts, "cell_class int, l_cells int, r_cells int"))
-
-    def every(n: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-
-    keys = ["cell_class", "l_cell", "r_cell"]
-    tasks = max(1, min(sum(a * b for _, a, b in cuts), 8 * spark.sparkContext.defaultParallelism))
-    l_kept = [c for c in left.columns if c not in ("grams", "l_hot", "l_class", "l_first", "l_last")]
-    r_kept = [c for c in right.columns if c not in ("grams", "r_hot", "r_class", "r_first", "r_last")]
-    l_own, r_own = F.pmod(F.xxhash64("l_id"), "l_cells").cast("int"), F.pmod(F.xxhash64(*ids), "r_cells").cast("int")
-    lefts = lefts.join(small, "cell_class").withColumn("l_cell", l_own).withColumn("r_cell", every("r_cells")).select(*keys, *l_kept, "grams")
-    rights = rights.join(small, "cell_class").withColumn("r_cell", r_own).withColumn("l_cell", every("l_cells")).select(*keys, *r_kept, "grams")
-    schema = T.StructType([*(left.schema[c] for c in l_kept), *(right.schema[c] for c in r_kept), T.StructField("score", T.DoubleType())])
+def _by_blocks(left: DataFrame, right: DataFrame | None, threshold: float, cell_rows: int) -> DataFrame:
+    """All columns but the grams, and score, of the similar pairs of marked sets that have grams for the blocks.
+
+    Without a right side those of the left with one another, each pair once; the r_* columns are then called like the left ones.
+    """
+    weight, once = _GRAMS_PER_ROW * cell_rows, right is None
+    blocks, fields = {}, []
+    for side, sets in (("l", left), ("r", right)):
+        if sets is None:
+            blocks[side] = blocks["l"]
+            fields += [T.StructField(f"r_{f.name[2:]}", f.dataType) for f in fields]
+            continue
+        kept = [c for c in sets.columns if c not in ("grams", f"{side}_hot", f"{side}_class")]
+        ids = ["l_id"] if side == "l" else [c for c in kept if c.startswith("r_id")]
+        blocks[side] = _packed(sets.filter(f"{side}_hot"), side, ids, kept, weight, threshold)
+        fields += [sets.schema[c] for c in kept]
+    schema = T.StructType([*fields, T.StructField("score", T.DoubleType())])
     arrow = to_arrow_schema(schema)
+    a, b = (blocks[s].select(*[F.col(c).alias(f"{s}_{c}") for c in blocks[s].columns]) for s in ("l", "r"))
+    fits = (F.col("l_high") >= threshold * F.col("r_low") - _SLACK) & (F.col("r_high") >= threshold * F.col("l_low") - _SLACK)
+    if once:
+        fits = fits & (F.col("l_block") <= F.col("r_block"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                x, y = (_Block(batch, at, s) for s in ("l", "r"))
+
+                def pairs(found: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+                    i, j = np.repeat([f[0] for f in found], [len(f[1]) for f in found]), np.concatenate([f[1] for f in found])
+                    columns = [*x.rows.take(pa.array(i)).flatten(), *y.rows.take(pa.array(j)).flatten(), pa.array(np.concatenate([f[2] for f in found]))]
+                    return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
-        l_at, r_at, scores = [], [], []
-        if a.num_rows and b.num_rows:
-            flat = [_flat(t.column("grams").combine_chunks()) for t in (a, b)]
-            for i, hits, score in _similar(*flat, threshold):
-                l_at.append(np.full(len(hits), i))
-                r_at.append(hits)
-                scores.append(score)
-        if not scores:
-            return arrow.empty_table()
-        x, y = a.select(l_kept).take(pa.array(np.concatenate(l_at))), b.select(r_kept).take(pa.array(np.concatenate(r_at)))
-        return pa.Table.from_arrays([*x.columns, *y.columns, pa.array(np.concatenate(scores))], names=arrow.names).cast(arrow)
+                found, n = [], 0
+                for hits in _similar(x, y, threshold, once and x.number == y.number):
+                    found.append(hits)
+                    n += len(hits[1])
+                    if n >= _PAIRS:
+                        yield pairs(found)
+                        found, n = [], 0
+                if found:
+                    yield pairs(found)
 
-    met = lefts.repartition(tasks, *keys).groupBy(*keys).cogroup(rights.repartition(tasks, *keys).groupBy(*keys))
-    return met.applyInArrow(compare, schema)
+    # Every task reads its blocks from where they are stored: nothing is shuffled, and a pair of blocks is written nowhere.
+    return a.hint("shuffle_replicate_nl").join(b, fits).mapInArrow(compare, schema)
 
 
-def similarity_join(left: DataFrame, right: DataFrame, threshold: float, allowed: Column | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
+def similarity_join(left: DataFrame, right: DataFrame | None, threshold: float, allowed: Column | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
     """l_id, the r_id* columns and score of all pairs whose sets have at least the similarity `threshold` (above 0).
 
     As `candidates`, but `grams` are distinct texts of three characters; ids are unique on each side, rows without one are
     left out. An empty or null set is similar to none. Sets of sizes that no set of the other side allows are left out first.
     Both sides are stored, as the counts, the prefixes and the comparison read them. Of two sets that both have grams for the
-    cells the cells decide, of others the join.
+    blocks the blocks decide, of others the join.
+
+    Without a right side the left is joined with itself: r_id is an l_id then, and each pair of different ids comes once, the
+    smaller id on the left. The sets are stored and compared once, and only l_id is kept of the other columns.
     """
     if not 0 < threshold <= 1:
         raise ValueError("a similarity join needs a threshold above 0 and up to 1")
+    alone = right is None
+    if alone and allowed is not None:
+        raise ValueError("a condition needs two sides")
     spark = left.sparkSession
-    ids = [c for c in right.columns if c.startswith("r_id")]
+    ids = ["r_id"] if alone else [c for c in right.columns if c.startswith("r_id")]
 
     def kept(sets: DataFrame, keys: list[str], low: float, high: float) -> DataFrame:
         named = sets.filter(F.size("grams").between(low, high))
@@ -311,17 +430,29 @@ def similarity_join(left: DataFrame, right: DataFrame, threshold: float, allowed
             named = named.filter(F.col(c).isNotNull())
         return named
 
+    def mirrored(sets: DataFrame) -> DataFrame:
+        return sets.select(*[F.col(c).alias(f"r_{c[2:]}" if c.startswith("l_") else c) for c in sets.columns])
+
+    if alone:
+        left, allowed = left.select("l_id", "grams"), F.col("l_id") < F.col("r_id")
     left = stored(coded(kept(left, ["l_id"], 1, float("inf"))), shared_path(spark, "sets-l"))
-    ends = left.agg(F.min(F.size("grams")).alias("low"), F.max(F.size("grams")).alias("high")).head()
-    low, high = ((ends["low"] or 1) * threshold - _SLACK, (ends["high"] or 0) / threshold + _SLACK)
-    right = stored(coded(kept(right, ids, low, high)), shared_path(spark, "sets-r"))
-    counts, asked = gram_counts(right), gram_counts(left)
-    hot = _meeting(counts, asked, cell_rows)[1]
-    if hot.any():
-        left = stored(_marked(left, "l", counts + asked, hot, threshold), shared_path(spark, "marked-l"))
-        right = stored(_marked(right, "r", counts + asked, hot, threshold), shared_path(spark, "marked-r"))
+    asked = gram_counts(left)
+    if alone:
+        counts = asked
     else:
-        left, right = left.withColumn("l_hot", F.lit(False)), right.withColumn("r_hot", F.lit(False))
+        ends = left.agg(F.min(F.size("grams")).alias("low"), F.max(F.size("grams")).alias("high")).head()
+        low, high = ((ends["low"] or 1) * threshold - _SLACK, (ends["high"] or 0) / threshold + _SLACK)
+        right = stored(coded(kept(right, ids, low, high)), shared_path(spark, "sets-r"))
+        counts = gram_counts(right)
+    hot = _meeting(counts, asked, cell_rows)[1]
+
+    def marked(sets: DataFrame, side: str) -> DataFrame:
+        if not hot.any():
+            return sets.withColumn(f"{side}_hot", F.lit(False))
+        return stored(_marked(sets, side, counts + asked, hot, threshold), shared_path(spark, f"marked-{side}"))
+
+    left = marked(left, "l")
+    right = mirrored(left) if alone else marked(right, "r")
     cold = ~(F.col("l_hot") & F.col("r_hot"))
     pairs = _met(left, right, counts, asked, threshold, cold if allowed is None else cold & allowed, cell_rows).select("l_id", *ids).distinct()
     sets = pairs.join(left.select("l_id", "l_hot", F.col("grams").alias("l_grams")), "l_id").join(
@@ -332,5 +463,7 @@ def similarity_join(left: DataFrame, right: DataFrame, threshold: float, allowed
     scored = scored.filter(F.col("score") >= threshold)
     if not hot.any():
         return scored
-    close = _by_cells(left, right, threshold, cell_rows)
+    close = _by_blocks(left, None if alone else right, threshold, cell_rows)
+    if alone:
+        close = close.select(F.least("l_id", "r_id").alias("l_id"), F.greatest("l_id", "r_id").alias("r_id"), "score")
     return scored.unionByName((close if allowed is None else close.filter(allowed)).select("l_id", *ids, "score"))

@@ -214,10 +214,8 @@ def sparse_by_join(spark, sf_dir):
 def similar_titles(spark, sf_dir):
     """Different titles of similar wording, each by the smallest id that has it."""
     titles = documents_corpus(spark, sf_dir).groupBy("title").agg(F.min("grant_id").alias("id"))
-    sets = titles.select("id", trigrams(F.col("title")).alias("grams"))
-    right = sets.select(F.col("id").alias("r_id"), F.col("id").alias("r_other"), "grams")
-    left = sets.select(F.col("id").alias("l_id"), F.col("id").alias("l_other"), "grams")
-    pairs = similarity_join(left, right, 0.8, F.col("l_other") < F.col("r_other"))
+    sets = titles.select(F.col("id").alias("l_id"), trigrams(F.col("title")).alias("grams"))
+    pairs = similarity_join(sets, None, 0.8)
     return pairs.select(F.col("l_id").alias("id"), F.col("r_id").alias("like_id"), F.round("score", 9).alias("score"))
 
 

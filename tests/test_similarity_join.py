@@ -94,3 +94,63 @@ def test_common_grams_bring_no_pairs_into_the_join(spark):
     for threshold in (0.3, 0.7):
         got = {(r.l_id, r.r_id): r.score for r in J.similarity_join(a, b, threshold, cell_rows=20).collect()}
         assert got == pytest.approx(brute(many, many, threshold))
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.7, 1.0])
+def test_sets_joined_with_themselves_give_each_pair_once(spark, threshold):
+    """The ids do not ascend with the sizes, so either set of a pair may be the smaller one."""
+    many = texts(90, 10) + [" ".join(np.random.default_rng(i).choice(WORDS, 6)) + f" {i % 40}" for i in range(90)] + ["", None, "grant"]
+    a, _ = sides(spark, many, [])
+    wanted = {(i, j): s for (i, j), s in brute(many, many, threshold).items() if i < j}
+    for cell_rows in (20, J.CELL_ROWS):
+        got = J.similarity_join(a, None, threshold, cell_rows=cell_rows).collect()
+        assert len(got) == len(wanted)
+        assert {(r.l_id, r.r_id): r.score for r in got} == pytest.approx(wanted)
+    with pytest.raises(ValueError):
+        J.similarity_join(a, None, threshold, F.col("l_id") < 5)
+
+
+def test_sets_of_many_blocks_are_written_once(spark, monkeypatch, tmp_path):
+    """However many blocks a set meets, no copy of it is stored or shuffled."""
+    monkeypatch.setattr(J, "shared_path", lambda _, name: f"{tmp_path}/{name}")
+    rng = np.random.default_rng(11)
+    many = [" ".join(rng.choice(WORDS, 6)) + f" {i % 40}" for i in range(200)]
+    a, b = sides(spark, many, many)
+    J.similarity_join(a, b, 0.6, cell_rows=20)
+    for side in ("l", "r"):
+        hot = spark.read.parquet(f"{tmp_path}/marked-{side}").filter(f"{side}_hot")
+        blocks = spark.read.parquet(f"{tmp_path}/blocks-{side}")
+        assert blocks.count() > 8
+        assert 100 < blocks.agg(F.sum(F.size("rows"))).head()[0] == hot.count()
+    close = J._by_blocks(*(spark.read.parquet(f"{tmp_path}/marked-{side}") for side in ("l", "r")), 0.6, 20)
+    plan = close._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+
+
+def test_blocks_of_many_different_grams(spark, monkeypatch):
+    """More grams than sixteen bits number, in one block."""
+    monkeypatch.setattr(J, "_GRAMS_PER_ROW", 10**6)
+    monkeypatch.setattr(J, "_LEAST_PART", 1)
+    rng = np.random.default_rng(12)
+    many = ["".join(map(chr, rng.integers(0x4E00, 0x9000, 420))) for _ in range(170)]
+    many += [t[: 400 - 3 * i] for i, t in enumerate(many[:20])]
+    assert len(set().union(*map(reference_grams, many))) > 1 << 16
+    a, b = sides(spark, many, many)
+    wanted = brute(many, many, 0.8)
+    assert len(wanted) > len(many) + 20
+    assert {(r.l_id, r.r_id): r.score for r in J.similarity_join(a, b, 0.8, cell_rows=1).collect()} == pytest.approx(wanted)
+
+
+@pytest.mark.parametrize("words", [2, 4, 16])
+def test_sketches_never_tell_similar_sets_apart(words):
+    rng = np.random.default_rng(13)
+    sets = [{int(x) << 42 | int(y) << 21 | int(z) for x, y, z in rng.integers(97, 103, (60, 3))} for _ in range(40)]
+    sizes = np.array([len(s) for s in sets])
+    whole = J._sketches(np.array([c for s in sets for c in s]), sizes, 4 * words)
+    folded = J._folded(whole, words)
+    for bits in (whole, folded):
+        apart = np.bitwise_count(bits[:, None] ^ bits[None]).sum(axis=2)
+        assert all(apart[i, j] <= len(a ^ b) for i, a in enumerate(sets) for j, b in enumerate(sets))
+    # Grams that only their first characters tell apart do not fall into the same places.
+    first = J._sketches(np.array([i << 42 | 98 << 21 | 99 for i in range(64)]), np.ones(64, np.int64), words)
+    assert len(np.unique(first, axis=0)) > 32
